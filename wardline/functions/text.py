@@ -25,13 +25,16 @@ def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, _SPACE_AT_ENDS, "")
 
 
-def extract_host(url: Column) -> Column:
+def extract_host_sql(url: str) -> str:
     """What stands between the scheme and the first ``/`` or ``?``.
 
     A port, user info or fragment stays, and case is kept; ``parse_url`` differs.
     """
-    bare = F.regexp_replace(F.regexp_replace(url, "^(https://)+", ""), "^(http://)+", "")
-    return F.regexp_extract(bare, "^([^/?]*)", 1)
+    return f"regexp_extract({url}, '^(?:https://)*+(?:http://)*+([^/?]*)', 1)"
+
+
+def extract_host(url: str) -> Column:
+    return F.expr(extract_host_sql(url))
 
 
 def last_labels(host: Column, n: int) -> Column:
@@ -48,10 +51,13 @@ def shell_command(line: Column) -> Column:
     return trim_space(F.when(line.startswith(": "), F.coalesce(second, line)).otherwise(line))
 
 
-def binary_name(command: Column) -> Column:
+def binary_name_sql(command: str) -> str:
     """Base name of the first word."""
-    first_word = F.regexp_extract(command, r"(?U)^\s*(\S*)", 1)
-    return F.substring_index(first_word, "/", -1)
+    return rf"substring_index(regexp_extract({command}, r'(?U)^\s*(\S*)', 1), '/', -1)"
+
+
+def binary_name(command: str) -> Column:
+    return F.expr(binary_name_sql(command))
 
 
 def is_noise_path(relative_path: Column) -> Column:

@@ -54,12 +54,17 @@ def debounced_sends(
             lambda ready, at: F.when(at >= ready, at + debounce).otherwise(ready),
         )
 
+    # between two passes all start times act alike, so one of each kind is enough
+    kinds = F.concat(F.filter(offsets, lambda at: at < debounce), F.array(F.lit(debounce)))
     ends = buckets.select(
         key,
         "_bucket",
         F.transform(
-            F.sequence(F.lit(0), F.lit(debounce)),
-            lambda start: F.greatest(ready_after(start) - bucket, F.lit(0)),
+            kinds,
+            lambda start: F.struct(
+                start.alias("up_to"),
+                F.greatest(ready_after(start) - bucket, F.lit(0)).alias("ready"),
+            ),
         ).alias("_end"),
     )
     start_at = F.struct(
@@ -73,7 +78,9 @@ def debounced_sends(
         ready = F.when(follows, state["ready"]).otherwise(0)
         return F.struct(
             step["_bucket"].alias("bucket"),
-            F.element_at(step["_end"], ready + 1).alias("ready"),
+            F.element_at(F.filter(step["_end"], lambda end: end["up_to"] >= ready), 1)["ready"].alias(
+                "ready"
+            ),
             F.concat(
                 state["starts"],
                 F.array(F.struct(step["_bucket"].alias("bucket"), ready.alias("ready"))),

@@ -9,7 +9,7 @@ same rows. Where several signatures match, the smallest id is taken.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,21 +24,30 @@ LITERAL_LIMIT = 256
 # Up to here a lookup table is broadcast; beyond, Spark picks the join by size.
 BROADCAST_LIMIT = 200_000
 
+_NO_TEXT = "CAST(NULL AS string)"
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
+def sql_text(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def literal_lookup(table: dict[str, Column | str], key: Column, kind: str) -> Column:
-    """Value of ``key`` in a small literal map, else null."""
-    if not table:
-        return F.lit(None).cast(kind)
-    pairs = [
-        part
-        for name, value in table.items()
-        for part in (F.lit(name), value if isinstance(value, Column) else F.lit(value))
-    ]
-    return F.create_map(*pairs)[key]
+
+def sql_texts(values: Iterable[str]) -> str:
+    return ", ".join(map(sql_text, values))
+
+
+def any_of(conditions: list[str]) -> Column:
+    return F.expr(" OR ".join(conditions) or "false")
+
+
+def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row, however often filters use them.
+
+    A filter on a plain ``withColumn`` result is pushed below it with the whole
+    expression copied in for every mention; a generator of one row is not.
+    """
+    one_row = F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))
+    return df.select("*", F.inline(one_row))
 
 
 def lookup_join(df: DataFrame, table: DataFrame, n_rows: int, on: Column) -> DataFrame:
@@ -56,15 +65,15 @@ def _domains_by_labels(registry: Registry) -> dict[int, dict[str, str]]:
     return groups
 
 
-def host_matches(host: Column, registry: Registry) -> Column:
-    """Host equals a registry domain or lies under one.
+def host_matches(host: str, registry: Registry) -> Column:
+    """The host in column ``host`` equals a registry domain or lies under one.
 
     A domain of n labels covers a host exactly if the last n labels of the
     host are that domain, so the suffix test is a few set look-ups.
     """
     return any_of(
         [
-            last_labels(host, n).isin(list(domains))
+            f"substring_index({host}, '.', -{n}) IN ({sql_texts(domains)})"
             for n, domains in _domains_by_labels(registry).items()
         ]
     )
@@ -78,13 +87,14 @@ def url_matches(url: Column, registry: Registry) -> Column:
     return url.rlike(rf"^(?:https://)*+(?:http://)*+(?:[^/?]*\.)?(?:{domains})(?:[/?]|\z)")
 
 
-def host_signature(host: Column, registry: Registry) -> Column:
-    """Id of the signature whose domains cover ``host``, else null."""
+def host_signature(host: str, registry: Registry) -> Column:
+    """Id of the signature whose domains cover the host, else null."""
     hits = [
-        literal_lookup(domains, last_labels(host, n), "string")
+        f"map({sql_texts(part for pair in domains.items() for part in pair)})"
+        f"[substring_index({host}, '.', -{n})]"
         for n, domains in _domains_by_labels(registry).items()
     ]
-    return F.least(*hits, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return F.expr(f"least({', '.join([*hits, _NO_TEXT, _NO_TEXT])})")
 
 
 def join_host_signature(df: DataFrame, host: str, registry: Registry, out: str) -> DataFrame:
@@ -106,25 +116,25 @@ def join_host_signature(df: DataFrame, host: str, registry: Registry, out: str)
 # --- programs ---------------------------------------------------------------
 
 
-def program_matches(name: Column, registry: Registry) -> Column:
-    """``name`` contains a registry process name."""
-    return any_of([name.contains(part) for part in registry.process_names()])
+def program_matches(name: str, registry: Registry) -> Column:
+    """The name in column ``name`` contains a registry process name."""
+    return any_of([f"contains({name}, {sql_text(part)})" for part in registry.process_names()])
 
 
-def program_starts_with(name: Column, registry: Registry) -> Column:
-    """``name`` equals a registry process name or starts with one."""
-    return any_of([name.startswith(part) for part in registry.process_names()])
+def program_starts_with(name: str, registry: Registry) -> Column:
+    """The name equals a registry process name or starts with one."""
+    return any_of([f"startswith({name}, {sql_text(part)})" for part in registry.process_names()])
 
 
-def program_signature(name: Column, registry: Registry) -> Column:
-    """Id of the signature one of whose process names ``name`` contains, else null."""
+def program_signature(name: str, registry: Registry) -> Column:
+    """Id of the signature one of whose process names the name contains, else null."""
     parts_of: dict[str, list[str]] = {}
     for part, owner in registry.process_names().items():
-        parts_of.setdefault(owner, []).append(part)
-    found = F.when(F.lit(False), F.lit(None).cast("string"))
-    for owner in sorted(parts_of):
-        found = found.when(any_of([name.contains(part) for part in parts_of[owner]]), owner)
-    return found
+        parts_of.setdefault(owner, []).append(f"contains({name}, {sql_text(part)})")
+    cases = [
+        f"WHEN {' OR '.join(parts_of[owner])} THEN {sql_text(owner)}" for owner in sorted(parts_of)
+    ]
+    return F.expr(f"CASE {' '.join(cases)} END" if cases else _NO_TEXT)
 
 
 def join_program_signature(
@@ -180,7 +190,7 @@ def join_program_signature(
 def keep_host_matches(df: DataFrame, host: str, registry: Registry) -> DataFrame:
     """Rows whose ``host`` column is covered by some signature."""
     if is_literal_sized(registry):
-        return df.filter(host_matches(F.col(host), registry))
+        return df.filter(host_matches(host, registry))
     return join_host_signature(df, host, registry, "_hit").filter("_hit IS NOT NULL").drop("_hit")
 
 
@@ -190,7 +200,7 @@ def keep_program_matches(
     """Rows whose ``name`` column contains, or with ``prefix`` starts with, a process name."""
     if is_literal_sized(registry):
         test = program_starts_with if prefix else program_matches
-        return df.filter(test(F.col(name), registry))
+        return df.filter(test(name, registry))
     return (
         join_program_signature(df, name, registry, "_hit", prefix=prefix)
         .filter("_hit IS NOT NULL")
@@ -208,39 +218,28 @@ def is_literal_sized(registry: Registry) -> bool:
     )
 
 
-def with_signature_id(df: DataFrame, host: Column, program: Column, registry: Registry) -> DataFrame:
-    """Add ``signature_id``: by ``host`` where there is one, else by ``program``."""
-    df = df.withColumn("_host", host).withColumn("_program", program)
+def with_signature_id(df: DataFrame, host: str, program: str, registry: Registry) -> DataFrame:
+    """Add ``signature_id``: by column ``host`` where it has a match, else by ``program``."""
     if is_literal_sized(registry):
-        by_host = host_signature(F.col("_host"), registry)
-        by_program = program_signature(F.col("_program"), registry)
-        return df.withColumn("signature_id", F.coalesce(by_host, by_program)).drop(
-            "_host", "_program"
-        )
-    df = join_host_signature(df, "_host", registry, "_by_host")
-    df = join_program_signature(df, "_program", registry, "_by_program")
+        found = F.coalesce(host_signature(host, registry), program_signature(program, registry))
+        return df.withColumn("signature_id", found)
+    df = join_host_signature(df, host, registry, "_by_host")
+    df = join_program_signature(df, program, registry, "_by_program")
     return df.withColumn("signature_id", F.coalesce("_by_host", "_by_program")).drop(
-        "_host", "_program", "_by_host", "_by_program"
+        "_by_host", "_by_program"
     )
 
 
-SIGNATURE_INFO = "struct<name:string,risk_base:int,tags:array<string>>"
-
-
 def with_signature_info(df: DataFrame, registry: Registry) -> DataFrame:
     """Add ``signature``: name, risk base and tags of ``signature_id``, null without one."""
-    if is_literal_sized(registry):
-        info = {
-            sig.id: F.struct(
-                F.lit(sig.name).alias("name"),
-                F.lit(sig.risk_base).alias("risk_base"),
-                F.array(*map(F.lit, sig.tags)).cast("array<string>").alias("tags"),
-            )
+    if is_literal_sized(registry) and len(registry):
+        info = ", ".join(
+            f"{sql_text(sig.id)}, named_struct('name', {sql_text(sig.name)}, "
+            f"'risk_base', {sig.risk_base}, "
+            f"'tags', CAST(array({sql_texts(sig.tags)}) AS array<string>))"
             for sig in registry.all()
-        }
-        return df.withColumn(
-            "signature", literal_lookup(info, F.col("signature_id"), SIGNATURE_INFO)
         )
+        return df.withColumn("signature", F.expr(f"map({info})[signature_id]"))
     table = registry.frame(df.sparkSession).select(
         F.col("id").alias("_id"), F.struct("name", "risk_base", "tags").alias("signature")
     )
@@ -273,80 +272,72 @@ def usable_patterns(spark: SparkSession, registry: Registry) -> Registry:
 
 
 def _compiles(spark: SparkSession, patterns: list[str]) -> bool:
-    probe = [F.lit("").rlike(REGEX_FLAGS + p).alias(f"p{i}") for i, p in enumerate(patterns)]
+    probe = ", ".join(f"'' RLIKE {sql_text(REGEX_FLAGS + p)}" for p in patterns)
     try:
-        spark.range(1).select(F.lit(0), *probe).collect()
+        spark.range(1).select(F.expr(f"array({probe})")).collect()
     except PySparkException:
         return False
     return True
 
 
-def _dlp_match(pattern_id: Column | str, severity: Column | str) -> Column:
-    pattern = pattern_id if isinstance(pattern_id, Column) else F.lit(pattern_id)
-    level = severity if isinstance(severity, Column) else F.lit(severity)
-    known = F.when(level.isin("critical", "high"), level).otherwise("low")
-    return F.struct(
-        pattern.alias("pattern_id"),
-        F.concat(F.lit("DLP match: "), pattern).alias("description"),
-        known.alias("severity"),
-    )
+_NO_MATCHES = f"CAST(array() AS array<{DLP_MATCH}>)"
 
 
-def dlp_matches(signature_id: Column, text: Column, registry: Registry) -> Column:
-    """Every pattern of the matched signature found in ``text``, in signature order."""
-    per_signature = F.when(F.lit(False), F.array().cast(f"array<{DLP_MATCH}>"))
-    for sig in registry.all():
-        if sig.dlp_patterns:
-            hits = [
-                F.when(text.rlike(REGEX_FLAGS + p.pattern), _dlp_match(p.id, p.severity))
-                for p in sig.dlp_patterns
-            ]
-            per_signature = per_signature.when(
-                signature_id == sig.id, F.array_compact(F.array(*hits))
-            )
-    return F.coalesce(per_signature, F.array().cast(f"array<{DLP_MATCH}>"))
+def _severity(text: str) -> str:
+    return text if text in ("critical", "high") else "low"
+
+
+def dlp_matches(signature_id: str, text: str, registry: Registry) -> Column:
+    """Every pattern of the matched signature found in column ``text``, in signature order."""
+    cases = [
+        f"WHEN {sql_text(sig.id)} THEN array_compact(array({', '.join(_hit_sql(text, sig))}))"
+        for sig in registry.all()
+        if sig.dlp_patterns
+    ]
+    found = f"CASE {signature_id} {' '.join(cases)} END" if cases else "NULL"
+    return F.expr(f"coalesce({found}, {_NO_MATCHES})")
 
 
-def with_dlp_matches(df: DataFrame, text: Column, registry: Registry) -> DataFrame:
-    """Add ``dlp_matches`` of the matched signature.
+def _hit_sql(text: str, sig: Signature) -> list[str]:
+    return [
+        f"CASE WHEN {text} RLIKE {sql_text(REGEX_FLAGS + p.pattern)} THEN named_struct("
+        f"'pattern_id', {sql_text(p.id)}, 'description', {sql_text('DLP match: ' + p.id)}, "
+        f"'severity', '{_severity(p.severity)}') END"
+        for p in sig.dlp_patterns
+    ]
+
+
+def with_dlp_matches(df: DataFrame, text: str, registry: Registry) -> DataFrame:
+    """Add ``dlp_matches`` of the matched signature in column ``text``.
 
     With few patterns each is a literal, compiled once per task; with many,
     the signature's own list comes along by join and is tried row by row.
     """
     n_patterns = sum(len(sig.dlp_patterns) for sig in registry.all())
     if n_patterns <= LITERAL_LIMIT:
-        return df.withColumn("dlp_matches", dlp_matches(F.col("signature_id"), text, registry))
+        return df.withColumn("dlp_matches", dlp_matches("signature_id", text, registry))
     table = registry.frame(df.sparkSession).select(
         F.col("id").alias("_id"), F.col("dlp_patterns").alias("_patterns")
     )
-    df = df.withColumn("_text", text)
     df = lookup_join(df, table, len(registry), F.col("signature_id") == F.col("_id"))
-    hits = F.filter(
-        F.coalesce("_patterns", F.array().cast("array<struct<id:string,pattern:string,severity:string>>")),
-        lambda p: F.coalesce(
-            F.col("_text").rlike(F.concat(F.lit(REGEX_FLAGS), p["pattern"])), F.lit(False)
-        ),
+    found = f"""transform(
+        filter(_patterns, p -> coalesce(rlike({text}, concat('{REGEX_FLAGS}', p.pattern)), false)),
+        p -> named_struct('pattern_id', p.id, 'description', concat('DLP match: ', p.id),
+            'severity', CASE WHEN p.severity IN ('critical', 'high') THEN p.severity ELSE 'low' END))"""
+    return df.withColumn("dlp_matches", F.expr(f"coalesce({found}, {_NO_MATCHES})")).drop(
+        "_id", "_patterns"
     )
-    found = F.transform(hits, lambda p: _dlp_match(p["id"], p["severity"]))
-    return df.withColumn("dlp_matches", found).drop("_id", "_patterns", "_text")
 
 
-def all_pattern_hits(df: DataFrame, text: Column, registry: Registry) -> DataFrame:
-    """One row per input row and signature pattern found anywhere in ``text``."""
+def all_pattern_hits(df: DataFrame, text: str, registry: Registry) -> DataFrame:
+    """One row per input row and signature pattern found anywhere in column ``text``."""
     hits = [
-        F.when(
-            text.rlike(REGEX_FLAGS + p.pattern),
-            F.struct(
-                F.lit(sig.id).alias("signature_id"),
-                F.lit(p.id).alias("pattern_id"),
-                F.lit(p.severity if p.severity in ("critical", "high") else "low").alias(
-                    "severity"
-                ),
-            ),
-        )
+        f"CASE WHEN {text} RLIKE {sql_text(REGEX_FLAGS + p.pattern)} THEN named_struct("
+        f"'signature_id', {sql_text(sig.id)}, 'pattern_id', {sql_text(p.id)}, "
+        f"'severity', '{_severity(p.severity)}') END"
         for sig in registry.all()
         for p in sig.dlp_patterns
     ]
-    return df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).select(
-        *df.columns, "_hit.*"
-    )
+    return df.withColumn(
+        "_hit", F.expr(f"explode(array_compact(array({', '.join(hits)})))")
+    ).select(*df.columns, "_hit.*")

@@ -6,51 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.risk import MAX_SCORE, risk_level
+from wardline.operators.matching import sql_text, sql_texts
 from wardline.policy import Policy, Rule
 
 # Without a signature, rules see this id and no tags.
 UNKNOWN_SIGNATURE = "unknown"
 
 
-def _verdict(action: str, rule: str | None = None, override: int | None = None) -> Column:
-    return F.struct(
-        F.lit(action).alias("action"),
-        F.lit(rule).cast("string").alias("rule"),
-        F.lit(override).cast("int").alias("score_override"),
+def _verdict_sql(action: str, rule: str | None = None, override: int | None = None) -> str:
+    return (
+        f"named_struct('action', '{action}', "
+        f"'rule', CAST({'NULL' if rule is None else sql_text(rule)} AS string), "
+        f"'score_override', CAST({'NULL' if override is None else override} AS int))"
     )
 
 
-def _fires(
-    rule: Rule, signature_id: Column, tags: Column, has_dlp: Column, score: Column
-) -> Column:
+def _fires_sql(rule: Rule) -> str:
     # the triggers ai_detected and any hold for every finding
-    fires = has_dlp if rule.trigger == "dlp_match" else F.lit(True)
+    tests = ["size(dlp_matches) > 0" if rule.trigger == "dlp_match" else "true"]
     if rule.min_score is not None:
-        fires = fires & (score >= rule.min_score)
+        tests.append(f"risk_score >= {rule.min_score}")
     if rule.exclude_ids:
-        fires = fires & ~signature_id.isin(list(rule.exclude_ids))
-    if rule.tags:
-        fires = fires & F.arrays_overlap(tags, F.array(*map(F.lit, rule.tags)))
-    return fires
-
-
-def verdict(
-    policy: Policy, signature_id: Column, tags: Column, has_dlp: Column, score: Column
-) -> Column:
-    """``struct<action,rule,score_override>``: first rule that fires, then thresholds, then mode."""
-    signature_id = F.coalesce(signature_id, F.lit(UNKNOWN_SIGNATURE))
-    tags = F.coalesce(tags, F.array().cast("array<string>"))
-    cases = F.when(F.lit(False), _verdict(policy.mode))
-    for rule in policy.rules:
-        cases = cases.when(
-            _fires(rule, signature_id, tags, has_dlp, score),
-            _verdict(rule.action, rule.id, rule.score_override),
+        tests.append(
+            f"coalesce(signature_id, '{UNKNOWN_SIGNATURE}') NOT IN ({sql_texts(rule.exclude_ids)})"
         )
+    if rule.tags:
+        tests.append(f"coalesce(arrays_overlap(tags, array({sql_texts(rule.tags)})), false)")
+    return " AND ".join(tests)
+
+
+def verdict(policy: Policy) -> Column:
+    """``struct<action,rule,score_override>``: first rule that fires, then thresholds, then mode.
+
+    Reads the columns ``signature_id``, ``tags``, ``dlp_matches`` and ``risk_score``.
+    """
+    cases = [
+        f"WHEN {_fires_sql(rule)} THEN {_verdict_sql(rule.action, rule.id, rule.score_override)}"
+        for rule in policy.rules
+    ]
     if policy.block_at is not None:
-        cases = cases.when(score >= policy.block_at, _verdict("block"))
+        cases.append(f"WHEN risk_score >= {policy.block_at} THEN {_verdict_sql('block')}")
     if policy.warn_at is not None:
-        cases = cases.when(score >= policy.warn_at, _verdict("warn"))
-    return cases.otherwise(_verdict(policy.mode))
+        cases.append(f"WHEN risk_score >= {policy.warn_at} THEN {_verdict_sql('warn')}")
+    default = _verdict_sql(policy.mode)
+    return F.expr(f"CASE {' '.join(cases)} ELSE {default} END" if cases else default)
 
 
 def apply_policy(scored: DataFrame, policy: Policy) -> DataFrame:
@@ -58,22 +57,17 @@ def apply_policy(scored: DataFrame, policy: Policy) -> DataFrame:
 
     Takes ``signature_id``, ``tags``, ``dlp_matches`` and ``risk_score``.
     """
-    score = F.coalesce(F.least("_verdict.score_override", F.lit(MAX_SCORE)), F.col("risk_score"))
+    overridden = f"coalesce(least(_verdict.score_override, {MAX_SCORE}), risk_score)"
     return (
-        scored.withColumn(
-            "_verdict",
-            verdict(
-                policy,
-                F.col("signature_id"),
-                F.col("tags"),
-                F.size("dlp_matches") > 0,
-                F.col("risk_score"),
-            ),
+        scored.withColumn("_verdict", verdict(policy))
+        .withColumns(
+            {
+                "risk_score": F.expr(overridden),
+                "policy_action": F.col("_verdict.action"),
+                "matched_rule": F.col("_verdict.rule"),
+            }
         )
-        .withColumn("risk_score", score)
         .withColumn("risk_level", risk_level(F.col("risk_score")))
-        .withColumn("policy_action", F.col("_verdict.action"))
-        .withColumn("matched_rule", F.col("_verdict.rule"))
         .drop("_verdict")
     )
 
@@ -84,13 +78,14 @@ def policy_check(scored: DataFrame, policies: dict[str, Policy]) -> DataFrame:
     Findings that look alike to every rule are counted first, so the policies
     run over a table of at most signatures x tags x scores rows.
     """
-    alike = scored.groupBy(
-        "signature_id", "tags", (F.size("dlp_matches") > 0).alias("has_dlp"), "risk_score"
-    ).agg(F.count("*").alias("n"))
-    inputs = [F.col(name) for name in ("signature_id", "tags", "has_dlp", "risk_score")]
+    # all that rules see of the matches is whether there are any
+    flag = F.expr("slice(transform(dlp_matches, m -> true), 1, 1)").alias("dlp_matches")
+    alike = scored.groupBy("signature_id", "tags", flag, "risk_score").agg(
+        F.count("*").alias("n")
+    )
     answers = F.array(
         *[
-            F.struct(F.lit(name).alias("policy_id"), verdict(policy, *inputs).alias("verdict"))
+            F.struct(F.lit(name).alias("policy_id"), verdict(policy).alias("verdict"))
             for name, policy in policies.items()
         ]
     )

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.risk import has_severity, risk_level, risk_score
-from wardline.functions.text import REGEX_FLAGS, binary_name, extract_host
+from wardline.functions.text import REGEX_FLAGS, binary_name_sql, extract_host_sql
 from wardline.operators.matching import (
+    with_computed,
     with_dlp_matches,
     with_signature_id,
     with_signature_info,
@@ -17,67 +18,58 @@ from wardline.operators.matching import (
 from wardline.operators.rules import apply_policy
 from wardline.policy import Policy
 from wardline.registry import Registry
-from wardline.schemas import DLP_MATCH, EVENT_FIELDS
+from wardline.schemas import EVENT_FIELDS
 
 REDACTED = "[REDACTED]"
 
 
-def _case(**by_type: Column) -> Column:
-    """Value by event type."""
-    value = F.when(F.lit(False), F.lit(None).cast("string"))
-    for type_, column in by_type.items():
-        value = value.when(F.col("type") == type_, column)
-    return value
+_HOST = f"""CASE type
+    WHEN 'network_connection' THEN remote_host
+    WHEN 'browser_history' THEN {extract_host_sql("url")}
+END"""
+_PROGRAM = f"""CASE type
+    WHEN 'process' THEN name
+    WHEN 'shell_history' THEN {binary_name_sql("command")}
+END"""
+_TEXT = "CASE type WHEN 'process' THEN cmdline WHEN 'shell_history' THEN command END"
+
+# A code finding is its own match; all others have those found in their text.
+_DLP_MATCHES = f"""CASE WHEN type = 'codebase_file' THEN array(named_struct(
+        'pattern_id', matched_text,
+        'description', concat("Pattern '", matched_text, "' found in source file"),
+        'severity', 'critical'))
+    ELSE dlp_matches
+END"""
+
+_SERVICE = "coalesce(signature.name, 'unknown service')"
+_DETAIL = f"""CASE type
+    WHEN 'network_connection' THEN concat({_SERVICE}, ' — connection to ', remote_host, ':', port)
+    WHEN 'process' THEN concat({_SERVICE}, " — process '", name, "' running (pid ", pid, ')')
+    WHEN 'shell_history' THEN
+        concat({_SERVICE}, ' — found in ', shell, ' history: `', command, '`')
+    WHEN 'browser_history' THEN concat({_SERVICE}, ' — visited via ', browser, ': ', url)
+    WHEN 'codebase_file' THEN concat("DLP match '", matched_text, "' in ", file_path,
+        coalesce(concat(':', line_number), ''))
+END"""
 
 
 def match_events(events: DataFrame, registry: Registry) -> DataFrame:
     """Add ``signature_id``, ``signature`` and ``dlp_matches``; drop what matches nothing."""
-    host = _case(
-        network_connection=F.col("remote_host"), browser_history=extract_host(F.col("url"))
+    texts = with_computed(
+        events, _host=F.expr(_HOST), _program=F.expr(_PROGRAM), _text=F.expr(_TEXT)
+    )
+    # only code findings have matches without a signature
+    matched = with_signature_id(texts, "_host", "_program", registry).filter(
+        "signature_id IS NOT NULL OR type = 'codebase_file'"
+    )
+    matched = (
+        with_dlp_matches(matched, "_text", registry)
+        .withColumn("dlp_matches", F.expr(_DLP_MATCHES))
+        .drop("_host", "_program", "_text")
     )
-    program = _case(process=F.col("name"), shell_history=binary_name(F.col("command")))
-    text = _case(process=F.col("cmdline"), shell_history=F.col("command"))
-    matched = with_signature_id(events, host, program, registry)
-    matched = with_dlp_matches(matched, text, registry)
-    secret = F.array(
-        F.struct(
-            F.col("matched_text").alias("pattern_id"),
-            F.concat(
-                F.lit("Pattern '"), F.col("matched_text"), F.lit("' found in source file")
-            ).alias("description"),
-            F.lit("critical").alias("severity"),
-        )
-    ).cast(f"array<{DLP_MATCH}>")
-    matched = matched.withColumn(
-        "dlp_matches",
-        F.when(F.col("type") == "codebase_file", secret).otherwise(F.col("dlp_matches")),
-    ).filter(F.col("signature_id").isNotNull() | (F.size("dlp_matches") > 0))
     return with_signature_info(matched, registry)
 
 
-def _detail() -> Column:
-    service = F.coalesce("signature.name", F.lit("unknown service"))
-    at_line = F.coalesce(F.concat(F.lit(":"), F.col("line_number").cast("string")), F.lit(""))
-    return _case(
-        network_connection=F.concat(
-            service, F.lit(" — connection to "), "remote_host", F.lit(":"), F.col("port").cast("string")
-        ),
-        process=F.concat(
-            service, F.lit(" — process '"), "name", F.lit("' running (pid "),
-            F.col("pid").cast("string"), F.lit(")"),
-        ),
-        shell_history=F.concat(
-            service, F.lit(" — found in "), "shell", F.lit(" history: `"), "command", F.lit("`")
-        ),
-        browser_history=F.concat(
-            service, F.lit(" — visited via "), "browser", F.lit(": "), "url"
-        ),
-        codebase_file=F.concat(
-            F.lit("DLP match '"), "matched_text", F.lit("' in "), "file_path", at_line
-        ),
-    )
-
-
 def score_events(
     events: DataFrame, registry: Registry, *, approved_ids: Collection[str] | None = None
 ) -> DataFrame:
@@ -97,10 +89,13 @@ def score_events(
         unapproved,
     )
     return (
-        matched.withColumn("service_name", F.col("signature.name"))
-        .withColumn("tags", F.col("signature.tags"))
-        .withColumn("detail", _detail())
-        .withColumn("risk_score", score)
+        matched.select(
+            "*",
+            F.col("signature.name").alias("service_name"),
+            F.col("signature.tags").alias("tags"),
+            F.expr(_DETAIL).alias("detail"),
+            score.alias("risk_score"),
+        )
         .withColumn("risk_level", risk_level(F.col("risk_score")))
         .drop("signature")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import tomllib
 from dataclasses import dataclass, field
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,7 @@ class Policy:
             return cls()
 
     @classmethod
+    @cache
     def bundled(cls) -> Policy:
         return cls.load(BUNDLED_FILE)
 

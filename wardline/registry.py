@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -129,6 +130,7 @@ class Registry:
         return registry
 
     @classmethod
+    @cache
     def bundled(cls) -> Registry:
         return cls.load(BUNDLED_DIR)
 

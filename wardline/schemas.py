@@ -65,11 +65,12 @@ def as_events(df: DataFrame, *, source: str, type_: str, key: list[Column]) -> D
     event_id = F.sha2(
         F.concat_ws("\u0001", F.lit(source), *key, F.unix_micros("ts").cast("string")), 256
     )
-    fixed = {"event_id": event_id, "source": F.lit(source), "type": F.lit(type_)}
-    columns = [
-        fixed[name].alias(name)
-        if name in fixed
-        else (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+    present = set(df.columns)
+    fields = {
+        name: f"CAST({name if name in present else 'NULL'} AS {kind}) AS {name}"
         for name, kind in EVENT_FIELDS.items()
-    ]
-    return df.select(*columns)
+        if name != "event_id"
+    }
+    fields["source"] = f"'{source}' AS source"
+    fields["type"] = f"'{type_}' AS type"
+    return df.select(event_id.alias("event_id"), *map(F.expr, fields.values()))

@@ -20,13 +20,15 @@ from wardline.functions.network import (
 from wardline.functions.text import binary_name, extract_host, shell_command
 from wardline.operators.dedup import top_n_per_group
 from wardline.operators.matching import (
-    any_of,
     host_matches,
     is_literal_sized,
     join_host_signature,
     keep_host_matches,
     keep_program_matches,
+    program_matches,
+    sql_texts,
     url_matches,
+    with_computed,
 )
 from wardline.operators.secrets import secret_lines
 from wardline.registry import Registry
@@ -55,15 +57,15 @@ def shell_events(lines: DataFrame, registry: Registry, *, fish_prefix: bool = Fa
 
     ``fish_prefix`` also reads fish's ``- cmd: `` lines, which otherwise never match.
     """
-    names = list(registry.process_names())
     if is_literal_sized(registry):
         # most lines hold no known name at all: skip those before any parsing
-        lines = lines.filter(any_of([F.col("line").contains(name) for name in names]))
+        lines = lines.filter(program_matches("line", registry))
     command = shell_command(F.col("line"))
     if fish_prefix:
         command = F.regexp_replace(command, "^- cmd: ", "")
-    parsed = lines.withColumn("command", command).withColumn("_bin", binary_name(F.col("command")))
-    found = keep_program_matches(parsed.filter("command <> ''"), "_bin", registry, prefix=True)
+    parsed = with_computed(lines, command=command).filter("command <> ''")
+    named = with_computed(parsed, _program=binary_name("command"))
+    found = keep_program_matches(named, "_program", registry, prefix=True)
     return as_events(
         found,
         source="shell_history",
@@ -92,7 +94,7 @@ def visit_events(
     if is_literal_sized(registry):
         found = recent.filter(url_matches(F.col("url"), registry))
     else:
-        recent = recent.withColumn("_host", extract_host(F.col("url")))
+        recent = recent.withColumn("_host", extract_host("url"))
         found = keep_host_matches(recent, "_host", registry)
     found = found.withColumn("ts", F.col("visit_ts"))
     return as_events(
@@ -106,7 +108,7 @@ def visit_events(
 def parse_netstat(lines: DataFrame) -> DataFrame:
     """``host, ts, line`` -> ``host, ts, remote_ip, port`` of TCP lines in addr.port style."""
     return (
-        lines.withColumn("_peer", netstat_peer(F.col("line")))
+        with_computed(lines, _peer=netstat_peer(F.col("line")))
         .filter("_peer IS NOT NULL")
         .select("host", "ts", F.col("_peer.addr").alias("remote_ip"), F.col("_peer.port").alias("port"))
     )
@@ -139,8 +141,8 @@ def reachable_domains(answers: DataFrame, registry: Registry) -> DataFrame:
     """``host, ts, domain, resolved`` -> latest resolving answer per machine and registry domain."""
     resolving = answers.filter("resolved")
     domains = list(registry.domains())
-    if is_literal_sized(registry):
-        resolving = resolving.filter(F.col("domain").isin(domains))
+    if domains and is_literal_sized(registry):
+        resolving = resolving.filter(F.expr(f"domain IN ({sql_texts(domains)})"))
     else:
         # the whole name must be registered, not only a suffix of it
         table = registry.frame(answers.sparkSession).select(F.explode("domains").alias("domain"))
@@ -170,7 +172,7 @@ def http_events(payloads: DataFrame, registry: Registry) -> DataFrame:
         & F.is_valid_utf8("payload")
         & is_http_request(F.col("payload"))
     )
-    headers = requests.withColumn("_headers", http_headers(F.col("payload")))
+    headers = with_computed(requests, _headers=http_headers(F.col("payload")))
     named = F.col("_headers")["host"]
     parsed = headers.select(
         "host",
@@ -183,7 +185,7 @@ def http_events(payloads: DataFrame, registry: Registry) -> DataFrame:
     )
     has_auth = F.coalesce(F.map_contains_key("http_headers", "authorization"), F.lit(False))
     if is_literal_sized(registry):
-        found = parsed.filter(has_auth | host_matches(F.col("remote_host"), registry))
+        found = parsed.filter(has_auth | host_matches("remote_host", registry))
     else:
         found = join_host_signature(parsed, "remote_host", registry, "_hit").filter(
             has_auth | F.col("_hit").isNotNull()

@@ -147,7 +147,7 @@ def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_dlp_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = raw.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return matching.all_pattern_hits(texts, F.col("text"), Registry.bundled()).drop("text")
+    return matching.all_pattern_hits(texts, "text", Registry.bundled()).drop("text")
 
 
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,11 @@ def pick(values: list, index: str) -> str:
     return f"element_at({sql_list(values)}, cast({index} % {len(values)} as int) + 1)"
 
 
+def derived(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns worked out once per row, as if they had been read from a table."""
+    return df.select(F.inline(F.array(F.struct(*map(F.expr, columns)))))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
@@ -53,7 +58,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         "host",
         "ts",
         f"{pick(HOSTS, 'event_id')} AS remote_ip",
@@ -65,7 +71,8 @@ def netstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     peer = f"{pick(HOSTS, 'event_id')}"
     port = f"{pick([443, 80, 8080, 22], 'event_id')}"
     local = "concat('192.168.1.5.', 50000 + event_id % 10000)"
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         "host",
         "ts",
         f"""CASE event_id % 7
@@ -81,7 +88,8 @@ def netstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dns_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         "host", "ts", f"{pick(DNS_NAMES, 'event_id')} AS domain", "event_id % 3 <> 0 AS resolved"
     )
 
@@ -89,7 +97,8 @@ def dns_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = pick(HOSTS, "event_id")
     key = "md5(cast(event_id as string))"
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         "host",
         "ts",
         "concat('10.1.', event_id % 200, '.7') AS dst_ip",
@@ -111,7 +120,8 @@ def http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tls_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         "host",
         "ts",
         f"{pick(HOSTS, '(event_id * 5)')} AS sni",
@@ -123,7 +133,8 @@ def tls_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = pick(PROGRAMS, "event_id")
     key = "md5(cast(event_id as string))"
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         "host",
         "ts",
         "1000 + event_id AS pid",
@@ -141,7 +152,8 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = "md5(cast(event_id as string))"
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         "host",
         "ts",
         f"{pick(['bash', 'zsh', 'fish'], 'event_id')} AS shell",
@@ -164,7 +176,8 @@ def shell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of all visits belongs to one profile."""
-    from_events = _events(spark, sf_dir).selectExpr(
+    from_events = derived(
+        _events(spark, sf_dir),
         "CASE WHEN event_id % 3 = 0 THEN 'm0' ELSE host END AS host",
         "CASE WHEN event_id % 3 = 0 THEN 'Chrome' ELSE "
         f"{pick(['Chrome', 'Firefox', 'Brave', 'Edge'], 'event_id')} END AS browser",
@@ -271,7 +284,8 @@ def scored_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A findings table with a history of its own, one row per event."""
     score = "cast((event_id * 37) % 101 as int)"
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         "concat('f', event_id) AS id",
         "ts AS timestamp",
         f"CASE WHEN event_id % 12 = 11 THEN NULL ELSE {pick(SERVICES, '(event_id % 12)')} END AS service_id",
@@ -288,7 +302,8 @@ def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rewritten_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated writes of the same ids; a third of all writes has one id."""
     number = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 1000 END"
-    return _events(spark, sf_dir).selectExpr(
+    return derived(
+        _events(spark, sf_dir),
         f"concat('f', {number}) AS id",
         f"date_add(date '2024-01-01', cast(({number}) % 30 as int)) AS event_date",
         "ts AS written_at",
