@@ -57,7 +57,8 @@ def apply_policy(scored: DataFrame, policy: Policy) -> DataFrame:
 
     Takes ``signature_id``, ``tags``, ``dlp_matches`` and ``risk_score``.
     """
-    overridden = f"coalesce(least(_verdict.score_override, {MAX_SCORE}), risk_score)"
+    override = f"least(_verdict.score_override, {MAX_SCORE})"
+    overridden = f"IF(_verdict.score_override IS NULL, risk_score, {override})"
     return (
         scored.withColumn("_verdict", verdict(policy))
         .withColumns(

@@ -325,7 +325,7 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _scan(_all_events(spark, sf_dir, ["codebase"])).withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
+    runs = _scan(_all_events(spark, sf_dir, ["codebase"])).withColumn("run_id", F.date_format("ts", "yyyy-MM-dd HH:mm"))
     return documents.sarif_logs(runs, "run_id").select("run_id", "n_results", "sarif")
 
 
