@@ -27,8 +27,8 @@ RECENT_ROWS = 1000
 STORED = (
     "id string, timestamp timestamp, service_id string, service_name string, "
     "risk_score int, risk_level string, dlp_matches string, detail string, raw_event string, "
-    "policy_action string, matched_rule string, written_at timestamp, source string, "
-    "event_date date"
+    "policy_action string, matched_rule string, written_at timestamp, feed string, "
+    "source string, event_date date"
 )
 
 PAYLOAD_FIELDS = {
@@ -144,7 +144,7 @@ def gate_count(stored: DataFrame, min_score: int = 51) -> DataFrame:
 
 
 class FindingsStore:
-    """Append-only parquet log by source and date; readers see the newest write per id."""
+    """Append-only parquet log by feed, source and date; readers see the newest write per id."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -154,20 +154,16 @@ class FindingsStore:
     def log_path(self) -> str:
         return f"{self.path}/log"
 
-    def append(self, findings: DataFrame) -> None:
-        """Write findings; of jobs that run at once each needs another source."""
-        self._write(stored_rows(findings), self.log_path, "source", "event_date")
+    def append(self, findings: DataFrame, feed: str = "scan") -> None:
+        """Write findings. Jobs that run at once each need a ``feed`` of their own.
 
-    def append_source(self, findings: DataFrame, source: str) -> None:
-        """Write findings of a single source into that source's own folder."""
-        folder = f"{self.log_path}/source={SHOWN_SOURCE[source]}"
-        self._write(stored_rows(findings).drop("source"), folder, "event_date")
-
-    @staticmethod
-    def _write(rows: DataFrame, path: str, *folders: str) -> None:
-        # gathers the rows of a folder into few files, splitting a folder that is large
-        balanced = rows.hint("rebalance", *folders)
-        balanced.write.mode("append").partitionBy(*folders).parquet(path)
+        Rows of a partition folder are gathered into few files before the write,
+        and a folder that is large is split again.
+        """
+        rows = stored_rows(findings).hint("rebalance", "source", "event_date")
+        rows.write.mode("append").partitionBy("source", "event_date").parquet(
+            f"{self.log_path}/feed={feed}"
+        )
 
     def log(self) -> DataFrame:
         """Every write, newest or not."""

@@ -22,9 +22,11 @@ class VersionedTable:
         self.path = path.rstrip("/")
         self.schema = schema or self.schema
 
-    def version(self) -> int:
-        """Number of the current version, 0 before the first."""
+    def version(self, at_most: int | None = None) -> int:
+        """Number of the current version (or the last up to ``at_most``), 0 before the first."""
         commits = _read(self.spark, f"{self.path}/commits", "version bigint")
+        if at_most is not None:
+            commits = commits.filter(f"version <= {at_most}")
         return commits.selectExpr("coalesce(max(version), 0)").first()[0]
 
     def read(self, version: int | None = None) -> DataFrame:
