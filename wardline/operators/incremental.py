@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from wardline.sinks.versions import VersionedTable
 
 
-def changed_by_mtime(files: DataFrame, state: DataFrame, keys: list[str] | None = None) -> DataFrame:
+FILE_KEY = ["repo", "path"]
+
+
+def changed_by_mtime(files: DataFrame, state: DataFrame) -> DataFrame:
     """Rows of ``files`` whose mtime is above the recorded one; unknown files count as 0."""
-    keys = keys or ["path"]
-    known = state.select(*keys, F.col("mtime").alias("_last"))
+    known = state.select(*FILE_KEY, F.col("mtime").alias("_last"))
     return (
-        files.join(known, keys, "left")
+        files.join(known, FILE_KEY, "left")
         .filter(F.col("mtime") > F.coalesce("_last", F.lit(0)))
         .select(*files.columns)
     )
@@ -36,15 +38,15 @@ def changed_by_commit(commits: DataFrame, last_commit_seq: DataFrame) -> DataFra
     )
 
 
-def only_changed(files: DataFrame, changed: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def only_changed(files: DataFrame, changed: DataFrame) -> DataFrame:
     """Keep files listed in ``changed``."""
-    return files.join(changed, keys or ["path"], "left_semi")
+    return files.join(changed.select(*FILE_KEY), FILE_KEY, "left_semi")
 
 
 class ScanState(VersionedTable):
-    """Path -> mtime snapshot, replaced as a whole after each pass."""
+    """File -> mtime snapshot, replaced as a whole after each pass."""
 
-    schema = "path string, mtime bigint"
+    schema = "repo string, path string, mtime bigint"
 
     def save(self, files: DataFrame) -> int:
-        return self.replace(files.select("path", "mtime"))
+        return self.replace(files.select(*FILE_KEY, "mtime"))

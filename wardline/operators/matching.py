@@ -79,12 +79,12 @@ def host_matches(host: str, registry: Registry) -> Column:
     )
 
 
-def url_matches(url: Column, registry: Registry) -> Column:
+def url_matches(url: str, registry: Registry) -> Column:
     """``host_matches`` of the URL's host, as one expression over the raw URL."""
     domains = "|".join(re.escape(d) for d in registry.domains() if not re.search("[/?]", d))
     if not domains:
         return F.lit(False)
-    return url.rlike(rf"^(?:https://)*+(?:http://)*+(?:[^/?]*\.)?(?:{domains})(?:[/?]|\z)")
+    return F.col(url).rlike(rf"^(?:https://)*+(?:http://)*+(?:[^/?]*\.)?(?:{domains})(?:[/?]|\z)")
 
 
 def host_signature(host: str, registry: Registry) -> Column:
@@ -151,20 +151,11 @@ def join_program_signature(
     lengths = sorted({len(part) for part in owners})
     if not lengths:
         return df.withColumn(out, F.when(F.col(name).isNotNull(), F.lit(always)).cast("string"))
-    column = F.col("_name")
-    pieces = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.length(column) >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), F.lit(1) if prefix else F.length(column) - (n - 1)),
-                        lambda start, n=n: F.substring(column, start, F.lit(n)),
-                    ),
-                ).otherwise(F.array().cast("array<string>"))
-                for n in lengths
-            ]
-        )
+    pieces = ", ".join(
+        f"IF(length(_name) >= {n}, transform(sequence(1, "
+        f"{1 if prefix else f'length(_name) - {n - 1}'}), at -> substring(_name, at, {n})), "
+        "CAST(array() AS array<string>))"
+        for n in lengths
     )
     names = df.select(F.col(name).alias("_name")).filter("_name IS NOT NULL").distinct()
     table = local_frame(
@@ -172,7 +163,7 @@ def join_program_signature(
         [{"_part": part, "_sig": owner} for part, owner in owners.items()],
         "_part string, _sig string",
     )
-    cut = names.select("_name", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    cut = names.select("_name", F.expr(f"explode(array_distinct(flatten(array({pieces}))))").alias("_piece"))
     matched = (
         lookup_join(cut, table, len(owners), F.col("_piece") == F.col("_part"))
         .filter("_sig IS NOT NULL")

@@ -39,7 +39,7 @@ def scan_pass(
         files = files() if callable(files) else files
         # a state written by this pass must not reach the plan it is compared in
         known = state.read(state.version())
-        listing = files.select("path", "mtime")
+        listing = files.select("repo", "path", "mtime")
         tables = {**tables, "code_files": changed_by_mtime(files, known)}
     target.append(analyze(union_events(spark, tables, registry, selection), registry, policy))
     if listing is not None:

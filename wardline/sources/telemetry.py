@@ -92,7 +92,7 @@ def visit_events(
     """``host, browser, profile, visit_ts, url, title``: latest visits to known services."""
     recent = latest_visits(visits, per_profile)
     if is_literal_sized(registry):
-        found = recent.filter(url_matches(F.col("url"), registry))
+        found = recent.filter(url_matches("url", registry))
     else:
         recent = recent.withColumn("_host", extract_host("url"))
         found = keep_host_matches(recent, "_host", registry)

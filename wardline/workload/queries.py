@@ -286,7 +286,7 @@ def stale_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = raw.code_files(spark, sf_dir).select("repo", "path", "mtime")
-    return incremental.changed_by_mtime(files, raw.scan_state(spark, sf_dir), ["repo", "path"])
+    return incremental.changed_by_mtime(files, raw.scan_state(spark, sf_dir))
 
 
 def changed_files_by_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +298,7 @@ def changed_files_by_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = raw.code_files(spark, sf_dir)
     changed = changed_files(spark, sf_dir).select("repo", "path")
-    return find_secret_lines(incremental.only_changed(files, changed, ["repo", "path"]))
+    return find_secret_lines(incremental.only_changed(files, changed))
 
 
 def _some_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
