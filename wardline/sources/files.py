@@ -20,8 +20,8 @@ TABLES = {
     "code_files": "repo string, path string, mtime bigint, content binary",
 }
 
-# History file name -> shell.
-SHELL_OF_FILE = {".bash_history": "bash", ".zsh_history": "zsh", "fish_history": "fish"}
+# End of a history file's name -> shell.
+SHELL_OF_FILE = {"bash_history": "bash", "zsh_history": "zsh", "fish_history": "fish"}
 
 
 def read_table(spark: SparkSession, name: str, path: str, format: str = "parquet") -> DataFrame:
@@ -37,14 +37,15 @@ def stream_table(
 
 
 def shell_history_files(spark: SparkSession, paths: str | list[str], host: str = "") -> DataFrame:
-    """``shell_lines`` from history files; the file name tells the shell.
+    """``shell_lines`` from history files; the end of the file name tells the shell.
 
+    Spark reads no file whose name starts with a dot, so a collector has to
+    ship them as, say, ``laptop7.bash_history``. Other files are left out.
     Histories carry no time per line, so the file's modification time stands in.
     """
-    file_name = F.substring_index("history_file", "/", -1)
     shell = F.when(F.lit(False), "")
     for name, label in SHELL_OF_FILE.items():
-        shell = shell.when(file_name == name, label)
+        shell = shell.when(F.col("history_file").endswith(name), label)
     return (
         spark.read.text(paths)
         .select(
