@@ -23,9 +23,11 @@ def first_per_window(
     ``salts`` slices, of which each passes on one row, and then as a whole.
     """
     spread = [c for c, kind in events.dtypes if "map<" not in kind]
+    start = F.timestamp_seconds(F.expr(f"unix_seconds(ts) div {seconds} * {seconds}"))
     salted = (
-        events.withWatermark("ts", delay)
-        .withColumn("_window", F.window("ts", f"{seconds} seconds"))
+        events.withColumn("_window", start)
+        # a window opens up to its length before the events in it
+        .withWatermark("_window", f"{delay} {seconds} seconds")
         .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     )
     return (
