@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardline.functions.text import trim_space
+from wardline.functions.text import trim_space_sql
 
 # Request methods and the ports whose payloads are read.
 HTTP_METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
@@ -18,16 +18,19 @@ def payload_protocol(port: Column) -> Column:
     return F.when(port.isin(HTTP_PORTS), "http").when(port.isin(TLS_PORTS), "https")
 
 
-def netstat_peer(line: Column) -> Column:
+def netstat_peer_sql(line: str) -> str:
     """``struct<addr,port>`` of the peer in a ``addr.port`` style TCP line, else null."""
-    words = F.split(trim_space(line), r"(?U)\s+")
-    peer = F.try_element_at(words, F.lit(5))
-    addr = F.regexp_extract(peer, r"(?s)^(.*)\.(\+?[0-9]+)$", 1)
-    port = F.regexp_extract(peer, r"(?s)^(.*)\.(\+?[0-9]+)$", 2).try_cast("int")
-    is_tcp = F.element_at(words, 1).startswith("tcp")
-    return F.when(
-        is_tcp & port.between(0, 65535), F.struct(addr.alias("addr"), port.alias("port"))
-    )
+    words = rf"split({trim_space_sql(line)}, r'(?U)\s+')"
+    # one look at the words: first and fifth
+    return rf"""element_at(transform(array({words}), w -> element_at(transform(
+        array(named_struct('kind', w[0], 'peer', try_element_at(w, 5))),
+        x -> IF(startswith(x.kind, 'tcp') AND {_PORT_OF} BETWEEN 0 AND 65535,
+            named_struct('addr', regexp_extract(x.peer, {_ADDR_PORT}, 1), 'port', {_PORT_OF}),
+            NULL)), 1)), 1)"""
+
+
+_ADDR_PORT = r"r'(?s)^(.*)\.(\+?[0-9]+)$'"
+_PORT_OF = f"try_cast(regexp_extract(x.peer, {_ADDR_PORT}, 2) AS int)"
 
 
 def is_http_request(payload: Column) -> Column:
@@ -35,17 +38,11 @@ def is_http_request(payload: Column) -> Column:
     return payload.rlike(r"(?U)^[^\S\n]*(" + "|".join(HTTP_METHODS) + r")(\s|\z)")
 
 
-def http_headers(payload: Column) -> Column:
+def http_headers_sql(payload: str) -> str:
     """Lower-cased header map of a request text; of a repeated name the last wins."""
-    head = F.element_at(F.split(payload, "\r?\n\r?\n", 2), 1)
-    lines = F.slice(F.split(head, "\r?\n"), F.lit(2), F.size(F.split(head, "\r?\n")))
-    with_colon = F.filter(lines, lambda line: line.contains(":"))
-    return F.map_from_entries(
-        F.transform(
-            with_colon,
-            lambda line: F.struct(
-                F.lower(trim_space(F.substring_index(line, ":", 1))).alias("key"),
-                trim_space(F.regexp_replace(line, "(?s)^[^:]*:", "")).alias("value"),
-            ),
-        )
-    )
+    lines = rf"split(split({payload}, r'\r?\n\r?\n', 2)[0], r'\r?\n')"
+    name = trim_space_sql("substring_index(line, ':', 1)")
+    value = trim_space_sql("substring(line, locate(':', line) + 1)")
+    return f"""map_from_entries(transform(
+        filter({lines}, (line, i) -> i > 0 AND contains(line, ':')),
+        line -> named_struct('key', lower({name}), 'value', {value})))"""

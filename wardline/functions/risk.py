@@ -1,10 +1,7 @@
-"""Risk score and level."""
+"""Risk score and level, as SQL expressions over SQL operands."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Base without a signature, multipliers, upper ends of the bands.
 UNKNOWN_BASE = 30
 UNAPPROVED_FACTOR = 1.5
@@ -15,22 +12,19 @@ BANDS = {"LOW": 25, "MEDIUM": 50, "HIGH": 75}
 TOP_BAND = "CRITICAL"
 
 
-def has_severity(dlp_matches: Column, severity: str) -> Column:
-    return F.exists(dlp_matches, lambda match: match["severity"] == severity)
+def has_severity(dlp_matches: str, severity: str) -> str:
+    return f"exists({dlp_matches}, m -> m.severity = '{severity}')"
 
 
-def risk_score(base: Column, critical: Column, high: Column, unapproved: Column) -> Column:
+def risk_score(base: str, critical: str, high: str, unapproved: str = "false") -> str:
     """Base times its multipliers, at most 100, cut (not rounded) to an integer."""
-    scaled = (
-        F.coalesce(base, F.lit(UNKNOWN_BASE)).cast("double")
-        * F.when(unapproved, UNAPPROVED_FACTOR).otherwise(1.0)
-        * F.when(critical, CRITICAL_FACTOR).when(high, HIGH_FACTOR).otherwise(1.0)
-    )
-    return F.least(scaled, F.lit(float(MAX_SCORE))).cast("int")
-
-
-def risk_level(score: Column) -> Column:
-    level = F
-    for name, upper in BANDS.items():
-        level = level.when(score <= upper, name)
-    return level.otherwise(TOP_BAND)
+    return f"""CAST(least(
+        CAST(coalesce({base}, {UNKNOWN_BASE}) AS double)
+        * IF({unapproved}, {UNAPPROVED_FACTOR}D, 1D)
+        * CASE WHEN {critical} THEN {CRITICAL_FACTOR}D WHEN {high} THEN {HIGH_FACTOR}D ELSE 1D END,
+        {MAX_SCORE}D) AS int)"""
+
+
+def risk_level(score: str) -> str:
+    bands = " ".join(f"WHEN {score} <= {upper} THEN '{name}'" for name, upper in BANDS.items())
+    return f"CASE {bands} ELSE '{TOP_BAND}' END"

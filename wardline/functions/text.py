@@ -17,12 +17,9 @@ SKIPPED_FOLDERS = ["node_modules", "target", "dist"]
 # Unicode classes and case folding, and \n as the only line end.
 REGEX_FLAGS = "(?dU)"
 
-_SPACE_AT_ENDS = r"(?U)^\s+|\s+$"
-
-
-def trim_space(text: Column) -> Column:
+def trim_space_sql(text: str) -> str:
     """Strip any white space, not only blanks."""
-    return F.regexp_replace(text, _SPACE_AT_ENDS, "")
+    return rf"regexp_replace({text}, r'(?U)^\s+|\s+$', '')"
 
 
 def extract_host_sql(url: str) -> str:
@@ -33,22 +30,18 @@ def extract_host_sql(url: str) -> str:
     return f"regexp_extract({url}, '^(?:https://)*+(?:http://)*+([^/?]*)', 1)"
 
 
-def extract_host(url: str) -> Column:
-    return F.expr(extract_host_sql(url))
-
-
 def last_labels(host: Column, n: int) -> Column:
     """The last ``n`` dot-separated labels, or all of a shorter host."""
     return F.substring_index(host, ".", -n)
 
 
-def shell_command(line: Column) -> Column:
+def shell_command_sql(line: str) -> str:
     """A history line without its zsh ``: time:elapsed;`` prefix, trimmed.
 
     Only the second ``;`` field of a prefixed line counts.
     """
-    second = F.try_element_at(F.split(line, ";"), F.lit(2))
-    return trim_space(F.when(line.startswith(": "), F.coalesce(second, line)).otherwise(line))
+    bare = f"coalesce(try_element_at(split({line}, ';'), 2), {line})"
+    return trim_space_sql(f"IF(startswith({line}, ': '), {bare}, {line})")
 
 
 def binary_name_sql(command: str) -> str:
@@ -56,10 +49,6 @@ def binary_name_sql(command: str) -> str:
     return rf"substring_index(regexp_extract({command}, r'(?U)^\s*(\S*)', 1), '/', -1)"
 
 
-def binary_name(command: str) -> Column:
-    return F.expr(binary_name_sql(command))
-
-
 def is_noise_path(relative_path: Column) -> Column:
     """Any hidden part (the file name too) or a known build folder."""
     noise = "|".join(SKIPPED_FOLDERS)

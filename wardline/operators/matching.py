@@ -40,14 +40,14 @@ def any_of(conditions: list[str]) -> Column:
     return F.expr(" OR ".join(conditions) or "false")
 
 
-def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are worked out once per row, however often filters use them.
+def with_computed(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns (SQL expressions) that are worked out once per row.
 
     A filter on a plain ``withColumn`` result is pushed below it with the whole
     expression copied in for every mention; a generator of one row is not.
     """
-    one_row = F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))
-    return df.select("*", F.inline(one_row))
+    fields = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+    return df.selectExpr("*", f"inline(array(struct({fields})))")
 
 
 def lookup_join(df: DataFrame, table: DataFrame, n_rows: int, on: Column) -> DataFrame:

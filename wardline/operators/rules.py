@@ -68,7 +68,7 @@ def apply_policy(scored: DataFrame, policy: Policy) -> DataFrame:
                 "matched_rule": F.col("_verdict.rule"),
             }
         )
-        .withColumn("risk_level", risk_level(F.col("risk_score")))
+        .withColumn("risk_level", F.expr(risk_level("risk_score")))
         .drop("_verdict")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardline.functions.risk import has_severity, risk_level, risk_score
 from wardline.functions.text import REGEX_FLAGS, binary_name_sql, extract_host_sql
 from wardline.operators.matching import (
+    sql_texts,
     with_computed,
     with_dlp_matches,
     with_signature_id,
@@ -55,9 +56,7 @@ END"""
 
 def match_events(events: DataFrame, registry: Registry) -> DataFrame:
     """Add ``signature_id``, ``signature`` and ``dlp_matches``; drop what matches nothing."""
-    texts = with_computed(
-        events, _host=F.expr(_HOST), _program=F.expr(_PROGRAM), _text=F.expr(_TEXT)
-    )
+    texts = with_computed(events, _host=_HOST, _program=_PROGRAM, _text=_TEXT)
     # only code findings have matches without a signature
     matched = with_signature_id(texts, "_host", "_program", registry).filter(
         "signature_id IS NOT NULL OR type = 'codebase_file'"
@@ -77,26 +76,26 @@ def score_events(
 
     Without ``approved_ids`` no service counts as unapproved.
     """
-    matched = match_events(events, registry)
-    unapproved = F.lit(False)
+    unapproved = "false"
     if approved_ids is not None:
-        known = F.coalesce("signature_id", F.lit(""))
-        unapproved = ~known.isin(list(approved_ids))
+        approved = f"signature_id IN ({sql_texts(approved_ids)})" if approved_ids else "false"
+        unapproved = f"NOT coalesce({approved}, false)"
     score = risk_score(
-        F.col("signature.risk_base"),
-        has_severity(F.col("dlp_matches"), "critical"),
-        has_severity(F.col("dlp_matches"), "high"),
+        "signature.risk_base",
+        has_severity("dlp_matches", "critical"),
+        has_severity("dlp_matches", "high"),
         unapproved,
     )
     return (
-        matched.select(
+        match_events(events, registry)
+        .selectExpr(
             "*",
-            F.col("signature.name").alias("service_name"),
-            F.col("signature.tags").alias("tags"),
-            F.expr(_DETAIL).alias("detail"),
-            score.alias("risk_score"),
+            "signature.name AS service_name",
+            "signature.tags AS tags",
+            f"{_DETAIL} AS detail",
+            f"{score} AS risk_score",
         )
-        .withColumn("risk_level", risk_level(F.col("risk_score")))
+        .withColumn("risk_level", F.expr(risk_level("risk_score")))
         .drop("signature")
     )
 
@@ -110,8 +109,8 @@ def analyze(
 ) -> DataFrame:
     """EVENT rows -> FINDING rows. One event gives at most one finding, of the same id."""
     governed = apply_policy(score_events(events, registry, approved_ids=approved_ids), policy)
-    return governed.select(
-        F.col("event_id").alias("finding_id"),
+    return governed.selectExpr(
+        "event_id AS finding_id",
         "ts",
         "source",
         "signature_id",
@@ -122,7 +121,7 @@ def analyze(
         "detail",
         "policy_action",
         "matched_rule",
-        F.struct(*EVENT_FIELDS).alias("event"),
+        f"struct({', '.join(EVENT_FIELDS)}) AS event",
     )
 
 

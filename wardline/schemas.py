@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 EVENT_FIELDS = {
     "event_id": "string",
@@ -56,21 +55,19 @@ FINDING = (
 )
 
 
-def as_events(df: DataFrame, *, source: str, type_: str, key: list[Column]) -> DataFrame:
+def as_events(df: DataFrame, *, source: str, type_: str, key: list[str]) -> DataFrame:
     """Shape ``df`` into EVENT rows; fields it does not carry become null.
 
-    The id is a hash of the source, the natural key and the event time, so a
-    retried task or a replayed micro-batch gives the same id again.
+    The id is a hash of the source, the natural key (SQL expressions) and the
+    event time, so a retried task or a replayed micro-batch gives the same id.
     """
-    event_id = F.sha2(
-        F.concat_ws("\u0001", F.lit(source), *key, F.unix_micros("ts").cast("string")), 256
-    )
     present = set(df.columns)
     fields = {
         name: f"CAST({name if name in present else 'NULL'} AS {kind}) AS {name}"
         for name, kind in EVENT_FIELDS.items()
-        if name != "event_id"
     }
+    parts = ", ".join([f"'{source}'", *key, "CAST(unix_micros(ts) AS string)"])
+    fields["event_id"] = f"sha2(concat_ws('\\u0001', {parts}), 256) AS event_id"
     fields["source"] = f"'{source}' AS source"
     fields["type"] = f"'{type_}' AS type"
-    return df.select(event_id.alias("event_id"), *map(F.expr, fields.values()))
+    return df.selectExpr(*fields.values())

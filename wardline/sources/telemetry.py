@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from wardline.functions.network import (
     HTTP_PORTS,
-    http_headers,
+    http_headers_sql,
     is_http_request,
-    netstat_peer,
+    netstat_peer_sql,
     payload_protocol,
 )
-from wardline.functions.text import binary_name, extract_host, shell_command
+from wardline.functions.text import binary_name_sql, extract_host_sql, shell_command_sql
 from wardline.operators.dedup import top_n_per_group
 from wardline.operators.matching import (
     host_matches,
@@ -48,7 +48,7 @@ def process_events(processes: DataFrame, registry: Registry) -> DataFrame:
         found,
         source="process",
         type_="process",
-        key=[F.col("host"), F.col("pid").cast("string"), F.col("name"), F.col("cmdline")],
+        key=["host", "CAST(pid AS string)", "name", "cmdline"],
     )
 
 
@@ -60,17 +60,17 @@ def shell_events(lines: DataFrame, registry: Registry, *, fish_prefix: bool = Fa
     if is_literal_sized(registry):
         # most lines hold no known name at all: skip those before any parsing
         lines = lines.filter(program_matches("line", registry))
-    command = shell_command(F.col("line"))
+    command = shell_command_sql("line")
     if fish_prefix:
-        command = F.regexp_replace(command, "^- cmd: ", "")
+        command = f"regexp_replace({command}, '^- cmd: ', '')"
     parsed = with_computed(lines, command=command).filter("command <> ''")
-    named = with_computed(parsed, _program=binary_name("command"))
+    named = with_computed(parsed, _program=binary_name_sql("command"))
     found = keep_program_matches(named, "_program", registry, prefix=True)
     return as_events(
         found,
         source="shell_history",
         type_="shell_history",
-        key=[F.col("host"), F.col("history_file"), F.col("command")],
+        key=["host", "history_file", "command"],
     )
 
 
@@ -94,21 +94,21 @@ def visit_events(
     if is_literal_sized(registry):
         found = recent.filter(url_matches("url", registry))
     else:
-        recent = recent.withColumn("_host", extract_host("url"))
+        recent = with_computed(recent, _host=extract_host_sql("url"))
         found = keep_host_matches(recent, "_host", registry)
     found = found.withColumn("ts", F.col("visit_ts"))
     return as_events(
         found,
         source="browser_history",
         type_="browser_history",
-        key=[F.col("host"), F.col("browser"), F.col("profile"), F.col("url")],
+        key=["host", "browser", "profile", "url"],
     )
 
 
 def parse_netstat(lines: DataFrame) -> DataFrame:
     """``host, ts, line`` -> ``host, ts, remote_ip, port`` of TCP lines in addr.port style."""
     return (
-        with_computed(lines, _peer=netstat_peer(F.col("line")))
+        with_computed(lines, _peer=netstat_peer_sql("line"))
         .filter("_peer IS NOT NULL")
         .select("host", "ts", F.col("_peer.addr").alias("remote_ip"), F.col("_peer.port").alias("port"))
     )
@@ -120,11 +120,7 @@ def _network_events(found: DataFrame) -> DataFrame:
         source="network",
         type_="network_connection",
         key=[
-            F.col("host"),
-            F.col("protocol"),
-            F.col("remote_host"),
-            F.coalesce(F.col("remote_ip"), F.lit("")),
-            F.col("port").cast("string"),
+            "host", "protocol", "remote_host", "coalesce(remote_ip, '')", "CAST(port AS string)",
         ],
     )
 
@@ -172,7 +168,7 @@ def http_events(payloads: DataFrame, registry: Registry) -> DataFrame:
         & F.is_valid_utf8("payload")
         & is_http_request(F.col("payload"))
     )
-    headers = with_computed(requests, _headers=http_headers(F.col("payload")))
+    headers = with_computed(requests, _headers=http_headers_sql("payload"))
     named = F.col("_headers")["host"]
     parsed = headers.select(
         "host",
@@ -220,5 +216,5 @@ def code_events(files: DataFrame, registry: Registry | None = None, **options) -
         found,
         source="codebase",
         type_="codebase_file",
-        key=[F.col("file_path"), F.col("line_number").cast("string"), F.col("matched_text")],
+        key=["file_path", "CAST(line_number AS string)", "matched_text"],
     )

@@ -43,15 +43,15 @@ THRESHOLDS_ONLY = Policy(mode="allow", block_at=80, warn_at=50)
 
 def flat_findings(findings: DataFrame) -> DataFrame:
     """FINDING rows as plain columns."""
-    return findings.select(
+    return findings.selectExpr(
         "finding_id",
-        F.col("ts").cast("string").alias("ts"),
+        "CAST(ts AS string) AS ts",
         "source",
         "signature_id",
         "service_name",
         "risk_score",
         "risk_level",
-        F.array_join(F.transform("dlp_matches", lambda m: m["pattern_id"]), ",").alias("dlp"),
+        "array_join(dlp_matches.pattern_id, ',') AS dlp",
         "detail",
         "policy_action",
         "matched_rule",
@@ -151,17 +151,17 @@ def document_dlp_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = risk_score(F.col("base"), F.col("critical"), F.col("high"), F.col("unapproved"))
+    score = risk_score("base", "critical", "high", "unapproved")
     return (
         raw.scored_inputs(spark, sf_dir)
-        .select("event_id", score.alias("risk_score"))
-        .withColumn("risk_level", risk_level(F.col("risk_score")))
+        .selectExpr("event_id", f"{score} AS risk_score")
+        .withColumn("risk_level", F.expr(risk_level("risk_score")))
     )
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = risk_score(F.col("base"), F.col("critical"), F.col("high"), F.lit(False))
-    inputs = raw.scored_inputs(spark, sf_dir).withColumn("risk_score", score)
+    score = risk_score("base", "critical", "high")
+    inputs = raw.scored_inputs(spark, sf_dir).withColumn("risk_score", F.expr(score))
     return matching.with_signature_info(inputs, Registry.bundled()).withColumn(
         "tags", F.col("signature.tags")
     )
