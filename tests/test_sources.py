@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.functions import network, risk, text
+from wardline.functions import risk, text
 from wardline.operators.secrets import secret_lines
 from wardline.plans.scan import analyze
 from wardline.policy import Policy
@@ -100,6 +100,8 @@ CODE = {
     "two.go": ("hf_ABCDEFGHIJKLMNOPQRSTUv sk-abcdefghijklmnopqrstu", [(1, "openai_key")]),
     "split.py": ("api_key =\n'abcdefghijklmnopqrstu'", []),
     "nbsp.py": ("secret: abcdefghijklmnopqrstu", [(1, "generic_api_key")]),
+    "fold.py": ("\u017fecret: abcdefghijklmnopqrstu", [(1, "generic_api_key")]),
+    "kelvin.py": ("api_\u212aEY = abcdefghijklmnopqrstu", [(1, "generic_api_key")]),
     "many.rs": ("\n".join([KEY_LINE, "x", KEY_LINE]), [(1, "openai_key"), (3, "openai_key")]),
 }
 
@@ -149,13 +151,19 @@ PEERS = {
     "tcp 0 0 10.0.0.1:5000 10.0.0.9:443 ESTABLISHED": None,
     "  tcp6\t0\t0\ta.1\tb.80": ("b", 80),
     "tcp4 0 0 a.1 nodots": None,
+    "tcp4 0 0 a.1 b.+80": ("b", 80),
+    "tcp4 0 0 a.1 .80 x": ("", 80),
+    "tcp4 0 0 a.1 b.80x": None,
+    "tcp4 0 0 a.1 b.80.": None,
+    "xtcp4 0 0 a.1 b.80": None,
     "": None,
 }
 
 
 def test_netstat_lines(spark):
-    got = values(spark, lambda v: F.expr(network.netstat_peer_sql("v")), list(PEERS))
-    assert [None if p is None else tuple(p) for p in got] == list(PEERS.values())
+    table = spark.createDataFrame([(line, TS, line) for line in PEERS], "host string, ts timestamp, line string")
+    got = {r.host: (r.remote_ip, r.port) for r in telemetry.parse_netstat(table).collect()}
+    assert got == {line: peer for line, peer in PEERS.items() if peer}
 
 
 def http(spark, *payloads, port=80):

@@ -19,18 +19,17 @@ def payload_protocol(port: Column) -> Column:
 
 
 def netstat_peer_sql(line: str) -> str:
-    """``struct<addr,port>`` of the peer in a ``addr.port`` style TCP line, else null."""
-    words = rf"split({trim_space_sql(line)}, r'(?U)\s+')"
-    # one look at the words: first and fifth
-    return rf"""element_at(transform(array({words}), w -> element_at(transform(
-        array(named_struct('kind', w[0], 'peer', try_element_at(w, 5))),
-        x -> IF(startswith(x.kind, 'tcp') AND {_PORT_OF} BETWEEN 0 AND 65535,
-            named_struct('addr', regexp_extract(x.peer, {_ADDR_PORT}, 1), 'port', {_PORT_OF}),
-            NULL)), 1)), 1)"""
-
-
-_ADDR_PORT = r"r'(?s)^(.*)\.(\+?[0-9]+)$'"
-_PORT_OF = f"try_cast(regexp_extract(x.peer, {_ADDR_PORT}, 2) AS int)"
+    """The peer, as ``addr.port``, of a TCP line of at least five words; else empty."""
+    return rf"regexp_extract({line}, r'(?U)^\s*tcp\S*(?:\s+\S+){{3}}\s+(\S*\.\+?[0-9]+)(?!\S)', 1)"
+
+
+def peer_address_sql(peer: str) -> str:
+    return f"left({peer}, length({peer}) - length(substring_index({peer}, '.', -1)) - 1)"
+
+
+def peer_port_sql(peer: str) -> str:
+    """The port, null where it is no number an int can hold."""
+    return f"try_cast(substring_index({peer}, '.', -1) AS int)"
 
 
 def is_http_request(payload: Column) -> Column:

@@ -17,9 +17,17 @@ SKIPPED_FOLDERS = ["node_modules", "target", "dist"]
 # Unicode classes and case folding, and \n as the only line end.
 REGEX_FLAGS = "(?dU)"
 
+# Fixed value: the characters of the Unicode property White_Space.
+WHITE_SPACE = (
+    "\t\n\u000b\f\r \u0085\u00a0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trim_space_sql(text: str) -> str:
     """Strip any white space, not only blanks."""
-    return rf"regexp_replace({text}, r'(?U)^\s+|\s+$', '')"
+    return f"trim(BOTH '{WHITE_SPACE}' FROM {text})"
 
 
 def extract_host_sql(url: str) -> str:

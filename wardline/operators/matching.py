@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from wardline.functions.text import REGEX_FLAGS, last_labels
 from wardline.registry import Registry, Signature, local_frame
 from wardline.schemas import DLP_MATCH
+from wardline.session import spread
 
 # Up to here a lookup is written into the plan as literals.
 LITERAL_LIMIT = 256
@@ -329,6 +330,8 @@ def all_pattern_hits(df: DataFrame, text: str, registry: Registry) -> DataFrame:
         for sig in registry.all()
         for p in sig.dlp_patterns
     ]
-    return df.withColumn(
-        "_hit", F.expr(f"explode(array_compact(array({', '.join(hits)})))")
-    ).select(*df.columns, "_hit.*")
+    return (
+        spread(df)
+        .withColumn("_hit", F.expr(f"explode(array_compact(array({', '.join(hits)})))"))
+        .select(*df.columns, "_hit.*")
+    )

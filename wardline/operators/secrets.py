@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.text import REGEX_FLAGS, is_noise_path, is_scanned_extension
+from wardline.operators.matching import with_computed
 
 # Pattern ids and expressions, in the order they are tried.
 SECRET_PATTERNS = {
@@ -16,8 +17,12 @@ SECRET_PATTERNS = {
     "generic_api_key": r'(?i)(api[_\-]?key|secret)["\s]*[:=]["\s]*[A-Za-z0-9\-_]{16,}',
 }
 
-# Any text one of the patterns matches also matches this cheaper expression.
-_HINT = r"sk-[A-Za-z0-9]|AIza|hf_|(?i:api[_\-]?key|secret)"
+# Any text one of the patterns matches also passes this cheaper test. Beyond ASCII,
+# the Kelvin sign lowers to k and the long s uppers to S, as pattern matching has it.
+_HINT = (
+    "contains(_text, 'sk-') OR contains(_text, 'AIza') OR contains(_text, 'hf_') "
+    "OR contains(lower(_text), 'key') OR contains(upper(_text), 'SECRET')"
+)
 
 
 def secret_pattern(line: Column) -> Column:
@@ -37,15 +42,14 @@ def secret_lines(files: DataFrame, *, scan_dotenv: bool = False) -> DataFrame:
     noise = is_noise_path(path)
     if scan_dotenv:
         noise = noise & ~path.rlike(r"^([^./][^/]*/)*\.env\z")
-    text = F.col("content").cast("string")
+    wanted = is_scanned_extension(path)
+    if scan_dotenv:
+        wanted = wanted | path.rlike(r"(^|/)\.env\z")
+    kept = [c for c in files.columns if c != "content"]
     lines = (
-        files.filter(is_scanned_extension(path) | (F.lit(scan_dotenv) & path.rlike(r"(^|/)\.env\z")))
-        .filter(~noise)
-        .filter(F.is_valid_utf8(text) & text.rlike(REGEX_FLAGS + _HINT))
-        .select(
-            *[c for c in files.columns if c != "content"],
-            F.posexplode(F.split(text, "\r?\n")).alias("_pos", "_line"),
-        )
+        with_computed(files.filter(wanted & ~noise), _text="CAST(content AS string)")
+        .filter(f"is_valid_utf8(_text) AND ({_HINT})")
+        .select(*kept, F.posexplode(F.split("_text", "\r?\n")).alias("_pos", "_line"))
     )
     return (
         lines.withColumn("matched_text", secret_pattern(F.col("_line")))

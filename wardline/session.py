@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SQL_SETTINGS = {
     # event times are UTC, report dates are UTC dates
@@ -43,3 +43,14 @@ def shared_dir(spark: SparkSession, default: str | None = None) -> str:
     if default is None:
         raise ValueError("spark.checkpoint.dir is not set and no default was given")
     return default.rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a few large splits among all cores before costly work on them.
+
+    A table with enough splits is left as it is, so large inputs are not shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

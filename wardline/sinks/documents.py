@@ -1,8 +1,9 @@
 """JSON documents that wrap many rows: SARIF logs and alert payloads.
 
 A document holds at most a fixed number of rows. A set of rows that fits gives
-one document; a larger one gives several, cut along the tasks that hold its
-rows, so no group ever grows with the data.
+one document; a larger one gives several. Adaptive execution splits the rows of
+a large set among tasks, and each makes its own documents, so no group grows
+with the data.
 """
 
 from __future__ import annotations
@@ -26,12 +27,11 @@ def in_documents(
     rows: DataFrame, key: str, item: Column, order: str, *, max_rows: int = MAX_ROWS
 ) -> DataFrame:
     """``key, doc_id, n_rows, items``: the items of each key in arrays of bounded length."""
-    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_size"))
+    # brings the rows of a key to one task, unless they are too many for one
     numbered = (
         rows.select(F.col(key), item.alias("_item"), F.col(order).alias("_order"))
+        .hint("rebalance", key)
         .withColumn("_task", F.spark_partition_id())
-        .join(sizes, F.col(key).eqNullSafe(F.col("_key")))
-        .withColumn("_task", F.when(F.col("_size") <= max_rows, 0).otherwise(F.col("_task")))
     )
     in_task = Window.partitionBy(key, "_task").orderBy("_order", "_item")
     place = F.row_number().over(in_task) - 1

@@ -16,6 +16,8 @@ from wardline.functions.network import (
     is_http_request,
     netstat_peer_sql,
     payload_protocol,
+    peer_address_sql,
+    peer_port_sql,
 )
 from wardline.functions.text import binary_name_sql, extract_host_sql, shell_command_sql
 from wardline.operators.dedup import top_n_per_group
@@ -107,11 +109,13 @@ def visit_events(
 
 def parse_netstat(lines: DataFrame) -> DataFrame:
     """``host, ts, line`` -> ``host, ts, remote_ip, port`` of TCP lines in addr.port style."""
-    return (
-        with_computed(lines, _peer=netstat_peer_sql("line"))
-        .filter("_peer IS NOT NULL")
-        .select("host", "ts", F.col("_peer.addr").alias("remote_ip"), F.col("_peer.port").alias("port"))
-    )
+    peers = with_computed(lines, _peer=netstat_peer_sql("line")).filter("_peer <> ''")
+    return peers.selectExpr(
+        "host",
+        "ts",
+        f"{peer_address_sql('_peer')} AS remote_ip",
+        f"{peer_port_sql('_peer')} AS port",
+    ).filter("port BETWEEN 0 AND 65535")
 
 
 def _network_events(found: DataFrame) -> DataFrame:
