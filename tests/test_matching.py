@@ -150,10 +150,25 @@ def test_unusable_patterns_are_left_out(spark):
     assert [p.id for p in usable.get("x").dlp_patterns] == ["odd"]
     assert matching.usable_patterns(spark, BUNDLED) is BUNDLED
     row = spark.createDataFrame([("x", "it's5")], "signature_id string, t string")
+    assert matching.with_dlp_matches(row, "t", usable).first() == matching.with_dlp_matches(row, "t", registry).first()
     found = matching.with_dlp_matches(row, "t", usable).first().dlp_matches
     assert [(m.pattern_id, m.severity) for m in found] == [("odd", "low")]
 
 
+def test_pattern_dialect(spark):
+    texts = {
+        "(?P<key>ab_[[:digit:]]{2})": ("ab_12", "ab_x1"),
+        "(?<the_key>x[[:alpha:]_]z)": ("x_z", "x1z"),
+        r"\\(?P<k>q)": ("\\q", "q"),
+        r"a\(?P<b": ("aP<b", "ab"),
+    }
+    for pattern, (hit, miss) in texts.items():
+        registry = Registry.of([sig(dlp_patterns=(DlpPattern("p", pattern, "high"),))])
+        rows = spark.createDataFrame([("x", hit), ("x", miss)], "signature_id string, t string")
+        found = matching.with_dlp_matches(rows, "t", registry).collect()
+        assert {r.t: len(r.dlp_matches) for r in found} == {hit: 1, miss: 0}, pattern
+
+
 @pytest.mark.parametrize("registry", [BUNDLED, grown()])
 def test_process_pipeline(spark, registry):
     key = "sk-" + "a1" * 16

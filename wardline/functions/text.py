@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column
@@ -17,6 +18,30 @@ SKIPPED_FOLDERS = ["node_modules", "target", "dist"]
 # Unicode classes and case folding, and \n as the only line end.
 REGEX_FLAGS = "(?dU)"
 
+# Named ASCII classes that patterns may use inside brackets.
+ASCII_CLASSES = {
+    "alnum": "0-9A-Za-z",
+    "alpha": "A-Za-z",
+    "digit": "0-9",
+    "lower": "a-z",
+    "space": r"\t\n\x0b\f\r ",
+    "upper": "A-Z",
+    "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+}
+
+_GROUP_NAME = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z_]\w*>")
+_NAMED_CLASS = re.compile(r"\[:(" + "|".join(ASCII_CLASSES) + r"):\]")
+
+
+def spark_regex(pattern: str) -> str:
+    """A signature pattern as Spark's regular expressions have it.
+
+    Groups lose their names, which nothing reads; named classes are spelled out.
+    """
+    pattern = _GROUP_NAME.sub(r"\1(?:", pattern)
+    return REGEX_FLAGS + _NAMED_CLASS.sub(lambda m: ASCII_CLASSES[m[1]], pattern)
+
 # Fixed value: the characters of the Unicode property White_Space.
 WHITE_SPACE = (
     "\t\n\u000b\f\r \u0085\u00a0\u1680"

@@ -15,7 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.text import REGEX_FLAGS, last_labels
+from wardline.functions.text import last_labels, spark_regex
 from wardline.registry import Registry, Signature, local_frame
 from wardline.schemas import DLP_MATCH
 from wardline.session import spread
@@ -241,15 +241,21 @@ def with_signature_info(df: DataFrame, registry: Registry) -> DataFrame:
 # --- sensitive patterns -------------------------------------------------------
 
 
+# Pattern -> whether it is a valid regular expression, for patterns tried so far.
+_KNOWN: dict[str, bool] = {}
+
+
 def usable_patterns(spark: SparkSession, registry: Registry) -> Registry:
     """The registry without patterns that are no valid regular expressions.
 
-    All patterns are tried in one go; only if that fails, one by one.
+    Patterns not seen before are tried in one go; only if that fails, one by one.
     """
-    patterns = sorted({p.pattern for sig in registry.all() for p in sig.dlp_patterns})
-    bad: set[str] = set()
-    if not _compiles(spark, patterns):
-        bad = {pattern for pattern in patterns if not _compiles(spark, [pattern])}
+    patterns = {p.pattern for sig in registry.all() for p in sig.dlp_patterns}
+    new = sorted(patterns - _KNOWN.keys())
+    if new:
+        fine = _compiles(spark, new)
+        _KNOWN.update((p, fine or _compiles(spark, [p])) for p in new)
+    bad = {p for p in patterns if not _KNOWN[p]}
     if not bad:
         return registry
     return Registry.of(
@@ -264,7 +270,7 @@ def usable_patterns(spark: SparkSession, registry: Registry) -> Registry:
 
 
 def _compiles(spark: SparkSession, patterns: list[str]) -> bool:
-    probe = ", ".join(f"'' RLIKE {sql_text(REGEX_FLAGS + p)}" for p in patterns)
+    probe = ", ".join(f"'' RLIKE {sql_text(spark_regex(p))}" for p in patterns)
     try:
         spark.range(1).select(F.expr(f"array({probe})")).collect()
     except PySparkException:
@@ -292,7 +298,7 @@ def dlp_matches(signature_id: str, text: str, registry: Registry) -> Column:
 
 def _hit_sql(text: str, sig: Signature) -> list[str]:
     return [
-        f"CASE WHEN {text} RLIKE {sql_text(REGEX_FLAGS + p.pattern)} THEN named_struct("
+        f"CASE WHEN {text} RLIKE {sql_text(spark_regex(p.pattern))} THEN named_struct("
         f"'pattern_id', {sql_text(p.id)}, 'description', {sql_text('DLP match: ' + p.id)}, "
         f"'severity', '{_severity(p.severity)}') END"
         for p in sig.dlp_patterns
@@ -305,17 +311,30 @@ def with_dlp_matches(df: DataFrame, text: str, registry: Registry) -> DataFrame:
     With few patterns each is a literal, compiled once per task; with many,
     the signature's own list comes along by join and is tried row by row.
     """
+    registry = usable_patterns(df.sparkSession, registry)
     n_patterns = sum(len(sig.dlp_patterns) for sig in registry.all())
     if n_patterns <= LITERAL_LIMIT:
         return df.withColumn("dlp_matches", dlp_matches("signature_id", text, registry))
-    table = registry.frame(df.sparkSession).select(
-        F.col("id").alias("_id"), F.col("dlp_patterns").alias("_patterns")
+    rows = [
+        {
+            "_id": sig.id,
+            "_patterns": [
+                {"id": p.id, "pattern": spark_regex(p.pattern), "severity": _severity(p.severity)}
+                for p in sig.dlp_patterns
+            ],
+        }
+        for sig in registry.all()
+    ]
+    table = local_frame(
+        df.sparkSession,
+        rows,
+        "_id string, _patterns array<struct<id:string,pattern:string,severity:string>>",
     )
     df = lookup_join(df, table, len(registry), F.col("signature_id") == F.col("_id"))
     found = f"""transform(
-        filter(_patterns, p -> coalesce(rlike({text}, concat('{REGEX_FLAGS}', p.pattern)), false)),
+        filter(_patterns, p -> coalesce(rlike({text}, p.pattern), false)),
         p -> named_struct('pattern_id', p.id, 'description', concat('DLP match: ', p.id),
-            'severity', CASE WHEN p.severity IN ('critical', 'high') THEN p.severity ELSE 'low' END))"""
+            'severity', p.severity))"""
     return df.withColumn("dlp_matches", F.expr(f"coalesce({found}, {_NO_MATCHES})")).drop(
         "_id", "_patterns"
     )
@@ -323,8 +342,9 @@ def with_dlp_matches(df: DataFrame, text: str, registry: Registry) -> DataFrame:
 
 def all_pattern_hits(df: DataFrame, text: str, registry: Registry) -> DataFrame:
     """One row per input row and signature pattern found anywhere in column ``text``."""
+    registry = usable_patterns(df.sparkSession, registry)
     hits = [
-        f"CASE WHEN {text} RLIKE {sql_text(REGEX_FLAGS + p.pattern)} THEN named_struct("
+        f"CASE WHEN {text} RLIKE {sql_text(spark_regex(p.pattern))} THEN named_struct("
         f"'signature_id', {sql_text(sig.id)}, 'pattern_id', {sql_text(p.id)}, "
         f"'severity', '{_severity(p.severity)}') END"
         for sig in registry.all()

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.risk import has_severity, risk_level, risk_score
-from wardline.functions.text import REGEX_FLAGS, binary_name_sql, extract_host_sql
+from wardline.functions.text import binary_name_sql, extract_host_sql, spark_regex
 from wardline.operators.matching import (
     sql_texts,
+    usable_patterns,
     with_computed,
     with_dlp_matches,
     with_signature_id,
@@ -127,6 +128,7 @@ def analyze(
 
 def redact(findings: DataFrame, registry: Registry) -> DataFrame:
     """Blank every text its matched signature's patterns find, in detail and event."""
+    registry = usable_patterns(findings.sparkSession, registry)
 
     def blank(text: Column) -> Column:
         cleaned = F.when(F.lit(False), text)
@@ -134,7 +136,7 @@ def redact(findings: DataFrame, registry: Registry) -> DataFrame:
             if sig.dlp_patterns:
                 without = text
                 for p in sig.dlp_patterns:
-                    without = F.regexp_replace(without, REGEX_FLAGS + p.pattern, REDACTED)
+                    without = F.regexp_replace(without, spark_regex(p.pattern), REDACTED)
                 cleaned = cleaned.when(F.col("signature_id") == sig.id, without)
         return cleaned.otherwise(text)
 

@@ -245,7 +245,7 @@ _EVENTS = {
         "host", "browser", "profile", "url",
     ),
     "code": f"""SELECT {_id("codebase", "repo || '/' || path", "CAST(line_number AS VARCHAR)", "matched_text")} AS finding_id,
-        ts, 'codebase' AS source, NULL AS signature_id, NULL AS scanned,
+        ts, 'codebase' AS source, CAST(NULL AS VARCHAR) AS signature_id, CAST(NULL AS VARCHAR) AS scanned,
         'DLP match ''' || matched_text || ''' in ' || repo || '/' || path || ':' || line_number AS tail,
         matched_text AS code_match, CAST(to_json({{'type': 'codebase_file', 'file_path': repo || '/' || path,
             'line_number': line_number, 'matched_text': matched_text}}) AS VARCHAR) AS payload FROM (SELECT *, make_timestamp(mtime // 1000) AS ts FROM secret)""",
