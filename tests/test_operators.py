@@ -172,6 +172,18 @@ def test_store(spark, tmp_path):
     assert target.read_compacted().count() == 5
 
 
+def test_findings_without_time_are_stored_at_write_time(spark, tmp_path):
+    visits = spark.createDataFrame(
+        [("m", "Chrome", "p", None, "https://claude.ai/", None)],
+        "host string, browser string, profile string, visit_ts timestamp, url string, title string",
+    )
+    target = store.FindingsStore(spark, str(tmp_path / "f"))
+    target.append(analyze(telemetry.visit_events(visits, BUNDLED), BUNDLED, Policy.bundled()))
+    row = target.read().first()
+    assert row.timestamp == row.written_at and row.event_date == row.timestamp.date()
+    assert json.loads(row.raw_event)["timestamp"] is None
+
+
 def test_last_hours_is_inclusive_to_the_second(spark):
     rows = [(i, T0 + timedelta(seconds=s)) for i, s in enumerate((-0.001, 0, 0.5, 3600))]
     stored = spark.createDataFrame(rows, "id int, timestamp timestamp").withColumns(

@@ -108,11 +108,11 @@ def finding_json() -> Column:
 def or_nothing_found(lines: DataFrame) -> DataFrame:
     """``lines`` (one column), or the "nothing found" line where there are none."""
     name = lines.columns[0]
-    any_line = lines.limit(1).select(F.lit(1).alias("_one"))
     nothing = (
-        lines.sparkSession.range(1)
+        lines.limit(1)
+        .agg(F.count("*").alias("_n"))
+        .filter("_n = 0")
         .select(F.lit(NOTHING_FOUND).alias(name))
-        .join(any_line, F.lit(True), "left_anti")
     )
     return lines.unionByName(nothing)
 

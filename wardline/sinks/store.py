@@ -66,10 +66,14 @@ def event_json(event: Column) -> Column:
 
 
 def stored_rows(findings: DataFrame) -> DataFrame:
-    """FINDING rows in the table's flat form; nested parts as JSON text."""
+    """FINDING rows in the table's flat form; nested parts as JSON text.
+
+    A finding without a time of its own (a visit never dated) gets that of the write.
+    """
+    time = F.coalesce("ts", F.current_timestamp())
     return findings.select(
         F.col("finding_id").alias("id"),
-        F.col("ts").alias("timestamp"),
+        time.alias("timestamp"),
         F.col("signature_id").alias("service_id"),
         "service_name",
         "risk_score",
@@ -81,7 +85,7 @@ def stored_rows(findings: DataFrame) -> DataFrame:
         "matched_rule",
         F.current_timestamp().alias("written_at"),
         shown_source(F.col("source")).alias("source"),
-        F.to_date("ts").alias("event_date"),
+        F.to_date(time).alias("event_date"),
     )
 
 
