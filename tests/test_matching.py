@@ -260,3 +260,20 @@ def test_bundled_registry(spark):
     assert [r.id for r in listed] == sorted(BUNDLED.signatures)
     one = BUNDLED.frame(spark).filter(F.col("id") == "openai").first()
     assert [p.id for p in one.dlp_patterns] == ["openai_api_key", "openai_org_id"]
+
+
+@pytest.mark.parametrize("registry", [BUNDLED, grown()])
+def test_row_shapes(spark, registry):
+    from pyspark.sql.types import StructType
+
+    from wardline import schemas
+
+    table = spark.createDataFrame(
+        [("m", TS, "api.openai.com", 443)], "host string, ts timestamp, remote_ip string, port int"
+    )
+    events = telemetry.connection_events(table, registry)
+    found = analyze(events, registry, Policy.bundled())
+    for frame, ddl in ((events, schemas.EVENT), (found, schemas.FINDING), (registry.frame(spark), schemas.SIGNATURE)):
+        want = StructType.fromDDL(ddl)
+        assert frame.columns == want.names
+        assert [f.dataType.simpleString() for f in frame.schema] == [f.dataType.simpleString() for f in want]
