@@ -1,6 +1,7 @@
 """Every registered query against its SQL on DuckDB, over whole tables."""
 
 import os
+import re
 
 import pytest
 from oracle import DATA, compare, duck
@@ -18,13 +19,16 @@ def connection():
         yield connection
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [name for name in QUERIES if name in ORACLE])
 def test_query_equals_sql(spark, connection, name):
     compare(spark, connection, name, QUERIES[name], ORACLE[name], SF_DIR)
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    # queries for training data have tests of their own where SQL cannot express them
+    own = {name for name in QUERIES if re.match(r"op\d+_|pipeline$", name)}
+    assert set(QUERIES) - set(ORACLE) <= own
+    assert set(ORACLE) <= set(QUERIES)
 
 
 def test_entry_gives_findings(spark):
