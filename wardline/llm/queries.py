@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import exact_dedup, mixing, packing, secrets_scan, token_files
+from wardline.llm import (
+    exact_dedup,
+    fingerprints,
+    mixing,
+    packing,
+    secrets_scan,
+    sharding,
+    token_files,
+)
 from wardline.llm.common import scratch_dir
 
 
@@ -22,6 +30,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.fingerprinted(documents(spark, sf_dir))
+    return rows.withColumns(
+        {name: fingerprints.as_text(name) for name in ("fingerprint", "edited_fingerprint")}
+    )
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(
         documents(spark, sf_dir), scratch_dir(spark), tokenizer_path("word_bpe_49k.json"), end_id=2
@@ -29,6 +44,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.contiguous_shards(documents(spark, sf_dir))
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(documents(spark, sf_dir))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -58,7 +78,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_token_files": op2_token_files,
+        "op3_minimax_shards": op3_minimax_shards,
         "op4_source_mix": op4_source_mix,
         "op5_secret_spans": op5_secret_spans,
         "op8_best_fit_packing": op8_best_fit_packing,
