@@ -12,6 +12,7 @@ from wardline.llm import (
     fingerprints,
     mixing,
     packing,
+    quality,
     secrets_scan,
     sharding,
     token_files,
@@ -67,6 +68,11 @@ def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_scores(documents(spark, sf_dir), labels)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minimax_shards": op3_minimax_shards,
         "op4_source_mix": op4_source_mix,
         "op5_secret_spans": op5_secret_spans,
+        "op7_quality": op7_quality,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
     }
