@@ -11,6 +11,7 @@ from wardline.llm import (
     exact_dedup,
     fingerprints,
     mixing,
+    near_dedup,
     packing,
     quality,
     secrets_scan,
@@ -68,6 +69,11 @@ def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.similar_components(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_scores(documents(spark, sf_dir), labels)
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minimax_shards": op3_minimax_shards,
         "op4_source_mix": op4_source_mix,
         "op5_secret_spans": op5_secret_spans,
+        "op6_near_dedup": op6_near_dedup,
         "op7_quality": op7_quality,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
