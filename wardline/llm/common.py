@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -31,10 +32,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files behind it are of no more use, but executors keep them until
+    the driver's garbage is collected, so a chain of such steps would fill disks.
+    """
     spark, schema = df.sparkSession, df.schema
     path = scratch_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

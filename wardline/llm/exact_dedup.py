@@ -147,11 +147,13 @@ class CuckooIndex:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text with each run of white space made one space."""
+    """(doc_id, h, digest): a hash of the text, SHA-256 with each run of white space made one space."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     normal = F.regexp_replace(text, SPACE, " ")
     return docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("digest")
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.xxhash64(text).alias("h"),
+        F.unhex(F.sha2(normal, 256)).alias("digest"),
     )
 
 
@@ -179,7 +181,7 @@ def _changes(keyed: DataFrame, shards: int, sign: int) -> DataFrame:
                 }
             )
 
-    return keyed.mapInPandas(combine, CHANGES)
+    return keyed.select("doc_id", "digest").mapInPandas(combine, CHANGES)
 
 
 def _applied(index: CuckooIndex, changes: pd.DataFrame) -> None:
@@ -227,11 +229,12 @@ def entries(index: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, digest."""
+    """One row per document: doc_id, h (of its text), keep_id, group_size, kept, digest."""
     keyed = stored(digests(docs, id_col, text_col))
     groups = stored(entries(build(keyed)))
     return keyed.join(groups, "digest").select(
         "doc_id",
+        "h",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -20,7 +20,7 @@ empty results. ``repeated`` keeps all columns and uses names with ``_mix_`` insi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import WORD, numbered, stored
@@ -29,10 +29,17 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP, SEED = 1.5, 2.0, "mix"
 
 
-def word_count(text_col: str):
+def word_count(text_col: str) -> Column:
     return F.expr(f"CAST(regexp_count(coalesce(`{text_col}`, ''), r'{WORD}') AS BIGINT)")
 
 
+def draw(id_col: str, text_col: str, seed: str) -> Column:
+    """A number in [0, 1) from the id, or from the text where the id is null."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(2**52)
+
+
 def source_targets(
     sizes: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -82,14 +89,12 @@ def mixed(
     seed: str = SEED,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13)
     sizes = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(text_col).alias("size"),
-            (F.conv(digits, 16, 10).cast("double") / float(2**52)).alias("draw"),
+            draw(id_col, text_col, seed).alias("draw"),
         )
     )
     targets = source_targets(sizes, weights, share, cap).withColumnRenamed("source", "_source")
@@ -116,13 +121,8 @@ def repeated(
         .otherwise(0.0)
         .alias("_mix_rate"),
     )
-    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13)
-    draw = F.conv(digits, 16, 10).cast("double") / float(2**52)
-    whole = F.floor("_mix_rate")
-    copies = (whole + (draw < F.col("_mix_rate") - whole).cast("bigint")).cast("int")
+    rate = rates["_mix_rate"]
+    copies = (F.floor(rate) + (draw(id_col, text_col, seed) < rate - F.floor(rate)).cast("bigint")).cast("int")
     joined = docs.join(rates, docs[source_col].eqNullSafe(rates["_mix_source"]))
-    return (
-        joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(True), copies)))
-        .select(*(docs[c] for c in docs.columns))
-    )
+    copy = F.explode(F.array_repeat(F.lit(True), copies)).alias("_mix_copy")
+    return joined.select(*(docs[c] for c in docs.columns), copy).drop("_mix_copy")

@@ -230,6 +230,20 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "stats").mapInPandas(score, "doc_id bigint, score double")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``least``. No shuffle."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = [statistics(text.as_py() or "") for text in batch.column(at)]
+            if stats:
+                yield batch.filter(pa.array(model.scores(np.array(stats)) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     stats = stored(document_statistics(docs, id_col, text_col))

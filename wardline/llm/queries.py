@@ -16,6 +16,7 @@ from wardline.llm import (
     quality,
     secrets_scan,
     sharding,
+    substring_dedup,
     token_files,
 )
 from wardline.llm.common import scratch_dir
@@ -85,7 +86,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_duplicates(documents(spark, sf_dir))
-    return rows.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+    return rows.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest", "h")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
