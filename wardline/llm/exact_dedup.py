@@ -136,13 +136,13 @@ class CuckooIndex:
     def load(cls, row) -> CuckooIndex:
         """From a row of ``dump``; nothing is placed anew."""
         index = cls(0)
-        index.log2_buckets, index.mask = row.log2_buckets, (1 << row.log2_buckets) - 1
-        marks = np.frombuffer(row.filter, "<u2").reshape(-1, SLOTS)
+        index.log2_buckets, index.mask = int(row["log2_buckets"]), (1 << int(row["log2_buckets"])) - 1
+        marks = np.frombuffer(row["filter"], "<u2").reshape(-1, SLOTS)
         index.table = [[int(mark) for mark in prints if mark] for prints in marks]
-        for digest, keep_id, live in zip(row.digests, row.keep_ids, row.live, strict=True):
+        for digest, keep_id, live in zip(row["digests"], row["keep_ids"], row["live"], strict=True):
             keep_id = None if pd.isna(keep_id) else int(keep_id)
             index.content.setdefault(index._slot(digest)[0], []).append([digest, keep_id, int(live)])
-        index.size = len(row.digests)
+        index.size = len(row["digests"])
         return index
 
 

@@ -79,7 +79,8 @@ class _Words(dict):
                 tokens = self.model.tokenize((self.prefix + word).translate(self.letters))
                 return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
         stem = word.rstrip(TAIL)
-        if stem and len(stem) < len(word) and stem[-1].isalpha():
+        # a letter that stays one when folded ends a piece before a mark
+        if stem and len(stem) < len(word) and stem[-1].isalpha() and len(stem[-1].lower()) == 1:
             return self[stem] + self.bare[word[len(stem) :]]
         ids = self.tokenizer.encode(self.prefix + word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
