@@ -180,8 +180,29 @@ def test_findings_without_time_are_stored_at_write_time(spark, tmp_path):
     target = store.FindingsStore(spark, str(tmp_path / "f"))
     target.append(analyze(telemetry.visit_events(visits, BUNDLED), BUNDLED, Policy.bundled()))
     row = target.read().first()
-    assert row.timestamp == row.written_at and row.event_date == row.timestamp.date()
+    assert row.timestamp == row.written_at and row.event_date is None
     assert json.loads(row.raw_event)["timestamp"] is None
+    # a rescan replaces it, whatever the day, and it keeps its first time
+    target.append(analyze(telemetry.visit_events(visits, BUNDLED), BUNDLED, Policy.bundled()))
+    again = target.read().collect()
+    assert len(again) == 1 and again[0].timestamp == row.timestamp < again[0].written_at
+    assert store.last_hours(target.read(), 1, row.timestamp).count() == 1
+    assert store.count_on(target.read(), row.timestamp).first().n_findings == 1
+
+
+def test_compacted_store_with_trimmed_log(spark, tmp_path):
+    target = store.FindingsStore(spark, str(tmp_path / "f"))
+    days = [(T0 + timedelta(days=i), "claude.ai") for i in range(6)]
+    target.append(findings(spark, *days[:4]))
+    target.compact(trim=True)
+    assert target.log().count() == 0 and target.read().count() == 4
+    target.append(findings(spark, *days[2:]))
+    assert target.read().count() == 6 and target.writes().count() == 8
+    newest = target.recent(2)
+    assert [r.timestamp for r in newest.collect()] == [d for d, _ in days[:3:-1]]
+    assert "PartitionFilters: [(isnull(event_date" in newest._jdf.queryExecution().executedPlan().toString()
+    target.compact(trim=True)
+    assert target.read().count() == 6 and target.log().count() == 0
 
 
 def test_last_hours_is_inclusive_to_the_second(spark):
@@ -200,7 +221,7 @@ def test_time_queries_prune_partitions(spark, tmp_path):
     recent = store.last_hours(target.read(), 24, T0 + timedelta(days=3))
     plan = recent._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
-    assert "PartitionFilters: [isnotnull(event_date" in scan
+    assert "PartitionFilters: [(isnull(event_date" in scan
     assert "raw_event" not in scan.split("ReadSchema")[1]
     assert [r.timestamp.day for r in recent.collect()] == [4, 3]
 
@@ -296,6 +317,80 @@ def test_scan_pass_reads_changed_files_only(spark, tmp_path):
     assert state.version() == 3
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_are_not_shuffled(spark):
+    """Neither form of an incremental scan has file contents below an exchange."""
+    from wardline.operators.secrets import secret_lines
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([("r", "a.py", 1, bytearray(b"x"))], "repo string, path string, mtime bigint, content binary")
+        known = spark.createDataFrame([], "repo string, path string, mtime bigint")
+        changed = incremental.changed_by_mtime(files.select("repo", "path", "mtime"), known)
+        plan = plan_of(incremental.only_changed(secret_lines(files), changed))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan
+    below, depth = [], None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is None and "Exchange" in line:
+            depth = at
+        elif depth is not None and "Project" in line:
+            below.append(line)
+            depth = None  # what the exchange is given
+    assert below and not any("content#" in line for line in below)
+
+
+def test_scan_pass_remembers_only_what_it_scanned(spark, tmp_path):
+    from wardline.sources.files import SourceTree
+
+    target = store.FindingsStore(spark, str(tmp_path / "f"))
+    state = incremental.ScanState(spark, str(tmp_path / "state"))
+    tree = tmp_path / "tree"
+    (tree / "p").mkdir(parents=True)
+    (tree / "p" / "_k.py").write_text("hf_ABCDEFGHIJKLMNOPQRSTUv")
+    tables = {"code_files": SourceTree(spark, str(tree), "r")}
+    for selection, version, found in ((["net"], 0, 0), (["codebase"], 1, 1), (["codebase"], 2, 1)):
+        scan_pass(spark, tables, BUNDLED, Policy.bundled(), target, selection=selection, state=state)
+        assert (state.version(), target.log().count()) == (version, found)
+
+
+def test_scan_pass_by_commit(spark, tmp_path):
+    target = store.FindingsStore(spark, str(tmp_path / "f"))
+    state = incremental.ScanState(spark, str(tmp_path / "state"))
+    schema = "repo string, path string, mtime bigint, content binary"
+    key = bytearray(b"hf_ABCDEFGHIJKLMNOPQRSTUv")
+
+    def run(commits, *files):
+        table = spark.createDataFrame([(*f, key) for f in files], schema)
+        log = spark.createDataFrame(commits, "repo string, commit_seq bigint, path string")
+        before = target.log().count()
+        scan_pass(spark, {"code_files": table}, BUNDLED, Policy.bundled(), target, selection=["codebase"], state=state, commits=log)
+        return target.log().count() - before
+
+    files = [("git", "a.py", 5), ("git", "b.py", 5), ("git", "untracked.py", 5), ("plain", "c.py", 5)]
+    log = [("git", 1, "a.py"), ("git", 1, "b.py")]
+    assert run(log, *files) == 3  # all tracked files, and those newer than never
+    assert run(log, *files) == 0
+    log.append(("git", 2, "b.py"))
+    assert run(log, ("git", "a.py", 9), ("git", "b.py", 5), ("plain", "c.py", 9)) == 2
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "a int")
+    for k in range(12):
+        table.replace(spark.createDataFrame([(k,)], "a int").coalesce(1))
+    assert table.versions() == [11, 12] and table.read().first().a == 11
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name != "commits"]) == 2
+
+
 def test_utc_literals(spark):
     from wardline.functions.text import at_utc
 

@@ -1,8 +1,10 @@
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from wardline import schemas
 from wardline.functions import risk, text
 from wardline.operators.secrets import secret_lines
 from wardline.plans.scan import analyze
@@ -224,7 +226,9 @@ def test_visits(spark):
 
 
 def test_selections(spark):
-    assert select.selected_tables(["os", "shell", "net"]) == ["processes", "shell_lines", "connections", "dns_answers"]
+    assert select.selected_tables(["os", "shell", "net"]) == [
+        "processes", "shell_lines", "connections", "netstat_lines", "dns_answers",
+    ]
     assert "http_payloads" not in select.selected_tables(["all"])
     lines = spark.createDataFrame(
         [("m", TS, "bash", "f", "ollama")],
@@ -234,8 +238,16 @@ def test_selections(spark):
     def broken():
         return spark.table("there_is_no_such_table")
 
-    events = select.union_events(spark, {"shell_lines": lines, "processes": broken}, BUNDLED)
-    assert [r.source for r in events.collect()] == ["shell_history"]
+    absent = []
+    events = select.union_events(spark, {"shell_lines": lines, "processes": broken}, BUNDLED, absent=absent)
+    assert [r.source for r in events.collect()] == ["shell_history"] and absent == ["processes"]
+    # a table of the wrong shape is an error, not an empty table
+    wrong = spark.createDataFrame([("m", TS, "claude.ai", 443)], "host string, ts timestamp, address string, port int")
+    with pytest.raises(AnalysisException):
+        select.union_events(spark, {"connections": wrong}, BUNDLED)
+    netstat = spark.createDataFrame([("m", TS, "tcp4 0 0 10.0.0.1.5000 claude.ai.443 ESTABLISHED")], files.TABLES["netstat_lines"])
+    events = select.union_events(spark, {"netstat_lines": netstat}, BUNDLED)
+    assert [(r.source, r.remote_host) for r in events.collect()] == [("network", "claude.ai")]
     assert select.union_events(spark, {}, BUNDLED).count() == 0
 
 
@@ -255,5 +267,44 @@ def test_files(spark, tmp_path):
         (tree / path).write_text(KEY_LINE)
     found = telemetry.code_events(files.source_tree(spark, str(tree), repo="r")).collect()
     assert {r.file_path for r in found} == {"r/src/a.py", "r/e.ts"}
+    # names with an underscore, and a folder of the root's name below the root
+    root = str(tmp_path / "tree").lstrip("/")
+    for path in ("pkg/__init__.py", "pkg/_config.py", "__tests__/t.js", f"x/{root}/y.py", ".env"):
+        (tree / path).parent.mkdir(parents=True, exist_ok=True)
+        (tree / path).write_text(KEY_LINE)
+    sources = files.source_tree(spark, f"file://{tree}", repo="r")
+    found = {r.file_path for r in telemetry.code_events(sources).collect()}
+    more = {"r/pkg/__init__.py", "r/pkg/_config.py", "r/__tests__/t.js", f"r/x/{root}/y.py"}
+    assert found == {"r/src/a.py", "r/e.ts"} | more
+    found = {r.file_path for r in telemetry.code_events(sources, scan_dotenv=True).collect()}
+    assert "r/.env" in found
     lines.write.parquet(str(tmp_path / "lines"))
-    assert files.read_table(spark, "shell_lines", str(tmp_path / "lines")).count() == 3
+    assert files.read_table(spark, "shell_lines", str(tmp_path / "lines")).count() == 5
+
+
+def test_repeated_history_lines_are_events_of_their_own(spark, tmp_path):
+    history = tmp_path / ".bash_history"
+    history.write_text("ollama run x\nls\nollama run x\nollama run x")
+    lines = files.shell_history_files(spark, str(history))
+    ids = {r.event_id for r in telemetry.shell_events(lines, BUNDLED).collect()}
+    assert len(ids) == 3
+    # a later file time changes no id
+    later = lines.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    assert {r.event_id for r in telemetry.shell_events(later, BUNDLED).collect()} == ids
+
+
+def test_null_parts_of_an_id_keep_their_place(spark):
+    rows = [("a", None, "b"), ("a", "b", None)]
+    table = spark.createDataFrame(rows, "x string, y string, z string").withColumn("ts", F.lit(None).cast("timestamp"))
+    events = schemas.as_events(table, source="s", type_="t", key=["x", "y", "z"])
+    assert events.select("event_id").distinct().count() == 2
+
+
+def test_visits_without_a_limit_do_not_depend_on_batches(spark):
+    rows = spark.range(12_000).selectExpr(
+        "'m' AS host", "'Chrome' AS browser", "'p' AS profile", "timestamp_seconds(id) AS visit_ts",
+        "concat('https://claude.ai/', id) AS url", "'t' AS title",
+    )
+    assert telemetry.visit_events(rows, BUNDLED).count() == 10_000
+    halves = [rows.filter(f"unix_seconds(visit_ts) % 2 = {k}") for k in (0, 1)]
+    assert sum(telemetry.visit_events(h, BUNDLED, per_profile=None).count() for h in halves) == 12_000

@@ -78,7 +78,7 @@ def test_policy_is_loaded_for_every_batch(spark, place):
 def test_tables_watched_side_by_side(spark, place, tmp_path):
     watch, folder = place
     land(spark, folder, (0, "claude.ai"))
-    shell = spark.createDataFrame([("m", T0, "bash", "f", "ollama run x")], files.TABLES["shell_lines"])
+    shell = spark.createDataFrame([("m", T0, "bash", "f", None, "ollama run x")], files.TABLES["shell_lines"])
     shell.write.parquet(str(tmp_path / "shell"))
     started = [
         watch.start("connections", files.stream_table(spark, "connections", str(folder)), once=True),

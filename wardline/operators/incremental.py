@@ -38,15 +38,44 @@ def changed_by_commit(commits: DataFrame, last_commit_seq: DataFrame) -> DataFra
     )
 
 
+def changed_combined(
+    files: DataFrame, state: DataFrame, commits: DataFrame, last_commit_seq: DataFrame
+) -> DataFrame:
+    """``repo, path`` of ``files`` to scan: by commit, else all that is tracked, else by mtime.
+
+    A repo with a commit log and a last scanned commit has the files touched since;
+    with a log only, all files of the log; without a log, files with a newer mtime.
+    Only narrow rows are joined.
+    """
+    logged = commits.select("repo").distinct()
+    by_mtime = changed_by_mtime(files.select(*FILE_KEY, "mtime"), state)
+    by_mtime = by_mtime.join(logged, "repo", "left_anti").select(*FILE_KEY)
+    by_commit = files.select(*FILE_KEY).join(
+        changed_by_commit(commits, last_commit_seq), FILE_KEY, "left_semi"
+    )
+    return by_commit.unionByName(by_mtime)
+
+
 def only_changed(files: DataFrame, changed: DataFrame) -> DataFrame:
     """Keep files listed in ``changed``."""
     return files.join(changed.select(*FILE_KEY), FILE_KEY, "left_semi")
 
 
 class ScanState(VersionedTable):
-    """File -> mtime snapshot, replaced as a whole after each pass."""
-
-    schema = "repo string, path string, mtime bigint"
-
-    def save(self, files: DataFrame) -> int:
-        return self.replace(files.select(*FILE_KEY, "mtime"))
+    """File -> mtime and last commit of its repo, replaced as a whole after each pass."""
+
+    schema = "repo string, path string, mtime bigint, commit_seq bigint"
+
+    def save(self, files: DataFrame, commits: DataFrame | None = None) -> int:
+        rows = files.select(*FILE_KEY, "mtime")
+        if commits is None:
+            rows = rows.withColumn("commit_seq", F.lit(None).cast("bigint"))
+        else:
+            newest = commits.groupBy("repo").agg(F.max("commit_seq").cast("bigint").alias("commit_seq"))
+            rows = rows.join(newest, "repo", "left")
+        return self.replace(rows.select(*FILE_KEY, "mtime", "commit_seq"))
+
+    def last_commits(self, version: int | None = None) -> DataFrame:
+        """``repo, commit_seq`` of the repos scanned by commit before."""
+        rows = self.read(version).filter("commit_seq IS NOT NULL")
+        return rows.groupBy("repo").agg(F.max("commit_seq").alias("commit_seq"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.operators.incremental import ScanState, changed_by_mtime
+from wardline.operators.incremental import ScanState, changed_by_mtime, changed_combined
 from wardline.plans.scan import analyze
 from wardline.policy import Policy
 from wardline.registry import Registry
 from wardline.sinks import reports, store
-from wardline.sources.select import union_events
+from wardline.sources.files import SourceTree
+from wardline.sources.select import ABSENT, selected_tables, union_events
 
-Tables = dict[str, DataFrame | Callable[[], DataFrame]]
+Tables = dict[str, DataFrame | SourceTree | Callable[[], DataFrame]]
 
 
 def scan_pass(
@@ -27,23 +29,52 @@ def scan_pass(
     *,
     selection: list[str] | None = None,
     state: ScanState | None = None,
-) -> None:
-    """Scan the selected tables and append what is found.
+    commits: DataFrame | None = None,
+) -> list[str]:
+    """Scan the selected tables, append what is found, and name the tables that were absent.
 
     With ``state``, of ``code_files`` only those changed since the last pass
-    are read, and the listing is remembered after the findings are written.
+    count: by the commit log ``commits`` for repos that have one, else by mtime.
+    Of a ``SourceTree`` only those files are opened; of a table, hits are found
+    where the contents lie, and hits, not contents, meet the list of changes. The
+    listing is remembered only if this pass scanned ``code_files``, after the
+    findings are written.
     """
-    listing = None
-    if state is not None and "code_files" in tables:
-        files = tables["code_files"]
-        files = files() if callable(files) else files
+    listing, changed, absent = None, None, []
+    files = tables.get("code_files") if "code_files" in selected_tables(selection or ["all"]) else None
+    if state is not None and files is not None:
+        try:
+            files = files() if callable(files) else files
+        except AnalysisException as error:
+            if error.getCondition() not in ABSENT:
+                raise
+            files = None
+    if state is not None and files is not None:
         # a state written by this pass must not reach the plan it is compared in
-        known = state.read(state.version())
-        listing = files.select("repo", "path", "mtime")
-        tables = {**tables, "code_files": changed_by_mtime(files, known)}
-    target.append(analyze(union_events(spark, tables, registry, selection), registry, policy))
+        version = state.version()
+        listing = files.listing() if isinstance(files, SourceTree) else files
+        listing = listing.select("repo", "path", "mtime", *(["uri"] if isinstance(files, SourceTree) else []))
+        if commits is None:
+            changed = changed_by_mtime(listing, state.read(version)).select("repo", "path")
+        else:
+            changed = changed_combined(listing, state.read(version), commits, state.last_commits(version))
+        if isinstance(files, SourceTree):
+            files = files.contents(listing.join(changed, ["repo", "path"], "left_semi"))
+            changed = None
+    elif isinstance(files, SourceTree):
+        files = files.contents(files.listing())
+    if files is not None:
+        tables = {**tables, "code_files": files}
+    events = union_events(spark, tables, registry, selection, absent=absent)
+    if changed is not None:
+        paths = changed.select(F.concat_ws("/", "repo", "path").alias("_changed"))
+        is_code = F.col("type") == "codebase_file"
+        code = events.filter(is_code).join(paths, F.col("file_path") == F.col("_changed"), "left_semi")
+        events = events.filter(~is_code).unionByName(code)
+    target.append(analyze(events, registry, policy))
     if listing is not None:
-        state.save(listing)
+        state.save(listing, commits)
+    return absent
 
 
 REPORT_FORMATS = {

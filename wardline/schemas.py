@@ -55,18 +55,23 @@ FINDING = (
 )
 
 
-def as_events(df: DataFrame, *, source: str, type_: str, key: list[str]) -> DataFrame:
+def as_events(
+    df: DataFrame, *, source: str, type_: str, key: list[str], timed: str = "true"
+) -> DataFrame:
     """Shape ``df`` into EVENT rows; fields it does not carry become null.
 
     The id is a hash of the source, the natural key (SQL expressions) and the
     event time, so a retried task or a replayed micro-batch gives the same id.
+    A null part has a mark of its own, so that parts never change places. With
+    ``timed`` an SQL condition, only rows that meet it have the time in their id.
     """
     present = set(df.columns)
     fields = {
         name: f"CAST({name if name in present else 'NULL'} AS {kind}) AS {name}"
         for name, kind in EVENT_FIELDS.items()
     }
-    parts = ", ".join([f"'{source}'", *key, "CAST(unix_micros(ts) AS string)"])
+    time = f"CASE WHEN {timed} THEN CAST(unix_micros(ts) AS string) END"
+    parts = ", ".join(f"coalesce({part}, '\\u0002')" for part in [f"'{source}'", *key, time])
     fields["event_id"] = f"sha2(concat_ws('\\u0001', {parts}), 256) AS event_id"
     fields["source"] = f"'{source}' AS source"
     fields["type"] = f"'{type_}' AS type"

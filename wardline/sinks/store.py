@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.text import at_utc, rfc3339
@@ -68,7 +68,8 @@ def event_json(event: Column) -> Column:
 def stored_rows(findings: DataFrame) -> DataFrame:
     """FINDING rows in the table's flat form; nested parts as JSON text.
 
-    A finding without a time of its own (a visit never dated) gets that of the write.
+    A finding without a time of its own (a visit never dated) shows that of the
+    write and has no date, so that its id names the same partition in every scan.
     """
     time = F.coalesce("ts", F.current_timestamp())
     return findings.select(
@@ -85,23 +86,32 @@ def stored_rows(findings: DataFrame) -> DataFrame:
         "matched_rule",
         F.current_timestamp().alias("written_at"),
         shown_source(F.col("source")).alias("source"),
-        F.to_date(time).alias("event_date"),
+        F.to_date("ts").alias("event_date"),
     )
 
 
 def stored_latest(stored: DataFrame) -> DataFrame:
     """The newest write of each id.
 
-    An id contains the event's time, hence names its date: with the date among
-    the keys a filter on it still prunes partitions.
+    An id contains the event's time, hence names its date (or that it has none):
+    with the date among the keys a filter on it still prunes partitions. A finding
+    without a date keeps the time of its first write.
     """
+    writes = Window.partitionBy("event_date", "id")
+    first = F.min("timestamp").over(writes)
+    shown = F.when(F.col("event_date").isNull(), first).otherwise(F.col("timestamp"))
     return latest_per_id(
-        stored,
+        stored.withColumn("timestamp", shown) if "timestamp" in stored.columns else stored,
         ["event_date", "id"],
         [F.col("written_at").desc(), F.col("risk_score").desc(), F.col("policy_action")],
     )
 
 
+def from_date(start: Column) -> Column:
+    """A filter for partitions: dates from ``start`` on, and findings without a date."""
+    return F.col("event_date").isNull() | (F.col("event_date") >= F.to_date(start))
+
+
 def report_columns(stored: DataFrame) -> DataFrame:
     """The seven columns reports read."""
     return stored.select(
@@ -120,7 +130,7 @@ def last_hours(stored: DataFrame, hours: int, as_of: datetime) -> DataFrame:
     # the plain bounds carry over to partitions and file statistics
     return report_columns(
         stored.filter(
-            (F.col("event_date") >= F.to_date(start)) & (F.col("timestamp") >= start)
+            from_date(start) & (F.col("timestamp") >= start)
         )
     ).orderBy(F.col("timestamp").desc(), "id")
 
@@ -130,16 +140,16 @@ def since(stored: DataFrame, after: datetime) -> DataFrame:
     after_ts = at_utc(after)
     return report_columns(
         stored.filter(
-            (F.col("event_date") >= F.to_date(after_ts)) & (F.col("timestamp") > after_ts)
+            from_date(after_ts) & (F.col("timestamp") > after_ts)
         )
     ).orderBy("timestamp", "id")
 
 
 def count_on(stored: DataFrame, day: datetime) -> DataFrame:
     """Number of findings on the UTC date of ``day``."""
-    return stored.filter(F.col("event_date") == F.to_date(at_utc(day))).agg(
-        F.count("*").alias("n_findings")
-    )
+    date = F.to_date(at_utc(day))
+    undated = F.col("event_date").isNull() & (F.to_date("timestamp") == date)
+    return stored.filter((F.col("event_date") == date) | undated).agg(F.count("*").alias("n_findings"))
 
 
 def gate_count(stored: DataFrame, min_score: int = 51) -> DataFrame:
@@ -148,7 +158,7 @@ def gate_count(stored: DataFrame, min_score: int = 51) -> DataFrame:
 
 
 class FindingsStore:
-    """Append-only parquet log by feed, source and date; readers see the newest write per id."""
+    """Parquet log by feed, source and date, and a compacted table; readers see the newest write per id."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -173,12 +183,49 @@ class FindingsStore:
         """Every write, newest or not."""
         return _read(self.spark, self.log_path, STORED)
 
+    def writes(self) -> DataFrame:
+        """The compacted table and the log, newest or not."""
+        return self.read_compacted().unionByName(self.log())
+
     def read(self) -> DataFrame:
-        return stored_latest(self.log())
+        return stored_latest(self.writes())
 
-    def compact(self) -> int:
-        """Write the newest rows per id as a table version of its own."""
-        return VersionedTable(self.spark, f"{self.path}/compacted", STORED).replace(self.read())
+    def recent(self, n: int = RECENT_ROWS) -> DataFrame:
+        """The ``n`` newest findings; of dated ones only the newest dates that hold as many are read.
+
+        One number per date comes to the driver.
+        """
+        dated = self.writes().filter("event_date IS NOT NULL")
+        per_day = dated.groupBy("event_date").agg(F.approx_count_distinct("id").alias("n"))
+        days, held = [], 0
+        for day in sorted(per_day.collect(), reverse=True):
+            days.append(day.event_date)
+            # the count is approximate: half as many again is always enough
+            held += day.n
+            if held >= 1.5 * n:
+                break
+        rows = self.writes()
+        if days:
+            rows = rows.filter(F.col("event_date").isNull() | (F.col("event_date") >= F.lit(days[-1])))
+        return recent(stored_latest(rows), n)
+
+    def compact(self, *, trim: bool = False) -> int:
+        """Write the newest rows per id as a table version of its own.
+
+        ``trim`` then removes the log files it covers; streams of the log must
+        have read them by then.
+        """
+        compacted = VersionedTable(self.spark, f"{self.path}/compacted", STORED)
+        covered = self.log().inputFiles()
+        log = self.spark.read.schema(STORED).option("basePath", self.log_path)
+        rows = compacted.read()
+        if covered:
+            rows = rows.unionByName(log.parquet(*covered))
+        version = compacted.replace(stored_latest(rows))
+        for name in covered if trim else ():
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+        return version
 
     def read_compacted(self) -> DataFrame:
         return VersionedTable(self.spark, f"{self.path}/compacted", STORED).read()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.text import SCANNED_EXTENSIONS
+from wardline.functions.text import SKIPPED_FOLDERS, is_scanned_extension
 
 # Raw telemetry tables, as logged by a fleet.
 TABLES = {
     "processes": "host string, ts timestamp, pid bigint, name string, argv array<string>, exe_path string",
-    "shell_lines": "host string, ts timestamp, shell string, history_file string, line string",
+    "shell_lines": "host string, ts timestamp, shell string, history_file string, line_number int, line string",
     "visits": "host string, browser string, profile string, visit_ts timestamp, url string, title string",
     "connections": "host string, ts timestamp, remote_ip string, port int",
     "netstat_lines": "host string, ts timestamp, line string",
@@ -36,46 +39,115 @@ def stream_table(
     return spark.readStream.schema(TABLES[name]).options(**options).format(format).load(path)
 
 
+def _files_below(spark: SparkSession, root: str, prune: tuple[str, ...]) -> DataFrame:
+    """``uri, name, mtime``: every file below a folder, or the file itself, whatever its name.
+
+    Spark's own readers leave out names that start with a dot or an underscore.
+    The folder's direct entries are listed here; a task walks each of those that
+    are folders. Folders named in ``prune``, or with a leading dot, are not entered.
+    """
+    from pyarrow import fs
+
+    def enters(name: str) -> bool:
+        return not name.startswith(".") and name not in prune
+
+    def row(base: str, info) -> tuple:
+        return info.path, info.path[len(base) :].lstrip("/") or info.base_name, info.mtime_ns
+
+    files, base = fs.FileSystem.from_uri(root)
+    scheme = root[: len(root) - len(base)] if root.endswith(base) else ""
+    top = files.get_file_info(base)
+    if top.type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    entries = [top] if top.is_file else files.get_file_info(fs.FileSelector(base))
+    found = [row(base, e) for e in entries if e.is_file]
+    folders = [(e.path,) for e in entries if e.type == fs.FileType.Directory and enters(e.base_name)]
+
+    def walk(batches):
+        for batch in batches:
+            for folder in batch["folder"]:
+                files, _ = fs.FileSystem.from_uri(root)
+                waiting = [folder]
+                while waiting:
+                    rows = []
+                    for e in files.get_file_info(fs.FileSelector(waiting.pop())):
+                        if e.is_file:
+                            rows.append(row(base, e))
+                        elif enters(e.base_name):
+                            waiting.append(e.path)
+                    yield pd.DataFrame(rows, columns=["uri", "name", "mtime"])
+
+    schema = "uri string, name string, mtime bigint"
+    listing = spark.createDataFrame(found, schema)
+    if folders:
+        below = spark.createDataFrame(folders, "folder string").repartition(len(folders))
+        listing = listing.union(below.mapInPandas(walk, schema))
+    return listing.withColumn("uri", F.concat(F.lit(scheme), "uri"))
+
+
+def _with_content(listing: DataFrame) -> DataFrame:
+    """``listing`` with each file's bytes; files that are gone by now are left out."""
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.iloc[k : k + 1]
+                files, path = fs.FileSystem.from_uri(one["uri"].iloc[0])
+                try:
+                    with files.open_input_stream(path) as file:
+                        yield one.assign(content=[file.read()])
+                except FileNotFoundError:
+                    continue
+
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in listing.dtypes)
+    return listing.mapInPandas(read, f"{fields}, content binary")
+
+
 def shell_history_files(spark: SparkSession, paths: str | list[str], host: str = "") -> DataFrame:
-    """``shell_lines`` from history files; the end of the file name tells the shell.
+    """``shell_lines`` from history files or folders of them; the end of the name tells the shell.
 
-    Spark reads no file whose name starts with a dot, so a collector has to
-    ship them as, say, ``laptop7.bash_history``. Other files are left out.
-    Histories carry no time per line, so the file's modification time stands in.
+    Other files are left out. Histories carry no time per line, so the file's
+    modification time stands in; a line is known by its number.
     """
     shell = F.when(F.lit(False), "")
     for name, label in SHELL_OF_FILE.items():
-        shell = shell.when(F.col("history_file").endswith(name), label)
-    return (
-        spark.read.text(paths)
-        .select(
-            F.lit(host).alias("host"),
-            F.col("_metadata.file_modification_time").alias("ts"),
-            F.col("_metadata.file_path").alias("history_file"),
-            F.col("value").alias("line"),
-        )
-        .withColumn("shell", shell)
-        .filter("shell IS NOT NULL")
-        .select("host", "ts", "shell", "history_file", "line")
+        shell = shell.when(F.col("uri").endswith(name), label)
+    paths = [paths] if isinstance(paths, str) else paths
+    listing = reduce(DataFrame.union, (_files_below(spark, path, ()) for path in paths))
+    found = _with_content(listing.withColumn("shell", shell).filter("shell IS NOT NULL"))
+    lines = found.select(
+        F.lit(host).alias("host"),
+        F.expr("timestamp_micros(mtime div 1000)").alias("ts"),
+        "shell",
+        F.col("uri").alias("history_file"),
+        F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("_pos", "line"),
     )
+    return lines.select("host", "ts", "shell", "history_file", (F.col("_pos") + 1).alias("line_number"), "line")
 
 
-def source_tree(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """``code_files`` of a folder tree; ``path`` is relative to the root.
+class SourceTree:
+    """A folder tree of source files: a narrow listing, and contents of what is chosen from it."""
 
-    File names are narrowed to scanned extensions at listing time; contents are
-    read only by plans that use the ``content`` column.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "{*." + ",*.".join(SCANNED_EXTENSIONS) + "}")
-        .load(root)
-    )
-    base = root.split(":", 1)[-1].rstrip("/") + "/"
-    return files.select(
-        F.lit(repo or base.rstrip("/")).alias("repo"),
-        F.substring_index("path", base, -1).alias("path"),
-        (F.unix_micros("modificationTime") * 1000).alias("mtime"),
-        "content",
-    )
+    def __init__(self, spark: SparkSession, root: str, repo: str = ""):
+        self.spark, self.root = spark, root
+        self.repo = repo or root.split(":", 1)[-1].rstrip("/")
+
+    def listing(self) -> DataFrame:
+        """``repo, path, mtime, uri`` of files with scanned extensions; paths are relative to the root."""
+        files = _files_below(self.spark, self.root, tuple(SKIPPED_FOLDERS))
+        wanted = is_scanned_extension(F.col("name")) | F.col("name").rlike(r"(^|/)\.env\z")
+        return files.filter(wanted).select(
+            F.lit(self.repo).alias("repo"), F.col("name").alias("path"), "mtime", "uri"
+        )
+
+    def contents(self, listing: DataFrame) -> DataFrame:
+        """``code_files`` of the listed files; no other file is opened."""
+        return _with_content(listing).select("repo", "path", "mtime", "content")
+
+
+def source_tree(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
+    """``code_files`` of a folder tree; ``path`` is relative to the root."""
+    tree = SourceTree(spark, root, repo)
+    return tree.contents(tree.listing())

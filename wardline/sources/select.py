@@ -15,9 +15,10 @@ from wardline.sources import telemetry
 
 log = logging.getLogger(__name__)
 
-# Raw table -> how its events are made. Parsed netstat lines are connections.
+# Raw table -> how its events are made.
 EVENT_BUILDERS: dict[str, Callable[..., DataFrame]] = {
     "connections": telemetry.connection_events,
+    "netstat_lines": telemetry.netstat_events,
     "dns_answers": telemetry.dns_events,
     "processes": telemetry.process_events,
     "shell_lines": telemetry.shell_events,
@@ -27,15 +28,20 @@ EVENT_BUILDERS: dict[str, Callable[..., DataFrame]] = {
     "tls_names": telemetry.tls_events,
 }
 
+# How Spark says that a table is not there.
+ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+
 # Named selections; payload capture takes part only where asked for.
 SELECTIONS = {
-    "net": ["connections", "dns_answers"],
+    "net": ["connections", "netstat_lines", "dns_answers"],
     "os": ["processes", "shell_lines"],
     "browser": ["visits"],
     "shell": ["shell_lines"],
     "codebase": ["code_files"],
     "pcap": ["http_payloads", "tls_names"],
-    "all": ["connections", "dns_answers", "processes", "shell_lines", "visits", "code_files"],
+    "all": [
+        "connections", "netstat_lines", "dns_answers", "processes", "shell_lines", "visits", "code_files",
+    ],
 }
 
 
@@ -49,8 +55,14 @@ def union_events(
     tables: dict[str, DataFrame | Callable[[], DataFrame]],
     registry: Registry,
     selection: list[str] | None = None,
+    *,
+    absent: list[str] | None = None,
 ) -> DataFrame:
-    """All events of the selected tables; a table that cannot be opened counts as empty."""
+    """All events of the selected tables.
+
+    A table that does not exist counts as empty and is named in ``absent``.
+    Anything else, as a table without a needed column, is an error.
+    """
     parts = []
     for name in selected_tables(selection or ["all"]):
         if name not in tables:
@@ -59,7 +71,11 @@ def union_events(
             table = tables[name]() if callable(tables[name]) else tables[name]
             parts.append(EVENT_BUILDERS[name](table, registry))
         except AnalysisException as error:
-            log.warning("source %s not usable, going on without it: %s", name, error)
+            if error.getCondition() not in ABSENT:
+                raise
+            log.warning("source %s is absent, going on without it: %s", name, error)
+            if absent is not None:
+                absent.append(name)
     if not parts:
         return spark.createDataFrame([], schemas.EVENT)
     return reduce(DataFrame.unionByName, parts)

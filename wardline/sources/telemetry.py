@@ -55,10 +55,16 @@ def process_events(processes: DataFrame, registry: Registry) -> DataFrame:
 
 
 def shell_events(lines: DataFrame, registry: Registry, *, fish_prefix: bool = False) -> DataFrame:
-    """``host, ts, shell, history_file, line``: lines whose program starts with a known name.
+    """``host, ts, shell, history_file, line_number, line``: lines whose program starts with a known name.
 
-    ``fish_prefix`` also reads fish's ``- cmd: `` lines, which otherwise never match.
+    Each line is an event of its own, however often the command is repeated. A
+    numbered line is known by its place in the history, whose time is that of the
+    file; a line without a number is known by its time. ``fish_prefix`` also reads
+    fish's ``- cmd: `` lines, which otherwise never match.
     """
+    lines = lines.withColumn(
+        "_place", F.col("line_number").cast("string") if "line_number" in lines.columns else F.lit(None).cast("string")
+    ).drop("line_number")
     if is_literal_sized(registry):
         # most lines hold no known name at all: skip those before any parsing
         lines = lines.filter(program_matches("line", registry))
@@ -72,14 +78,19 @@ def shell_events(lines: DataFrame, registry: Registry, *, fish_prefix: bool = Fa
         found,
         source="shell_history",
         type_="shell_history",
-        key=["host", "history_file", "command"],
+        key=["host", "history_file", "_place", "command"],
+        timed="_place IS NULL",
     )
 
 
-def latest_visits(visits: DataFrame, per_profile: int = VISITS_PER_PROFILE) -> DataFrame:
-    """The latest visits of each ``host, browser, profile``; Firefox needs a visit time."""
+def latest_visits(visits: DataFrame, per_profile: int | None = VISITS_PER_PROFILE) -> DataFrame:
+    """The latest visits of each ``host, browser, profile``; Firefox needs a visit time.
+
+    ``None`` keeps all visits, without a shuffle.
+    """
     usable = visits.filter((F.col("browser") != "Firefox") | F.col("visit_ts").isNotNull())
-    configure(visits.sparkSession)
+    if per_profile is None:
+        return usable
     return top_n_per_group(
         usable,
         ["host", "browser", "profile"],
@@ -89,9 +100,12 @@ def latest_visits(visits: DataFrame, per_profile: int = VISITS_PER_PROFILE) -> D
 
 
 def visit_events(
-    visits: DataFrame, registry: Registry, *, per_profile: int = VISITS_PER_PROFILE
+    visits: DataFrame, registry: Registry, *, per_profile: int | None = VISITS_PER_PROFILE
 ) -> DataFrame:
-    """``host, browser, profile, visit_ts, url, title``: latest visits to known services."""
+    """``host, browser, profile, visit_ts, url, title``: latest visits to known services.
+
+    The limit belongs to a whole table; parts of one, as micro-batches, take ``None``.
+    """
     recent = latest_visits(visits, per_profile)
     if is_literal_sized(registry):
         found = recent.filter(url_matches("url", registry))
@@ -118,6 +132,11 @@ def parse_netstat(lines: DataFrame) -> DataFrame:
     ).filter("port BETWEEN 0 AND 65535")
 
 
+def netstat_events(lines: DataFrame, registry: Registry) -> DataFrame:
+    """``host, ts, line``: connections to known hosts in listings of the system."""
+    return connection_events(parse_netstat(lines), registry)
+
+
 def _network_events(found: DataFrame) -> DataFrame:
     return as_events(
         found,

@@ -41,7 +41,9 @@ class Watch:
         """Scan one micro-batch of table ``name``."""
         configure(batch.sparkSession)
         registry = self.load_registry()
-        events = EVENT_BUILDERS[name](batch, registry)
+        # what is kept must not depend on how the stream was cut
+        options = {"per_profile": None} if name == "visits" else {}
+        events = EVENT_BUILDERS[name](batch, registry, **options)
         self.store.append(analyze(events, registry, self.load_policy()), feed=name)
 
     def start(

@@ -113,7 +113,7 @@ processes AS (SELECT host, ts, 1000 + event_id AS pid, {_pick(PROGRAMS, 'event_i
         WHEN 2 THEN 'sk-ant-' || key WHEN 3 THEN 'AIza' || key || 'abc' ELSE 'none' END AS cmdline FROM ev)"""
 
 _SHELL = rf"""
-shell_lines AS (SELECT host, ts, {_pick(['bash', 'zsh', 'fish'], 'event_id')} AS shell,
+shell_lines AS (SELECT host, ts, event_id AS line_number, {_pick(['bash', 'zsh', 'fish'], 'event_id')} AS shell,
     {_pick(['/h/.bash_history', '/h/.zsh_history', '/h/fish_history'], 'event_id')} AS history_file,
     CASE event_id % 11
         WHEN 0 THEN '/usr/bin/ollama run x' WHEN 1 THEN ': 1700000000:0;ollama run llama3; ls'
@@ -122,7 +122,7 @@ shell_lines AS (SELECT host, ts, {_pick(['bash', 'zsh', 'fish'], 'event_id')} AS
         WHEN 7 THEN ': 1700000000:0;openai api --key sk-' || key || ';second'
         WHEN 8 THEN ': no semicolon mistral' WHEN 9 THEN 'mistral chat ' || key
         ELSE 'my-openai tool' END AS line FROM ev),
-commands AS (SELECT host, ts, shell, history_file, trim(CASE WHEN starts_with(line, ': ') AND contains(line, ';')
+commands AS (SELECT host, ts, shell, history_file, line_number, trim(CASE WHEN starts_with(line, ': ') AND contains(line, ';')
     THEN split_part(line, ';', 2) ELSE line END) AS command FROM shell_lines),
 bins AS (SELECT *, string_split(string_split(command, ' ')[1], '/')[-1] AS bin FROM commands WHERE command <> ''),
 shell_ev AS (SELECT * FROM bins b WHERE EXISTS (SELECT 1 FROM prog p WHERE starts_with(b.bin, p.part)))"""
@@ -198,8 +198,9 @@ _PROGRAM_SIG = "(SELECT min(p.sig_id) FROM prog p WHERE contains({0}, p.part))"
 
 
 def _id(source: str, *key: str) -> str:
-    parts = ", ".join([f"'{source}'", *key, "CAST(epoch_us(ts) AS VARCHAR)"])
-    return f"sha256(concat_ws(chr(1), {parts}))"
+    time = [] if source == "shell_history" else ["CAST(epoch_us(ts) AS VARCHAR)"]
+    parts = [f"coalesce({part}, chr(2))" for part in (*key, *(time or ["NULL"]))]
+    return f"sha256(concat_ws(chr(1), '{source}', {', '.join(parts)}))"
 
 
 def _matched(
@@ -236,7 +237,7 @@ _EVENTS = {
     "shell": _matched(
         "shell_history", "shell_ev", _PROGRAM_SIG.format("bin"), "command",
         f"'{DASH}found in ' || shell || ' history: `' || command || '`'",
-        "host", "history_file", "command",
+        "host", "history_file", "CAST(line_number AS VARCHAR)", "command",
         payload="to_json({'type': 'shell_history', 'command': command, 'shell': shell, 'history_file': history_file})",
     ),
     "visits": _matched(
@@ -387,8 +388,8 @@ _SARIF_RESULT = f"""CASE WHEN code_match IS NULL THEN CAST(to_json({{'ruleId': c
         'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': regexp_extract(tail, ' in (.*):[0-9]+$', 1)}},
             'region': {{'startLine': CAST(regexp_extract(tail, ':([0-9]+)$', 1) AS INT)}}}}}}]}}) AS VARCHAR) END"""
 
-_ALL_CTES = (_CONNECTIONS, _DNS, _TLS, _HTTP, _PROCESSES, _SHELL, _VISITS, _FILES, _SECRETS)
-_SCAN_ALL = ["connections", "dns", "processes", "shell", "visits", "code"]
+_ALL_CTES = (_CONNECTIONS, _NETSTAT, _DNS, _TLS, _HTTP, _PROCESSES, _SHELL, _VISITS, _FILES, _SECRETS)
+_SCAN_ALL = ["connections", "parsed", "dns", "processes", "shell", "visits", "code"]
 
 _DEBOUNCE = f"""
 alerts AS (SELECT coalesce(service_id, 'unknown') AS service, epoch_us(timestamp) // 1000000 AS sec,
@@ -396,8 +397,8 @@ alerts AS (SELECT coalesce(service_id, 'unknown') AS service, epoch_us(timestamp
 sends(service, sec) AS (
     SELECT service, min(sec) FROM alerts GROUP BY service
     UNION ALL
-    SELECT s.service, (SELECT min(a.sec) FROM alerts a WHERE a.service = s.service AND a.sec >= s.sec + 1800)
-    FROM sends s WHERE EXISTS (SELECT 1 FROM alerts a WHERE a.service = s.service AND a.sec >= s.sec + 1800))"""
+    SELECT s.service, (SELECT min(a.sec) FROM alerts a WHERE a.service = s.service AND a.sec >= s.sec + 21600)
+    FROM sends s WHERE EXISTS (SELECT 1 FROM alerts a WHERE a.service = s.service AND a.sec >= s.sec + 21600))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -416,7 +417,7 @@ def oracle_sql() -> dict[str, str]:
         "capture_first_connections": _with(
             _TLS,
             select="""SELECT host, CAST(ts AS VARCHAR) AS ts, sni, dst_ip, port FROM (SELECT *, row_number() OVER (
-                PARTITION BY sni, port, epoch_us(ts) // 3600000000 ORDER BY ts, host, sni, dst_ip, port) AS place FROM tls)
+                PARTITION BY sni, port, epoch_us(ts) // 86400000000 ORDER BY ts, host, sni, dst_ip, port) AS place FROM tls)
                 WHERE place = 1""",
         ),
         "dns_reachable_domains": _with(
@@ -491,9 +492,9 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN history h ON h.service_id = s.id GROUP BY s.id, s.version, s.risk_base, s.name ORDER BY s.id""",
         "stale_signatures": history
         + """SELECT id, CAST(last_updated AS VARCHAR) AS last_updated, age_seconds FROM (
-            SELECT service_id AS id, max(timestamp) AS last_updated, greatest(epoch_us(TIMESTAMP '2024-01-30') // 1000000
+            SELECT service_id AS id, max(timestamp) AS last_updated, greatest(epoch_us(TIMESTAMP '2024-02-01') // 1000000
                 - epoch_us(max(timestamp)) // 1000000, 0) AS age_seconds
-            FROM history WHERE service_id IS NOT NULL AND risk_score = 100 GROUP BY service_id) WHERE age_seconds >= 86400""",
+            FROM history WHERE service_id IS NOT NULL GROUP BY service_id) WHERE age_seconds >= 86400""",
         "changed_files": _with(_FILES, select="SELECT repo, path, mtime FROM changed"),
         "changed_files_by_commit": f"""WITH touched AS (SELECT source AS repo, {_PATH} AS path,
                 greatest(doc_id % 10, doc_id % 7) AS seq FROM documents),
@@ -501,6 +502,17 @@ def oracle_sql() -> dict[str, str]:
             last AS (SELECT source AS repo, max(doc_id % 10) - 3 AS seq FROM documents
                 WHERE NOT ends_with(source, '0') GROUP BY source)
             SELECT t.repo, t.path FROM latest t LEFT JOIN last l USING (repo) WHERE l.seq IS NULL OR t.seq > l.seq""",
+        "changed_files_combined": _with(
+            _FILES,
+            f"""touched AS (SELECT source AS repo, {_PATH} AS path, greatest(doc_id % 10, doc_id % 7) AS seq
+                FROM documents WHERE NOT ends_with(source, '5')),
+            latest AS (SELECT repo, path, max(seq) AS seq FROM touched GROUP BY repo, path),
+            last AS (SELECT source AS repo, max(doc_id % 10) - 3 AS seq FROM documents
+                WHERE NOT ends_with(source, '0') GROUP BY source)""",
+            select="""SELECT f.repo, f.path FROM files f WHERE (f.repo, f.path) IN (SELECT (t.repo, t.path)
+                    FROM latest t LEFT JOIN last l USING (repo) WHERE l.seq IS NULL OR t.seq > l.seq)
+                UNION ALL SELECT repo, path FROM changed WHERE ends_with(repo, '5')""",
+        ),
         "incremental_secret_lines": _with(
             _FILES,
             _SECRETS,

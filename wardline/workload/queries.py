@@ -87,7 +87,7 @@ def netstat_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_first_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = dedup.first_per_window(raw.tls_names(spark, sf_dir), ["sni", "port"], seconds=3600)
+    first = dedup.first_per_window(raw.tls_names(spark, sf_dir), ["sni", "port"], seconds=86_400)
     return first.withColumn("ts", F.col("ts").cast("string"))
 
 
@@ -198,7 +198,7 @@ def policy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_events(spark: SparkSession, sf_dir: str, selection: list[str]) -> DataFrame:
-    makers = ["connections", "dns_answers", "processes", "shell_lines", "visits",
+    makers = ["connections", "netstat_lines", "dns_answers", "processes", "shell_lines", "visits",
               "code_files", "http_payloads", "tls_names"]
     tables = {name: getattr(raw, name)(spark, sf_dir) for name in makers}
     return union_events(spark, tables, Registry.bundled(), selection)
@@ -274,13 +274,11 @@ def signature_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stale_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures whose last recorded update is at least a day old."""
-    updates = raw.stored_history(spark, sf_dir).filter(
-        "service_id IS NOT NULL AND risk_score = 100"
-    )
+    updates = raw.stored_history(spark, sf_dir).filter("service_id IS NOT NULL")
     last = updates.groupBy(F.col("service_id").alias("id")).agg(
         F.max("timestamp").alias("last_updated")
     )
-    due = updates_due(last, AS_OF, interval_hours=24)
+    due = updates_due(last, datetime(2024, 2, 1), interval_hours=24)
     return due.withColumn("last_updated", F.col("last_updated").cast("string"))
 
 
@@ -295,10 +293,20 @@ def changed_files_by_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def changed_files_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repos whose name ends in 5 have no commit log; of the others some were never scanned."""
+    return incremental.changed_combined(
+        raw.code_files(spark, sf_dir),
+        raw.scan_state(spark, sf_dir),
+        raw.commits(spark, sf_dir).filter("repo NOT LIKE '%5'"),
+        raw.last_commits(spark, sf_dir),
+    )
+
+
 def incremental_secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = raw.code_files(spark, sf_dir)
-    changed = changed_files(spark, sf_dir).select("repo", "path")
-    return find_secret_lines(incremental.only_changed(files, changed))
+    # contents are searched where they lie; only hits and the narrow listing are joined
+    hits = find_secret_lines(raw.code_files(spark, sf_dir))
+    return incremental.only_changed(hits, changed_files(spark, sf_dir))
 
 
 def _some_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,8 +375,8 @@ def alert_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = reports.actionable(raw.stored_history(spark, sf_dir)).select(
         debounce.service_key(F.col("service_id")).alias("service"), F.col("timestamp").alias("ts")
     )
-    # events are minutes apart, so is the debounce here
-    return debounce.debounced_sends(alerts, debounce=1800).withColumn(
+    # the events of a service are hours apart, so is the debounce here
+    return debounce.debounced_sends(alerts, debounce=21_600).withColumn(
         "sent_at", F.col("sent_at").cast("string")
     )
 
@@ -381,7 +389,7 @@ _QUERIES: list[Query] = [
     all_findings, scan_counts, findings_last_24h, findings_recent_1000, findings_since,
     findings_today_count, ci_gate_count, findings_of_level, actionable_findings,
     findings_latest_by_id, signature_list, stale_signatures, changed_files,
-    changed_files_by_commit, incremental_secret_lines, stored_findings, findings_json,
+    changed_files_by_commit, changed_files_combined, incremental_secret_lines, stored_findings, findings_json,
     sarif_results, sarif_logs, alert_payload, report_lines, stored_report_lines,
     markdown_rows, html_rows, alert_debounce,
 ]

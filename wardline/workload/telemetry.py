@@ -167,6 +167,7 @@ def shell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         f"{pick(['bash', 'zsh', 'fish'], 'event_id')} AS shell",
         f"{pick(['/h/.bash_history', '/h/.zsh_history', '/h/fish_history'], 'event_id')} AS history_file",
+        "CAST(event_id AS INT) AS line_number",
         f"""CASE event_id % 11
             WHEN 0 THEN '/usr/bin/ollama run x'
             WHEN 1 THEN ': 1700000000:0;ollama run llama3; ls'
