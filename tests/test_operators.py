@@ -283,14 +283,42 @@ def test_sarif(spark):
     assert all("locations" not in r for r in results if r is not secret)
 
 
-def test_documents_stay_small_and_lose_nothing(spark):
+def test_documents_split_only_when_asked(spark):
     rows = [("hot", i) for i in range(250)] + [("k", i) for i in range(3)] + [(None, 1)]
-    table = spark.createDataFrame(rows, "k string, i int").repartition(5)
-    docs = documents.in_documents(table, "k", F.col("i").cast("string"), "i", max_rows=20).collect()
-    assert max(d.n_rows for d in docs) <= 20
-    assert sorted((d.k or "", int(i)) for d in docs for i in d["items"]) == sorted((k or "", i) for k, i in rows)
-    assert len([d for d in docs if d.k == "k"]) == 1
-    assert len({(d.k, d.doc_id) for d in docs}) == len(docs)
+    table = spark.createDataFrame(rows, "k string, i int")
+    for parts in (1, 4):
+        layouts = []
+        for n in (1, 5):
+            docs = documents.in_documents(table.repartition(n), "k", F.col("i").cast("string"), "i", parts=parts).collect()
+            layouts.append(sorted((d.k or "", d.doc_id, d["items"]) for d in docs))
+            assert sorted((d.k or "", int(i)) for d in docs for i in d["items"]) == sorted((k or "", i) for k, i in rows)
+            assert len([d for d in docs if d.k == "hot"]) == parts
+        assert layouts[0] == layouts[1]
+
+
+def test_sarif_lines_make_up_the_document(spark):
+    run = findings(spark, *[(T0 + timedelta(seconds=i), "claude.ai") for i in range(30)])
+    run = run.withColumn("run", F.when(F.second("ts") < 10, "a").otherwise("b"))
+    whole = {r.run: r.sarif for r in documents.sarif_logs(run, "run").collect()}
+    lines = documents.sarif_lines(run.repartition(4), "run").orderBy("run", "place", "finding_id").collect()
+    assert {k: "".join(r.line for r in lines if r.run == k) for k in whole} == whole
+    shown = reports.scan_report(run, "markdown").orderBy("place", "finding_id").collect()
+    assert [r.line for r in shown[:2]] == reports.MARKDOWN_HEAD and len(shown) == 32
+    for fmt in reports.SCAN_FORMATS:
+        assert reports.scan_report(run, fmt).count() >= 30
+
+
+def test_scan_pass_raises_alerts(spark, tmp_path):
+    from wardline.streaming.alerts import AlertFeed
+
+    target = store.FindingsStore(spark, str(tmp_path / "f"))
+    feed = AlertFeed(target, str(tmp_path / "out"), checkpoints=str(tmp_path / "c"), clock=lambda: T0)
+    files = spark.createDataFrame([("r", "a.py", 0, bytearray(b"hf_ABCDEFGHIJKLMNOPQRSTUv"))], "repo string, path string, mtime bigint, content binary")
+    for _ in range(2):
+        scan_pass(spark, {"code_files": files}, BUNDLED, Policy.bundled(), target, selection=["codebase"], alerts=feed)
+    # the second pass finds the same, within the debounce
+    sent = spark.read.parquet(str(tmp_path / "out" / "payloads")).collect()
+    assert len(sent) == 1 and sent[0].n_alerts == 1
 
 
 def test_alert_payload(spark):

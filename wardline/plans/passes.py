@@ -15,6 +15,7 @@ from wardline.policy import Policy
 from wardline.registry import Registry
 from wardline.sinks import reports, store
 from wardline.sources.files import SourceTree
+from wardline.streaming.alerts import AlertFeed
 from wardline.sources.select import ABSENT, selected_tables, union_events
 
 Tables = dict[str, DataFrame | SourceTree | Callable[[], DataFrame]]
@@ -30,9 +31,13 @@ def scan_pass(
     selection: list[str] | None = None,
     state: ScanState | None = None,
     commits: DataFrame | None = None,
+    alerts: AlertFeed | None = None,
 ) -> list[str]:
     """Scan the selected tables, append what is found, and name the tables that were absent.
 
+    With ``alerts``, what this pass wrote is read back, and the payloads due are
+    put into its outbox.
+
     With ``state``, of ``code_files`` only those changed since the last pass
     count: by the commit log ``commits`` for repos that have one, else by mtime.
     Of a ``SourceTree`` only those files are opened; of a table, hits are found
@@ -71,7 +76,11 @@ def scan_pass(
         is_code = F.col("type") == "codebase_file"
         code = events.filter(is_code).join(paths, F.col("file_path") == F.col("_changed"), "left_semi")
         events = events.filter(~is_code).unionByName(code)
+    began = spark.sql("SELECT current_timestamp()").first()[0]
     target.append(analyze(events, registry, policy))
+    if alerts is not None:
+        written = target.log().filter(F.col("written_at") >= F.lit(began))
+        alerts.send_batch(written, alerts.fired.version())
     if listing is not None:
         state.save(listing, commits)
     return absent
@@ -86,11 +95,16 @@ REPORT_FORMATS = {
 
 
 def stored_report(
-    stored: DataFrame, fmt: str = "pretty", *, hours: int | None = None, as_of: datetime | None = None
+    stored: DataFrame,
+    fmt: str = "pretty",
+    *,
+    hours: int | None = None,
+    as_of: datetime | None = None,
+    limit: int = store.RECENT_ROWS,
 ) -> DataFrame:
-    """Report lines of stored findings, newest first: all of the last hours, or the latest 1,000."""
+    """Report lines of stored findings, newest first: all of the last hours, or the latest ``limit``."""
     if hours is None:
-        rows = store.recent(stored)
+        rows = store.recent(stored, limit)
     else:
         if as_of is None:
             raise ValueError("a report by hours needs as_of")

@@ -1,21 +1,21 @@
 """JSON documents that wrap many rows: SARIF logs and alert payloads.
 
-A document holds at most a fixed number of rows. A set of rows that fits gives
-one document; a larger one gives several. Adaptive execution splits the rows of
-a large set among tasks, and each makes its own documents, so no group grows
-with the data.
+A run or a batch is one document, whatever its size. ``sarif_logs`` and
+``alert_payloads`` make each one row, for documents that fit a row; ``parts``
+splits them by a hash of the id, the same way however the data lie. For runs of
+any size ``sarif_lines`` gives the text of the document as ordered lines, of
+which no task holds more than its share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import __version__
 from wardline.functions.text import rfc3339
 
 TOOL = "wardline"
-MAX_ROWS = 5_000
 
 # SARIF schema, version and level names.
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -24,24 +24,18 @@ SARIF_LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW"
 
 
 def in_documents(
-    rows: DataFrame, key: str, item: Column, order: str, *, max_rows: int = MAX_ROWS
+    rows: DataFrame, key: str, item: Column, order: str, *, parts: int = 1
 ) -> DataFrame:
-    """``key, doc_id, n_rows, items``: the items of each key in arrays of bounded length."""
-    # brings the rows of a key to one task, unless they are too many for one
-    numbered = (
-        rows.select(F.col(key), item.alias("_item"), F.col(order).alias("_order"))
-        .hint("rebalance", key)
-        .withColumn("_task", F.spark_partition_id())
-    )
-    in_task = Window.partitionBy(key, "_task").orderBy("_order", "_item")
-    place = F.row_number().over(in_task) - 1
+    """``key, doc_id, n_rows, items``: the items of each key and part, in order."""
+    digits = F.substring(F.md5(F.col(order).cast("string")), 1, 8)
+    part = F.conv(digits, 16, 10).cast("bigint") % parts
     return (
-        numbered.withColumn("_part", F.floor(place / max_rows))
-        .groupBy(key, "_task", "_part")
+        rows.select(F.col(key), item.alias("_item"), F.col(order).alias("_order"), part.alias("doc_id"))
+        .groupBy(key, "doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("_order", "_item"))).alias("_rows"))
         .select(
             key,
-            F.concat_ws("-", F.col("_task").cast("string"), F.col("_part").cast("string")).alias("doc_id"),
+            "doc_id",
             F.size("_rows").alias("n_rows"),
             F.transform("_rows", lambda row: row["_item"]).alias("items"),
         )
@@ -68,18 +62,8 @@ def sarif_result(prefix: str = TOOL) -> Column:
     )
 
 
-def sarif_logs(
-    findings: DataFrame,
-    run_id: str,
-    *,
-    information_uri: str = "",
-    tool: str = TOOL,
-    max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """``run_id, doc_id, n_results, sarif``: SARIF documents of each run."""
-    docs = in_documents(
-        findings, run_id, F.to_json(sarif_result(tool)), "finding_id", max_rows=max_rows
-    )
+def sarif_head(tool: str, information_uri: str) -> Column:
+    """The document's text before the first result."""
     driver = F.to_json(
         F.struct(
             F.lit(tool).alias("name"),
@@ -87,13 +71,50 @@ def sarif_logs(
             F.lit(information_uri).alias("informationUri"),
         )
     )
+    start = '{"$schema":"' + SARIF_SCHEMA + '","version":"' + SARIF_VERSION + '","runs":[{"tool":{"driver":'
+    return F.concat(F.lit(start), driver, F.lit('},"results":['))
+
+
+SARIF_TAIL = "]}]}"
+
+
+def sarif_logs(
+    findings: DataFrame,
+    run_id: str,
+    *,
+    information_uri: str = "",
+    tool: str = TOOL,
+    parts: int = 1,
+) -> DataFrame:
+    """``run_id, doc_id, n_results, sarif``: the SARIF document of each run, as a row."""
+    docs = in_documents(findings, run_id, F.to_json(sarif_result(tool)), "finding_id", parts=parts)
     document = F.concat(
-        F.lit('{"$schema":"' + SARIF_SCHEMA + '","version":"' + SARIF_VERSION + '","runs":[{"tool":{"driver":'),
-        driver, F.lit('},"results":['), F.array_join("items", ","), F.lit("]}]}"),
-    )
+        sarif_head(tool, information_uri), F.array_join("items", ","), F.lit(SARIF_TAIL)
+    )
     return docs.select(run_id, "doc_id", F.col("n_rows").alias("n_results"), document.alias("sarif"))
 
 
+def sarif_lines(
+    findings: DataFrame, run_id: str, *, information_uri: str = "", tool: str = TOOL
+) -> DataFrame:
+    """``run_id, place, finding_id, line``: the same documents, a line for each result.
+
+    In the order of ``run_id, place, finding_id`` the lines make up each run's
+    document. Written after a range partitioning by these, a run of any size is
+    spread over files.
+    """
+    runs = findings.groupBy(run_id).agg(F.min("finding_id").alias("_first"))
+    first = runs.select(F.col(run_id).alias("_run"), "_first")
+    comma = F.when(F.col("finding_id") == F.col("_first"), "").otherwise(",")
+    results = findings.join(first, F.col(run_id).eqNullSafe(F.col("_run"))).select(
+        run_id, F.lit(1).alias("place"), "finding_id", F.concat(comma, F.to_json(sarif_result(tool))).alias("line")
+    )
+    none = F.lit(None).cast("string").alias("finding_id")
+    heads = runs.select(run_id, F.lit(0).alias("place"), none, sarif_head(tool, information_uri).alias("line"))
+    tails = runs.select(run_id, F.lit(2).alias("place"), none, F.lit(SARIF_TAIL).alias("line"))
+    return heads.unionByName(results).unionByName(tails)
+
+
 def alert_item() -> Column:
     return F.struct(
         F.col("finding_id").alias("id"),
@@ -106,11 +127,11 @@ def alert_item() -> Column:
 
 
 def alert_payloads(
-    alerts: DataFrame, batch_id: str, *, tool: str = TOOL, max_rows: int = MAX_ROWS
+    alerts: DataFrame, batch_id: str, *, tool: str = TOOL, parts: int = 1
 ) -> DataFrame:
     """``batch_id, doc_id, n_alerts, payload``: what the alert channel is to send."""
     item = F.to_json(alert_item(), {"ignoreNullFields": "false"})
-    docs = in_documents(alerts, batch_id, item, "finding_id", max_rows=max_rows)
+    docs = in_documents(alerts, batch_id, item, "finding_id", parts=parts)
     head = f'{{"tool":"{tool}","version":"{__version__}","findings":['
     payload = F.concat(F.lit(head), F.array_join("items", ","), F.lit("]}"))
     return docs.select(batch_id, "doc_id", F.col("n_rows").alias("n_alerts"), payload.alias("payload"))

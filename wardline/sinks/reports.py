@@ -117,6 +117,30 @@ def or_nothing_found(lines: DataFrame) -> DataFrame:
     return lines.unionByName(nothing)
 
 
+SCAN_FORMATS = ("pretty", "json", "sarif", "markdown", "html")
+
+
+def scan_report(findings: DataFrame, fmt: str = "pretty") -> DataFrame:
+    """``place, finding_id, line`` of a fresh scan; in this order the lines are the report.
+
+    SARIF is one run; markdown has its head first.
+    """
+    from wardline.sinks.documents import sarif_lines
+
+    if fmt not in SCAN_FORMATS:
+        raise ValueError(f"unknown format {fmt!r}, choose of {', '.join(SCAN_FORMATS)}")
+    if fmt == "sarif":
+        return sarif_lines(findings.withColumn("_one", F.lit(0)), "_one").drop("_one")
+    line = {"pretty": scan_line, "json": finding_json, "markdown": markdown_row, "html": html_row}[fmt]()
+    rows = findings.select(F.lit(len(MARKDOWN_HEAD)).alias("place"), "finding_id", line.alias("line"))
+    if fmt != "markdown":
+        return rows
+    head = findings.sparkSession.createDataFrame(
+        [(k, None, text) for k, text in enumerate(MARKDOWN_HEAD)], "place int, finding_id string, line string"
+    )
+    return head.unionByName(rows)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

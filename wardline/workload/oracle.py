@@ -388,6 +388,26 @@ _SARIF_RESULT = f"""CASE WHEN code_match IS NULL THEN CAST(to_json({{'ruleId': c
         'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': regexp_extract(tail, ' in (.*):[0-9]+$', 1)}},
             'region': {{'startLine': CAST(regexp_extract(tail, ':([0-9]+)$', 1) AS INT)}}}}}}]}}) AS VARCHAR) END"""
 
+_SARIF_HEAD = """('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'
+    || '{"name":"wardline","version":"0.1.0","informationUri":""}' || '},"results":[')"""
+
+
+def _part(parts: int) -> str:
+    return f"CAST('0x' || substr(md5(finding_id), 1, 8) AS BIGINT) % {parts}"
+
+
+def _sarif_logs(run: str, parts: int) -> str:
+    return _with(
+        _FILES,
+        _SECRETS,
+        _findings("code"),
+        select=f"""SELECT run_id, doc_id, CAST(count(*) AS INT) AS n_results,
+            {_SARIF_HEAD} || string_agg(result, ',' ORDER BY finding_id) || ']}}]}}' AS sarif
+            FROM (SELECT finding_id, {_part(parts)} AS doc_id, strftime(ts, '{run}') AS run_id, {_SARIF_RESULT} AS result
+                FROM found) GROUP BY run_id, doc_id""",
+    )
+
+
 _ALL_CTES = (_CONNECTIONS, _NETSTAT, _DNS, _TLS, _HTTP, _PROCESSES, _SHELL, _VISITS, _FILES, _SECRETS)
 _SCAN_ALL = ["connections", "parsed", "dns", "processes", "shell", "visits", "code"]
 
@@ -525,19 +545,23 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT *, {_FLAT_JSON} AS flat FROM found)""",
         ),
         "sarif_results": _with(*_SOME, select=f"SELECT finding_id, {_SARIF_RESULT} AS result FROM found"),
-        "sarif_logs": _with(
-            _FILES,
-            _SECRETS,
-            _findings("code"),
-            select=f"""SELECT run_id, CAST(count(*) AS INT) AS n_results,
-                '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":'
-                || '{{"name":"wardline","version":"0.1.0","informationUri":""}}' || '}},"results":['
-                || string_agg(result, ',' ORDER BY finding_id) || ']}}]}}' AS sarif
-                FROM (SELECT finding_id, strftime(ts, '%Y-%m-%d %H:%M') AS run_id, {_SARIF_RESULT} AS result FROM found)
-                GROUP BY run_id""",
+        "sarif_logs": _sarif_logs("%Y-%m-%d %H:%M", 1),
+        "sarif_logs_in_parts": _sarif_logs("%Y-%m-%d %H", 3),
+        "scan_report_markdown": _with(
+            *_SOME,
+            select=f"""SELECT 0 AS place, NULL AS finding_id, '| Risk | Service | Detail |' AS line
+                UNION ALL SELECT 1, NULL, '|------|---------|--------|'
+                UNION ALL SELECT 2, finding_id, '| ' || ({_LEVEL_F}) || ' | ' || {_SHOWN} || ' | ' || detail || ' |' FROM found""",
+        ),
+        "scan_report_sarif": _with(
+            *_SOME,
+            select=f"""SELECT 0 AS place, NULL AS finding_id, {_SARIF_HEAD} AS line
+                UNION ALL SELECT 1, finding_id, CASE WHEN finding_id = (SELECT min(finding_id) FROM found) THEN '' ELSE ',' END
+                    || {_SARIF_RESULT} FROM found
+                UNION ALL SELECT 2, NULL, ']}}]}}'""",
         ),
         "alert_payload": history
-        + f"""SELECT batch_id, CAST(count(*) AS INT) AS n_alerts,
+        + f"""SELECT batch_id, 0::BIGINT AS doc_id, CAST(count(*) AS INT) AS n_alerts,
                 '{{"tool":"wardline","version":"0.1.0","findings":[' || string_agg(item, ',' ORDER BY id) || ']}}' AS payload
             FROM (SELECT id, strftime(timestamp, '%Y-%m-%d %H') AS batch_id, CAST(to_json({{'id': id,
                 'timestamp': {_rfc3339('timestamp', 'Z')}, 'risk_level': risk_level, 'risk_score': risk_score,

@@ -334,7 +334,20 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _scan(_all_events(spark, sf_dir, ["codebase"])).withColumn("run_id", F.date_format("ts", "yyyy-MM-dd HH:mm"))
-    return documents.sarif_logs(runs, "run_id").select("run_id", "n_results", "sarif")
+    return documents.sarif_logs(runs, "run_id")
+
+
+def sarif_logs_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _scan(_all_events(spark, sf_dir, ["codebase"])).withColumn("run_id", F.date_format("ts", "yyyy-MM-dd HH"))
+    return documents.sarif_logs(runs, "run_id", parts=3)
+
+
+def scan_report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.scan_report(_some_findings(spark, sf_dir), "markdown")
+
+
+def scan_report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.scan_report(_some_findings(spark, sf_dir), "sarif")
 
 
 def alert_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +360,7 @@ def alert_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         "detail",
         F.date_format("timestamp", "yyyy-MM-dd HH").alias("batch_id"),
     )
-    return documents.alert_payloads(alerts, "batch_id").select("batch_id", "n_alerts", "payload")
+    return documents.alert_payloads(alerts, "batch_id")
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +403,7 @@ _QUERIES: list[Query] = [
     findings_today_count, ci_gate_count, findings_of_level, actionable_findings,
     findings_latest_by_id, signature_list, stale_signatures, changed_files,
     changed_files_by_commit, changed_files_combined, incremental_secret_lines, stored_findings, findings_json,
-    sarif_results, sarif_logs, alert_payload, report_lines, stored_report_lines,
+    sarif_results, sarif_logs, sarif_logs_in_parts, scan_report_markdown, scan_report_sarif, alert_payload, report_lines, stored_report_lines,
     markdown_rows, html_rows, alert_debounce,
 ]
 
