@@ -2,8 +2,8 @@
 
 A registry of ordinary size becomes literals inside the plan: matching is then
 a filter on the scan, without any join or shuffle. A larger one is joined as a
-table instead, broadcast only up to a fixed number of rows. Both ways give the
-same rows. Where several signatures match, the smallest id is taken.
+table instead, broadcast only if its texts are few enough bytes. Both ways give
+the same rows. Where several signatures match, the smallest id is taken.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from wardline.session import spread
 
 # Up to here a lookup is written into the plan as literals.
 LITERAL_LIMIT = 256
-# Up to here a lookup table is broadcast; beyond, Spark picks the join by size.
-BROADCAST_LIMIT = 200_000
+# Up to here a lookup table's texts are broadcast; beyond, Spark picks the join by size.
+BROADCAST_BYTES = 8_000_000
+# Patterns of one projection; more are spread over several.
+PATTERNS_PER_STEP = 256
 
 _NO_TEXT = "CAST(NULL AS string)"
 
@@ -51,9 +53,14 @@ def with_computed(df: DataFrame, **columns: str) -> DataFrame:
     return df.selectExpr("*", f"inline(array(struct({fields})))")
 
 
-def lookup_join(df: DataFrame, table: DataFrame, n_rows: int, on: Column) -> DataFrame:
-    """Left join with a lookup table of a known number of rows."""
-    return df.join(F.broadcast(table) if n_rows <= BROADCAST_LIMIT else table, on, "left")
+def lookup_join(df: DataFrame, table: DataFrame, texts: Iterable[str], on: Column) -> DataFrame:
+    """Left join with a lookup table that holds ``texts``."""
+    size = sum(len(text.encode()) + 16 for text in texts)
+    return df.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, on, "left")
+
+
+def _pairs(owners: dict[str, str]) -> Iterable[str]:
+    return (text for pair in owners.items() for text in pair)
 
 
 # --- hosts ------------------------------------------------------------------
@@ -108,7 +115,7 @@ def join_host_signature(df: DataFrame, host: str, registry: Registry, out: str)
             f"_dom{n} string, _sig{n} string",
         )
         on = last_labels(F.col(host), n) == F.col(f"_dom{n}")
-        df = lookup_join(df, table, len(domains), on).drop(f"_dom{n}")
+        df = lookup_join(df, table, _pairs(domains), on).drop(f"_dom{n}")
         found.append(f"_sig{n}")
     nothing = F.lit(None).cast("string")
     return df.withColumn(out, F.least(*found, nothing, nothing)).drop(*found)
@@ -166,16 +173,19 @@ def join_program_signature(
     )
     cut = names.select("_name", F.expr(f"explode(array_distinct(flatten(array({pieces}))))").alias("_piece"))
     matched = (
-        lookup_join(cut, table, len(owners), F.col("_piece") == F.col("_part"))
+        lookup_join(cut, table, _pairs(owners), F.col("_piece") == F.col("_part"))
         .filter("_sig IS NOT NULL")
         .groupBy("_name")
         .agg(F.min("_sig").alias("_sig"))
     )
     found = F.least(F.col("_sig"), F.when(F.col(name).isNotNull(), F.lit(always)).cast("string"))
+    # rows without a name match nothing, but may be most rows: they spread over all tasks
+    nowhere = F.concat(F.lit("\x01"), (F.monotonically_increasing_id() % 1024).cast("string"))
     return (
-        df.join(matched, F.col(name) == F.col("_name"), "left")
+        df.withColumn("_key", F.coalesce(F.col(name), nowhere))
+        .join(matched, F.col("_key") == F.col("_name"), "left")
         .withColumn(out, found)
-        .drop("_name", "_sig")
+        .drop("_name", "_sig", "_key")
     )
 
 
@@ -235,7 +245,8 @@ def with_signature_info(df: DataFrame, registry: Registry) -> DataFrame:
     table = registry.frame(df.sparkSession).select(
         F.col("id").alias("_id"), F.struct("name", "risk_base", "tags").alias("signature")
     )
-    return lookup_join(df, table, len(registry), F.col("signature_id") == F.col("_id")).drop("_id")
+    texts = (text for sig in registry.all() for text in (sig.id, sig.name, *sig.tags))
+    return lookup_join(df, table, texts, F.col("signature_id") == F.col("_id")).drop("_id")
 
 
 # --- sensitive patterns -------------------------------------------------------
@@ -308,36 +319,22 @@ def _hit_sql(text: str, sig: Signature) -> list[str]:
 def with_dlp_matches(df: DataFrame, text: str, registry: Registry) -> DataFrame:
     """Add ``dlp_matches`` of the matched signature in column ``text``.
 
-    With few patterns each is a literal, compiled once per task; with many,
-    the signature's own list comes along by join and is tried row by row.
+    Each pattern is a literal, compiled once per task, in the branch of its
+    signature. Branches of more patterns than one projection should hold go to
+    several, of which a row takes the one with its signature.
     """
     registry = usable_patterns(df.sparkSession, registry)
-    n_patterns = sum(len(sig.dlp_patterns) for sig in registry.all())
-    if n_patterns <= LITERAL_LIMIT:
+    steps: list[list[Signature]] = [[]]
+    for sig in registry.all():
+        if sum(len(s.dlp_patterns) for s in steps[-1]) >= PATTERNS_PER_STEP:
+            steps.append([])
+        steps[-1].append(sig)
+    if len(steps) == 1:
         return df.withColumn("dlp_matches", dlp_matches("signature_id", text, registry))
-    rows = [
-        {
-            "_id": sig.id,
-            "_patterns": [
-                {"id": p.id, "pattern": spark_regex(p.pattern), "severity": _severity(p.severity)}
-                for p in sig.dlp_patterns
-            ],
-        }
-        for sig in registry.all()
-    ]
-    table = local_frame(
-        df.sparkSession,
-        rows,
-        "_id string, _patterns array<struct<id:string,pattern:string,severity:string>>",
-    )
-    df = lookup_join(df, table, len(registry), F.col("signature_id") == F.col("_id"))
-    found = f"""transform(
-        filter(_patterns, p -> coalesce(rlike({text}, p.pattern), false)),
-        p -> named_struct('pattern_id', p.id, 'description', concat('DLP match: ', p.id),
-            'severity', p.severity))"""
-    return df.withColumn("dlp_matches", F.expr(f"coalesce({found}, {_NO_MATCHES})")).drop(
-        "_id", "_patterns"
-    )
+    names = [f"_dlp_{k}" for k in range(len(steps))]
+    for name, step in zip(names, steps, strict=True):
+        df = df.withColumn(name, dlp_matches("signature_id", text, Registry.of(step)))
+    return df.withColumn("dlp_matches", F.concat(*names)).drop(*names)
 
 
 def all_pattern_hits(df: DataFrame, text: str, registry: Registry) -> DataFrame:

@@ -57,11 +57,26 @@ def apply_policy(scored: DataFrame, policy: Policy) -> DataFrame:
 
     Takes ``signature_id``, ``tags``, ``dlp_matches`` and ``risk_score``.
     """
+    return _governed(scored.withColumn("_verdict", verdict(policy)))
+
+
+def apply_policies(scored: DataFrame, policies: dict[str, Policy]) -> DataFrame:
+    """``apply_policy`` for several policies in one scan: a row for each, named in ``policy_id``."""
+    answers = [
+        F.struct(F.lit(name).alias("policy_id"), verdict(policy).alias("verdict"))
+        for name, policy in policies.items()
+    ]
+    each = scored.withColumn("_answer", F.explode(F.array(*answers)))
+    each = each.withColumns({"policy_id": F.col("_answer.policy_id"), "_verdict": F.col("_answer.verdict")})
+    return _governed(each.drop("_answer"))
+
+
+def _governed(judged: DataFrame) -> DataFrame:
+    """Rows with a ``_verdict`` -> action, rule, and the score it leaves."""
     override = f"least(_verdict.score_override, {MAX_SCORE})"
     overridden = f"IF(_verdict.score_override IS NULL, risk_score, {override})"
     return (
-        scored.withColumn("_verdict", verdict(policy))
-        .withColumns(
+        judged.withColumns(
             {
                 "risk_score": F.expr(overridden),
                 "policy_action": F.col("_verdict.action"),

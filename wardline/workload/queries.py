@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,19 +167,9 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _actions(spark: SparkSession, sf_dir: str, policies: dict[str, Policy]) -> DataFrame:
-    scored = _scored(spark, sf_dir)
-    governed = [
-        rules.apply_policy(scored, policy).select(
-            F.lit(name).alias("policy_id"),
-            "event_id",
-            "risk_score",
-            "risk_level",
-            "policy_action",
-            "matched_rule",
-        )
-        for name, policy in policies.items()
-    ]
-    return reduce(DataFrame.unionByName, governed)
+    return rules.apply_policies(_scored(spark, sf_dir), policies).select(
+        "policy_id", "event_id", "risk_score", "risk_level", "policy_action", "matched_rule"
+    )
 
 
 def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
