@@ -20,6 +20,7 @@ from wardline.llm import (
     token_files,
 )
 from wardline.llm.common import scratch_dir
+from wardline.llm.oracle import oracle_sql as oracle_sql
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_substring_dedup": op10_substring_dedup,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
