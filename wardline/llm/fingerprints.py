@@ -36,6 +36,8 @@ from wardline.llm.common import ordered, stored
 
 EXACT, SIGNS, BITS = 8, 3, 20
 MASK = (1 << 60) - 1
+#: documents whose fingerprints one window holds
+BLOCK = 2048
 #: one bit in each of the three 20-bit fields of an entry
 FIELD_BITS = 1 | 1 << BITS | 1 << 2 * BITS
 FIELD = (1 << BITS) - 1
@@ -103,33 +105,39 @@ def likeness(name: str, other: str) -> Column:
 
 
 def with_next(keyed: DataFrame) -> DataFrame:
-    """From rows (doc_id, h, n): one per (doc_id, h) with _part, _pos, next_id, next_h.
+    """From rows (doc_id, h, n): one per (doc_id, h), its place g from 0, next_id and next_h.
 
     Ascending; the first follows the last.
     """
     rows = ordered(keyed.distinct(), "doc_id", "h")
-    heads = rows.where("_pos = 0").select("_part", F.struct("doc_id", "h").alias("head"))
+    parts = rows.groupBy("_part").agg(
+        F.count("*").alias("_n"), F.min_by(F.struct("doc_id", "h"), "_pos").alias("head")
+    )
     # one row per partition
-    all_heads = Window.orderBy("_part")
-    heads = heads.select(
+    all_parts, first = Window.orderBy("_part"), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.select(
         F.col("_part").alias("_p"),
-        F.coalesce(
-            F.lead("head").over(all_heads), F.first("head").over(all_heads.rowsBetween(Window.unboundedPreceding, 0))
-        ).alias("after"),
+        F.coalesce(F.sum("_n").over(first) - F.col("_n"), F.lit(0)).alias("before"),
+        F.coalesce(F.lead("head").over(all_parts), F.first("head").over(first)).alias("after"),
     )
     here = Window.partitionBy("_part").orderBy("_pos")
     following = F.lead(F.struct("doc_id", "h")).over(here)
-    rows = rows.withColumn("next", following).join(heads, F.col("_part") == F.col("_p"))
+    rows = rows.withColumn("next", following).join(parts, F.col("_part") == F.col("_p"))
     following = F.coalesce("next", "after")
     return stored(
         rows.select(
-            "doc_id", "h", "n", "_part", "_pos", following["doc_id"].alias("next_id"), following["h"].alias("next_h")
+            "doc_id",
+            "h",
+            "n",
+            (F.col("before") + F.col("_pos")).alias("g"),
+            following["doc_id"].alias("next_id"),
+            following["h"].alias("next_h"),
         )
     )
 
 
 def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h, text, edited, _part, _pos: the last quarter replaced by the next text's beginning.
+    """doc_id, h, text, edited, n, g: the last quarter replaced by the next text's beginning.
 
     Whole texts are shuffled once; the beginnings, a quarter of that, once more.
     """
@@ -146,7 +154,7 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("own_id", "own_h")
         .agg(F.max("begin").alias("begin"))
     )
-    places = following.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), "n", "_part", "_pos")
+    places = following.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), "n", "g")
     return (
         texts.join(begins, same(("doc_id", "h"), ("own_id", "own_h")))
         .join(places, same(("doc_id", "h"), ("p_id", "p_h")))
@@ -156,8 +164,7 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "text",
             F.expr("concat(substring(text, 1, CAST(n - n div 4 AS INT)), begin)").alias("edited"),
             "n",
-            "_part",
-            "_pos",
+            "g",
         )
     )
 
@@ -172,19 +179,16 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     rows = fingerprint(fingerprint(rows, "text", "fp"), "edited", "efp").drop("text", "edited")
     rows = stored(rows)
-    # the next document's fingerprint: each part also gets a copy of the next part's first row
-    last = rows.agg(F.max("_part")).first()[0] or 0
-    parts = Window.orderBy("_part")
-    heads = rows.where("_pos = 0").dropDuplicates(["_part"])
-    before = F.coalesce(F.lag("_part").over(parts), F.lit(last))
-    heads = heads.select("_part", "fp").withColumn("_before", before)
-    heads = heads.select(F.col("_before").alias("_part"), F.lit(2**62).alias("_pos"), "fp")
+    # the next document's fingerprint: blocks of places, each with a copy of the next block's first
+    total = (rows.agg(F.max("g")).first()[0] or 0) + 1
+    block, own = F.expr(f"g div {BLOCK}").alias("block"), [rows[c] for c in rows.columns]
+    place = F.expr(f"IF(g = 0, {total}, g)")
+    heads = rows.where(f"g % {BLOCK} = 0").select("fp", place.alias("g")).dropDuplicates(["g"])
+    heads = heads.withColumn("block", F.expr(f"(g - 1) div {BLOCK}"))
     # from the end backwards, the last row so far with a higher place (repeated rows share one)
-    back = Window.partitionBy("_part").orderBy(F.desc("_pos"))
-    both = rows.withColumn("_real", F.lit(True)).unionByName(heads, allowMissingColumns=True)
-    both = both.withColumn(
-        "next_fp", F.last("fp").over(back.rangeBetween(Window.unboundedPreceding, -1))
-    )
+    back = Window.partitionBy("block").orderBy(F.desc("g"))
+    both = rows.select(*own, block, F.lit(True).alias("_real")).unionByName(heads, allowMissingColumns=True)
+    both = both.withColumn("next_fp", F.last("fp").over(back.rangeBetween(Window.unboundedPreceding, -1)))
     return both.where("_real").select(
         "doc_id",
         F.col("n").alias("n_chars"),
