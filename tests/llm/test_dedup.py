@@ -95,17 +95,29 @@ def test_signature_distance_counts_slots():
     a, b = (near_dedup.signature(near_dedup.shingles(t)) for t in ("a b c d e f g", "a b c d e x y z"))
 
     def slots(sig):
-        return [int(x) >> near_dedup.LANE * k & 0x3FFF for x in sig for k in range(near_dedup.CHUNK)]
+        first = sig[: near_dedup.CHUNKS]
+        return [int(x) >> near_dedup.LANE * k & 0x3FFF for x in first for k in range(near_dedup.CHUNK)]
 
     differ = sum(x != y for x, y in zip(slots(a), slots(b), strict=True))
     counted = reduce(
         lambda n, xy: n + bin((int(xy[0]) ^ int(xy[1])) + near_dedup.LOW_BITS & near_dedup.TOP_BITS).count("1"),
-        zip(a, b, strict=True),
+        zip(a[: near_dedup.CHUNKS], b[: near_dedup.CHUNKS], strict=True),
         0,
     )
     assert counted == differ > 0
 
 
+def test_further_slots_estimate_the_similarity():
+    def further(sig):
+        return [int(x) >> near_dedup.FIELD * k & 0xF for x in sig[near_dedup.CHUNKS :] for k in range(near_dedup.FIELDS)]
+
+    words = [f"w{k}" for k in range(400)]
+    a, b = (near_dedup.signature(near_dedup.shingles(" ".join(w))) for w in (words, words[:340] + ["x"] * 60))
+    differ = sum(x != y for x, y in zip(further(a), further(b), strict=True))
+    share = 336 / (396 + 396 + 0 - 336 - 55)  # the repeated word makes few distinct shingles
+    assert len(further(a)) == near_dedup.FURTHER and abs(differ - near_dedup.FURTHER * (1 - share) * 15 / 16) < 30
+
+
 def test_components(spark):
     random.seed(8)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(220)]

@@ -3,25 +3,32 @@
 A document's set holds the hashes of its distinct five-word shingles. Documents
 with equal sets are one node from the start. A node's signature has ``SLOTS``
 slots of 14 bits; two nodes' distance is the number of slots that differ, on
-average ``SLOTS * (1 - similarity)``.
+average ``SLOTS * (1 - similarity)``. ``FURTHER`` slots of 4 bits follow, which
+only sharpen the distance of pairs that have met.
 
-The signature is split into 16 chunks of four slots. Of two signatures that
-differ in at most ``DISTANCE`` = 31 slots some chunk differs in at most one
+The first part is split into 16 chunks of four slots. Of two signatures that
+differ in at most ``DISTANCE`` = 31 of its slots some chunk differs in at most one
 (2 * 16 > 31), so each node is filed under each chunk with each one of its slots
 left out: 64 keys, and all pairs within the distance share one. A pair at the
-threshold of 0.75 lies beyond the distance with a chance of about 1 in 100,000.
+threshold of 0.75 lies beyond this distance, or beyond ``WHOLE_DISTANCE`` of all
+slots, with a chance of about 1 in 50,000.
 
 Pairs of a key are not enumerated:
 
-1. each node of a key is compared with the key's smallest node only; pairs within
-   the distance are confirmed on the whole texts, and confirmed links joined up;
-2. keys whose nodes then belong to one component are done. In the others, nodes
-   of different components are compared, distance and size first inside the join,
-   and again confirmed on the whole texts.
+1. Each node of a key is compared with one node only, the one that meets most
+   others over all its keys; in a group of edited copies that is close to the
+   original. Pairs within the distance are confirmed on whole texts, and
+   confirmed links joined up to components.
+2. Keys whose nodes then belong to one component are done. In the others, nodes
+   of different components are compared, at the first key that they share. Sizes,
+   distance, and how many shingles of each node occur in any other node left (an
+   upper bound of what two nodes can share) are tested inside the join; what
+   passes is again confirmed on whole texts.
 
 So every pair that shares a key is linked, known to be in one component, or
 compared. Components are found by alternating large-star and small-star steps.
 Hot keys are counted with map-side aggregation, and Spark splits them in joins.
+Texts of nodes that share a key are shuffled once, at every size of input.
 
 Defined cases: a null text counts as empty; texts without words have an empty set
 and are linked with nothing. A text of fewer words than a shingle is one shingle.
@@ -45,19 +52,27 @@ from wardline.llm.common import numbered, ship, stored
 WORDS, SIMILARITY = 5, 75
 SLOTS, CHUNK, LANE = 64, 4, 15
 CHUNKS, DISTANCE = SLOTS // CHUNK, 2 * (SLOTS // CHUNK) - 1
+#: more slots, of 4 bits in fields of 5, twelve to a long; they differ by chance 15 times of 16
+FURTHER, FIELD, FIELDS = 192, 5, 12
+#: 61 slots differ on average at the threshold, with a standard deviation of 6.8
+WHOLE_DISTANCE = 90
 #: shingles hashed to slots at once
-BLOCK = 4096
+BLOCK = 512
 #: the fields of a chunk, all bits but the top one of each, and the top ones
 LOW_BITS = sum(0x3FFF << LANE * k for k in range(CHUNK))
 TOP_BITS = sum(0x4000 << LANE * k for k in range(CHUNK))
 
+LOW_FIELDS = sum(0xF << FIELD * k for k in range(FIELDS))
+TOP_FIELDS = sum(0x10 << FIELD * k for k in range(FIELDS))
+
 SETS = "doc_id bigint, h bigint, n_shingles bigint, node binary, sig array<bigint>"
 
 _RANDOM = np.random.default_rng(20)
 _STEPS = _RANDOM.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
-_FLIPS = _RANDOM.integers(0, 2**63, (SLOTS, 1), dtype=np.uint64)
-_FACTORS = _RANDOM.integers(1, 2**63, (SLOTS, 1), dtype=np.uint64) | np.uint64(1)
+_FLIPS = _RANDOM.integers(0, 2**63, (SLOTS + FURTHER, 1), dtype=np.uint64)
+_FACTORS = _RANDOM.integers(1, 2**63, (SLOTS + FURTHER, 1), dtype=np.uint64) | np.uint64(1)
 _LANES = np.array([LANE * k for k in range(CHUNK)], np.uint64)
+_FIELD_LANES = np.array([FIELD * k for k in range(FIELDS)], np.uint64)
 
 
 class _WordHashes(dict):
@@ -97,13 +112,15 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """A long for each chunk: four fields of 15 bits with 14-bit slots."""
-    least = np.full(SLOTS, 2**64 - 1, np.uint64)
+    """A long for each chunk, four fields of 15 bits with 14-bit slots; then the further slots."""
+    least = np.full(SLOTS + FURTHER, 2**64 - 1, np.uint64)
     for start in range(0, len(hashes), BLOCK):
         values = (hashes[start : start + BLOCK] ^ _FLIPS) * _FACTORS
         least = np.minimum(least, values.min(axis=1))
-    slots = mixed_bits(least) >> np.uint64(50)
-    return (slots.reshape(CHUNKS, CHUNK) << _LANES).sum(axis=1).astype(np.int64)
+    bits = mixed_bits(least)
+    slots = (bits[:SLOTS] >> np.uint64(50)).reshape(CHUNKS, CHUNK) << _LANES
+    further = (bits[SLOTS:] >> np.uint64(60)).reshape(-1, FIELDS) << _FIELD_LANES
+    return np.concatenate([slots.sum(axis=1), further.sum(axis=1)]).astype(np.int64)
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,17 +172,18 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
 
 
 def index_keys(nodes: DataFrame) -> DataFrame:
-    """(key, no): each chunk with each slot left out; the free field holds which it was."""
-    chunks = nodes.select("no", F.posexplode("sig").alias("chunk", "bits"))
+    """(key, tag, no): each chunk with each slot left out; the free field holds which it was, the tag."""
+    chunks = nodes.select("no", F.posexplode(F.slice("sig", 1, CHUNKS)).alias("chunk", "bits"))
     variants = ", ".join(
-        f"(bits & {~(0x7FFF << LANE * k)}L) | shiftleft(CAST(chunk * {CHUNK} + {k} AS BIGINT), {LANE * k})"
+        f"struct((bits & {~(0x7FFF << LANE * k)}L) | shiftleft(CAST(chunk * {CHUNK} + {k} AS BIGINT), {LANE * k}) AS key,"
+        f" chunk * {CHUNK} + {k} AS tag)"
         for k in range(CHUNK)
     )
-    return chunks.select(F.expr(f"explode(array({variants}))").alias("key"), "no")
+    return chunks.select("no", F.expr(f"inline(array({variants}))")).select("key", "tag", "no")
 
 
 def distance(a: str, b: str) -> str:
-    """The number of slots in which two signatures differ, as an expression.
+    """The number of slots in which the first parts of two signatures differ, as an expression.
 
     In a field that differs, adding the largest slot value carries into its top bit.
     """
@@ -174,10 +192,29 @@ def distance(a: str, b: str) -> str:
     )
 
 
+def further_distance(a: str, b: str) -> str:
+    """The same of the further slots."""
+    return " + ".join(
+        f"bit_count((({a}[{k}] ^ {b}[{k}]) + {LOW_FIELDS}L) & {TOP_FIELDS}L)"
+        for k in range(CHUNKS, CHUNKS + FURTHER // FIELDS)
+    )
+
+
+def first_tag(a: str, b: str) -> str:
+    """The smallest tag that two signatures share: of the first chunk that differs in at most one slot."""
+    cases = []
+    for k in range(CHUNKS):
+        differs = f"(({a}[{k}] ^ {b}[{k}]) + {LOW_BITS}L) & {TOP_BITS}L"
+        slots = " ".join(f"WHEN {1 << 14 + LANE * e}L THEN {CHUNK * k + e}" for e in range(CHUNK))
+        cases.append(f"CASE {differs} WHEN 0L THEN {CHUNK * k} {slots} END")
+    return f"coalesce({', '.join(cases)})"
+
+
 def may_link(a: str, b: str, similarity: int) -> str:
     """Sizes that allow the similarity, and signatures within the distance."""
     sizes = f"100 * least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n)"
-    return f"{sizes} AND {distance(f'{a}.sig', f'{b}.sig')} <= {DISTANCE}"
+    near, further = (f(f"{a}.sig", f"{b}.sig") for f in (distance, further_distance))
+    return f"{sizes} AND {near} <= {DISTANCE} AND {near} + {further} <= {WHOLE_DISTANCE}"
 
 
 def within_distance(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
@@ -191,15 +228,18 @@ def within_distance(pairs: DataFrame, nodes: DataFrame, similarity: int) -> Data
     )
 
 
-def confirmed(
-    pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: int
-) -> DataFrame:
-    """The pairs whose whole sets are similar enough; texts of paired nodes only."""
-    pairs = stored(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    wanted = stored(wanted.join(nodes, "no").select("no", F.col("low").alias("_low"), F.col("h").alias("_h")))
-    texts = keyed.join(wanted, F.expr("doc_id <=> _low AND h = _h")).select("no", "text")
-    texts = stored(texts.dropDuplicates(["no"]))
+def texts_of(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(no, text), stored, of one document for each node (no, low, h).
+
+    The list of nodes grows with the documents, so it is never broadcast.
+    """
+    wanted = nodes.select("no", F.col("low").alias("_low"), F.col("h").alias("_h"))
+    found = keyed.join(wanted.hint("merge"), F.expr("doc_id <=> _low AND h = _h"))
+    return stored(found.select("no", "text").dropDuplicates(["no"]))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
     left, right = (texts.toDF(side, f"text_{side}") for side in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
@@ -217,6 +257,37 @@ def confirmed(
     return stored(both.mapInArrow(check, "a bigint, b bigint"))
 
 
+def shared_sizes(texts: DataFrame) -> DataFrame:
+    """(no, shared): how many shingles of each text occur in another of the texts too.
+
+    Shingles are sorted over range partitions; those with an equal neighbour are
+    counted. At the edges of a partition a shingle counts without knowing, which
+    only raises the bound.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shingles(text.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"shingle": found, "no": np.full(len(found), no)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, no = (batch.column(k).to_numpy() for k in (0, 1))
+            same = shingle[1:] == shingle[:-1]
+            # the first row of a batch may equal the last one before, the last row the next
+            again = np.append(True, same) | np.append(same, True)
+            counted, times = np.unique(no[again], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"no": counted, "shared": times})
+
+    rows = stored(texts.mapInArrow(explode, "shingle bigint, no bigint"))
+    ranged = rows.repartitionByRange("shingle", "no").sortWithinPartitions("shingle", "no")
+    counts = ranged.mapInArrow(count, "no bigint, shared bigint")
+    return counts.groupBy("no").agg(F.sum("shared").alias("shared"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(no, root) for every node with an edge (a, b): root is the smallest node of its component."""
     now = stored(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u > v").distinct())
@@ -248,30 +319,40 @@ def similar_components(
     nodes = distinct_sets(sets)
     keyed = _keyed(docs, id_col, text_col)
     keys = index_keys(nodes)
-    hubs = keys.groupBy("key").agg(F.min("no").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    filed = stored(keys.join(hubs, "key").select("key", "no", "hub", "c"))
-
-    pairs = filed.where("no <> hub").selectExpr("hub AS a", "no AS b").distinct()
-    links = confirmed(within_distance(pairs, nodes, similarity), nodes, keyed, similarity)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    filed = stored(keys.join(sizes, "key").select("key", "tag", "no", "c"))
+    meets = filed.groupBy("no").agg(F.sum("c").alias("meets"))
+    filed = stored(filed.join(meets, "no").select("key", "tag", "no", "meets"))
+    texts = texts_of(nodes.join(filed.select("no").distinct(), "no"), keyed)
+
+    hubs = filed.groupBy("key").agg(F.max(F.struct("meets", F.expr("-no AS no"))).alias("top"))
+    starred = filed.join(hubs.selectExpr("key", "-top.no AS hub"), "key")
+    pairs = starred.where("no <> hub").selectExpr("least(no, hub) AS a", "greatest(no, hub) AS b").distinct()
+    links = confirmed(within_distance(pairs, nodes, similarity), texts, similarity)
     roots = components(links)
 
     # keys that still hold several components
-    placed = (
-        filed.where("c > 2")
-        .join(roots, "no", "left")
-        .select("key", "no", "hub", F.coalesce("root", "no").alias("root"))
-    )
+    placed = filed.join(roots, "no", "left").select("key", "tag", "no", F.coalesce("root", "no").alias("root"))
+    placed = stored(placed)
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    open_keys = open_keys.where("r0 < r1").select("key")
-    left = placed.where("no <> hub").join(open_keys, "key", "left_semi")
-    left = stored(left.join(nodes.select("no", "n", "sig"), "no").select("key", "no", "root", "n", "sig"))
+    left = placed.join(open_keys.where("r0 < r1").select("key"), "key", "left_semi")
+    left = stored(left)
+    shared = stored(shared_sizes(texts.join(left.select("no").distinct(), "no", "left_semi")))
+    # a node that shares too little with all others can be linked with none of them
+    enough = nodes.join(shared, "no").where(f"100 * shared >= {similarity} * n").select("no", "n", "sig", "shared")
+    left = stored(left.join(enough, "no"))
     x, y = left.alias("x"), left.alias("y")
+    both = "least(x.shared, y.shared)"
     more = x.join(
         y,
-        F.expr(f"x.key = y.key AND x.no < y.no AND x.root <> y.root AND {may_link('x', 'y', similarity)}"),
+        F.expr(
+            f"x.key = y.key AND x.tag = y.tag AND x.no < y.no AND x.root <> y.root"
+            f" AND 100 * {both} >= {similarity} * (x.n + y.n - {both}) AND {may_link('x', 'y', similarity)}"
+            f" AND {first_tag('x.sig', 'y.sig')} = x.tag"
+        ),
     )
-    more = more.selectExpr("x.no AS a", "y.no AS b").distinct()
-    links = links.union(confirmed(more, nodes, keyed, similarity))
+    more = stored(more.selectExpr("x.no AS a", "y.no AS b"))
+    links = links.union(confirmed(more, texts, similarity))
     roots = components(links)
 
     names = nodes.join(roots, "no", "left").select("node", "low", F.coalesce("root", "no").alias("root"))
