@@ -50,6 +50,42 @@ def test_fingerprints_ignore_order_and_follow_edits(spark):
     assert row["sum"] == fp[0] and row["rest"] == fp[2]
 
 
+def test_likeness_of_texts_without_sentences(spark):
+    import random
+
+    def like(*pairs):
+        table = spark.createDataFrame(pairs, "a string, b string")
+        table = fingerprints.fingerprint(fingerprints.fingerprint(table, "a", "fa"), "b", "fb")
+        return [r[0] for r in table.select(fingerprints.likeness("fa", "fb")).collect()]
+
+    random.seed(3)
+    vocabulary = ["".join(random.choice("abcdefghij") for _ in range(random.randrange(2, 9))) for _ in range(3000)]
+    one, other = (" ".join(random.choice(["the", "of"] + random.sample(vocabulary, 3)) for _ in range(1500)) for _ in range(2))
+    han, more = ("".join(chr(random.randrange(0x4E00, 0x5A00)) for _ in range(2000)) for _ in range(2))
+    run, rest = ("".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(8000)) for _ in range(2))
+    for a, b in ((one, other), (han, more), (run, rest)):
+        k = len(a) // 4
+        tail, middle, twice, apart = like(
+            (a, a[: len(a) - k] + b[:k]),
+            (a, a[: 2 * k] + b[:9] + a[2 * k :]),
+            (a, a + a),
+            (a, b),
+        )
+        assert 0.6 < tail < 0.9 and middle > 0.9 and twice > 0.95 and apart < 0.3
+    repeated = "same " * 3000
+    assert like((repeated, repeated[:-3750] + one[:3750]))[0] > 0.5
+
+
+def test_counts_of_many_units_do_not_carry(spark):
+    table = spark.createDataFrame([("a one.", "b two.")], "a string, b string")
+    table = fingerprints.fingerprint(fingerprints.fingerprint(table, "a", "fa"), "b", "fb")
+    row = table.first()
+    many = [(x << 22) & fingerprints.MASK for x in row.fa]
+    table = spark.createDataFrame([(many, row.fa, row.fb)], "many array<long>, fa array<long>, fb array<long>")
+    assert table.select(fingerprints.likeness("many", "fa")).first()[0] > 0.999
+    assert table.select(fingerprints.likeness("many", "fb")).first()[0] < 0.3
+
+
 def test_shards(docs):
     found = sharding.contiguous_shards(docs, 4).collect()
     groups, sizes, slots = defaultdict(set), Counter(), defaultdict(list)

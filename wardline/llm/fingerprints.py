@@ -10,13 +10,20 @@ The vector has three parts:
 
 * ``EXACT`` entries drawn from the SHA-256 of the paragraph; equal sums mean equal
   multisets of paragraphs;
-* ``SIGNS`` hashes of 60 bits of each of its sentences, three bits to an entry and
-  20 bits apart, so that an entry counts, for each of its bits, in how many
-  sentences the bit is set;
-* the number of its sentences.
+* ``SIGNS`` hashes of 60 bits of each of its units, two bits to an entry and 30 bits
+  apart, so that an entry counts, for each of its bits, in how many units the bit is
+  set (a string of Spark's has fewer than 2^30 units, so no count carries over);
+* the number of its units.
+
+A unit is a sentence of up to ``SHORT`` characters or a piece of a longer one. Such a
+sentence is cut after words whose hash is less than those of the three words before
+and after it, so pieces have four words at least, and an edit changes only those near
+it. Pieces without enough words (scripts without spaces, long strings) are cut in the
+same way by the hashes of their runs of characters, and what repeats itself so much
+that this leaves it long, every ``LONG`` characters.
 
 Counted as plus and minus one, the bits are random signs, and the cosine of two
-documents' sums of signs is near the share of sentences that they have in common
+documents' sums of signs is near the share of units that they have in common
 (standard error about 1 / sqrt(180)). ``likeness`` is that cosine, 0 if it is
 negative, and exactly 1 for equal sums.
 
@@ -34,25 +41,58 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import ordered, stored
 
-EXACT, SIGNS, BITS = 8, 3, 20
+EXACT, SIGNS, BITS = 8, 3, 30
 MASK = (1 << 60) - 1
 #: documents whose fingerprints one window holds
 BLOCK = 2048
-#: one bit in each of the three 20-bit fields of an entry
-FIELD_BITS = 1 | 1 << BITS | 1 << 2 * BITS
+#: one bit in each of the two 30-bit fields of an entry
+FIELD_BITS = 1 | 1 << BITS
 FIELD = (1 << BITS) - 1
+#: characters of a sentence that is one unit, and the most of a piece
+SHORT, LONG = 64, 128
+SENTENCE_END = r"\n|(?<=[.!?]) |(?<=[。！？])"
+
+
+def _cut(text: str, space: str, run: int, around: int) -> str:
+    """SQL: ``text`` in pieces, cut after a local minimum of the hashes of ``run`` tokens.
+
+    Tokens lie between ``space``; the hash is less than the ``around`` ones on either side.
+    """
+    tokens = "w" if run == 1 else f"slice(ws, greatest(i - {run - 2}, 1), {run})"
+    hashes = f"transform(ws, (w, i) -> xxhash64({tokens}))"
+    least = (
+        f"i >= {around} AND i < size(ws) - {around + 1} AND hs[i] < hs[i - 1] AND hs[i] < hs[i + 1]"
+        f" AND hs[i] < array_min(slice(hs, i - {around - 1}, {around}))"
+        f" AND hs[i] < array_min(slice(hs, i + 2, {around}))"
+    )
+    marked = f"array_join(transform(ws, (w, i) -> IF({least}, concat(w, '\\n'), w)), '{space}')"
+    # arrays of one entry stand for names of what is used more than once
+    marked = f"transform(array({hashes}), hs -> {marked})[0]"
+    return f"split(transform(array(split({text}, '{space}')), ws -> {marked})[0], r'\\n')"
+
+
+def _units(sentences: str) -> str:
+    """SQL: sentences or their pieces, none of them long."""
+    steps = [
+        (SHORT, _cut("x", " ", 1, 3)),
+        (LONG, _cut("x", "", 8, 16)),
+        (LONG, rf"split(x, r'(?s)(?<=\G.{{{LONG}}})')"),
+    ]
+    for most, pieces in steps:
+        sentences = f"flatten(transform({sentences}, x -> IF(char_length(x) <= {most}, array(x), {pieces})))"
+    return f"filter({sentences}, x -> x <> '')"
 
 
 def fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
     """``df`` with the fingerprint of ``text_col`` as an array of longs."""
-    lines, parts = f"_{name}_lines", [f"_{name}_s{k}" for k in range(SIGNS)]
+    lines, units, parts = f"_{name}_lines", f"_{name}_units", [f"_{name}_s{k}" for k in range(SIGNS)]
     split = f"filter(split(`{text_col}`, r'\\n'), x -> x <> '')"
-    sentences = f"filter(split(`{text_col}`, r'\\n|(?<=[.!?]) '), x -> x <> '')"
-    # hashes first, in a step of their own: each is used by many entries
-    hashed = df.withColumns(
+    sentences = f"filter(split(`{text_col}`, r'{SENTENCE_END}'), x -> x <> '')"
+    # units and hashes first, in steps of their own: each is used by many entries
+    hashed = df.withColumn(units, F.expr(_units(sentences))).withColumns(
         {
             lines: F.expr(f"transform({split}, x -> sha2(x, 256))"),
-            **{p: F.expr(f"transform({sentences}, x -> xxhash64(x, {k}))") for k, p in enumerate(parts)},
+            **{p: F.expr(f"transform(`{units}`, x -> xxhash64(x, {k}))") for k, p in enumerate(parts)},
         }
     )
     entries = [
@@ -60,12 +100,12 @@ def fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
         for k in range(EXACT)
     ]
     entries += [
-        f"aggregate(`{p}`, 0L, (a, x) -> (a + (shiftright(x, {bit}) & {FIELD_BITS}L)) & {MASK}L)"
+        f"aggregate(`{p}`, 0L, (a, x) -> a + (shiftright(x, {bit}) & {FIELD_BITS}L))"
         for p in parts
         for bit in range(BITS)
     ]
     entries.append(f"CAST(size(`{parts[0]}`) AS BIGINT)")
-    return hashed.withColumn(name, F.expr(f"array({', '.join(entries)})")).drop(lines, *parts)
+    return hashed.withColumn(name, F.expr(f"array({', '.join(entries)})")).drop(lines, units, *parts)
 
 
 def inserted(fingerprints: Column, more: Column) -> Column:
@@ -88,7 +128,7 @@ def _signed(name: str, other: str) -> str:
     na, nb = f"`{name}`[{EXACT + SIGNS * BITS}]", f"`{other}`[{EXACT + SIGNS * BITS}]"
     terms = " + ".join(
         f"(2 * (shiftright(a, {s}) & {FIELD}L) - {na}) * (2 * (shiftright(b, {s}) & {FIELD}L) - {nb})"
-        for s in (0, BITS, 2 * BITS)
+        for s in (0, BITS)
     )
     part = f"{EXACT + 1}, {SIGNS * BITS}"
     products = f"zip_with(slice(`{name}`, {part}), slice(`{other}`, {part}), (a, b) -> CAST({terms} AS DOUBLE))"
