@@ -182,3 +182,11 @@ def test_changes_combine_copies(docs):
     changes = exact_dedup._changes(keyed, 2, 1).toPandas()
     assert isinstance(changes, pd.DataFrame) and changes["live"].max() > 1
     assert changes["live"].sum() == docs.count()
+
+
+def test_links_at_the_threshold_are_not_pruned():
+    for similarity, mean, deviation in ((75, 61, 6.8), (60, 97.6, 7.7), (90, 24.4, 4.7)):
+        limit = near_dedup.whole_distance(similarity)
+        assert mean + 6.5 * deviation < limit < mean + 9 * deviation
+    assert near_dedup.whole_distance(100) == 0
+    assert f"<= {near_dedup.whole_distance(60)}" in near_dedup.may_link("x", "y", 60)

@@ -9,9 +9,11 @@ only sharpen the distance of pairs that have met.
 The first part is split into 16 chunks of four slots. Of two signatures that
 differ in at most ``DISTANCE`` = 31 of its slots some chunk differs in at most one
 (2 * 16 > 31), so each node is filed under each chunk with each one of its slots
-left out: 64 keys, and all pairs within the distance share one. A pair at the
-threshold of 0.75 lies beyond this distance, or beyond ``WHOLE_DISTANCE`` of all
-slots, with a chance of about 1 in 50,000.
+left out: 64 keys, and all pairs within the distance share one. A pair at a
+similarity of 0.75 lies beyond it with a chance of 1.46e-5, at 0.6 of 7 in 100; those
+beyond are still linked if they share a key. Pairs that have met are tested against
+``whole_distance`` of all slots, which a pair at the similarity asked for exceeds
+with a chance of at most ``MISS`` = 1e-12.
 
 Pairs of a key are not enumerated:
 
@@ -54,8 +56,8 @@ SLOTS, CHUNK, LANE = 64, 4, 15
 CHUNKS, DISTANCE = SLOTS // CHUNK, 2 * (SLOTS // CHUNK) - 1
 #: more slots, of 4 bits in fields of 5, twelve to a long; they differ by chance 15 times of 16
 FURTHER, FIELD, FIELDS = 192, 5, 12
-#: 61 slots differ on average at the threshold, with a standard deviation of 6.8
-WHOLE_DISTANCE = 90
+#: chance that a pair at the threshold differs in more slots than its limit
+MISS = 1e-12
 #: shingles hashed to slots at once
 BLOCK = 512
 #: the fields of a chunk, all bits but the top one of each, and the top ones
@@ -210,11 +212,22 @@ def first_tag(a: str, b: str) -> str:
     return f"coalesce({', '.join(cases)})"
 
 
+def whole_distance(similarity: int) -> int:
+    """Slots that may differ: a pair of this similarity exceeds them with a chance of ``MISS`` at most."""
+    chances = np.ones(1)
+    for slots, bits in ((SLOTS, 14), (FURTHER, 4)):
+        differs = (1 - similarity / 100) * (1 - 0.5**bits)
+        for _ in range(slots):
+            chances = np.convolve(chances, [1 - differs, differs])
+    beyond = np.append(np.cumsum(chances[::-1])[::-1][1:], 0.0)
+    return int(np.argmax(beyond <= MISS))
+
+
 def may_link(a: str, b: str, similarity: int) -> str:
-    """Sizes that allow the similarity, and signatures within the distance."""
+    """Sizes that allow the similarity, and signatures within its distance."""
     sizes = f"100 * least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n)"
     near, further = (f(f"{a}.sig", f"{b}.sig") for f in (distance, further_distance))
-    return f"{sizes} AND {near} <= {DISTANCE} AND {near} + {further} <= {WHOLE_DISTANCE}"
+    return f"{sizes} AND {near} + {further} <= {whole_distance(similarity)}"
 
 
 def within_distance(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
