@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardline.llm import (
     exact_dedup,
     fingerprints,
+    hard_negatives,
     mixing,
     near_dedup,
     packing,
@@ -17,7 +18,9 @@ from wardline.llm import (
     secrets_scan,
     sharding,
     substring_dedup,
+    token_alignment,
     token_files,
+    url_filter,
 )
 from wardline.llm.common import scratch_dir
 from wardline.llm.oracle import oracle_sql as oracle_sql
@@ -94,6 +97,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(documents(spark, sf_dir))
 
 
+#: fixed values: the rules that the query applies
+URL_RULES = (
+    "allow org/",
+    "block example.org/es/",
+    "block example.org/en/1",
+    "allow com/fr/",
+    "block com/de/",
+)
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judged(pages, [url_filter.rule_of(text) for text in URL_RULES])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), "id % 100 = 0")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(
+        documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -106,4 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_url_filter": op11_url_filter,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_token_alignment": op13_token_alignment,
     }
