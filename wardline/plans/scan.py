@@ -17,6 +17,7 @@ from wardline.operators.matching import (
     with_signature_id,
     with_signature_info,
 )
+from wardline.operators.ranges import join_range_owner
 from wardline.operators.rules import apply_policy
 from wardline.policy import Policy
 from wardline.registry import Registry
@@ -55,13 +56,24 @@ _DETAIL = f"""CASE type
 END"""
 
 
-def match_events(events: DataFrame, registry: Registry) -> DataFrame:
-    """Add ``signature_id``, ``signature`` and ``dlp_matches``; drop what matches nothing."""
+_ADDRESS = "CASE WHEN type = 'network_connection' AND signature_id IS NULL THEN remote_ip END"
+
+
+def match_events(
+    events: DataFrame, registry: Registry, *, ranges: DataFrame | None = None
+) -> DataFrame:
+    """Add ``signature_id``, ``signature`` and ``dlp_matches``; drop what matches nothing.
+
+    With ``ranges`` (cidr, owner: a signature's id), a connection whose host names
+    no service belongs to the owner of the longest range around its address.
+    """
     texts = with_computed(events, _host=_HOST, _program=_PROGRAM, _text=_TEXT)
+    matched = with_signature_id(texts, "_host", "_program", registry)
+    if ranges is not None:
+        matched = join_range_owner(with_computed(matched, _address=_ADDRESS), "_address", ranges, "_owner")
+        matched = matched.withColumn("signature_id", F.coalesce("signature_id", "_owner")).drop("_address", "_owner")
     # only code findings have matches without a signature
-    matched = with_signature_id(texts, "_host", "_program", registry).filter(
-        "signature_id IS NOT NULL OR type = 'codebase_file'"
-    )
+    matched = matched.filter("signature_id IS NOT NULL OR type = 'codebase_file'")
     matched = (
         with_dlp_matches(matched, "_text", registry)
         .withColumn("dlp_matches", F.expr(_DLP_MATCHES))
@@ -71,7 +83,11 @@ def match_events(events: DataFrame, registry: Registry) -> DataFrame:
 
 
 def score_events(
-    events: DataFrame, registry: Registry, *, approved_ids: Collection[str] | None = None
+    events: DataFrame,
+    registry: Registry,
+    *,
+    approved_ids: Collection[str] | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """Matched events with ``tags``, ``detail``, ``risk_score`` and ``risk_level``.
 
@@ -88,7 +104,7 @@ def score_events(
         unapproved,
     )
     return (
-        match_events(events, registry)
+        match_events(events, registry, ranges=ranges)
         .selectExpr(
             "*",
             "signature.name AS service_name",
@@ -107,9 +123,11 @@ def analyze(
     policy: Policy,
     *,
     approved_ids: Collection[str] | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """EVENT rows -> FINDING rows. One event gives at most one finding, of the same id."""
-    governed = apply_policy(score_events(events, registry, approved_ids=approved_ids), policy)
+    scored = score_events(events, registry, approved_ids=approved_ids, ranges=ranges)
+    governed = apply_policy(scored, policy)
     return governed.selectExpr(
         "event_id AS finding_id",
         "ts",

@@ -28,6 +28,9 @@ EVENT_BUILDERS: dict[str, Callable[..., DataFrame]] = {
     "tls_names": telemetry.tls_events,
 }
 
+# Sources whose addresses can be held against ranges.
+RANGED = ["connections", "netstat_lines", "http_payloads", "tls_names"]
+
 # How Spark says that a table is not there.
 ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
 
@@ -57,9 +60,12 @@ def union_events(
     selection: list[str] | None = None,
     *,
     absent: list[str] | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """All events of the selected tables.
 
+    With ``ranges`` (cidr, owner), connections to their addresses count as well.
+
     A table that does not exist counts as empty and is named in ``absent``.
     Anything else, as a table without a needed column, is an error.
     """
@@ -69,7 +75,8 @@ def union_events(
             continue
         try:
             table = tables[name]() if callable(tables[name]) else tables[name]
-            parts.append(EVENT_BUILDERS[name](table, registry))
+            more = {"ranges": ranges} if ranges is not None and name in RANGED else {}
+            parts.append(EVENT_BUILDERS[name](table, registry, **more))
         except AnalysisException as error:
             if error.getCondition() not in ABSENT:
                 raise

@@ -32,6 +32,7 @@ from wardline.operators.matching import (
     url_matches,
     with_computed,
 )
+from wardline.operators.ranges import join_range_owner
 from wardline.operators.secrets import secret_lines
 from wardline.registry import Registry
 from wardline.schemas import as_events
@@ -132,9 +133,11 @@ def parse_netstat(lines: DataFrame) -> DataFrame:
     ).filter("port BETWEEN 0 AND 65535")
 
 
-def netstat_events(lines: DataFrame, registry: Registry) -> DataFrame:
+def netstat_events(
+    lines: DataFrame, registry: Registry, *, ranges: DataFrame | None = None
+) -> DataFrame:
     """``host, ts, line``: connections to known hosts in listings of the system."""
-    return connection_events(parse_netstat(lines), registry)
+    return connection_events(parse_netstat(lines), registry, ranges=ranges)
 
 
 def _network_events(found: DataFrame) -> DataFrame:
@@ -148,14 +151,30 @@ def _network_events(found: DataFrame) -> DataFrame:
     )
 
 
-def connection_events(connections: DataFrame, registry: Registry) -> DataFrame:
-    """``host, ts, remote_ip, port``: connections whose remote address is a known host."""
-    found = keep_host_matches(
-        connections.withColumn("remote_host", F.col("remote_ip")), "remote_host", registry
-    )
+def connection_events(
+    connections: DataFrame, registry: Registry, *, ranges: DataFrame | None = None
+) -> DataFrame:
+    """``host, ts, remote_ip, port``: connections whose remote address is a known host.
+
+    With ``ranges`` (cidr, owner), also those to an address in one of them.
+    """
+    named = connections.withColumn("remote_host", F.col("remote_ip"))
+    found = _known(named, registry, ranges)
     return _network_events(found.withColumn("protocol", F.lit("tcp")))
 
 
+def _known(df: DataFrame, registry: Registry, ranges: DataFrame | None) -> DataFrame:
+    """Rows whose ``remote_host`` is covered or, with ``ranges``, whose ``remote_ip`` lies in one."""
+    if ranges is None:
+        return keep_host_matches(df, "remote_host", registry)
+    owned = join_range_owner(df, "remote_ip", ranges, "_owner")
+    in_range = F.col("_owner").isNotNull()
+    if is_literal_sized(registry):
+        return owned.filter(in_range | host_matches("remote_host", registry)).drop("_owner")
+    owned = join_host_signature(owned, "remote_host", registry, "_hit")
+    return owned.filter(in_range | F.col("_hit").isNotNull()).drop("_owner", "_hit")
+
+
 def reachable_domains(answers: DataFrame, registry: Registry) -> DataFrame:
     """``host, ts, domain, resolved`` -> latest resolving answer per machine and registry domain."""
     resolving = answers.filter("resolved")
@@ -182,8 +201,10 @@ def dns_events(answers: DataFrame, registry: Registry) -> DataFrame:
     return _network_events(found)
 
 
-def http_events(payloads: DataFrame, registry: Registry) -> DataFrame:
-    """``host, ts, dst_ip, port, payload``: requests to a known host or with an authorization."""
+def http_events(
+    payloads: DataFrame, registry: Registry, *, ranges: DataFrame | None = None
+) -> DataFrame:
+    """``host, ts, dst_ip, port, payload``: requests to a known host (or one of ``ranges``) or with an authorization."""
     configure(payloads.sparkSession)
     requests = payloads.filter(
         (F.length("payload") > 0)
@@ -203,6 +224,9 @@ def http_events(payloads: DataFrame, registry: Registry) -> DataFrame:
         F.when(F.size("_headers") > 0, F.col("_headers")).alias("http_headers"),
     )
     has_auth = F.coalesce(F.map_contains_key("http_headers", "authorization"), F.lit(False))
+    if ranges is not None:
+        parsed = join_range_owner(parsed, "remote_ip", ranges, "_owner")
+        has_auth = has_auth | F.col("_owner").isNotNull()
     if is_literal_sized(registry):
         found = parsed.filter(has_auth | host_matches("remote_host", registry))
     else:
@@ -212,8 +236,10 @@ def http_events(payloads: DataFrame, registry: Registry) -> DataFrame:
     return _network_events(found)
 
 
-def tls_events(names: DataFrame, registry: Registry) -> DataFrame:
-    """``host, ts, sni, dst_ip, port``: TLS handshakes naming a known host."""
+def tls_events(
+    names: DataFrame, registry: Registry, *, ranges: DataFrame | None = None
+) -> DataFrame:
+    """``host, ts, sni, dst_ip, port``: TLS handshakes naming a known host, or with one of ``ranges``."""
     tls = names.filter(payload_protocol(F.col("port")) == "https").select(
         "host",
         "ts",
@@ -222,7 +248,7 @@ def tls_events(names: DataFrame, registry: Registry) -> DataFrame:
         "port",
         F.lit("https").alias("protocol"),
     )
-    return _network_events(keep_host_matches(tls, "remote_host", registry))
+    return _network_events(_known(tls, registry, ranges))
 
 
 def code_events(files: DataFrame, registry: Registry | None = None, **options) -> DataFrame:

@@ -6,8 +6,10 @@ hosts by a suffix comparison with every domain, risk and rules as CASE.
 
 from __future__ import annotations
 
+import ipaddress
+
 from wardline.registry import Registry
-from wardline.workload.telemetry import DNS_NAMES, HOSTS, PROGRAMS, SERVICES
+from wardline.workload.telemetry import DNS_NAMES, HOSTS, IP_RANGES, PROGRAMS, SERVICES
 
 DASH = " — "
 
@@ -421,6 +423,61 @@ sends(service, sec) AS (
     FROM sends s WHERE EXISTS (SELECT 1 FROM alerts a WHERE a.service = s.service AND a.sec >= s.sec + 21600))"""
 
 
+def _bounds() -> list[tuple]:
+    """(width, lowest and highest address in hexadecimal, prefix length, owner) of the valid test ranges."""
+    rows = []
+    for owner, texts in IP_RANGES.items():
+        for text in texts:
+            try:
+                net = ipaddress.ip_network(text, strict=False)
+            except ValueError:
+                continue
+            if net.version == 6 and net[0].ipv4_mapped:
+                net = ipaddress.ip_network(f"{net[0].ipv4_mapped}/{net.prefixlen - 96}")
+            width = net.max_prefixlen // 4
+            rows.append((width, f"{int(net[0]):0{width}x}", f"{int(net[-1]):0{width}x}", net.prefixlen, owner))
+    return rows
+
+
+_OCTETS = ("10 + event_id % 3", "event_id % 5", "(event_id * 7) % 256", "(event_id * 13) % 256")
+_QUAD = " || '.' || ".join(f"({part})" for part in _OCTETS)
+_QUAD_HEX = " || ".join(f"printf('%02x', {part})" for part in _OCTETS)
+_ODD = ["fe80::1%en0", "api.openai.com", "10.1.2", "[2001:db8::7]", "::1"]
+_ODD_HEX = [f"{int(ipaddress.ip_address(a)):032x}" if a else "" for a in ("fe80::1", "", "", "2001:db8::7", "::1")]
+_RANGED = f"""
+rng(width, low, high, bits, owner) AS ({_values(_bounds())}),
+ranged AS (SELECT host, ts, {_PORT} AS port, CASE event_id % 8
+        WHEN 4 THEN '2001:db8:' || printf('%x', event_id % 3) || '::' || printf('%x', event_id % 65536)
+        WHEN 5 THEN '2001:0DB8:' || printf('%X', event_id % 3) || ':0:0:0:' || printf('%X', event_id % 16) || ':'
+            || printf('%X', event_id % 256)
+        WHEN 6 THEN '::FFFF:' || {_QUAD} WHEN 7 THEN {_pick(_ODD, 'event_id')} ELSE {_QUAD} END AS remote_ip,
+    CASE event_id % 8
+        WHEN 4 THEN '20010db8' || printf('%04x', event_id % 3) || repeat('0', 16) || printf('%04x', event_id % 65536)
+        WHEN 5 THEN '20010db8' || printf('%04x', event_id % 3) || repeat('0', 12) || printf('%04x', event_id % 16)
+            || printf('%04x', event_id % 256)
+        WHEN 7 THEN {_pick(_ODD_HEX, 'event_id')} ELSE {_QUAD_HEX} END AS hex FROM ev),
+owned AS (SELECT host, ts, port, remote_ip, remote_ip AS remote_host, 'tcp' AS protocol,
+    (SELECT arg_max(r.owner, r.bits) FROM rng r WHERE r.width = length(hex) AND hex BETWEEN r.low AND r.high) AS owner FROM ranged),
+ranged_ev AS (SELECT * FROM owned h WHERE owner IS NOT NULL OR EXISTS (
+    SELECT 1 FROM dom d WHERE h.remote_host = d.domain OR ends_with(h.remote_host, '.' || d.domain)))"""
+_EVENTS["ranged"] = _matched(
+    "network", "ranged_ev", f"coalesce({_HOST_SIG.format('remote_host')}, owner)", "NULL",
+    f"'{DASH}connection to ' || remote_host || ':' || port", *_NETWORK_KEY,
+)
+
+_MANY = """
+WITH addresses AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 184549376 + 4711
+        WHEN 1 THEN 184549376 + (event_id * 7919) % 16777216 ELSE (event_id * 2654435761 + 12345) % 4294967296 END AS n FROM events),
+numbers AS (SELECT event_id, k, CASE WHEN event_id % 3 = 0 THEN 184549376 + (event_id * 97 + k) % 65536 * 256
+        ELSE (event_id * 2654435761 + k * 40503 * event_id) % 4294967296 END AS n, 12 + (event_id + k * 5) % 19 AS bits
+    FROM events, range(10) AS r(k)),
+nets AS (SELECT bits, n >> (32 - bits) AS prefix, min('owner-' || (event_id % 997)) AS owner FROM numbers GROUP BY ALL),
+tried AS (SELECT event_id, n, b AS bits, n >> (32 - b) AS prefix FROM addresses, range(12, 31) AS r(b)),
+met AS (SELECT event_id, arg_max(owner, bits) AS owner FROM tried JOIN nets USING (bits, prefix) GROUP BY event_id)
+SELECT event_id, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS address, owner
+FROM addresses LEFT JOIN met USING (event_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     history = f"WITH {_REGISTRY},{_HISTORY}\n"
     report_end = " ORDER BY history.timestamp DESC, id"
@@ -451,6 +508,8 @@ def oracle_sql() -> dict[str, str]:
                 CAST(ts AS VARCHAR) AS ts, remote_host, dst_ip AS remote_ip, port, 'http' AS protocol,
                 CASE WHEN n_headers > 0 THEN CAST(n_headers AS INT) END AS n_headers, auth AS "authorization", x_ratio FROM http_ev""",
         ),
+        "ip_range_findings": _flat(_RANGED, events=["ranged"]),
+        "ip_range_owners": _MANY,
         "http_log_findings": _flat(_HTTP, events=["http"]),
         "process_findings": _flat(_PROCESSES, events=["processes"]),
         "shell_findings": _flat(_SHELL, events=["shell"]),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.risk import risk_level, risk_score
-from wardline.operators import debounce, dedup, incremental, matching, rules
+from wardline.operators import debounce, dedup, incremental, matching, ranges, rules
 from wardline.operators.updates import updates_due
 from wardline.operators.secrets import secret_lines as find_secret_lines
 from wardline.plans.scan import analyze
@@ -383,6 +384,26 @@ def alert_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ranged_registry() -> Registry:
+    """The bundled registry with the test ranges."""
+    return Registry.of(
+        replace(sig, ip_ranges=tuple(raw.IP_RANGES.get(sig.id, ()))) for sig in Registry.bundled().all()
+    )
+
+
+def ip_range_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = _ranged_registry()
+    table = ranges.registry_ranges(spark, registry)
+    events = sources.connection_events(raw.ranged_connections(spark, sf_dir), registry, ranges=table)
+    return flat_findings(analyze(events, registry, Policy.bundled(), ranges=table))
+
+
+def ip_range_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten ranges for each address; the longest around it."""
+    addresses = raw.many_addresses(spark, sf_dir)
+    return ranges.join_range_owner(addresses, "address", raw.many_ranges(spark, sf_dir), "owner")
+
+
 _QUERIES: list[Query] = [
     visit_findings, latest_visits_per_profile, network_findings, netstat_connections,
     capture_first_connections, dns_reachable_domains, dns_findings, tls_name_findings,
@@ -393,7 +414,7 @@ _QUERIES: list[Query] = [
     findings_latest_by_id, signature_list, stale_signatures, changed_files,
     changed_files_by_commit, changed_files_combined, incremental_secret_lines, stored_findings, findings_json,
     sarif_results, sarif_logs, sarif_logs_in_parts, scan_report_markdown, scan_report_sarif, alert_payload, report_lines, stored_report_lines,
-    markdown_rows, html_rows, alert_debounce,
+    markdown_rows, html_rows, alert_debounce, ip_range_findings, ip_range_owners,
 ]
 
 

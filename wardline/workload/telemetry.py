@@ -76,6 +76,55 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Ranges of the test addresses below; nested ones, both families, one alone, one invalid.
+IP_RANGES = {
+    "openai": ["10.1.0.0/16", "11.0.0.0/8", "2001:db8:1::/48"],
+    "anthropic": ["10.1.112.0/20", "2001:db8::/32", "11.3.35.0/27"],
+    "groq": ["12.4.98.9", "2001:DB8:1:0:0::8:0/110", "::ffff:10.2.0.0/112"],
+    "mistral": ["12.0.0.0/7", "300.1.1.0/24", "fe80::/10"],
+}
+
+
+def ranged_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections to addresses of both families in several spellings."""
+    quad = "concat_ws('.', 10 + event_id % 3, event_id % 5, (event_id * 7) % 256, (event_id * 13) % 256)"
+    return derived(
+        _events(spark, sf_dir),
+        "host",
+        "ts",
+        f"""CASE event_id % 8
+            WHEN 4 THEN concat('2001:db8:', lower(hex(event_id % 3)), '::', lower(hex(event_id % 65536)))
+            WHEN 5 THEN concat('2001:0DB8:', hex(event_id % 3), ':0:0:0:', hex(event_id % 16), ':', hex(event_id % 256))
+            WHEN 6 THEN concat('::FFFF:', {quad})
+            WHEN 7 THEN {pick(['fe80::1%en0', 'api.openai.com', '10.1.2', '[2001:db8::7]', '::1'], 'event_id')}
+            ELSE {quad} END AS remote_ip""",
+        f"{pick([443, 80, 8080, 22], 'event_id')} AS port",
+    )
+
+
+def many_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten ranges an event, from /12 to /30; every third event repeats the ranges of one network."""
+    number = "(event_id * 2654435761 + k * 40503 * event_id) % 4294967296"
+    return _events(spark, sf_dir).selectExpr("event_id", "explode(sequence(0, 9)) AS k").selectExpr(
+        f"CASE WHEN event_id % 3 = 0 THEN 184549376 + (event_id * 97 + k) % 65536 * 256 ELSE {number} END AS n",
+        "12 + (event_id + k * 5) % 19 AS bits",
+        "concat('owner-', event_id % 997) AS owner",
+    ).selectExpr(
+        "concat(n DIV 16777216, '.', n DIV 65536 % 256, '.', n DIV 256 % 256, '.', n % 256, '/', bits) AS cidr", "owner"
+    )
+
+
+def many_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address an event; a third of all is one, another third in one network."""
+    return _events(spark, sf_dir).selectExpr(
+        "event_id",
+        "CASE event_id % 3 WHEN 0 THEN 184549376 + 4711 WHEN 1 THEN 184549376 + (event_id * 7919) % 16777216"
+        " ELSE (event_id * 2654435761 + 12345) % 4294967296 END AS n",
+    ).selectExpr(
+        "event_id", "concat(n DIV 16777216, '.', n DIV 65536 % 256, '.', n DIV 256 % 256, '.', n % 256) AS address"
+    )
+
+
 def netstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     peer = f"{pick(HOSTS, 'event_id')}"
     port = f"{pick([443, 80, 8080, 22], 'event_id')}"
