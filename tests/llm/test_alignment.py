@@ -15,7 +15,8 @@ PATHS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model
 
 
 def encoders():
-    return T.tokens(T.ByteLevelTokens, PATHS[0]), T.tokens(T.PieceTokens, PATHS[1])
+    both = T.both_tokens(*PATHS)
+    return both.a, both.b
 
 
 def ranges(ids, spelled):
@@ -106,7 +107,7 @@ ends = st.lists(st.integers(1, 60), min_size=1, max_size=40, unique=True).map(so
 
 @given(ends, ends)
 @settings(max_examples=300, deadline=None)
-def test_align_finds_the_shared_ends(x, y):
+def test_groups_end_where_both_end(x, y):
     last = max(x[-1], y[-1]) + 1
     x, y = [*x, last], [*y, last]
     at_a, at_b, groups, spelled = T.linked(x, y, [str(k) for k in range(len(x))], [str(k) for k in range(len(y))])

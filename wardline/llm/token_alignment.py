@@ -21,10 +21,12 @@ of their own. Empty tables give empty results; only the id and text columns are
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +87,7 @@ class ByteLevelTokens:
 
         merges = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in spec["model"]["merges"]]
         ordered = [vocabulary[m] for m in merges] == list(range(256, 256 + len(merges)))
+        ordered = ordered and sorted(self.bytes[:256]) == [bytes([k]) for k in range(256)]
         plain = spec.get("normalizer") is None and spec.get("pre_tokenizer") == GPT_PATTERN_KIND
         if not ordered or not plain or spec["model"].get("ignore_merges"):
             return None
@@ -93,8 +96,12 @@ class ByteLevelTokens:
             "ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
 
+    def spells(self, ids: list[int], whole: bytes) -> bool:
+        # every byte is a token and nothing is normalised: the tokens are the text
+        return self.fast is not None or b"".join(map(self.bytes.__getitem__, ids)) == whole
+
     def encode(self, text: str) -> list[int]:
-        if self.fast is None or LONG_RUN.search(text):
+        if self.fast is None or (len(text) > 1000 and LONG_RUN.search(text)):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -112,82 +119,103 @@ class PieceTokens:
             byte = BYTE_PIECE.fullmatch(piece)
             self.bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
 
+    def spells(self, ids: list[int], whole: bytes) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == whole
+
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
 
-_TOKENS: dict[tuple[type, str], object] = {}
+class Pair:
+    """The two encoders of a worker, with what each id spells."""
+
+    def __init__(self, a: ByteLevelTokens, b: PieceTokens):
+        self.a, self.b = a, b
+        for made in (a, b):
+            made.lengths = [len(token) for token in made.bytes]
+            made.names = [str(k) for k in range(len(made.bytes))]
+
+    def tokens(self, text: str):
+        """(ids, ends, names) of both kinds; null where either does not spell the text."""
+        whole, found = (" " + text).encode(), []
+        for t, ids in ((self.a, self.a.encode(" " + text)), (self.b, self.b.encode(text))):
+            ends = list(accumulate(map(t.lengths.__getitem__, ids)))
+            if not ids or ends[-1] != len(whole) or not t.spells(ids, whole):
+                return None
+            found += [ids, ends, list(map(t.names.__getitem__, ids))]
+        return found
+
 
+_TOKENS: dict[tuple[str, str], Pair] = {}
 
-def tokens(kind: type, path: str):
-    """The worker's own encoder for a file, with the tables that alignment needs."""
-    if (kind, path) not in _TOKENS:
-        made = kind(path)
-        made.lengths = np.array([len(b) for b in made.bytes], np.int64)
-        made.names = [str(k) for k in range(len(made.bytes))]
-        _TOKENS[kind, path] = made
-    return _TOKENS[kind, path]
+
+def both_tokens(path_a: str, path_b: str) -> Pair:
+    """The worker's own encoders for two files, kept between tasks."""
+    if (path_a, path_b) not in _TOKENS:
+        _TOKENS[path_a, path_b] = Pair(ByteLevelTokens(path_a), PieceTokens(path_b))
+    return _TOKENS[path_a, path_b]
+
+
+#: a window this narrow is gone through one by one
+NARROW = 4
 
 
 def stretch(ends_a: list[int], ends_b: list[int], i: int, j: int) -> int:
-    """How many tokens from i and j on end alike one by one, given that the first ones do."""
+    """How many tokens from i and j on end alike one by one."""
     limit = min(len(ends_a) - i, len(ends_b) - j)
-    known, step, growing = 1, 1, True
-    while step:
-        upto = min(known + step, limit)
-        if upto > known and ends_a[i + known : i + upto] == ends_b[j + known : j + upto]:
-            known = upto
-            step = step * 2 if growing else step // 2
-        else:
-            growing, step = False, step // 2
+    known, step = 0, NARROW
+    while known + step <= limit and ends_a[i + known : i + known + step] == ends_b[j + known : j + known + step]:
+        known += step
+        step *= 2
+    # the stretch ends within the next step
+    while step > NARROW:
+        step //= 2
+        if known + step <= limit and ends_a[i + known : i + known + step] == ends_b[j + known : j + known + step]:
+            known += step
+    while known < limit and ends_a[i + known] == ends_b[j + known]:
+        known += 1
     return known
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, bool]]:
-    """Stretches and groups (i, j, i after, j after, whether it is a one-to-one stretch).
+def linked(ends_a: list[int], ends_b: list[int], names_a: list[str], names_b: list[str]):
+    """(places in a, places in b) of all links, the number of groups, and the groups as text.
 
     Both arrays ascend and end alike, in the length of the text.
     """
+    at_a, at_b, texts, groups = [], [], [], 0
     i = j = 0
     n = len(ends_a)
     while i < n:
-        if ends_a[i] == ends_b[j]:
-            run = stretch(ends_a, ends_b, i, j)
-            yield i, j, i + run, j + run, True
-            i, j = i + run, j + run
-            continue
+        run = stretch(ends_a, ends_b, i, j)
+        if run:
+            at_a += range(i, i + run)
+            at_b += range(j, j + run)
+            texts += [f"{x}|{y}" for x, y in zip(names_a[i : i + run], names_b[j : j + run], strict=True)]
+            groups += run
+            i += run
+            j += run
+            if i == n:
+                break
+        # an irregular group, up to the next end that both share; the token that ends
+        # first overlaps no further token of the other kind
         x, y = i, j
-        while ends_a[x] != ends_b[y]:
-            if ends_a[x] < ends_b[y]:
+        end_a, end_b = ends_a[x], ends_b[y]
+        while end_a != end_b:
+            at_a.append(x)
+            at_b.append(y)
+            if end_a < end_b:
                 x += 1
+                end_a = ends_a[x]
             else:
                 y += 1
-        yield i, j, x + 1, y + 1, False
-        i, j = x + 1, y + 1
-
-
-def linked(ends_a: list[int], ends_b: list[int], names_a: list[str], names_b: list[str]):
-    """(places in a, places in b) of all links, the number of groups, and the groups as text."""
-    at_a, at_b, texts, groups = [], [], [], 0
-    for i, j, i2, j2, run in align(ends_a, ends_b):
-        if run:
-            at_a += range(i, i2)
-            at_b += range(j, j2)
-            groups += i2 - i
-            texts += map("|".join, zip(names_a[i:i2], names_b[j:j2], strict=True))
-            continue
+                end_b = ends_b[y]
+        at_a.append(x)
+        at_b.append(y)
+        x += 1
+        y += 1
+        texts.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
         groups += 1
-        texts.append(",".join(names_a[i:i2]) + "|" + ",".join(names_b[j:j2]))
-        while True:
-            at_a.append(i)
-            at_b.append(j)
-            # the token that ends first overlaps no further token of the other kind
-            if ends_a[i] < ends_b[j]:
-                i += 1
-            elif ends_a[i] > ends_b[j]:
-                j += 1
-            else:
-                break
+        i, j = x, y
     return at_a, at_b, groups, ";".join(texts)
 
 
@@ -198,16 +226,14 @@ class Block:
         self.number, self.links = number, 0
         self.rows, self.codes, self.times = [], [], []
 
-    def add(self, doc_id, text: str | None, a, b) -> None:
+    def add(self, doc_id, text: str | None, both: Pair) -> None:
         row = [self.number, doc_id, 0, 0, 0, 0, "", 0, None, None, None]
-        whole = (" " + text).encode() if text else b""
-        ids_a, ids_b = (a.encode(" " + text), b.encode(text)) if text else ([], [])
-        if text and all(b"".join(map(t.bytes.__getitem__, ids)) == whole for t, ids in ((a, ids_a), (b, ids_b))):
-            codes_a, codes_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-            ends = (t.lengths[c].cumsum().tolist() for t, c in ((a, codes_a), (b, codes_b)))
-            names = ([t.names[k] for k in ids] for t, ids in ((a, ids_a), (b, ids_b)))
-            at_a, at_b, groups, spelled = linked(*ends, *names)
-            codes, times = np.unique(codes_a[at_a] << 32 | codes_b[at_b], return_counts=True)
+        found = both.tokens(text) if text else None
+        if found is not None:
+            ids_a, ends_a, names_a, ids_b, ends_b, names_b = found
+            at_a, at_b, groups, spelled = linked(ends_a, ends_b, names_a, names_b)
+            codes_a, codes_b = np.array(ids_a, np.int64) << 32, np.array(ids_b, np.int64)
+            codes, times = np.unique(codes_a[at_a] | codes_b[at_b], return_counts=True)
             self.codes.append(codes)
             self.times.append(times)
             self.links += len(at_a)
@@ -266,12 +292,14 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        a, b = tokens(ByteLevelTokens, path_a), tokens(PieceTokens, path_b)
+        both = both_tokens(path_a, path_b)
+        # lists of numbers hold no cycles, and there are many
+        gc.disable()
         number = TaskContext.get().partitionId() << 33
         block = Block(number)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block.add(doc_id, text.as_py(), a, b)
+                block.add(doc_id, text.as_py(), both)
                 if block.links >= block_links:
                     yield block.batch()
                     number += 1
