@@ -312,7 +312,7 @@ def test_scan_pass_raises_alerts(spark, tmp_path):
     from wardline.streaming.alerts import AlertFeed
 
     target = store.FindingsStore(spark, str(tmp_path / "f"))
-    feed = AlertFeed(target, str(tmp_path / "out"), checkpoints=str(tmp_path / "c"), clock=lambda: T0)
+    feed = AlertFeed(target, str(tmp_path / "out"), checkpoints=str(tmp_path / "c"), debounce=3600)
     files = spark.createDataFrame([("r", "a.py", 0, bytearray(b"hf_ABCDEFGHIJKLMNOPQRSTUv"))], "repo string, path string, mtime bigint, content binary")
     for _ in range(2):
         scan_pass(spark, {"code_files": files}, BUNDLED, Policy.bundled(), target, selection=["codebase"], alerts=feed)
@@ -390,6 +390,49 @@ def test_scan_pass_remembers_only_what_it_scanned(spark, tmp_path):
         assert (state.version(), target.log().count()) == (version, found)
 
 
+def test_a_file_changed_during_a_pass_is_found_by_the_next(spark, tmp_path):
+    from wardline.sources.files import SourceTree
+
+    target = store.FindingsStore(spark, str(tmp_path / "f"))
+    state = incremental.ScanState(spark, str(tmp_path / "state"))
+    tree = tmp_path / "tree"
+    (tree / "p").mkdir(parents=True)
+    (tree / "p" / "a.py").write_text("nothing")
+    tables = {"code_files": SourceTree(spark, str(tree), "r")}
+    append = target.append
+
+    def edited_after(findings, **options):
+        append(findings, **options)
+        (tree / "p" / "a.py").write_text("hf_ABCDEFGHIJKLMNOPQRSTUv")
+        (tree / "p" / "b.py").write_text("hf_ABCDEFGHIJKLMNOPQRSTUw")
+
+    target.append = edited_after
+    scan_pass(spark, tables, BUNDLED, Policy.bundled(), target, selection=["codebase"], state=state)
+    assert target.log().count() == 0
+    target.append = append
+    scan_pass(spark, tables, BUNDLED, Policy.bundled(), target, selection=["codebase"], state=state)
+    assert target.read().count() == 2
+
+
+def test_a_pass_that_dies_remembers_nothing(spark, tmp_path):
+    target = store.FindingsStore(spark, str(tmp_path / "f"))
+    state = incremental.ScanState(spark, str(tmp_path / "state"))
+    schema = "repo string, path string, mtime bigint, content binary"
+    files = spark.createDataFrame([("r", "a.py", 1, bytearray(b"hf_ABCDEFGHIJKLMNOPQRSTUv"))], schema)
+    append = target.append
+
+    def broken(findings, **options):
+        raise RuntimeError("lost")
+
+    target.append = broken
+    with pytest.raises(RuntimeError):
+        scan_pass(spark, {"code_files": files}, BUNDLED, Policy.bundled(), target, selection=["codebase"], state=state)
+    assert state.version() == 0
+    target.append = append
+    scan_pass(spark, {"code_files": files}, BUNDLED, Policy.bundled(), target, selection=["codebase"], state=state)
+    assert (state.version(), target.log().count()) == (1, 1)
+
+
 def test_scan_pass_by_commit(spark, tmp_path):
     target = store.FindingsStore(spark, str(tmp_path / "f"))
     state = incremental.ScanState(spark, str(tmp_path / "state"))

@@ -1,12 +1,17 @@
 import json
+import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
+from wardline.operators import dedup as batch_dedup
 from wardline.plans.scan import analyze
 from wardline.policy import Policy
 from wardline.registry import Registry
-from wardline.sinks.store import FindingsStore, stored_latest
+from wardline.sinks.store import FindingsStore
 from wardline.sources import files, telemetry
 from wardline.streaming import dedup
 from wardline.streaming.alerts import AlertFeed
@@ -25,7 +30,7 @@ def land(spark, path, *rows):
 
 
 def run(query):
-    query.awaitTermination(120)
+    assert query.awaitTermination(60) or query.stop()
     assert query.exception() is None
     return query
 
@@ -118,58 +123,125 @@ def payload_details(spark, feed):
 
 def test_alerts_are_debounced_across_batches(spark, place, tmp_path):
     watch, folder = place
-    clock = {"at": 0}
-    feed = AlertFeed(
-        watch.store,
-        str(tmp_path / "outbox"),
-        clock=lambda: T0 + timedelta(seconds=clock["at"]),
-        checkpoints=f"{watch.checkpoints}/alerts",
-    )
-    sent = {}
-    for n, at in enumerate((0, 10, 29, 30, 45, 60, 95)):
-        clock["at"] = at
+    feed = AlertFeed(watch.store, str(tmp_path / "outbox"), checkpoints=f"{watch.checkpoints}/alerts")
+    sent, seen = {}, []
+    for at in (0, 10, 29, 30, 45, 60, 95):
         land(spark, folder, (at, "claude.ai"), (at, "api.openai.com" if at >= 29 else "localhost"))
         run(watch.start("connections", files.stream_table(spark, "connections", str(folder)), once=True))
-        run(feed.start(once=True))
-        sent[at] = {d.split(" ")[0] for b, d in payload_details(spark, feed) if b == n}
+        run(feed.start(once=True, noticed_at=F.lit(T0 + timedelta(seconds=at))))
+        now = payload_details(spark, feed)
+        sent[at] = {d.split(" ")[0] for _, d in now[len(seen) :]}
+        assert now[: len(seen)] == seen
+        seen = now
     assert sent == {
         0: {"Anthropic"}, 10: set(), 29: {"OpenAI"}, 30: {"Anthropic"}, 45: set(),
         60: {"Anthropic", "OpenAI"}, 95: {"Anthropic", "OpenAI"},
     }
 
 
-def test_replayed_alert_batch_sends_the_same(spark, place, tmp_path):
+def test_alerts_of_a_killed_batch_are_sent_once(spark, place, tmp_path):
     watch, folder = place
-    feed = AlertFeed(watch.store, str(tmp_path / "outbox"), clock=lambda: T0, checkpoints=str(tmp_path / "c"))
-    land(spark, folder, (0, "claude.ai"))
-    watch.write_batch("connections", files.read_table(spark, "connections", str(folder)))
-    stored = stored_latest(watch.store.log())
-    feed.send_batch(stored, 0)
-    before = payload_details(spark, feed)
-    feed.send_batch(stored, 0)
-    assert payload_details(spark, feed) == before and len(before) == 1
-    feed.send_batch(stored, 1)
-    assert payload_details(spark, feed) == before
+    feed = AlertFeed(watch.store, str(tmp_path / "outbox"), checkpoints=str(tmp_path / "c"))
+    land(spark, folder, (0, "claude.ai"), (1, "claude.ai"), (0, "api.openai.com"))
+    run(watch.start("connections", files.stream_table(spark, "connections", str(folder)), once=True))
+    send = feed.send_batch
+
+    def dies_after_writing(due, batch_id):
+        send(due, batch_id)
+        raise RuntimeError("killed")
+
+    feed.send_batch = dies_after_writing
+    with pytest.raises(StreamingQueryException):
+        feed.start(once=True).awaitTermination(60)
+    feed.send_batch = send
+    for _ in range(2):
+        run(feed.start(once=True))
+    details = [d.split(" ")[0] for _, d in payload_details(spark, feed)]
+    assert sorted(details) == ["Anthropic", "Anthropic", "OpenAI"]
+
+
+def test_state_of_the_debounce_is_one_row_a_service(spark, place, tmp_path):
+    watch, folder = place
+    feed = AlertFeed(watch.store, str(tmp_path / "outbox"), checkpoints=str(tmp_path / "c"))
+    for at in range(3):
+        land(spark, folder, *[(at + 60 * k, "claude.ai") for k in range(20)], (at, "api.openai.com"))
+        run(watch.start("connections", files.stream_table(spark, "connections", str(folder)), once=True))
+        query = run(feed.start(once=True, noticed_at=F.lit(T0 + timedelta(minutes=at))))
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] == 2
 
 
 ROWS = [(0, "a"), (3, "a"), (9, "a"), (10, "a"), (4, "b"), (5, "b"), (25, "c")]
+DAY = 86_400
+
+
+def dedup_feed(spark, tmp_path, **options):
+    return dedup.DedupFeed(spark, str(tmp_path / "out"), ["remote_ip", "port"], checkpoints=str(tmp_path / "c"), **options)
 
 
-@pytest.mark.parametrize("salts", [1, 4])
-def test_first_per_window_stream(spark, tmp_path, salts):
+def windows(df):
+    return sorted((r.remote_ip, int((r.ts - T0).total_seconds()) // 10) for r in df.collect())
+
+
+def test_first_per_window_stream(spark, tmp_path):
+    feed = dedup_feed(spark, tmp_path)
     land(spark, tmp_path / "in", *ROWS)
-    stream = files.stream_table(spark, "connections", str(tmp_path / "in"))
-    first = dedup.first_per_window(stream, ["remote_ip", "port"], salts=salts)
-    query = (
-        first.writeStream.format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "c"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run(query)
-    got = [(r.remote_ip, r.ts.second // 10) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert sorted(got) == [("a", 0), ("a", 1), ("b", 0), ("c", 2)]
+    for more in ([], [(7, "a"), (12, "a"), (33, "c")]):
+        if more:
+            land(spark, tmp_path / "in", *more)
+        run(feed.start(files.stream_table(spark, "connections", str(tmp_path / "in")), once=True))
+    want = [("a", 0), ("a", 1), ("b", 0), ("c", 2), ("c", 3)]
+    assert windows(feed.rows().filter("NOT late")) == want == windows(feed.settled())
+    assert feed.late().count() == 0
+
+
+def test_rows_a_day_late_are_kept(spark, tmp_path):
+    """Late rows of known and of unknown keys: none vanishes, and settling equals the batch result."""
+    feed = dedup_feed(spark, tmp_path)
+    parts = [
+        [(DAY + 5, "a"), (DAY + 6, "a"), (DAY + 5, "b")],
+        # a day late: a key seen since, twice in a window, and a key never seen
+        [(5, "a"), (7, "a"), (5, "new"), (DAY + 7, "a"), (DAY + 15, "b")],
+        [(6, "a"), (DAY + 16, "b"), (2 * DAY, "b"), (DAY + 17, "b")],
+    ]
+    for part in parts:
+        land(spark, tmp_path / "in", *part)
+        run(feed.start(files.stream_table(spark, "connections", str(tmp_path / "in")), once=True))
+    every = files.read_table(spark, "connections", str(tmp_path / "in"))
+    assert windows(feed.settled()) == windows(batch_dedup.first_per_window(every, ["remote_ip", "port"]))
+    kept = windows(feed.rows().filter("NOT late"))
+    assert ("new", 0) in kept and len(kept) == len(set(kept))
+    # one of the two rows of one batch and window may already be left out before the state
+    assert {w for w in windows(feed.late())} == {("a", 0)}
+
+
+def test_rows_without_a_time_are_kept(spark, tmp_path):
+    feed = dedup_feed(spark, tmp_path)
+    rows = [("m", None, "a", 443), ("m", None, "a", 443), ("m", T0, "a", 443), ("m", T0, None, None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run(feed.start(files.stream_table(spark, "connections", str(tmp_path / "in")), once=True))
+    assert feed.late().count() == 2 and feed.settled().count() == 4
+
+
+def test_quiet_keys_leave_the_state(spark, tmp_path):
+    feed = dedup_feed(spark, tmp_path, quiet=1)
+    for k in range(3):
+        land(spark, tmp_path / "in", (k * 100, f"h{k}"))
+        query = run(feed.start(files.stream_table(spark, "connections", str(tmp_path / "in")), once=True))
+        time.sleep(1.2)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 3 * 3
+    assert feed.rows().count() == 3
+
+
+def test_a_hot_key_is_reduced_before_the_shuffle(spark, tmp_path):
+    rows = {"k": ["a", "a", "b", "a"], "ts": [T0, T0 + timedelta(seconds=3), None, T0], "_start": [10, 10, None, 0]}
+    (kept,) = dedup._one_per_batch([pa.RecordBatch.from_pydict(rows)], ["k"])
+    assert kept.to_pydict()["_start"] == [10, None, 0] and kept.to_pydict()["ts"][0] == T0
+    feed = dedup_feed(spark, tmp_path)
+    land(spark, tmp_path / "in", *[(k % 10, "a") for k in range(3000)])
+    query = run(feed.start(files.stream_table(spark, "connections", str(tmp_path / "in")), once=True))
+    assert query.recentProgress[0]["numInputRows"] == 3000
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] <= 2
+    assert windows(feed.settled()) == [("a", 0)]
 
 
 def test_first_within_delay_stream(spark, tmp_path):
@@ -177,7 +249,7 @@ def test_first_within_delay_stream(spark, tmp_path):
     land(spark, tmp_path / "in", (4, "b"))
     stream = files.stream_table(spark, "connections", str(tmp_path / "in"), maxFilesPerTrigger="1")
     query = (
-        dedup.first_within_delay(stream, ["remote_ip", "port"])
+        dedup.first_within_delay(stream, ["remote_ip", "port"], delay="10 seconds")
         .writeStream.format("parquet")
         .option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "c"))

@@ -66,14 +66,26 @@ class ScanState(VersionedTable):
 
     schema = "repo string, path string, mtime bigint, commit_seq bigint"
 
-    def save(self, files: DataFrame, commits: DataFrame | None = None) -> int:
-        rows = files.select(*FILE_KEY, "mtime")
+    def stage_listing(self, files: DataFrame, commits: DataFrame | None = None) -> tuple[int, DataFrame]:
+        """Write what a pass is to look at before it looks: the version to commit at its end, and the listing.
+
+        ``files`` is evaluated once, here. A file that changes later is newer than what
+        the next pass finds remembered.
+        """
+        rows = files
         if commits is None:
             rows = rows.withColumn("commit_seq", F.lit(None).cast("bigint"))
         else:
             newest = commits.groupBy("repo").agg(F.max("commit_seq").cast("bigint").alias("commit_seq"))
             rows = rows.join(newest, "repo", "left")
-        return self.replace(rows.select(*FILE_KEY, "mtime", "commit_seq"))
+        version = self.stage(rows.withColumn("mtime", F.col("mtime").cast("bigint")))
+        staged = self.spark.read.schema(rows.schema).parquet(f"{self.path}/v{version}")
+        return version, staged.drop("commit_seq")
+
+    def save(self, files: DataFrame, commits: DataFrame | None = None) -> int:
+        version, _ = self.stage_listing(files.select(*FILE_KEY, "mtime"), commits)
+        self.commit(version)
+        return version
 
     def last_commits(self, version: int | None = None) -> DataFrame:
         """``repo, commit_seq`` of the repos scanned by commit before."""

@@ -35,17 +35,18 @@ def scan_pass(
 ) -> list[str]:
     """Scan the selected tables, append what is found, and name the tables that were absent.
 
-    With ``alerts``, what this pass wrote is read back, and the payloads due are
-    put into its outbox.
+    With ``alerts``, payloads that are due go to its outbox at the end: for all
+    findings stored since the feed last looked, each row once.
 
     With ``state``, of ``code_files`` only those changed since the last pass
     count: by the commit log ``commits`` for repos that have one, else by mtime.
     Of a ``SourceTree`` only those files are opened; of a table, hits are found
     where the contents lie, and hits, not contents, meet the list of changes. The
-    listing is remembered only if this pass scanned ``code_files``, after the
-    findings are written.
+    listing is written before contents are read, the scan goes by what was written,
+    and it is remembered only if this pass scanned ``code_files``, after the findings
+    are written: a file changed meanwhile is newer than what is remembered.
     """
-    listing, changed, absent = None, None, []
+    staged, changed, absent = None, None, []
     files = tables.get("code_files") if "code_files" in selected_tables(selection or ["all"]) else None
     if state is not None and files is not None:
         try:
@@ -59,6 +60,7 @@ def scan_pass(
         version = state.version()
         listing = files.listing() if isinstance(files, SourceTree) else files
         listing = listing.select("repo", "path", "mtime", *(["uri"] if isinstance(files, SourceTree) else []))
+        staged, listing = state.stage_listing(listing, commits)
         if commits is None:
             changed = changed_by_mtime(listing, state.read(version)).select("repo", "path")
         else:
@@ -76,13 +78,11 @@ def scan_pass(
         is_code = F.col("type") == "codebase_file"
         code = events.filter(is_code).join(paths, F.col("file_path") == F.col("_changed"), "left_semi")
         events = events.filter(~is_code).unionByName(code)
-    began = spark.sql("SELECT current_timestamp()").first()[0]
     target.append(analyze(events, registry, policy))
+    if staged is not None:
+        state.commit(staged)
     if alerts is not None:
-        written = target.log().filter(F.col("written_at") >= F.lit(began))
-        alerts.send_batch(written, alerts.fired.version())
-    if listing is not None:
-        state.save(listing, commits)
+        alerts.start(once=True).awaitTermination()
     return absent
 
 

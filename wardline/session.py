@@ -11,6 +11,8 @@ SQL_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # lets the 10,000-visits-per-profile filter prune before its shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # state with timers, maps and time to live
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

@@ -45,15 +45,23 @@ class VersionedTable:
         version = self.version() if version is None else version
         return _read(self.spark, f"{self.path}/v{version}", self.schema)
 
-    def replace(self, df: DataFrame, version: int | None = None) -> int:
+    def stage(self, df: DataFrame, version: int | None = None) -> int:
+        """Write a version that no reader sees until it is committed; the next of that number replaces it."""
         version = self.version() + 1 if version is None else version
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        return version
+
+    def commit(self, version: int) -> None:
         files, commit = self._folder(f"commits/v{version}")
         files.mkdirs(commit.getParent())
         files.create(commit, True).close()
         for old in self.versions()[: -self.KEPT]:
             for name in (f"commits/v{old}", f"v{old}"):
                 files.delete(self._folder(name)[1], True)
+
+    def replace(self, df: DataFrame, version: int | None = None) -> int:
+        version = self.stage(df, version)
+        self.commit(version)
         return version
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wardline.plans.scan import analyze
@@ -58,6 +58,22 @@ class Watch:
         return triggered(writer, once, interval).start()
 
 
+def start_stateful(writer: DataStreamWriter, once: bool, interval: int) -> StreamingQuery:
+    """Start a query whose state goes by processing time.
+
+    Its operator always asks for another batch, so with ``once`` such batches without
+    data are left out; the query takes the setting over when it starts.
+    """
+    conf, name = SparkSession.active().conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    try:
+        if once:
+            conf.set(name, "false")
+        return triggered(writer, once, interval).start()
+    finally:
+        conf.set(name, before)
+
+
 def triggered(writer: DataStreamWriter, once: bool, interval: int) -> DataStreamWriter:
     if once:
         return writer.trigger(availableNow=True)
