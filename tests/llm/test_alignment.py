@@ -110,13 +110,20 @@ ends = st.lists(st.integers(1, 60), min_size=1, max_size=40, unique=True).map(so
 def test_groups_end_where_both_end(x, y):
     last = max(x[-1], y[-1]) + 1
     x, y = [*x, last], [*y, last]
-    at_a, at_b, groups, spelled = T.linked(x, y, [str(k) for k in range(len(x))], [str(k) for k in range(len(y))])
+    runs, links, groups, spelled = T.linked(x, y, [str(k) for k in range(len(x))], [str(k) for k in range(len(y))])
     spans = [list(zip([0, *e[:-1]], e, strict=True)) for e in (x, y)]
     want = {(i, j) for i, (s, e) in enumerate(spans[0]) for j, (s2, e2) in enumerate(spans[1]) if s < e2 and s2 < e}
+    at_a, at_b = (p.tolist() for p in T.places(runs, links))
     assert set(zip(at_a, at_b, strict=True)) == want and len(at_a) == len(want)
     assert groups == len(set(x) & set(y)) == len(spelled.split(";"))
 
 
+@given(st.lists(st.tuples(st.sampled_from("a \n"), st.sampled_from([1, 499, 999, 1000, 1700])), max_size=6))
+def test_long_runs_are_seen(parts):
+    text = "".join(c * n for c, n in parts)
+    assert T.may_hold_long_run(text) == bool(T.LONG_RUN.search(text))
+
+
 def test_a_stretch_is_measured_in_few_steps():
     class Counted(list):
         slices = 0

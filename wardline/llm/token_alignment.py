@@ -56,6 +56,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def may_hold_long_run(text: str) -> bool:
+    """Whether a run of a thousand characters is possible, seen from pieces of half that length, then for certain."""
+    for at in range(0, len(text) - 999, 500):
+        if text.find(" ", at, at + 500) < 0 or text[at : at + 500].isspace():
+            return LONG_RUN.search(text) is not None
+    return False
+
+
 class ByteLevelTokens:
     """A byte-level BPE file of the tokenizers library, without its special tokens.
 
@@ -101,7 +109,7 @@ class ByteLevelTokens:
         return self.fast is not None or b"".join(map(self.bytes.__getitem__, ids)) == whole
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is None or (len(text) > 1000 and LONG_RUN.search(text)):
+        if self.fast is None or may_hold_long_run(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -178,18 +186,19 @@ def stretch(ends_a: list[int], ends_b: list[int], i: int, j: int) -> int:
 
 
 def linked(ends_a: list[int], ends_b: list[int], names_a: list[str], names_b: list[str]):
-    """(places in a, places in b) of all links, the number of groups, and the groups as text.
+    """Stretches, links of irregular groups, the number of groups, and the groups as text.
 
-    Both arrays ascend and end alike, in the length of the text.
+    Stretches are (place in a, place in b, length) one after another, the links of
+    irregular groups (place in a, place in b). Both arrays ascend and end alike, in the
+    length of the text.
     """
-    at_a, at_b, texts, groups = [], [], [], 0
+    runs, links, texts, groups = [], [], [], 0
     i = j = 0
     n = len(ends_a)
     while i < n:
         run = stretch(ends_a, ends_b, i, j)
         if run:
-            at_a += range(i, i + run)
-            at_b += range(j, j + run)
+            runs += (i, j, run)
             texts += [f"{x}|{y}" for x, y in zip(names_a[i : i + run], names_b[j : j + run], strict=True)]
             groups += run
             i += run
@@ -200,23 +209,28 @@ def linked(ends_a: list[int], ends_b: list[int], names_a: list[str], names_b: li
         # first overlaps no further token of the other kind
         x, y = i, j
         end_a, end_b = ends_a[x], ends_b[y]
+        links += (x, y)
         while end_a != end_b:
-            at_a.append(x)
-            at_b.append(y)
             if end_a < end_b:
                 x += 1
                 end_a = ends_a[x]
             else:
                 y += 1
                 end_b = ends_b[y]
-        at_a.append(x)
-        at_b.append(y)
+            links += (x, y)
         x += 1
         y += 1
         texts.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
         groups += 1
         i, j = x, y
-    return at_a, at_b, groups, ";".join(texts)
+    return runs, links, groups, ";".join(texts)
+
+
+def places(runs: list[int], links: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The places in a and in b of all links."""
+    runs, links = (np.array(x, np.int64).reshape(-1, k) for x, k in ((runs, 3), (links, 2)))
+    at = np.arange(runs[:, 2].sum()) - np.repeat(runs[:, 2].cumsum() - runs[:, 2], runs[:, 2])
+    return tuple(np.concatenate([np.repeat(runs[:, k], runs[:, 2]) + at, links[:, k]]) for k in (0, 1))
 
 
 class Block:
@@ -231,7 +245,8 @@ class Block:
         found = both.tokens(text) if text else None
         if found is not None:
             ids_a, ends_a, names_a, ids_b, ends_b, names_b = found
-            at_a, at_b, groups, spelled = linked(ends_a, ends_b, names_a, names_b)
+            runs, links, groups, spelled = linked(ends_a, ends_b, names_a, names_b)
+            at_a, at_b = places(runs, links)
             codes_a, codes_b = np.array(ids_a, np.int64) << 32, np.array(ids_b, np.int64)
             codes, times = np.unique(codes_a[at_a] | codes_b[at_b], return_counts=True)
             self.codes.append(codes)
