@@ -17,20 +17,22 @@ with a chance of at most ``MISS`` = 1e-12.
 
 Pairs of a key are not enumerated:
 
-1. Each node of a key is compared with one node only, the one that meets most
-   others over all its keys; in a group of edited copies that is close to the
+1. Each node of a key is compared with one node only, its hub: the one that meets
+   most others over all its keys; in a group of edited copies that is close to the
    original. Pairs within the distance are confirmed on whole texts, and
-   confirmed links joined up to components.
-2. Keys whose nodes then belong to one component are done. In the others, nodes
-   of different components are compared, at the first key that they share. Sizes,
-   distance, and how many shingles of each node occur in any other node left (an
-   upper bound of what two nodes can share) are tested inside the join; what
-   passes is again confirmed on whole texts.
+   confirmed links joined up to components. A hub's text is sent once for up to
+   ``SLICE`` of its neighbours.
+2. Keys whose nodes then belong to one component are done. Of the others, nodes
+   that share too few shingles with all others left are done as well. The rest is
+   written down by its differences from its hub: which of the hub's shingles it
+   holds, as bits, and which shingles it has besides. Two nodes of one hub share the
+   bits that both set and the further shingles that both have, so their exact
+   similarity is known inside a join over hubs, after tests of sizes and distance, and
+   only links come out of it, however many near misses a group holds.
 
 So every pair that shares a key is linked, known to be in one component, or
 compared. Components are found by alternating large-star and small-star steps.
 Hot keys are counted with map-side aggregation, and Spark splits them in joins.
-Texts of nodes that share a key are shuffled once, at every size of input.
 
 Defined cases: a null text counts as empty; texts without words have an empty set
 and are linked with nothing. A text of fewer words than a shingle is one shingle.
@@ -60,6 +62,10 @@ FURTHER, FIELD, FIELDS = 192, 5, 12
 MISS = 1e-12
 #: shingles hashed to slots at once
 BLOCK = 512
+#: neighbours that a hub's text is sent for at once
+SLICE = 256
+#: words whose hashes a task keeps
+WORD_HASHES = 100_000
 #: the fields of a chunk, all bits but the top one of each, and the top ones
 LOW_BITS = sum(0x3FFF << LANE * k for k in range(CHUNK))
 TOP_BITS = sum(0x4000 << LANE * k for k in range(CHUNK))
@@ -83,7 +89,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) >= WORD_HASHES:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -92,6 +98,11 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def forget_words() -> None:
+    """Free what a task has kept; the worker goes on to other tasks, of other operators."""
+    _HASHES.clear()
+
+
 def mixed_bits(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit sums (a public finaliser of hash functions)."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -147,6 +158,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ],
                 names=[c.split()[0] for c in SETS.split(", ")],
             )
+        forget_words()
 
     return _keyed(docs, id_col, text_col).mapInArrow(measure, SETS)
 
@@ -202,16 +214,6 @@ def further_distance(a: str, b: str) -> str:
     )
 
 
-def first_tag(a: str, b: str) -> str:
-    """The smallest tag that two signatures share: of the first chunk that differs in at most one slot."""
-    cases = []
-    for k in range(CHUNKS):
-        differs = f"(({a}[{k}] ^ {b}[{k}]) + {LOW_BITS}L) & {TOP_BITS}L"
-        slots = " ".join(f"WHEN {1 << 14 + LANE * e}L THEN {CHUNK * k + e}" for e in range(CHUNK))
-        cases.append(f"CASE {differs} WHEN 0L THEN {CHUNK * k} {slots} END")
-    return f"coalesce({', '.join(cases)})"
-
-
 def whole_distance(similarity: int) -> int:
     """Slots that may differ: a pair of this similarity exceeds them with a chance of ``MISS`` at most."""
     chances = np.ones(1)
@@ -251,23 +253,74 @@ def texts_of(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     return stored(found.select("no", "text").dropDuplicates(["no"]))
 
 
+def beside_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """From (hub, no): rows (hub, place, no, text), the hub's own at place 0 before a slice of neighbours.
+
+    Partitions hold whole slices, in order.
+    """
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    dealt = pairs.join(sizes, "hub").select(
+        "hub", F.expr("CAST(pmod(xxhash64(no, 6), slices) AS INT) AS slice"), "no"
+    )
+    heads = dealt.select("hub", "slice").distinct().select("hub", "slice", F.col("hub").alias("no"))
+    both = dealt.withColumn("place", F.lit(1)).unionByName(heads.withColumn("place", F.lit(0)))
+    rows = both.join(texts, "no").repartition("hub", "slice")
+    return rows.sortWithinPartitions("hub", "slice", "place").select("hub", "place", "no", "text")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    left, right = (texts.toDF(side, f"text_{side}") for side in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    """Of pairs (hub, no) those whose whole sets are similar enough, as (a, b)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for batch in batches:
+            linked = []
+            for hub, place, no, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                found = shingles(text.as_py())
+                if not place:
+                    known = found
+                    continue
+                common = len(np.intersect1d(known, found, assume_unique=True))
+                if 100 * common >= similarity * (len(known) + len(found) - common):
+                    linked.append((min(hub, no), max(hub, no)))
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in linked], "b": [x for _, x in linked]}, LINKS)
+        forget_words()
+
+    LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return stored(beside_hubs(pairs, texts).mapInArrow(check, "a bigint, b bigint"))
+
+
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (hub, no): (hub, no, bits, more): the hub's shingles that the node holds, and its others."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
         for batch in batches:
-            keep, last, known = [], None, None
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, known = a, shingles(x.as_py())
-                other = shingles(y.as_py())
-                common = len(np.intersect1d(known, other, assume_unique=True))
-                keep.append(100 * common >= similarity * (len(known) + len(other) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            rows = []
+            for hub, place, no, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                found = shingles(text.as_py())
+                if not place:
+                    known = found
+                    continue
+                held = np.isin(known, found, assume_unique=True)
+                bits = np.zeros(-(-len(known) // 64) * 64, bool)
+                bits[: len(known)] = held
+                more = np.setdiff1d(found, known, assume_unique=True)
+                rows.append((hub, no, np.packbits(bits, bitorder="little").view(np.int64), more.view(np.int64)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hub", "no", "bits", "more"]
+            )
+
+    shape = "hub bigint, no bigint, bits array<bigint>, more array<bigint>"
+    return stored(beside_hubs(pairs, texts).mapInArrow(compare, shape))
+
 
-    return stored(both.mapInArrow(check, "a bigint, b bigint"))
+def common(a: str, b: str) -> str:
+    """How many shingles two nodes of one hub share, as an expression."""
+    bits = f"aggregate(zip_with({a}.bits, {b}.bits, (p, q) -> bit_count(p & q)), 0, (s, n) -> s + n)"
+    return f"({bits} + size(array_intersect({a}.more, {b}.more)))"
 
 
 def shared_sizes(texts: DataFrame) -> DataFrame:
@@ -339,33 +392,36 @@ def similar_components(
     texts = texts_of(nodes.join(filed.select("no").distinct(), "no"), keyed)
 
     hubs = filed.groupBy("key").agg(F.max(F.struct("meets", F.expr("-no AS no"))).alias("top"))
-    starred = filed.join(hubs.selectExpr("key", "-top.no AS hub"), "key")
-    pairs = starred.where("no <> hub").selectExpr("least(no, hub) AS a", "greatest(no, hub) AS b").distinct()
-    links = confirmed(within_distance(pairs, nodes, similarity), texts, similarity)
+    starred = filed.join(hubs.selectExpr("key", "-top.no AS hub"), "key").select("key", "no", "hub")
+    starred = stored(starred)
+    pairs = starred.where("no <> hub").selectExpr("hub AS a", "no AS b").distinct()
+    pairs = within_distance(pairs, nodes, similarity).toDF("hub", "no")
+    links = confirmed(pairs, texts, similarity)
     roots = components(links)
 
     # keys that still hold several components
-    placed = filed.join(roots, "no", "left").select("key", "tag", "no", F.coalesce("root", "no").alias("root"))
-    placed = stored(placed)
+    placed = stored(starred.join(roots, "no", "left").select("key", "hub", "no", F.coalesce("root", "no").alias("root")))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
     left = placed.join(open_keys.where("r0 < r1").select("key"), "key", "left_semi")
-    left = stored(left)
+    left = stored(left.select("hub", "no", "root").distinct())
     shared = stored(shared_sizes(texts.join(left.select("no").distinct(), "no", "left_semi")))
     # a node that shares too little with all others can be linked with none of them
     enough = nodes.join(shared, "no").where(f"100 * shared >= {similarity} * n").select("no", "n", "sig", "shared")
-    left = stored(left.join(enough, "no"))
+    left = left.join(enough, "no")
+    several = left.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    left = stored(left.join(several.select("hub"), "hub", "left_semi"))
+    left = stored(left.join(differences(left.select("hub", "no"), texts), ["hub", "no"]))
     x, y = left.alias("x"), left.alias("y")
     both = "least(x.shared, y.shared)"
     more = x.join(
         y,
         F.expr(
-            f"x.key = y.key AND x.tag = y.tag AND x.no < y.no AND x.root <> y.root"
+            f"x.hub = y.hub AND x.no < y.no AND x.root <> y.root"
             f" AND 100 * {both} >= {similarity} * (x.n + y.n - {both}) AND {may_link('x', 'y', similarity)}"
-            f" AND {first_tag('x.sig', 'y.sig')} = x.tag"
+            f" AND {100 + similarity} * {common('x', 'y')} >= {similarity} * (x.n + y.n)"
         ),
     )
-    more = stored(more.selectExpr("x.no AS a", "y.no AS b"))
-    links = links.union(confirmed(more, texts, similarity))
+    links = links.union(stored(more.selectExpr("x.no AS a", "y.no AS b")))
     roots = components(links)
 
     names = nodes.join(roots, "no", "left").select("node", "low", F.coalesce("root", "no").alias("root"))

@@ -58,7 +58,7 @@ def byte_letters() -> dict[str, int]:
 
 def may_hold_long_run(text: str) -> bool:
     """Whether a run of a thousand characters is possible, seen from pieces of half that length, then for certain."""
-    for at in range(0, len(text) - 999, 500):
+    for at in range(0, len(text) - 499, 500):
         if text.find(" ", at, at + 500) < 0 or text[at : at + 500].isspace():
             return LONG_RUN.search(text) is not None
     return False
