@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import hashlib
+import re
+import uuid
+from datetime import UTC, date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.text import at_utc, rfc3339
-from wardline.operators.dedup import latest_per_id
-from wardline.sinks.versions import VersionedTable, _read
+from wardline.sinks.versions import _read
 
 # Short names of the sources, as stored and shown.
 SHOWN_SOURCE = {
@@ -31,6 +33,12 @@ STORED = (
     "source string, event_date date"
 )
 
+#: what reports read, and what says which write of an id is its newest
+REPORT_COLUMNS = [
+    "id", "timestamp", "source", "service_name", "risk_score", "risk_level", "detail", "event_date",
+]
+ORDERING = ["id", "event_date", "timestamp", "written_at", "risk_score", "policy_action"]
+
 PAYLOAD_FIELDS = {
     "network_connection": [
         "remote_host", "remote_ip", "port", "protocol", "http_headers", "body_snippet",
@@ -90,21 +98,36 @@ def stored_rows(findings: DataFrame) -> DataFrame:
     )
 
 
+def newest_first(written: str, score: str, action: str) -> Column:
+    """What orders writes of one id: the last is the one that counts."""
+    # of equal writes the smallest action, and one without before any other
+    return F.struct(F.col(written), F.col(score), F.col(action).isNull(), _inverse(action))
+
+
+def _inverse(text: str) -> Column:
+    """Text that sorts the other way round, for the few policy actions; others by their hash."""
+    return F.when(F.col(text).isNull(), F.lit(None)).otherwise(
+        F.concat(F.translate(text, "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"), F.lit("~"))
+    )
+
+
 def stored_latest(stored: DataFrame) -> DataFrame:
     """The newest write of each id.
 
-    An id contains the event's time, hence names its date (or that it has none):
-    with the date among the keys a filter on it still prunes partitions. A finding
-    without a date keeps the time of its first write.
+    One aggregate, which reduces within tasks before the shuffle. An id contains the
+    event's time, hence names its date (or that it has none): with the date among the
+    keys a filter on it still prunes partitions. A finding without a date keeps the
+    time of its first write.
     """
-    writes = Window.partitionBy("event_date", "id")
-    first = F.min("timestamp").over(writes)
-    shown = F.when(F.col("event_date").isNull(), first).otherwise(F.col("timestamp"))
-    return latest_per_id(
-        stored.withColumn("timestamp", shown) if "timestamp" in stored.columns else stored,
-        ["event_date", "id"],
-        [F.col("written_at").desc(), F.col("risk_score").desc(), F.col("policy_action")],
-    )
+    keys = ["event_date", "id"]
+    rest = [c for c in stored.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), newest_first("written_at", "risk_score", "policy_action")).alias("_newest")
+    first = [F.min("timestamp").alias("_first")] if "timestamp" in rest else []
+    found = stored.groupBy(*keys).agg(newest, *first)
+    shown = {c: F.col(f"_newest.{c}") for c in rest}
+    if first:
+        shown["timestamp"] = F.when(F.col("event_date").isNull(), F.col("_first")).otherwise(F.col("_newest.timestamp"))
+    return found.select(*(F.col(c) if c in keys else shown[c].alias(c) for c in stored.columns))
 
 
 def from_date(start: Column) -> Column:
@@ -158,23 +181,37 @@ def gate_count(stored: DataFrame, min_score: int = 51) -> DataFrame:
 
 
 class FindingsStore:
-    """Parquet log by feed, source and date, and a compacted table; readers see the newest write per id."""
+    """Parquet log by feed, source and date, and a compacted table; readers see the newest write per id.
+
+    The compacted table is a bucketed one: its rows lie by hash of the id, one file a
+    bucket, sorted by date. What reads it groups by id where the files lie; only the
+    newest writes of the log are shuffled to their buckets. Each compaction writes
+    a folder of its own (a generation), which counts once Spark has committed it.
+    """
+
+    #: generations that are kept: the one before stays for readers that have begun
+    KEPT = 2
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, *, buckets: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.buckets = buckets
 
     @property
     def log_path(self) -> str:
         return f"{self.path}/log"
 
     def append(self, findings: DataFrame, feed: str = "scan") -> None:
-        """Write findings. Jobs that run at once each need a ``feed`` of their own.
+        """Write findings. Jobs that run at once each need a ``feed`` of their own."""
+        self.append_rows(stored_rows(findings), feed)
+
+    def append_rows(self, rows: DataFrame, feed: str = "scan") -> None:
+        """Write rows in the table's flat form.
 
         Rows of a partition folder are gathered into few files before the write,
         and a folder that is large is split again.
         """
-        rows = stored_rows(findings).hint("rebalance", "source", "event_date")
+        rows = rows.hint("rebalance", "source", "event_date")
         rows.write.mode("append").partitionBy("source", "event_date").parquet(
             f"{self.log_path}/feed={feed}"
         )
@@ -187,8 +224,23 @@ class FindingsStore:
         """The compacted table and the log, newest or not."""
         return self.read_compacted().unionByName(self.log())
 
-    def read(self) -> DataFrame:
-        return stored_latest(self.writes())
+    def read(self, columns: list[str] | None = None, *, from_day: date | None = None) -> DataFrame:
+        """The newest write of each id: these columns of it, and from a day on (with undated ones)."""
+        return self._latest(self.log(), columns, from_day)
+
+    def _latest(self, log: DataFrame, columns: list[str] | None = None, from_day: date | None = None) -> DataFrame:
+        wanted = columns or log.columns
+        read = [c for c in log.columns if c in {*wanted, *ORDERING}]
+
+        def part(df: DataFrame) -> DataFrame:
+            return df.select(*read) if from_day is None else df.filter(from_date(F.lit(from_day))).select(*read)
+
+        newest = stored_latest(part(log))
+        held = self._compacted()
+        if held is not None:
+            table, buckets = held
+            newest = stored_latest(part(table).unionByName(newest.repartition(buckets, "id")))
+        return newest.select(*wanted)
 
     def recent(self, n: int = RECENT_ROWS) -> DataFrame:
         """The ``n`` newest findings; of dated ones only the newest dates that hold as many are read.
@@ -204,31 +256,85 @@ class FindingsStore:
             held += day.n
             if held >= 1.5 * n:
                 break
-        rows = self.writes()
-        if days:
-            rows = rows.filter(F.col("event_date").isNull() | (F.col("event_date") >= F.lit(days[-1])))
-        return recent(stored_latest(rows), n)
+        return recent(self.read(REPORT_COLUMNS, from_day=days[-1] if days else None), n)
+
+    def last_hours(self, hours: int, as_of: datetime) -> DataFrame:
+        """``last_hours`` of the store, from the partitions and row groups of those days."""
+        first = (as_of if as_of.tzinfo is None else as_of.astimezone(UTC)) - timedelta(hours=hours)
+        return last_hours(self.read(REPORT_COLUMNS, from_day=first.date()), hours, as_of)
+
+    def since(self, after: datetime) -> DataFrame:
+        first = after if after.tzinfo is None else after.astimezone(UTC)
+        return since(self.read(REPORT_COLUMNS, from_day=first.date()), after)
+
+    def count_on(self, day: datetime) -> DataFrame:
+        first = day if day.tzinfo is None else day.astimezone(UTC)
+        return count_on(self.read(["id", "event_date", "timestamp"], from_day=first.date()), day)
 
     def compact(self, *, trim: bool = False) -> int:
-        """Write the newest rows per id as a table version of its own.
+        """Write the newest rows per id as a new generation; its number.
 
-        ``trim`` then removes the log files it covers; streams of the log must
-        have read them by then.
+        Rows of the generation before are not shuffled. ``trim`` then removes the log
+        files that are covered; streams of the log must have read them by then.
         """
-        compacted = VersionedTable(self.spark, f"{self.path}/compacted", STORED)
         covered = self.log().inputFiles()
         log = self.spark.read.schema(STORED).option("basePath", self.log_path)
-        rows = compacted.read()
-        if covered:
-            rows = rows.unionByName(log.parquet(*covered))
-        version = compacted.replace(stored_latest(rows))
+        rows = self._latest(log.parquet(*covered) if covered else self.spark.createDataFrame([], STORED))
+        found = self._generations()
+        number = 1 + max((g[0] for g in found), default=0)
+        folder = f"g{number}-b{self.buckets}-{uuid.uuid4().hex[:8]}"
+        if not found or found[-1][1] != self.buckets:
+            rows = rows.repartition(self.buckets, "id")
+        (
+            rows.write.format("parquet")
+            .bucketBy(self.buckets, "id")
+            .sortBy("event_date", "id")
+            .option("path", f"{self.path}/compacted/{folder}")
+            .saveAsTable(self._table(folder))
+        )
+        files = self._files("compacted")[0]
+        for _, _, old in self._generations()[: -self.KEPT]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(old)}")
+            files.delete(self._files(f"compacted/{old}")[1], True)
         for name in covered if trim else ():
             path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
-        return version
+        return number
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _generations(self) -> list[tuple[int, int, str]]:
+        """(number, buckets, folder) of the generations that Spark has committed, oldest first."""
+        files, path = self._files("compacted")
+        if not files.exists(path):
+            return []
+        names = (entry.getPath().getName() for entry in files.listStatus(path))
+        found = (re.fullmatch(r"g(\d+)-b(\d+)-\w+", name) for name in names)
+        found = [(int(m[1]), int(m[2]), m[0]) for m in found if m]
+        return sorted(g for g in found if files.exists(self._files(f"compacted/{g[2]}/_SUCCESS")[1]))
+
+    def _table(self, folder: str) -> str:
+        """The catalog's name of a generation."""
+        place = hashlib.md5(f"{self.path}/{folder}".encode()).hexdigest()[:12]
+        return f"wardline_findings_{place}"
+
+    def _compacted(self) -> tuple[DataFrame, int] | None:
+        found = self._generations()
+        if not found:
+            return None
+        _, buckets, folder = found[-1]
+        name = self._table(folder)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({STORED}) USING parquet CLUSTERED BY (id)"
+            f" SORTED BY (event_date, id) INTO {buckets} BUCKETS LOCATION '{self.path}/compacted/{folder}'"
+        )
+        return self.spark.table(name), buckets
 
     def read_compacted(self) -> DataFrame:
-        return VersionedTable(self.spark, f"{self.path}/compacted", STORED).read()
+        held = self._compacted()
+        return self.spark.createDataFrame([], STORED) if held is None else held[0]
 
     def stream(self, **options: str) -> DataFrame:
         """New rows of the log as a stream."""

@@ -20,6 +20,7 @@ TABLES = {
     "dns_answers": "host string, ts timestamp, domain string, resolved boolean",
     "http_payloads": "host string, ts timestamp, dst_ip string, port int, payload string",
     "tls_names": "host string, ts timestamp, sni string, dst_ip string, port int",
+    "cloud_logs": "host string, ts timestamp, line string",
     "code_files": "repo string, path string, mtime bigint, content binary",
 }
 

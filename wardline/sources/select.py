@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline import schemas
 from wardline.registry import Registry
-from wardline.sources import telemetry
+from wardline.sources import cloud, telemetry
 
 log = logging.getLogger(__name__)
 
@@ -26,6 +26,7 @@ EVENT_BUILDERS: dict[str, Callable[..., DataFrame]] = {
     "code_files": telemetry.code_events,
     "http_payloads": telemetry.http_events,
     "tls_names": telemetry.tls_events,
+    "cloud_logs": cloud.cloud_log_events,
 }
 
 # Sources whose addresses can be held against ranges.
@@ -34,13 +35,14 @@ RANGED = ["connections", "netstat_lines", "http_payloads", "tls_names"]
 # How Spark says that a table is not there.
 ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
 
-# Named selections; payload capture takes part only where asked for.
+# Named selections; payload capture and cloud logs take part only where asked for.
 SELECTIONS = {
     "net": ["connections", "netstat_lines", "dns_answers"],
     "os": ["processes", "shell_lines"],
     "browser": ["visits"],
     "shell": ["shell_lines"],
     "codebase": ["code_files"],
+    "cloud": ["cloud_logs"],
     "pcap": ["http_payloads", "tls_names"],
     "all": [
         "connections", "netstat_lines", "dns_answers", "processes", "shell_lines", "visits", "code_files",

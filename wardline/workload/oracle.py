@@ -413,6 +413,70 @@ def _sarif_logs(run: str, parts: int) -> str:
 _ALL_CTES = (_CONNECTIONS, _NETSTAT, _DNS, _TLS, _HTTP, _PROCESSES, _SHELL, _VISITS, _FILES, _SECRETS)
 _SCAN_ALL = ["connections", "parsed", "dns", "processes", "shell", "visits", "code"]
 
+_TIME = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
+_FIRST = f"""('{{"eventTime":"' || {_TIME} || '","eventSource":"' || {_SITE} || '","eventName":"Invoke' || (event_id % 4)
+    || '","userIdentity":{{"arn":"arn:u' || (event_id % 7) || '"}},"sourceIPAddress":"10.0.0.' || (event_id % 9)
+    || '","eventID":"e' || event_id || '"}}')"""
+_SECOND = f"""('{{"timestamp":' || (epoch_ms(ts) // 1000 * 1000) || ',"insertId":"i' || event_id
+    || '","protoPayload":{{"serviceName":"' || {_SITE} || '","methodName":"Predict","authenticationInfo":{{"principalEmail":"u'
+    || (event_id % 7) || '@x.org"}}}}}}')"""
+_THIRD = f"""('{{"time":"' || {_TIME} || '","host":"' || {_SITE} || '","operation":"chat","user":null}}')"""
+_CLOUD = f"""
+cloud_rec AS (
+    SELECT lower({_SITE}) AS remote_host, 'Invoke' || (event_id % 4) AS operation, 'arn:u' || (event_id % 7) AS actor,
+        'e' || event_id AS record_id, date_trunc('second', ts) AS ts, 443 AS port FROM ev WHERE event_id % 10 IN (0, 2)
+    UNION ALL SELECT lower({_SITE}), 'Predict', 'u' || (event_id % 7) || '@x.org', 'i' || event_id, date_trunc('second', ts), 443
+        FROM ev WHERE event_id % 10 IN (1, 2)
+    UNION ALL SELECT lower({_SITE}), 'chat', NULL, '0:' || md5({_THIRD}), date_trunc('second', ts), 443
+        FROM ev WHERE event_id % 10 = 3),
+cloud_ev AS (SELECT * FROM cloud_rec h WHERE EXISTS (
+    SELECT 1 FROM dom d WHERE h.remote_host = d.domain OR ends_with(h.remote_host, '.' || d.domain)))"""
+_EVENTS["cloud"] = _matched(
+    "cloud_log", "cloud_ev", _HOST_SIG.format("remote_host"), "NULL",
+    f"'{DASH}connection to ' || remote_host || ':' || port", "remote_host", "operation", "actor", "record_id",
+)
+_CLOUD_REJECTS = f"""SELECT host, CAST(ts AS VARCHAR) AS logged_at, CAST(part AS INT) AS part, reason, line FROM (
+    SELECT host, ts, 0 AS part, 'not JSON' AS reason, left({_FIRST}, 40) AS line FROM ev WHERE event_id % 10 = 4
+    UNION ALL SELECT host, ts, 0, 'not JSON', '' FROM ev WHERE event_id % 10 = 5
+    UNION ALL SELECT host, ts, 0, 'no record', '[1,2]' FROM ev WHERE event_id % 10 = 6
+    UNION ALL SELECT host, ts, 0, 'no time', '{{"eventTime":"yesterday","eventSource":"' || {_SITE} || '"}}' FROM ev WHERE event_id % 10 = 7
+    UNION ALL SELECT host, ts, 0, 'no record', '{{"Records":[]}}' FROM ev WHERE event_id % 10 = 8
+    UNION ALL SELECT host, ts, 2, 'no record', '{{"Records":[' || {_FIRST} || ',' || {_SECOND} || ',7]}}' FROM ev WHERE event_id % 10 = 2)"""
+
+_LEAKS = """
+texts AS (
+    SELECT event_id, 'header:authorization' AS field, 'plain' AS form, 0 AS run, 'Bearer sk-' || key AS searched FROM ev WHERE event_id % 8 = 0
+    UNION ALL SELECT event_id, 'body', 'plain', 0, 'key=hf_' || key || '&x=1' FROM ev WHERE event_id % 8 = 0
+    UNION ALL SELECT event_id, 'header:x-auth', 'plain', 0, 'Basic ' || to_base64(encode('user:sk-ant-' || key)) FROM ev WHERE event_id % 8 = 1
+    UNION ALL SELECT event_id, 'header:x-auth', 'base64', 0, 'user:sk-ant-' || key FROM ev WHERE event_id % 8 = 1
+    UNION ALL SELECT event_id, 'body', 'plain', 0, 'q=%73k%2D' || key || '+%2B&r=%zz' FROM ev WHERE event_id % 8 = 2
+    UNION ALL SELECT event_id, 'body', 'plain', 0, 'q=%73k%2D' || key || '+%2B%C3%A9' FROM ev WHERE event_id % 8 = 3
+    UNION ALL SELECT event_id, 'body', 'percent', 0, 'q=sk-' || key || '++é' FROM ev WHERE event_id % 8 = 3
+    UNION ALL SELECT event_id, 'header:x-a', 'plain', 0, 'sk-' || key || ' and sk-' || reverse(key) FROM ev WHERE event_id % 8 = 4
+    UNION ALL SELECT event_id, 'body', 'plain', 0, key || ' ' || key FROM ev WHERE event_id % 8 = 4
+    UNION ALL SELECT event_id, 'body', 'plain', 0, '{"blob":"' || to_base64(encode('AIza' || key || 'abc é')) || '","n":1}' FROM ev WHERE event_id % 8 = 5
+    UNION ALL SELECT event_id, 'body', 'base64', 0, 'AIza' || key || 'abc é' FROM ev WHERE event_id % 8 = 5
+    UNION ALL SELECT event_id, 'header:x-auth', 'plain', 0, key || key FROM ev WHERE event_id % 8 = 7),
+cut AS (SELECT t.*, p.sig_id, p.pattern_id, p.severity,
+        string_split(regexp_replace(searched, '(' || p.pattern || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts
+    FROM texts t JOIN pat p ON regexp_matches(searched, p.pattern)),
+placed AS (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM cut),
+starts AS (SELECT *, length(split_part(parts[i], chr(2), 1)) AS n,
+        1 + list_sum(list_transform(parts[1:i - 1], lambda x: length(replace(x, chr(2), '')))) AS start FROM placed)"""
+
+_REWRITTEN = f"""
+rewritten AS (SELECT 'f' || n AS id, CASE WHEN n % 50 <> 7 THEN DATE '2024-01-01' + CAST(n % 30 AS INT) END AS event_date,
+        ts AS written_at, {_SCORE} AS risk_score, {_pick(['allow', 'warn', 'block'], 'event_id')} AS policy_action,
+        'seen ' || event_id AS detail, {_pick(['net', 'process', 'browser', 'shell', 'codebase'], 'n')} AS source
+    FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 1000 END AS n FROM events)),
+latest AS (SELECT *, CASE WHEN event_date IS NULL THEN first_at ELSE written_at END AS shown FROM (
+    SELECT *, min(written_at) OVER (PARTITION BY id) AS first_at,
+        row_number() OVER (PARTITION BY id ORDER BY written_at DESC, risk_score DESC, policy_action) AS place FROM rewritten)
+    WHERE place = 1)
+"""
+_LATEST_COLUMNS = """SELECT id, CAST(event_date AS VARCHAR) AS event_date, CAST(written_at AS VARCHAR) AS written_at,
+    CAST(shown AS VARCHAR) AS timestamp, risk_score, policy_action, detail FROM latest"""
+
 _DEBOUNCE = f"""
 alerts AS (SELECT coalesce(service_id, 'unknown') AS service, epoch_us(timestamp) // 1000000 AS sec,
     count(*) AS n_alerts FROM history WHERE risk_level IN ('HIGH', 'CRITICAL') GROUP BY ALL),
@@ -508,6 +572,10 @@ def oracle_sql() -> dict[str, str]:
                 CAST(ts AS VARCHAR) AS ts, remote_host, dst_ip AS remote_ip, port, 'http' AS protocol,
                 CASE WHEN n_headers > 0 THEN CAST(n_headers AS INT) END AS n_headers, auth AS "authorization", x_ratio FROM http_ev""",
         ),
+        "cloud_log_findings": _flat(_CLOUD, events=["cloud"]),
+        "cloud_log_rejects": _with(select=_CLOUD_REJECTS),
+        "http_dlp_hits": _with(_LEAKS, select="""SELECT event_id, field, form, run, sig_id AS signature_id, pattern_id, severity,
+            CAST(start AS INT) AS start, CAST(start + n - 1 AS INT) AS stop FROM starts"""),
         "ip_range_findings": _flat(_RANGED, events=["ranged"]),
         "ip_range_owners": _MANY,
         "http_log_findings": _flat(_HTTP, events=["http"]),
@@ -559,13 +627,11 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT service_name AS service, risk_level, detail FROM history WHERE risk_level = 'CRITICAL'",
         "actionable_findings": history
         + "SELECT id, risk_level FROM history WHERE risk_level IN ('HIGH', 'CRITICAL')",
-        "findings_latest_by_id": f"""SELECT id, CAST(event_date AS VARCHAR) AS event_date,
-                CAST(written_at AS VARCHAR) AS written_at, risk_score, policy_action FROM (
-            SELECT *, row_number() OVER (PARTITION BY id ORDER BY written_at DESC, risk_score DESC, policy_action) AS place
-            FROM (SELECT 'f' || n AS id, DATE '2024-01-01' + CAST(n % 30 AS INT) AS event_date, ts AS written_at,
-                    {_SCORE} AS risk_score, {_pick(['allow', 'warn', 'block'], 'event_id')} AS policy_action
-                FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 1000 END AS n FROM events))
-            ) WHERE place = 1""",
+        "findings_latest_by_id": f"WITH {_REWRITTEN}{_LATEST_COLUMNS}",
+        "store_latest_by_id": f"WITH {_REWRITTEN}{_LATEST_COLUMNS}",
+        "store_last_24h": f"WITH {_REWRITTEN}" + """SELECT id, CAST(shown AS VARCHAR) AS timestamp, source, risk_score, detail
+            FROM latest WHERE shown >= TIMESTAMP '2024-01-29 00:00:00'
+                AND (event_date IS NULL OR event_date >= DATE '2024-01-29')""",
         "signature_list": history
         + """SELECT s.id, s.version, s.risk_base, s.name, count(h.id) AS n_findings FROM sig s
             LEFT JOIN history h ON h.service_id = s.id GROUP BY s.id, s.version, s.risk_base, s.name ORDER BY s.id""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -10,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.risk import risk_level, risk_score
-from wardline.operators import debounce, dedup, incremental, matching, ranges, rules
+from wardline.operators import debounce, dedup, incremental, matching, payloads, ranges, rules
 from wardline.operators.updates import updates_due
 from wardline.operators.secrets import secret_lines as find_secret_lines
 from wardline.plans.scan import analyze
 from wardline.policy import Policy, Rule
 from wardline.registry import Registry, signature_list as list_signatures
-from wardline.session import configure
+from wardline.session import configure, shared_dir
 from wardline.sinks import documents, reports, store
+from wardline.sources import cloud
 from wardline.sources import telemetry as sources
 from wardline.sources.select import union_events
 from wardline.workload import telemetry as raw
@@ -236,17 +239,49 @@ def actionable_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.actionable(raw.stored_history(spark, sf_dir)).select("id", "risk_level")
 
 
-def findings_latest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = store.stored_latest(raw.rewritten_history(spark, sf_dir))
+def _latest_columns(latest: DataFrame) -> DataFrame:
     return latest.select(
         "id",
         F.col("event_date").cast("string").alias("event_date"),
         F.col("written_at").cast("string").alias("written_at"),
+        F.col("timestamp").cast("string").alias("timestamp"),
         "risk_score",
         "policy_action",
+        "detail",
     )
 
 
+def findings_latest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _latest_columns(store.stored_latest(raw.rewritten_history(spark, sf_dir).drop("event_id")))
+
+
+def _written_store(spark: SparkSession, sf_dir: str) -> store.FindingsStore:
+    """A store that was written to, compacted, and written to twice more."""
+    folder = f"{shared_dir(spark, tempfile.gettempdir())}/wardline-store-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    written = store.FindingsStore(spark, folder, buckets=8)
+    rows = raw.rewritten_history(spark, sf_dir)
+    for part in range(3):
+        chosen = rows.filter(f"event_id % 7 % 3 = {part}").drop("event_id")
+        missing = [f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in store.STORED.split(", "))
+                   if name not in (*chosen.columns, "feed")]
+        written.append_rows(chosen.selectExpr("*", *missing), feed=f"part{part}")
+        if part == 0:
+            written.compact(trim=True)
+    return written
+
+
+def store_latest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest write of each id, from files: a compacted table and the log since."""
+    return _latest_columns(_written_store(spark, sf_dir).read())
+
+
+def store_last_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _written_store(spark, sf_dir).last_hours(24, AS_OF)
+    return found.select("id", F.col("timestamp").cast("string").alias("timestamp"), "source", "risk_score", "detail")
+
+
 def signature_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing, with how many stored findings each signature has."""
     counts = (
@@ -404,6 +439,19 @@ def ip_range_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.join_range_owner(addresses, "address", raw.many_ranges(spark, sf_dir), "owner")
 
 
+def cloud_log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_findings(_scan(cloud.cloud_log_events(raw.cloud_logs(spark, sf_dir), Registry.bundled())))
+
+
+def cloud_log_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejects = cloud.cloud_log_rejects(raw.cloud_logs(spark, sf_dir))
+    return rejects.withColumn("logged_at", F.col("logged_at").cast("string"))
+
+
+def http_dlp_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.payload_hits(raw.leaky_payloads(spark, sf_dir), Registry.bundled())
+
+
 _QUERIES: list[Query] = [
     visit_findings, latest_visits_per_profile, network_findings, netstat_connections,
     capture_first_connections, dns_reachable_domains, dns_findings, tls_name_findings,
@@ -411,10 +459,11 @@ _QUERIES: list[Query] = [
     document_dlp_hits, risk_scores, policy_actions, policy_thresholds, policy_check,
     all_findings, scan_counts, findings_last_24h, findings_recent_1000, findings_since,
     findings_today_count, ci_gate_count, findings_of_level, actionable_findings,
-    findings_latest_by_id, signature_list, stale_signatures, changed_files,
+    findings_latest_by_id, store_latest_by_id, store_last_24h, signature_list, stale_signatures, changed_files,
     changed_files_by_commit, changed_files_combined, incremental_secret_lines, stored_findings, findings_json,
     sarif_results, sarif_logs, sarif_logs_in_parts, scan_report_markdown, scan_report_sarif, alert_payload, report_lines, stored_report_lines,
     markdown_rows, html_rows, alert_debounce, ip_range_findings, ip_range_owners,
+    cloud_log_findings, cloud_log_rejects, http_dlp_hits,
 ]
 
 

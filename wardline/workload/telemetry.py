@@ -177,6 +177,54 @@ def http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def leaky_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with keys in headers and bodies: plain, in percent form, in base64."""
+    key = "md5(cast(event_id as string))"
+    head = "concat('POST /v1/c?e=', event_id, ' HTTP/1.1\r\nHost: a.example.com\r\n')"
+    return derived(
+        _events(spark, sf_dir),
+        "event_id",
+        f"""concat({head}, CASE event_id % 8
+            WHEN 0 THEN concat('Authorization: Bearer sk-', {key}, '\r\n\r\nkey=hf_', {key}, '&x=1')
+            WHEN 1 THEN concat('X-Auth: Basic ', base64(encode(concat('user:sk-ant-', {key}), 'utf-8')), '\r\n\r\n')
+            WHEN 2 THEN concat('Accept: */*\r\n\r\nq=%73k%2D', {key}, '+%2B&r=%zz')
+            WHEN 3 THEN concat('Accept: */*\r\n\r\nq=%73k%2D', {key}, '+%2B%C3%A9')
+            WHEN 4 THEN concat('X-A: sk-', {key}, ' and sk-', reverse({key}), '\r\n\r\n', {key}, ' ', {key})
+            WHEN 5 THEN concat('\r\n{{"blob":"', base64(encode(concat('AIza', {key}, 'abc é'), 'utf-8')), '","n":1}}')
+            WHEN 6 THEN '\r\nnothing here'
+            ELSE concat('X-Auth: ', {key}, {key}, '\r\n\r\n')
+        END) AS payload""",
+    )
+
+
+def cloud_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit lines in three providers' shapes, lists of records, and lines that cannot be used."""
+    site, time = pick(HOSTS, "event_id"), "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    first = (
+        f"concat('{{\"eventTime\":\"', {time}, '\",\"eventSource\":\"', {site}, '\",\"eventName\":\"Invoke', event_id % 4,"
+        " '\",\"userIdentity\":{\"arn\":\"arn:u', event_id % 7, '\"},\"sourceIPAddress\":\"10.0.0.', event_id % 9,"
+        " '\",\"eventID\":\"e', event_id, '\"}')"
+    )
+    second = (
+        f"concat('{{\"timestamp\":', unix_millis(ts) div 1000 * 1000, ',\"insertId\":\"i', event_id, '\",\"protoPayload\":{{\"serviceName\":\"', {site},"
+        " '\",\"methodName\":\"Predict\",\"authenticationInfo\":{\"principalEmail\":\"u', event_id % 7, '@x.org\"}}}')"
+    )
+    return derived(
+        _events(spark, sf_dir),
+        "host",
+        "ts",
+        f"""CASE event_id % 10
+            WHEN 0 THEN {first} WHEN 1 THEN {second}
+            WHEN 2 THEN concat('{{"Records":[', {first}, ',', {second}, ',7]}}')
+            WHEN 3 THEN concat('{{"time":"', {time}, '","host":"', {site}, '","operation":"chat","user":null}}')
+            WHEN 4 THEN left({first}, 40) WHEN 5 THEN '' WHEN 6 THEN '[1,2]'
+            WHEN 7 THEN concat('{{"eventTime":"yesterday","eventSource":"', {site}, '"}}')
+            WHEN 8 THEN '{{"Records":[]}}'
+            ELSE concat('{{"eventTime":"', {time}, '","eventSource":{{"name":"x"}},"host":" "}}')
+        END AS line""",
+    )
+
+
 def tls_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(
         _events(spark, sf_dir),
@@ -359,13 +407,17 @@ def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewritten_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated writes of the same ids; a third of all writes has one id."""
+    """Repeated writes of the same ids; a third of all writes has one id, some ids have no date."""
     number = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 1000 END"
     return derived(
         _events(spark, sf_dir),
+        "event_id",
         f"concat('f', {number}) AS id",
-        f"date_add(date '2024-01-01', cast(({number}) % 30 as int)) AS event_date",
+        f"CASE WHEN ({number}) % 50 <> 7 THEN date_add(date '2024-01-01', cast(({number}) % 30 as int)) END AS event_date",
+        "ts AS timestamp",
         "ts AS written_at",
         "cast((event_id * 37) % 101 as int) AS risk_score",
         f"{pick(['allow', 'warn', 'block'], 'event_id')} AS policy_action",
+        "concat('seen ', event_id) AS detail",
+        f"{pick(['net', 'process', 'browser', 'shell', 'codebase'], f'({number})')} AS source",
     )
