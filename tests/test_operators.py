@@ -205,6 +205,73 @@ def test_compacted_store_with_trimmed_log(spark, tmp_path):
     assert target.read().count() == 6 and target.log().count() == 0
 
 
+def lines_below(plan, name):
+    """The plan's lines below the first line that names ``name``."""
+    lines = plan.splitlines()
+    at = next(k for k, line in enumerate(lines) if name in line)
+    return lines[at + 1 :]
+
+
+def test_a_compacted_store_is_read_without_shuffling_its_rows(spark, tmp_path):
+    target = store.FindingsStore(spark, str(tmp_path / "f"), buckets=4)
+    days = [(T0 + timedelta(days=i), "claude.ai") for i in range(6)]
+    target.append(findings(spark, *days[:4]))
+    target.compact(trim=True)
+    target.append(findings(spark, *days[2:], policy=Policy(mode="block")))
+    plan = target.read()._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(k for k, line in enumerate(lines) if "wardline_findings_" in line)
+    depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-"))
+    above = []
+    for line in reversed(lines[:scan]):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if at < depth:
+            above.append(line)
+            depth = at
+    assert "Bucketed: true" in lines[scan] and any("Aggregate" in line for line in above)
+    assert not any("Exchange" in line for line in above)
+    # the log's writes are reduced within tasks before they are shuffled
+    log = next(k for k, line in enumerate(lines) if "/f/log" in line)
+    assert any("partial_max_by" in line for line in lines[scan:log])
+    assert {(r.timestamp.day, r.policy_action) for r in target.read().collect()} == {
+        (1, "warn"), (2, "warn"), (3, "block"), (4, "block"), (5, "block"), (6, "block"),
+    }
+    # a second compaction keeps the rows where they are
+    target.compact(trim=True)
+    assert target.read().count() == 6 == target.read_compacted().count()
+    files = {f.rsplit("_", 1)[1] for f in target.read_compacted().inputFiles()}
+    assert len(files) <= 4
+
+
+def test_one_aggregate_finds_the_newest_write(spark):
+    rows = [("a", None, k, 1 + k % 2, 5, act) for k, act in enumerate(["warn", None, "allow", "block"])]
+    rows += [("b", T0.date(), 3, 1, 5, "allow"), ("b", T0.date(), 4, 1, 5, "warn"), ("c", T0.date(), 9, 2, 7, None)]
+    df = spark.createDataFrame(rows, "id string, event_date date, t int, w int, risk_score int, policy_action string")
+    df = df.selectExpr("*", "timestamp_seconds(t) AS timestamp", "timestamp_seconds(w) AS written_at").drop("t", "w")
+    got = {r.id: (r.timestamp.second, r.policy_action) for r in store.stored_latest(df).collect()}
+    # an undated finding shows its first time; of equal writes one without an action comes first, then by name
+    assert got == {"a": (0, None), "b": (3, "allow"), "c": (9, None)}
+    plan = store.stored_latest(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_max_by") > plan.index("Exchange") and "Window" not in plan
+
+
+def test_a_compaction_that_died_is_not_seen(spark, tmp_path):
+    target = store.FindingsStore(spark, str(tmp_path / "f"), buckets=2)
+    target.append(findings(spark, (T0, "claude.ai")))
+    target.compact()
+    dead = tmp_path / "f" / "compacted" / "g2-b2-00000000"
+    dead.mkdir()
+    (dead / "part-0.parquet").write_text("half")
+    assert target.read().count() == 1
+    assert target.compact() == 2
+    assert target.compact() == 3
+    # another session's view of the same folder, and other buckets
+    again = store.FindingsStore(spark, str(tmp_path / "f"), buckets=3)
+    assert again.read().count() == 1 and again.compact() == 4 and again.read().count() == 1
+    names = sorted(p.name for p in (tmp_path / "f" / "compacted").iterdir() if (p / "_SUCCESS").exists())
+    assert [n.split("-")[0] for n in names] == ["g3", "g4"]
+
+
 def test_last_hours_is_inclusive_to_the_second(spark):
     rows = [(i, T0 + timedelta(seconds=s)) for i, s in enumerate((-0.001, 0, 0.5, 3600))]
     stored = spark.createDataFrame(rows, "id int, timestamp timestamp").withColumns(
@@ -218,7 +285,7 @@ def test_last_hours_is_inclusive_to_the_second(spark):
 def test_time_queries_prune_partitions(spark, tmp_path):
     target = store.FindingsStore(spark, str(tmp_path / "f"))
     target.append(findings(spark, *[(T0 + timedelta(days=i), "claude.ai") for i in range(4)]))
-    recent = store.last_hours(target.read(), 24, T0 + timedelta(days=3))
+    recent = target.last_hours(24, T0 + timedelta(days=3))
     plan = recent._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "PartitionFilters: [(isnull(event_date" in scan
