@@ -308,3 +308,55 @@ def test_visits_without_a_limit_do_not_depend_on_batches(spark):
     assert telemetry.visit_events(rows, BUNDLED).count() == 10_000
     halves = [rows.filter(f"unix_seconds(visit_ts) % 2 = {k}") for k in (0, 1)]
     assert sum(telemetry.visit_events(h, BUNDLED, per_profile=None).count() for h in halves) == 12_000
+
+
+def test_a_deep_tree_is_listed_and_read_by_many_tasks(spark, tmp_path):
+    """All files lie below src/, in folders within folders."""
+    import os
+
+    for a in range(6):
+        for b in range(3):
+            folder = tmp_path / "src" / "main" / f"a{a}" / f"b{b}"
+            os.makedirs(folder)
+            for k in range(4):
+                (folder / f"f{k}.py").write_text(f"x = {a}{b}{k}\n" * 50)
+    (tmp_path / "src" / ".hidden").mkdir()
+    (tmp_path / "src" / ".hidden" / "x.py").write_text("x")
+    (tmp_path / "src" / "node_modules").mkdir()
+    (tmp_path / "src" / "node_modules" / "x.py").write_text("x")
+    tree = files.SourceTree(spark, str(tmp_path), "r")
+    listing = tree.listing()
+    assert listing.count() == 72
+    assert {r.path.split("/")[0] for r in listing.collect()} == {"src"}
+    contents = tree.contents(listing).withColumn("task", F.spark_partition_id())
+    per_task = [r["count"] for r in contents.groupBy("task").count().collect()]
+    assert len(per_task) > 2 and sum(per_task) == 72
+    # the deepest level was listed by several tasks, each of which wrote a file
+    deepest = [f for f in listing.inputFiles()]
+    assert len(deepest) > 3
+
+
+def test_listing_ends_and_a_lost_folder_is_left_out(spark, tmp_path, monkeypatch):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.py").write_text("x")
+    monkeypatch.setattr(files, "MOST_LEVELS", 2)
+    with pytest.raises(ValueError):
+        files.SourceTree(spark, str(tmp_path), "r").listing()
+    monkeypatch.setattr(files, "MOST_LEVELS", 3)
+    assert files.SourceTree(spark, str(tmp_path), "r").listing().count() == 1
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert files.source_tree(spark, str(empty), "r").count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from wardline import session
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.scratch_root(cluster)
+    local = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))
+    assert session.scratch_root(local)

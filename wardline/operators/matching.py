@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.text import last_labels, spark_regex
+from wardline.operators.contains import join_pattern_owner
 from wardline.registry import Registry, Signature, local_frame
 from wardline.schemas import DLP_MATCH
 from wardline.session import spread
@@ -150,43 +151,20 @@ def join_program_signature(
 ) -> DataFrame:
     """``program_signature`` for a registry of any size.
 
-    Each distinct name is cut into its substrings (or, with ``prefix``, its
-    starts) of the lengths that occur in the registry, which turns the test
-    into an equi join.
+    Distinct names meet the registry's names by their rarest grams (or, with ``prefix``, first ones).
     """
     owners = registry.process_names()
     always = owners.pop("", None)
-    lengths = sorted({len(part) for part in owners})
-    if not lengths:
+    if not owners:
         return df.withColumn(out, F.when(F.col(name).isNotNull(), F.lit(always)).cast("string"))
-    pieces = ", ".join(
-        f"IF(length(_name) >= {n}, transform(sequence(1, "
-        f"{1 if prefix else f'length(_name) - {n - 1}'}), at -> substring(_name, at, {n})), "
-        "CAST(array() AS array<string>))"
-        for n in lengths
-    )
-    names = df.select(F.col(name).alias("_name")).filter("_name IS NOT NULL").distinct()
     table = local_frame(
         df.sparkSession,
-        [{"_part": part, "_sig": owner} for part, owner in owners.items()],
-        "_part string, _sig string",
-    )
-    cut = names.select("_name", F.expr(f"explode(array_distinct(flatten(array({pieces}))))").alias("_piece"))
-    matched = (
-        lookup_join(cut, table, _pairs(owners), F.col("_piece") == F.col("_part"))
-        .filter("_sig IS NOT NULL")
-        .groupBy("_name")
-        .agg(F.min("_sig").alias("_sig"))
-    )
-    found = F.least(F.col("_sig"), F.when(F.col(name).isNotNull(), F.lit(always)).cast("string"))
-    # rows without a name match nothing, but may be most rows: they spread over all tasks
-    nowhere = F.concat(F.lit("\x01"), (F.monotonically_increasing_id() % 1024).cast("string"))
-    return (
-        df.withColumn("_key", F.coalesce(F.col(name), nowhere))
-        .join(matched, F.col("_key") == F.col("_name"), "left")
-        .withColumn(out, found)
-        .drop("_name", "_sig", "_key")
+        [{"pattern": part, "owner": owner} for part, owner in owners.items()],
+        "pattern string, owner string",
     )
+    found = join_pattern_owner(df, name, table, "_sig", prefix=prefix)
+    any_name = F.when(F.col(name).isNotNull(), F.lit(always)).cast("string")
+    return found.withColumn(out, F.least(F.col("_sig"), any_name)).drop("_sig")
 
 
 def keep_host_matches(df: DataFrame, host: str, registry: Registry) -> DataFrame:

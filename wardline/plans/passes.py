@@ -59,7 +59,7 @@ def scan_pass(
         # a state written by this pass must not reach the plan it is compared in
         version = state.version()
         listing = files.listing() if isinstance(files, SourceTree) else files
-        listing = listing.select("repo", "path", "mtime", *(["uri"] if isinstance(files, SourceTree) else []))
+        listing = listing.select("repo", "path", "mtime", *(["uri", "size"] if isinstance(files, SourceTree) else []))
         staged, listing = state.stage_listing(listing, commits)
         if commits is None:
             changed = changed_by_mtime(listing, state.read(version)).select("repo", "path")

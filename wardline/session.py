@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 SQL_SETTINGS = {
@@ -47,6 +52,36 @@ def shared_dir(spark: SparkSession, default: str | None = None) -> str:
     return default.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for tables of one run; a local folder only where all runs on this machine.
+
+    A cluster whose session names no shared folder is an error: executors could not
+    see what others wrote.
+    """
+    local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+    return shared_dir(spark, _local_root() if local else None)
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="wardline-")
+
+
+def new_folder(spark: SparkSession, name: str = "table") -> str:
+    """A new folder name below ``scratch_root``, removed when the driver ends."""
+    path = f"{scratch_root(spark)}/wardline-{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: worked out once, also if executors are lost."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share the rows of a few large splits among all cores before costly work on them.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.text import SKIPPED_FOLDERS, is_scanned_extension
+from wardline.session import written
 
 # Raw telemetry tables, as logged by a fleet.
 TABLES = {
@@ -24,6 +25,13 @@ TABLES = {
     "code_files": "repo string, path string, mtime bigint, content binary",
 }
 
+LISTED = "uri string, name string, mtime bigint, size bigint"
+LISTED_NAMES = ["uri", "name", "mtime", "size"]
+#: folders within folders; links to a folder above would go on without end
+MOST_LEVELS = 200
+#: bytes of files that one task reads
+TASK_BYTES = 32_000_000
+
 # End of a history file's name -> shell.
 SHELL_OF_FILE = {"bash_history": "bash", "zsh_history": "zsh", "fish_history": "fish"}
 
@@ -41,49 +49,60 @@ def stream_table(
 
 
 def _files_below(spark: SparkSession, root: str, prune: tuple[str, ...]) -> DataFrame:
-    """``uri, name, mtime``: every file below a folder, or the file itself, whatever its name.
+    """``uri, name, mtime, size``: every file below a folder, or the file itself, whatever its name.
 
     Spark's own readers leave out names that start with a dot or an underscore.
-    The folder's direct entries are listed here; a task walks each of those that
-    are folders. Folders named in ``prune``, or with a leading dot, are not entered.
+    Folders are listed level by level: the folders of a level are a table, spread over
+    tasks, whose listing gives the files and the folders of the next. No list of folders
+    comes to the driver, and a tree wholly below one folder is shared from the level on
+    where it branches. Folders named in ``prune``, or with a leading dot, are not entered.
     """
     from pyarrow import fs
 
-    def enters(name: str) -> bool:
-        return not name.startswith(".") and name not in prune
-
-    def row(base: str, info) -> tuple:
-        return info.path, info.path[len(base) :].lstrip("/") or info.base_name, info.mtime_ns
-
     files, base = fs.FileSystem.from_uri(root)
     scheme = root[: len(root) - len(base)] if root.endswith(base) else ""
     top = files.get_file_info(base)
     if top.type == fs.FileType.NotFound:
         raise FileNotFoundError(root)
-    entries = [top] if top.is_file else files.get_file_info(fs.FileSelector(base))
-    found = [row(base, e) for e in entries if e.is_file]
-    folders = [(e.path,) for e in entries if e.type == fs.FileType.Directory and enters(e.base_name)]
+    if top.is_file:
+        listing = spark.createDataFrame([(top.path, top.base_name, top.mtime_ns, top.size)], LISTED)
+        return listing.withColumn("uri", F.concat(F.lit(scheme), "uri"))
+
+    def enters(name: str) -> bool:
+        return not name.startswith(".") and name not in prune
 
-    def walk(batches):
+    def one_level(batches):
         for batch in batches:
-            for folder in batch["folder"]:
+            for folder in batch["uri"]:
                 files, _ = fs.FileSystem.from_uri(root)
-                waiting = [folder]
-                while waiting:
-                    rows = []
-                    for e in files.get_file_info(fs.FileSelector(waiting.pop())):
-                        if e.is_file:
-                            rows.append(row(base, e))
-                        elif enters(e.base_name):
-                            waiting.append(e.path)
-                    yield pd.DataFrame(rows, columns=["uri", "name", "mtime"])
-
-    schema = "uri string, name string, mtime bigint"
-    listing = spark.createDataFrame(found, schema)
-    if folders:
-        below = spark.createDataFrame(folders, "folder string").repartition(len(folders))
-        listing = listing.union(below.mapInPandas(walk, schema))
-    return listing.withColumn("uri", F.concat(F.lit(scheme), "uri"))
+                rows = []
+                for e in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                    name = e.path[len(base) :].lstrip("/")
+                    if e.is_file:
+                        rows.append((e.path, name, e.mtime_ns, e.size))
+                    elif e.type == fs.FileType.Directory and enters(e.base_name):
+                        rows.append((e.path, None, None, None))
+                yield pd.DataFrame(rows, columns=LISTED_NAMES).astype({"mtime": "Int64", "size": "Int64"})
+
+    levels, frontier = [], spark.createDataFrame([(base,)], "uri string")
+    for _ in range(MOST_LEVELS):
+        found = written(frontier.mapInPandas(one_level, LISTED))
+        levels.append(found.filter("name IS NOT NULL"))
+        # one row per folder goes to a task of its own as far as there are tasks
+        below = found.filter("name IS NULL").select("uri")
+        if below.isEmpty():
+            break
+        frontier = below.repartition("uri")
+    else:
+        raise ValueError(f"folders nest more than {MOST_LEVELS} levels below {root}")
+    return reduce(DataFrame.union, levels).withColumn("uri", F.concat(F.lit(scheme), "uri"))
+
+
+def spread_by_bytes(listing: DataFrame, size: str = "size") -> DataFrame:
+    """Files dealt to tasks of about ``TASK_BYTES``, but to as many tasks as run at once if there are fewer."""
+    total = listing.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    tasks = max(-(-total // TASK_BYTES), listing.sparkSession.sparkContext.defaultParallelism)
+    return listing.repartition(int(tasks), F.xxhash64("uri"))
 
 
 def _with_content(listing: DataFrame) -> DataFrame:
@@ -117,7 +136,8 @@ def shell_history_files(spark: SparkSession, paths: str | list[str], host: str =
         shell = shell.when(F.col("uri").endswith(name), label)
     paths = [paths] if isinstance(paths, str) else paths
     listing = reduce(DataFrame.union, (_files_below(spark, path, ()) for path in paths))
-    found = _with_content(listing.withColumn("shell", shell).filter("shell IS NOT NULL"))
+    listing = listing.withColumn("shell", shell).filter("shell IS NOT NULL")
+    found = _with_content(spread_by_bytes(listing))
     lines = found.select(
         F.lit(host).alias("host"),
         F.expr("timestamp_micros(mtime div 1000)").alias("ts"),
@@ -136,16 +156,16 @@ class SourceTree:
         self.repo = repo or root.split(":", 1)[-1].rstrip("/")
 
     def listing(self) -> DataFrame:
-        """``repo, path, mtime, uri`` of files with scanned extensions; paths are relative to the root."""
+        """``repo, path, mtime, uri, size`` of files with scanned extensions; paths are relative to the root."""
         files = _files_below(self.spark, self.root, tuple(SKIPPED_FOLDERS))
         wanted = is_scanned_extension(F.col("name")) | F.col("name").rlike(r"(^|/)\.env\z")
         return files.filter(wanted).select(
-            F.lit(self.repo).alias("repo"), F.col("name").alias("path"), "mtime", "uri"
+            F.lit(self.repo).alias("repo"), F.col("name").alias("path"), "mtime", "uri", "size"
         )
 
     def contents(self, listing: DataFrame) -> DataFrame:
         """``code_files`` of the listed files; no other file is opened."""
-        return _with_content(listing).select("repo", "path", "mtime", "content")
+        return _with_content(spread_by_bytes(listing)).select("repo", "path", "mtime", "content")
 
 
 def source_tree(spark: SparkSession, root: str, repo: str = "") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -18,7 +16,7 @@ from wardline.operators.secrets import secret_lines as find_secret_lines
 from wardline.plans.scan import analyze
 from wardline.policy import Policy, Rule
 from wardline.registry import Registry, signature_list as list_signatures
-from wardline.session import configure, shared_dir
+from wardline.session import configure, new_folder
 from wardline.sinks import documents, reports, store
 from wardline.sources import cloud
 from wardline.sources import telemetry as sources
@@ -257,10 +255,7 @@ def findings_latest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written_store(spark: SparkSession, sf_dir: str) -> store.FindingsStore:
     """A store that was written to, compacted, and written to twice more."""
-    folder = f"{shared_dir(spark, tempfile.gettempdir())}/wardline-store-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    written = store.FindingsStore(spark, folder, buckets=8)
+    written = store.FindingsStore(spark, new_folder(spark, "store"), buckets=8)
     rows = raw.rewritten_history(spark, sf_dir)
     for part in range(3):
         chosen = rows.filter(f"event_id % 7 % 3 = {part}").drop("event_id")
