@@ -384,8 +384,32 @@ def test_scan_pass_raises_alerts(spark, tmp_path):
     for _ in range(2):
         scan_pass(spark, {"code_files": files}, BUNDLED, Policy.bundled(), target, selection=["codebase"], alerts=feed)
     # the second pass finds the same, within the debounce
-    sent = spark.read.parquet(str(tmp_path / "out" / "payloads")).collect()
-    assert len(sent) == 1 and sent[0].n_alerts == 1
+    (folder,) = (tmp_path / "out" / "payloads").glob("batch_id=*/payload=alerts")
+    sent = json.loads("".join(f.read_text() for f in sorted(folder.glob("part-*"))))
+    assert len(sent["findings"]) == 1
+
+
+def test_large_documents_are_written_in_order_by_many_tasks(spark, tmp_path):
+    """One run holds a third of all findings."""
+    rows = findings(spark, *[(T0 + timedelta(seconds=i), "claude.ai") for i in range(600)])
+    rows = rows.withColumn("run", F.expr("IF(second(ts) < 20, 'big', concat('r', minute(ts)))")).persist()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        for lines, whole, name in (
+            (documents.sarif_lines(rows, "run"), documents.sarif_logs(rows, "run").select("run", "sarif"), "sarif"),
+            (documents.alert_lines(rows, "run"), documents.alert_payloads(rows, "run").select("run", "payload"), "alerts"),
+        ):
+            documents.write_documents(lines, "run", str(tmp_path / name))
+            for run, text in whole.collect():
+                parts = sorted((tmp_path / name / f"run={run}").glob("part-*"))
+                got = "".join(p.read_text() for p in parts)
+                assert json.loads(got) == json.loads(text)
+                assert run != "big" or len(parts) > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
 def test_alert_payload(spark):

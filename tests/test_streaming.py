@@ -1,6 +1,7 @@
 import json
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -117,8 +118,12 @@ def test_live_lines_lose_no_ties(spark, place):
 
 
 def payload_details(spark, feed):
-    rows = spark.read.parquet(f"{feed.outbox}/payloads").collect()
-    return sorted((r.batch_id, f["detail"]) for r in rows for f in json.loads(r.payload)["findings"])
+    """(batch, detail) of all alerts; each batch's files in name order are one document."""
+    found = []
+    for batch in sorted(Path(feed.outbox, "payloads").glob("batch_id=*")):
+        text = "".join(f.read_text() for f in sorted((batch / "payload=alerts").glob("part-*")))
+        found += [(int(batch.name.split("=")[1]), f["detail"]) for f in json.loads(text)["findings"]]
+    return sorted(found)
 
 
 def test_alerts_are_debounced_across_batches(spark, place, tmp_path):

@@ -3,8 +3,9 @@
 A run or a batch is one document, whatever its size. ``sarif_logs`` and
 ``alert_payloads`` make each one row, for documents that fit a row; ``parts``
 splits them by a hash of the id, the same way however the data lie. For runs of
-any size ``sarif_lines`` gives the text of the document as ordered lines, of
-which no task holds more than its share.
+any size ``sarif_lines`` and ``alert_lines`` give the text of the document as ordered
+lines, of which no task holds more than its share, and ``write_documents`` writes them
+so that the files of a run, one after another in the order of their names, are its document.
 """
 
 from __future__ import annotations
@@ -94,25 +95,42 @@ def sarif_logs(
     return docs.select(run_id, "doc_id", F.col("n_rows").alias("n_results"), document.alias("sarif"))
 
 
+def _lines(rows: DataFrame, key: str, head: Column, item: Column, tail: str) -> DataFrame:
+    """``key, place, finding_id, line``: a head, a line for each row, a tail.
+
+    The first item of a document has no comma before it, wherever the others lie.
+    """
+    runs = rows.groupBy(key).agg(F.min("finding_id").alias("_first"))
+    first = runs.select(F.col(key).alias("_run"), "_first")
+    comma = F.when(F.col("finding_id") == F.col("_first"), "").otherwise(",")
+    items = rows.join(first, F.col(key).eqNullSafe(F.col("_run"))).select(
+        key, F.lit(1).alias("place"), "finding_id", F.concat(comma, item).alias("line")
+    )
+    none = F.lit(None).cast("string").alias("finding_id")
+    heads = runs.select(key, F.lit(0).alias("place"), none, head.alias("line"))
+    tails = runs.select(key, F.lit(2).alias("place"), none, F.lit(tail).alias("line"))
+    return heads.unionByName(items).unionByName(tails)
+
+
 def sarif_lines(
     findings: DataFrame, run_id: str, *, information_uri: str = "", tool: str = TOOL
 ) -> DataFrame:
     """``run_id, place, finding_id, line``: the same documents, a line for each result.
 
-    In the order of ``run_id, place, finding_id`` the lines make up each run's
-    document. Written after a range partitioning by these, a run of any size is
-    spread over files.
+    In the order of ``run_id, place, finding_id`` the lines make up each run's document.
     """
-    runs = findings.groupBy(run_id).agg(F.min("finding_id").alias("_first"))
-    first = runs.select(F.col(run_id).alias("_run"), "_first")
-    comma = F.when(F.col("finding_id") == F.col("_first"), "").otherwise(",")
-    results = findings.join(first, F.col(run_id).eqNullSafe(F.col("_run"))).select(
-        run_id, F.lit(1).alias("place"), "finding_id", F.concat(comma, F.to_json(sarif_result(tool))).alias("line")
-    )
-    none = F.lit(None).cast("string").alias("finding_id")
-    heads = runs.select(run_id, F.lit(0).alias("place"), none, sarif_head(tool, information_uri).alias("line"))
-    tails = runs.select(run_id, F.lit(2).alias("place"), none, F.lit(SARIF_TAIL).alias("line"))
-    return heads.unionByName(results).unionByName(tails)
+    return _lines(findings, run_id, sarif_head(tool, information_uri), F.to_json(sarif_result(tool)), SARIF_TAIL)
+
+
+def write_documents(lines: DataFrame, key: str, path: str) -> None:
+    """Write ``key, place, finding_id, line`` as text, a folder per key.
+
+    Lines are range-partitioned in the order of the documents, so a large one is written by
+    many tasks, and the files of a folder in the order of their names are the document.
+    """
+    order = [key, "place", "finding_id"]
+    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(key, "line").write.mode("overwrite").partitionBy(key).text(path)
 
 
 def alert_item() -> Column:
@@ -135,3 +153,13 @@ def alert_payloads(
     head = f'{{"tool":"{tool}","version":"{__version__}","findings":['
     payload = F.concat(F.lit(head), F.array_join("items", ","), F.lit("]}"))
     return docs.select(batch_id, "doc_id", F.col("n_rows").alias("n_alerts"), payload.alias("payload"))
+
+
+ALERT_HEAD = f'{{"tool":"{TOOL}","version":"{__version__}","findings":['
+ALERT_TAIL = "]}"
+
+
+def alert_lines(alerts: DataFrame, batch_id: str) -> DataFrame:
+    """``batch_id, place, finding_id, line``: alert payloads of any size, a line for each alert."""
+    item = F.to_json(alert_item(), {"ignoreNullFields": "false"})
+    return _lines(alerts, batch_id, F.lit(ALERT_HEAD), item, ALERT_TAIL)

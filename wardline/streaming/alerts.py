@@ -5,7 +5,8 @@ time at which its micro-batch noticed them. The second reads of the spool only
 which services were noticed when, reduced to one row per service and time within each task, and
 keeps in Spark's state store when each service was last sent; a state expires when its service was quiet for
 ``KEPT_SECONDS``. Services that are due are joined with the spool, and their alerts written as
-payloads. Alerts themselves are never shuffled by service.
+payloads: one document a batch, written by as many tasks as it needs. Alerts themselves are
+never shuffled by service.
 
 Both queries write through Spark's checkpoints: a micro-batch that is repeated after a failure
 finds the same rows, the same times and the same state, and replaces what it wrote.
@@ -22,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from wardline.operators.debounce import DEBOUNCE_SECONDS, service_key
 from wardline.session import configure, shared_dir
-from wardline.sinks.documents import alert_payloads
+from wardline.sinks.documents import alert_lines, write_documents
 from wardline.sinks.reports import actionable
 from wardline.sinks.store import FindingsStore
 from wardline.streaming.watch import start_stateful, triggered
@@ -145,6 +146,6 @@ class AlertFeed:
         alerts = spark.read.schema(SPOOLED).parquet(self.spool)
         alerts = alerts.filter(F.col("day").between(*map(F.to_date, ends)) & F.col("noticed_at").between(*ends))
         on = (alerts["service"] == due["service"]) & (F.unix_micros(alerts["noticed_at"]) == due["sent"])
-        sent = alerts.join(due, on, "left_semi").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        payloads = alert_payloads(sent, "batch_id").drop("batch_id")
-        payloads.write.mode("overwrite").parquet(f"{self.outbox}/payloads/batch_id={batch_id}")
+        sent = alerts.join(due, on, "left_semi").withColumn("payload", F.lit("alerts"))
+        # each batch replaces its own folder only
+        write_documents(alert_lines(sent, "payload"), "payload", f"{self.outbox}/payloads/batch_id={batch_id}")

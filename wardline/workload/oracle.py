@@ -692,6 +692,15 @@ def oracle_sql() -> dict[str, str]:
                 'timestamp': {_rfc3339('timestamp', 'Z')}, 'risk_level': risk_level, 'risk_score': risk_score,
                 'service': service_name, 'detail': detail}}) AS VARCHAR) AS item FROM history
                 WHERE risk_level IN ('HIGH', 'CRITICAL')) GROUP BY batch_id""",
+        "alert_lines": history
+        + f""",
+            alerts AS (SELECT id, strftime(timestamp, '%Y-%m-%d') AS batch_id, CAST(to_json({{'id': id,
+                'timestamp': {_rfc3339('timestamp', 'Z')}, 'risk_level': risk_level, 'risk_score': risk_score,
+                'service': service_name, 'detail': detail}}) AS VARCHAR) AS item FROM history WHERE risk_level IN ('HIGH', 'CRITICAL'))
+            SELECT batch_id, 1 AS place, id AS finding_id,
+                CASE row_number() OVER (PARTITION BY batch_id ORDER BY id) WHEN 1 THEN '' ELSE ',' END || item AS line FROM alerts
+            UNION ALL SELECT DISTINCT batch_id, 0, NULL, '{{"tool":"wardline","version":"0.1.0","findings":[' FROM alerts
+            UNION ALL SELECT DISTINCT batch_id, 2, NULL, ']}}' FROM alerts""",
         "report_lines": _with(
             *_SOME,
             select=f"""SELECT finding_id, '[' || {_pad(f'({_LEVEL_F})', 8)} || '] [' || {_pad(

@@ -383,6 +383,20 @@ def alert_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.alert_payloads(alerts, "batch_id")
 
 
+def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert payloads as ordered lines, the whole history one batch per day."""
+    alerts = reports.actionable(raw.stored_history(spark, sf_dir)).select(
+        F.col("id").alias("finding_id"),
+        F.col("timestamp").alias("ts"),
+        "risk_level",
+        "risk_score",
+        "service_name",
+        "detail",
+        F.date_format("timestamp", "yyyy-MM-dd").alias("batch_id"),
+    )
+    return documents.alert_lines(alerts, "batch_id")
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _some_findings(spark, sf_dir).select("finding_id", reports.scan_line().alias("line"))
 
@@ -456,7 +470,7 @@ _QUERIES: list[Query] = [
     findings_today_count, ci_gate_count, findings_of_level, actionable_findings,
     findings_latest_by_id, store_latest_by_id, store_last_24h, signature_list, stale_signatures, changed_files,
     changed_files_by_commit, changed_files_combined, incremental_secret_lines, stored_findings, findings_json,
-    sarif_results, sarif_logs, sarif_logs_in_parts, scan_report_markdown, scan_report_sarif, alert_payload, report_lines, stored_report_lines,
+    sarif_results, sarif_logs, sarif_logs_in_parts, scan_report_markdown, scan_report_sarif, alert_payload, alert_lines, report_lines, stored_report_lines,
     markdown_rows, html_rows, alert_debounce, ip_range_findings, ip_range_owners,
     cloud_log_findings, cloud_log_rejects, http_dlp_hits,
 ]
