@@ -74,11 +74,11 @@ def owners_of_texts(
 def join_pattern_owner(df: DataFrame, text: str, patterns: DataFrame, out: str, **options) -> DataFrame:
     """Add ``out``: the smallest owner of ``patterns`` (pattern, owner) found in column ``text``, null if none is."""
     texts = df.select(F.col(text).alias("_text")).filter("_text IS NOT NULL").distinct()
-    found = owners_of_texts(texts, patterns, **options)
+    found = owners_of_texts(texts, patterns, **options).toDF("_found_text", "_found_owner")
     # rows without a text match nothing, but may be most rows: they spread over all tasks
     nowhere = F.concat(F.lit("\x01"), (F.monotonically_increasing_id() % 1024).cast("string"))
     return (
-        df.withColumn("_key", F.coalesce(F.col(text), nowhere))
-        .join(found, F.col("_key") == F.col("_text"), "left")
-        .select(*df.columns, F.col("_owner").alias(out))
+        df.withColumn("_found_key", F.coalesce(F.col(text), nowhere))
+        .join(found, F.col("_found_key") == F.col("_found_text"), "left")
+        .select(*df.columns, F.col("_found_owner").alias(out))
     )

@@ -167,6 +167,12 @@ def join_program_signature(
     return found.withColumn(out, F.least(F.col("_sig"), any_name)).drop("_sig")
 
 
+def registry_agents(spark: SparkSession, registry: Registry) -> DataFrame:
+    """``pattern, owner``: texts that name a service's clients in a user agent."""
+    rows = [{"pattern": text, "owner": sig.id} for sig in registry.all() for text in sig.user_agents]
+    return local_frame(spark, rows, "pattern string, owner string")
+
+
 def keep_host_matches(df: DataFrame, host: str, registry: Registry) -> DataFrame:
     """Rows whose ``host`` column is covered by some signature."""
     if is_literal_sized(registry):

@@ -137,10 +137,10 @@ def _by_addresses(
     )
     spread = table.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     owned = cut.join(spread, ["width", "bits", "prefix", "slice"])
-    owned = owned.groupBy("_address").agg(F.max_by("owner", "bits").alias(out))
+    owned = owned.groupBy("_address").agg(F.max_by("owner", "bits")).toDF("_found_address", "_found_owner")
     nowhere: Column = F.concat(F.lit("\x01"), (F.monotonically_increasing_id() % 1024).cast("string"))
     return (
-        df.withColumn("_key", F.coalesce(F.col(address), nowhere))
-        .join(owned, F.col("_key") == F.col("_address"), "left")
-        .select(*df.columns, out)
+        df.withColumn("_found_key", F.coalesce(F.col(address), nowhere))
+        .join(owned, F.col("_found_key") == F.col("_found_address"), "left")
+        .select(*df.columns, F.col("_found_owner").alias(out))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.risk import has_severity, risk_level, risk_score
 from wardline.functions.text import binary_name_sql, extract_host_sql, spark_regex
+from wardline.operators.contains import join_pattern_owner
 from wardline.operators.matching import (
     sql_texts,
     usable_patterns,
@@ -56,22 +57,31 @@ _DETAIL = f"""CASE type
 END"""
 
 
+_AGENT = "CASE WHEN type = 'network_connection' AND signature_id IS NULL THEN http_headers['user-agent'] END"
 _ADDRESS = "CASE WHEN type = 'network_connection' AND signature_id IS NULL THEN remote_ip END"
 
 
 def match_events(
-    events: DataFrame, registry: Registry, *, ranges: DataFrame | None = None
+    events: DataFrame,
+    registry: Registry,
+    *,
+    ranges: DataFrame | None = None,
+    agents: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``signature_id``, ``signature`` and ``dlp_matches``; drop what matches nothing.
 
     With ``ranges`` (cidr, owner: a signature's id), a connection whose host names
-    no service belongs to the owner of the longest range around its address.
+    no service belongs to the owner of the longest range around its address; with
+    ``agents`` (pattern, owner), one still without a service to the smallest owner of a pattern in its user agent.
     """
     texts = with_computed(events, _host=_HOST, _program=_PROGRAM, _text=_TEXT)
     matched = with_signature_id(texts, "_host", "_program", registry)
     if ranges is not None:
         matched = join_range_owner(with_computed(matched, _address=_ADDRESS), "_address", ranges, "_owner")
         matched = matched.withColumn("signature_id", F.coalesce("signature_id", "_owner")).drop("_address", "_owner")
+    if agents is not None:
+        matched = join_pattern_owner(with_computed(matched, _agent=_AGENT), "_agent", agents, "_client")
+        matched = matched.withColumn("signature_id", F.coalesce("signature_id", "_client")).drop("_agent", "_client")
     # only code findings have matches without a signature
     matched = matched.filter("signature_id IS NOT NULL OR type = 'codebase_file'")
     matched = (
@@ -88,6 +98,7 @@ def score_events(
     *,
     approved_ids: Collection[str] | None = None,
     ranges: DataFrame | None = None,
+    agents: DataFrame | None = None,
 ) -> DataFrame:
     """Matched events with ``tags``, ``detail``, ``risk_score`` and ``risk_level``.
 
@@ -104,7 +115,7 @@ def score_events(
         unapproved,
     )
     return (
-        match_events(events, registry, ranges=ranges)
+        match_events(events, registry, ranges=ranges, agents=agents)
         .selectExpr(
             "*",
             "signature.name AS service_name",
@@ -124,9 +135,10 @@ def analyze(
     *,
     approved_ids: Collection[str] | None = None,
     ranges: DataFrame | None = None,
+    agents: DataFrame | None = None,
 ) -> DataFrame:
     """EVENT rows -> FINDING rows. One event gives at most one finding, of the same id."""
-    scored = score_events(events, registry, approved_ids=approved_ids, ranges=ranges)
+    scored = score_events(events, registry, approved_ids=approved_ids, ranges=ranges, agents=agents)
     governed = apply_policy(scored, policy)
     return governed.selectExpr(
         "event_id AS finding_id",

@@ -20,6 +20,7 @@ from wardline.functions.network import (
     peer_port_sql,
 )
 from wardline.functions.text import binary_name_sql, extract_host_sql, shell_command_sql
+from wardline.operators.contains import join_pattern_owner
 from wardline.operators.dedup import top_n_per_group
 from wardline.operators.matching import (
     host_matches,
@@ -202,9 +203,17 @@ def dns_events(answers: DataFrame, registry: Registry) -> DataFrame:
 
 
 def http_events(
-    payloads: DataFrame, registry: Registry, *, ranges: DataFrame | None = None
+    payloads: DataFrame,
+    registry: Registry,
+    *,
+    ranges: DataFrame | None = None,
+    agents: DataFrame | None = None,
 ) -> DataFrame:
-    """``host, ts, dst_ip, port, payload``: requests to a known host (or one of ``ranges``) or with an authorization."""
+    """``host, ts, dst_ip, port, payload``: requests to a known host or with an authorization.
+
+    With ``ranges`` (cidr, owner) or ``agents`` (pattern, owner), also those to such an
+    address, or of a client whose user agent contains a pattern.
+    """
     configure(payloads.sparkSession)
     requests = payloads.filter(
         (F.length("payload") > 0)
@@ -227,6 +236,10 @@ def http_events(
     if ranges is not None:
         parsed = join_range_owner(parsed, "remote_ip", ranges, "_owner")
         has_auth = has_auth | F.col("_owner").isNotNull()
+    if agents is not None:
+        parsed = parsed.withColumn("_agent", F.col("http_headers")["user-agent"])
+        parsed = join_pattern_owner(parsed, "_agent", agents, "_client")
+        has_auth = has_auth | F.col("_client").isNotNull()
     if is_literal_sized(registry):
         found = parsed.filter(has_auth | host_matches("remote_host", registry))
     else:

@@ -464,6 +464,35 @@ placed AS (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM cut),
 starts AS (SELECT *, length(split_part(parts[i], chr(2), 1)) AS n,
         1 + list_sum(list_transform(parts[1:i - 1], lambda x: length(replace(x, chr(2), '')))) AS start FROM placed)"""
 
+_AGENT = _pick(["openai-python/1.2 (x86)", "Mozilla/5.0", "my groq-python", "OPENAI-PYTHON/1", "openai-go 0.1 transformers", ""], "event_id")
+_AGENTS = f"""
+agt(pattern, sig_id) AS ({_values([(a, s.id) for s in _SIGNATURES for a in s.user_agents])}),
+agent_req AS (SELECT host, ts, 'gw' || (event_id % 5) || '.internal' AS remote_host, '10.3.' || (event_id % 200) || '.7' AS remote_ip,
+    80 AS port, 'http' AS protocol, CASE WHEN event_id % 7 <> 0 THEN {_AGENT} END AS agent FROM ev),
+agent_ev AS (SELECT *, (SELECT min(a.sig_id) FROM agt a WHERE contains(agent, a.pattern)) AS owner FROM agent_req)"""
+_EVENTS["agents"] = _matched(
+    "network", "(SELECT * FROM agent_ev WHERE owner IS NOT NULL)", "owner", "NULL",
+    f"'{DASH}connection to ' || remote_host || ':' || port", *_NETWORK_KEY,
+)
+_MANY_AGENTS = """
+WITH texts AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'hot client agent-7/1 agent-70/1 (X11)'
+        WHEN 3 THEN 'hot client agent-7/1 agent-70/1 (X11)' WHEN 1 THEN NULL
+        ELSE 'Mozilla/5.0 (agent-' || ((event_id * 31) % 4000) || '/' || (event_id % 3) || '; rv) lib/' || (event_id % 4) END AS agent FROM events),
+seen AS (SELECT DISTINCT agent FROM texts WHERE agent IS NOT NULL),
+found AS (SELECT agent, min('o' || (event_id % 113)) AS owner FROM seen JOIN events
+    ON contains(agent, 'agent-' || event_id || '/' || (event_id % 3)) GROUP BY agent)
+SELECT event_id, agent, owner FROM texts LEFT JOIN found USING (agent)"""
+_ROUTED = """
+routed AS (SELECT strftime(timestamp, '%Y-%m-%d') AS batch_id, unnest(CASE risk_level WHEN 'CRITICAL' THEN ['slack', 'pager']
+        ELSE ['mail'] END) AS channel FROM history WHERE risk_level IN ('HIGH', 'CRITICAL')),
+batches AS (SELECT batch_id, channel, count(*) AS n_alerts FROM routed GROUP BY ALL)"""
+_DUE = f"""{_ROUTED},
+attempts AS (SELECT strftime(ts, '%Y-%m-%d') AS batch_id, {_pick(['slack', 'pager', 'mail'], 'event_id')} AS channel,
+    1 + event_id % 4 AS attempt, event_id % 1000 = 0 AS sent, ts FROM events WHERE event_id % 5 = 0),
+tried AS (SELECT batch_id, channel, max(attempt) AS n, bool_or(sent) AS sent, max(ts) AS last FROM attempts GROUP BY ALL)
+SELECT batch_id, channel, n_alerts, CAST(coalesce(n, 0) + 1 AS INT) AS attempt FROM batches LEFT JOIN tried USING (batch_id, channel)
+WHERE n IS NULL OR (NOT sent AND n < 5 AND epoch_us(TIMESTAMP '2024-01-30') // 1000000 - epoch_us(last) // 1000000 >= 21600 * 2 ** (n - 1))"""
+
 _REWRITTEN = f"""
 rewritten AS (SELECT 'f' || n AS id, CASE WHEN n % 50 <> 7 THEN DATE '2024-01-01' + CAST(n % 30 AS INT) END AS event_date,
         ts AS written_at, {_SCORE} AS risk_score, {_pick(['allow', 'warn', 'block'], 'event_id')} AS policy_action,
@@ -576,6 +605,10 @@ def oracle_sql() -> dict[str, str]:
         "cloud_log_rejects": _with(select=_CLOUD_REJECTS),
         "http_dlp_hits": _with(_LEAKS, select="""SELECT event_id, field, form, run, sig_id AS signature_id, pattern_id, severity,
             CAST(start AS INT) AS start, CAST(start + n - 1 AS INT) AS stop FROM starts"""),
+        "user_agent_findings": _flat(_AGENTS, events=["agents"]),
+        "user_agent_owners": _MANY_AGENTS,
+        "alert_routes": f"WITH {_REGISTRY},{_HISTORY},{_ROUTED}\nSELECT * FROM batches",
+        "due_deliveries": f"WITH {_REGISTRY},{_HISTORY},{_DUE}",
         "ip_range_findings": _flat(_RANGED, events=["ranged"]),
         "ip_range_owners": _MANY,
         "http_log_findings": _flat(_HTTP, events=["http"]),

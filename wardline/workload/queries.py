@@ -10,7 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.risk import risk_level, risk_score
-from wardline.operators import debounce, dedup, incremental, matching, payloads, ranges, rules
+from wardline.operators import (
+    contains,
+    debounce,
+    dedup,
+    incremental,
+    matching,
+    payloads,
+    ranges,
+    routes,
+    rules,
+)
 from wardline.operators.updates import updates_due
 from wardline.operators.secrets import secret_lines as find_secret_lines
 from wardline.plans.scan import analyze
@@ -461,6 +471,41 @@ def http_dlp_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.payload_hits(raw.leaky_payloads(spark, sf_dir), Registry.bundled())
 
 
+def user_agent_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agents = matching.registry_agents(spark, Registry.bundled())
+    events = sources.http_events(raw.agent_payloads(spark, sf_dir), Registry.bundled(), agents=agents)
+    return flat_findings(analyze(events, Registry.bundled(), Policy.bundled(), agents=agents))
+
+
+def user_agent_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern for each event, met by user agents through their rare grams."""
+    texts = raw.agent_texts(spark, sf_dir)
+    return contains.join_pattern_owner(texts, "agent", raw.many_agents(spark, sf_dir), "owner")
+
+
+ROUTES = Policy(
+    rules=(
+        Rule("critical", "any", "block", notify=("slack", "pager", "slack")),
+        Rule("high", "any", "warn"),
+        Rule("other", "any", "warn", notify=("never",)),
+    )
+)
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = reports.actionable(raw.stored_history(spark, sf_dir)).withColumn("matched_rule", F.lower("risk_level"))
+    alerts = alerts.withColumn("batch_id", F.date_format("timestamp", "yyyy-MM-dd"))
+    return routes.routed_batches(routes.alert_routes(alerts, ROUTES, default=("mail",)))
+
+
+def alert_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir)
+
+
+def due_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.due_deliveries(_routed(spark, sf_dir), raw.deliveries(spark, sf_dir), AS_OF, most=5, pause=21_600)
+
+
 _QUERIES: list[Query] = [
     visit_findings, latest_visits_per_profile, network_findings, netstat_connections,
     capture_first_connections, dns_reachable_domains, dns_findings, tls_name_findings,
@@ -472,7 +517,8 @@ _QUERIES: list[Query] = [
     changed_files_by_commit, changed_files_combined, incremental_secret_lines, stored_findings, findings_json,
     sarif_results, sarif_logs, sarif_logs_in_parts, scan_report_markdown, scan_report_sarif, alert_payload, alert_lines, report_lines, stored_report_lines,
     markdown_rows, html_rows, alert_debounce, ip_range_findings, ip_range_owners,
-    cloud_log_findings, cloud_log_rejects, http_dlp_hits,
+    cloud_log_findings, cloud_log_rejects, http_dlp_hits, user_agent_findings, user_agent_owners,
+    alert_routes, due_deliveries,
 ]
 
 

@@ -177,6 +177,48 @@ def http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def agent_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of clients to hosts that are not known; some name a service's client."""
+    agent = pick(["openai-python/1.2 (x86)", "Mozilla/5.0", "my groq-python", "OPENAI-PYTHON/1", "openai-go 0.1 transformers", ""], "event_id")
+    return derived(
+        _events(spark, sf_dir),
+        "host",
+        "ts",
+        "concat('10.3.', event_id % 200, '.7') AS dst_ip",
+        "80 AS port",
+        f"""concat('GET / HTTP/1.1\r\nHost: gw', event_id % 5, '.internal\r\n',
+            CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('User-Agent: ', {agent}, '\r\n') END, '\r\n') AS payload""",
+    )
+
+
+def many_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern an event; all share most of their grams."""
+    return _events(spark, sf_dir).selectExpr(
+        "concat('agent-', event_id, '/', event_id % 3) AS pattern", "concat('o', event_id % 113) AS owner"
+    )
+
+
+def agent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user agent an event; a third of all is one, some are missing."""
+    return _events(spark, sf_dir).selectExpr(
+        "event_id",
+        "CASE event_id % 6 WHEN 0 THEN 'hot client agent-7/1 agent-70/1 (X11)' WHEN 3 THEN 'hot client agent-7/1 agent-70/1 (X11)'"
+        " WHEN 1 THEN NULL ELSE concat('Mozilla/5.0 (agent-', (event_id * 31) % 4000, '/', event_id % 3, '; rv) lib/', event_id % 4) END AS agent",
+    )
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts to deliver the alerts of some days, some of them noted twice."""
+    rows = _events(spark, sf_dir).filter("event_id % 5 = 0").selectExpr(
+        "date_format(ts, 'yyyy-MM-dd') AS batch_id",
+        f"{pick(['slack', 'pager', 'mail'], 'event_id')} AS channel",
+        "CAST(1 + event_id % 4 AS INT) AS attempt",
+        "CASE WHEN event_id % 1000 = 0 THEN 'sent' WHEN event_id % 2 = 0 THEN 'failed' ELSE 'sending' END AS state",
+        "ts AS at",
+    )
+    return rows.unionByName(rows.filter("attempt = 2"))
+
+
 def leaky_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with keys in headers and bodies: plain, in percent form, in base64."""
     key = "md5(cast(event_id as string))"
