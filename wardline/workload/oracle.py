@@ -92,15 +92,19 @@ payloads AS (SELECT host, ts, '10.1.' || (event_id % 200) || '.7' AS dst_ip,
     WHEN 6 THEN 'GET /' || {_CRLF} || 'Host: a.example.com' || {_CRLF} || 'host: claude.ai' || {_CRLF}
         || 'nocolon' || {_CRLF} || {_CRLF}
     WHEN 7 THEN 'PUT /x HTTP/1.1' || {_CRLF} || 'Accept: */*' || {_CRLF} || {_CRLF} || 'Host: api.openai.com'
-    ELSE 'DELETE' END AS payload FROM ev),
-heads AS (SELECT host, ts, dst_ip, port,
+    ELSE 'DELETE' END AS payload, CASE event_id % 9
+    WHEN 0 THEN '{{"host":"' || {_SITE} || '","content-type":"application/json"}}'
+    WHEN 1 THEN '{{"host":"unknown.internal","authorization":"Bearer sk-' || key || '"}}'
+    WHEN 2 THEN '{{"host":"' || {_SITE} || '","x-ratio":"1:2"}}'
+    WHEN 6 THEN '{{"host":"claude.ai"}}' WHEN 7 THEN '{{"accept":"*/*"}}' END AS http_headers FROM ev),
+heads AS (SELECT host, ts, dst_ip, port, http_headers,
         list_filter(regexp_split_to_array(regexp_split_to_array(payload, '\r?\n\r?\n')[1], '\r?\n')[2:],
             lambda x: contains(x, ':')) AS lines
     FROM payloads WHERE payload <> '' AND port IN (80, 8080)
         AND regexp_matches(payload, '^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)(\s|$)')),
 pairs AS (SELECT *, list_transform(lines, lambda x: {{'k': lower(trim(split_part(x, ':', 1))),
         'v': trim(x[strpos(x, ':') + 1:])}}) AS kv FROM heads),
-requests AS (SELECT host, ts, dst_ip, port, len(list_distinct(list_transform(kv, lambda x: x.k))) AS n_headers,
+requests AS (SELECT host, ts, dst_ip, port, http_headers, len(list_distinct(list_transform(kv, lambda x: x.k))) AS n_headers,
         list_filter(kv, lambda x: x.k = 'host')[-1].v AS host_header,
         list_filter(kv, lambda x: x.k = 'authorization')[-1].v AS auth,
         list_filter(kv, lambda x: x.k = 'x-ratio')[-1].v AS x_ratio FROM pairs),
@@ -148,7 +152,7 @@ visits AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY host, browser, profile
         ORDER BY visit_ts DESC NULLS LAST, url, title NULLS FIRST) AS place
     FROM visits WHERE browser <> 'Firefox' OR visit_ts IS NOT NULL),
-seen AS (SELECT host, browser, profile, visit_ts AS ts, url,
+seen AS (SELECT host, browser, profile, visit_ts AS ts, url, title,
         string_split(string_split(regexp_replace(regexp_replace(url, '^(https://)+', ''), '^(http://)+', ''),
             '/')[1], '?')[1] AS site FROM ranked WHERE place <= 10000)"""
 
@@ -217,10 +221,13 @@ def _matched(
 _NETWORK_KEY = ("host", "protocol", "remote_host", "coalesce(remote_ip, '')", "CAST(port AS VARCHAR)")
 
 
-def _network(table: str) -> str:
+def _network(table: str, headers: str = "NULL") -> str:
+    payload = f"""rtrim(CAST(to_json({{'type': 'network_connection', 'remote_host': remote_host, 'remote_ip': remote_ip,
+        'port': port, 'protocol': protocol}}) AS VARCHAR), '}}') || ',"http_headers":' || coalesce({headers}, 'null')
+        || ',"body_snippet":null}}'"""
     return _matched(
         "network", table, _HOST_SIG.format("remote_host"), "NULL",
-        f"'{DASH}connection to ' || remote_host || ':' || port", *_NETWORK_KEY,
+        f"'{DASH}connection to ' || remote_host || ':' || port", *_NETWORK_KEY, payload=payload,
     )
 
 
@@ -229,7 +236,9 @@ _EVENTS = {
     "parsed": _network("(SELECT host, ts, 'tcp' AS protocol, remote_ip AS remote_host, remote_ip, port FROM parsed)"),
     "dns": _network("(SELECT host, ts, 'dns' AS protocol, domain AS remote_host, NULL AS remote_ip, 443 AS port FROM reachable)"),
     "tls": _network("(SELECT host, ts, 'https' AS protocol, sni AS remote_host, dst_ip AS remote_ip, port FROM tls WHERE port IN (443, 8443))"),
-    "http": _network("(SELECT host, ts, 'http' AS protocol, remote_host, dst_ip AS remote_ip, port FROM http_ev)"),
+    "http": _network(
+        "(SELECT host, ts, 'http' AS protocol, remote_host, dst_ip AS remote_ip, port, http_headers FROM http_ev)", "http_headers"
+    ),
     "processes": _matched(
         "process", "processes", _PROGRAM_SIG.format("name"), "cmdline",
         f"'{DASH}process ''' || name || ''' running (pid ' || pid || ')'",
@@ -246,6 +255,7 @@ _EVENTS = {
         "browser_history", "seen", _HOST_SIG.format("site"), "NULL",
         f"'{DASH}visited via ' || browser || ': ' || url",
         "host", "browser", "profile", "url",
+        payload="to_json({'type': 'browser_history', 'url': url, 'title': title, 'browser': browser})",
     ),
     "code": f"""SELECT {_id("codebase", "repo || '/' || path", "CAST(line_number AS VARCHAR)", "matched_text")} AS finding_id,
         ts, 'codebase' AS source, CAST(NULL AS VARCHAR) AS signature_id, CAST(NULL AS VARCHAR) AS scanned,
@@ -363,7 +373,9 @@ def _html(service: str, time: str) -> str:
     )
 
 
-_SOME = (_PROCESSES, _SHELL, _FILES, _SECRETS, _findings("processes", "shell", "code"))
+_ALL_CTES = (_CONNECTIONS, _NETSTAT, _DNS, _TLS, _HTTP, _PROCESSES, _SHELL, _VISITS, _FILES, _SECRETS)
+_SCAN_ALL = ["connections", "parsed", "dns", "processes", "shell", "visits", "code"]
+_SOME = (*_ALL_CTES, _findings(*_SCAN_ALL, "http", "tls"))
 _LEVEL_F = _LEVEL.format("risk_score")
 _DLP_JSON_ITEM = (
     "{'pattern_id': x.p, 'description': CASE WHEN code_match IS NULL THEN 'DLP match: ' || x.p "
@@ -371,9 +383,9 @@ _DLP_JSON_ITEM = (
 )
 
 _EVENT_JSON = (
-    """('{"id":"' || finding_id || '","source":"' || source || '","timestamp":"' || """
+    """('{"id":"' || finding_id || '","source":"' || source || '","timestamp":' || coalesce('"' || """
     + _rfc3339("ts", "Z")
-    + """ || '","payload":' || payload || '}')"""
+    + """ || '"', 'null') || ',"payload":' || payload || '}')"""
 )
 _DLP_JSON = f"CAST(to_json(list_transform(m, lambda x: {_DLP_JSON_ITEM})) AS VARCHAR)"
 _FLAT_JSON = f"""CAST(to_json({{'id': finding_id, 'timestamp': {_rfc3339("ts", "Z")}, 'signature_id': signature_id,
@@ -410,9 +422,6 @@ def _sarif_logs(run: str, parts: int) -> str:
     )
 
 
-_ALL_CTES = (_CONNECTIONS, _NETSTAT, _DNS, _TLS, _HTTP, _PROCESSES, _SHELL, _VISITS, _FILES, _SECRETS)
-_SCAN_ALL = ["connections", "parsed", "dns", "processes", "shell", "visits", "code"]
-
 _TIME = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 _FIRST = f"""('{{"eventTime":"' || {_TIME} || '","eventSource":"' || {_SITE} || '","eventName":"Invoke' || (event_id % 4)
     || '","userIdentity":{{"arn":"arn:u' || (event_id % 7) || '"}},"sourceIPAddress":"10.0.0.' || (event_id % 9)
@@ -746,7 +755,8 @@ def oracle_sql() -> dict[str, str]:
             select=f"""SELECT finding_id AS id, CAST(ts AS VARCHAR) AS timestamp, signature_id AS service_id, service_name,
                 risk_score, {_LEVEL_F} AS risk_level, {_DLP_JSON} AS dlp_matches,
                 detail, {_EVENT_JSON} AS raw_event, policy_action, matched_rule,
-                CASE source WHEN 'shell_history' THEN 'shell' ELSE source END AS source, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date
+                CASE source WHEN 'shell_history' THEN 'shell' WHEN 'network' THEN 'net' WHEN 'browser_history' THEN 'browser'
+                    ELSE source END AS source, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date
                 FROM found""",
         ),
         "stored_report_lines": history

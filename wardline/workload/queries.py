@@ -340,14 +340,15 @@ def incremental_secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _some_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scan(_all_events(spark, sf_dir, ["os", "codebase"]))
+    return _scan(_all_events(spark, sf_dir, ["all", "pcap"]))
 
 
 def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat rows; those without a date have the time of the write, which is left out."""
     return (
         store.stored_rows(_some_findings(spark, sf_dir))
         .drop("written_at")
-        .withColumn("timestamp", F.col("timestamp").cast("string"))
+        .withColumn("timestamp", F.when(F.col("event_date").isNotNull(), F.col("timestamp")).cast("string"))
         .withColumn("event_date", F.col("event_date").cast("string"))
     )
 
