@@ -22,6 +22,13 @@ it. Pieces without enough words (scripts without spaces, long strings) are cut i
 same way by the hashes of their runs of characters, and what repeats itself so much
 that this leaves it long, every ``LONG`` characters.
 
+A text and its edited text have their sentences up to the last end before the edit in common. Their
+sums are worked out once, and to them are added those of the old rest and of the new
+one: units lie within sentences, so the sums of both parts together are the whole's.
+
+Counts are added in fields of ten bits first, six to a long, for at most ``CHUNK`` units
+at a time, and then in the fields of 30 bits.
+
 Counted as plus and minus one, the bits are random signs, and the cosine of two
 documents' sums of signs is near the share of units that they have in common
 (standard error about 1 / sqrt(180)). ``likeness`` is that cosine, 0 if it is
@@ -45,9 +52,11 @@ EXACT, SIGNS, BITS = 8, 3, 30
 MASK = (1 << 60) - 1
 #: documents whose fingerprints one window holds
 BLOCK = 2048
-#: one bit in each of the two 30-bit fields of an entry
-FIELD_BITS = 1 | 1 << BITS
 FIELD = (1 << BITS) - 1
+#: narrow fields for few units: their bits, the first bit of each, the units that cannot overflow one
+NARROW = 10
+NARROW_BITS = sum(1 << NARROW * k for k in range(2 * BITS // NARROW))
+CHUNK = (1 << NARROW) - 1
 #: characters of a sentence that is one unit, and the most of a piece
 SHORT, LONG = 64, 128
 SENTENCE_END = r"\n|(?<=[.!?]) |(?<=[。！？])"
@@ -83,29 +92,75 @@ def _units(sentences: str) -> str:
     return f"filter({sentences}, x -> x <> '')"
 
 
+def exact_sums(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with the ``EXACT`` entries of the lines of ``text_col``, as an array."""
+    lines = f"filter(split(`{text_col}`, r'\\n'), x -> x <> '')"
+    entries = [
+        f"aggregate(_lines, 0L, (a, x) -> (a + (xxhash64(x, {k}) & {MASK}L)) & {MASK}L)" for k in range(EXACT)
+    ]
+    hashed = df.withColumn("_lines", F.expr(f"transform({lines}, x -> sha2(x, 256))"))
+    return hashed.withColumn(name, F.expr(f"array({', '.join(entries)})")).drop("_lines")
+
+
+def sign_sums(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with the entries of the units of ``text_col`` and their number, as an array."""
+    sentences = f"filter(split(`{text_col}`, r'{SENTENCE_END}'), x -> x <> '')"
+    # units, hashes and narrow sums in steps of their own: each is used by many entries
+    steps = df.withColumn("_units", F.expr(_units(sentences)))
+    hashes = [
+        f"transform(sequence(0, greatest(size(_units) - 1, 0) div {CHUNK}),"
+        f" c -> transform(slice(_units, c * {CHUNK} + 1, {CHUNK}), x -> xxhash64(x, {k})))"
+        for k in range(SIGNS)
+    ]
+    steps = steps.withColumns({f"_chunks_{k}": F.expr(text) for k, text in enumerate(hashes)})
+    narrow = {
+        f"_narrow_{k}_{low}": F.expr(
+            f"transform(_chunks_{k}, c -> aggregate(c, 0L, (a, x) -> a + (shiftright(x, {low}) & {NARROW_BITS}L)))"
+        )
+        for k in range(SIGNS)
+        for low in range(NARROW)
+    }
+    steps = steps.withColumns(narrow)
+    entries = []
+    for k in range(SIGNS):
+        for bit in range(BITS):
+            at, low = divmod(bit, NARROW)
+            first, second = NARROW * at, BITS + NARROW * at
+            entries.append(
+                f"aggregate(_narrow_{k}_{low}, 0L, (a, x) -> a + (shiftright(x, {first}) & {CHUNK}L)"
+                f" + shiftleft(shiftright(x, {second}) & {CHUNK}L, {BITS}))"
+            )
+    entries.append("CAST(size(_units) AS BIGINT)")
+    made = ["_units", *(f"_chunks_{k}" for k in range(SIGNS)), *narrow]
+    return steps.withColumn(name, F.expr(f"array({', '.join(entries)})")).drop(*made)
+
+
 def fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
     """``df`` with the fingerprint of ``text_col`` as an array of longs."""
-    lines, units, parts = f"_{name}_lines", f"_{name}_units", [f"_{name}_s{k}" for k in range(SIGNS)]
-    split = f"filter(split(`{text_col}`, r'\\n'), x -> x <> '')"
-    sentences = f"filter(split(`{text_col}`, r'{SENTENCE_END}'), x -> x <> '')"
-    # units and hashes first, in steps of their own: each is used by many entries
-    hashed = df.withColumn(units, F.expr(_units(sentences))).withColumns(
+    rows = sign_sums(exact_sums(df, text_col, "_exact"), text_col, "_signs")
+    return rows.withColumn(name, F.concat("_exact", "_signs")).drop("_exact", "_signs")
+
+
+def fingerprint_pair(df: DataFrame, text: str, edited: str, common: str, names: tuple[str, str]) -> DataFrame:
+    """``df`` with the fingerprints of two texts whose first ``common`` characters are the same.
+
+    The units of the common sentences are hashed and summed once.
+    """
+    # up to the end of the last sentence that ends among the common characters
+    head = rf"regexp_extract(substring(`{text}`, 1, CAST({common} AS INT)), r'(?s)^.*(?:{SENTENCE_END})', 0)"
+    rows = df.withColumn("_head", F.expr(head)).withColumns(
         {
-            lines: F.expr(f"transform({split}, x -> sha2(x, 256))"),
-            **{p: F.expr(f"transform(`{units}`, x -> xxhash64(x, {k}))") for k, p in enumerate(parts)},
+            "_rest": F.expr(f"substring(`{text}`, char_length(_head) + 1)"),
+            "_new": F.expr(f"substring(`{edited}`, char_length(_head) + 1)"),
         }
     )
-    entries = [
-        f"aggregate(`{lines}`, 0L, (a, x) -> (a + (xxhash64(x, {k}) & {MASK}L)) & {MASK}L)"
-        for k in range(EXACT)
-    ]
-    entries += [
-        f"aggregate(`{p}`, 0L, (a, x) -> a + (shiftright(x, {bit}) & {FIELD_BITS}L))"
-        for p in parts
-        for bit in range(BITS)
-    ]
-    entries.append(f"CAST(size(`{parts[0]}`) AS BIGINT)")
-    return hashed.withColumn(name, F.expr(f"array({', '.join(entries)})")).drop(lines, units, *parts)
+    for part in ("_head", "_rest", "_new"):
+        rows = sign_sums(rows, part, f"{part}_signs")
+    for name, whole, rest in zip(names, (text, edited), ("_rest", "_new"), strict=True):
+        rows = exact_sums(rows, whole, "_exact")
+        signs = inserted(F.col("_head_signs"), F.col(f"{rest}_signs"))
+        rows = rows.withColumn(name, F.concat("_exact", signs)).drop("_exact")
+    return rows.drop("_head", "_rest", "_new", "_head_signs", "_rest_signs", "_new_signs")
 
 
 def inserted(fingerprints: Column, more: Column) -> Column:
@@ -217,7 +272,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = edited_texts(docs, id_col, text_col)
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    rows = fingerprint(fingerprint(rows, "text", "fp"), "edited", "efp").drop("text", "edited")
+    rows = fingerprint_pair(rows, "text", "edited", "n - n div 4", ("fp", "efp")).drop("text", "edited")
     rows = stored(rows)
     # the next document's fingerprint: blocks of places, each with a copy of the next block's first
     total = (rows.agg(F.max("g")).first()[0] or 0) + 1
