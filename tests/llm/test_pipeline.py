@@ -97,3 +97,17 @@ def test_run_packs_what_the_stages_keep(spark, packed):
 def test_stages_on_an_empty_table(spark, no_docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, SF_DIR).collect() == [], name
+
+
+def test_tables_of_earlier_stages_are_removed(spark):
+    from pathlib import Path
+
+    from wardline.session import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file://"))
+    before = set(root.iterdir()) if root.exists() else set()
+    rows = corpus_pipeline.run(spark, SF_DIR)
+    left = set(root.iterdir()) - before
+    assert rows.count() > 0
+    # the mix that the last stage reads, and that stage's own tables
+    assert 0 < len(left) <= 8

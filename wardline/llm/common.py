@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.session import new_folder
+
 #: white space and words, as expressions for Spark's regular expressions
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,18 +22,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW_BITS = 33
 
 
+#: folders made within ``scratch_tables``, innermost last
+_MADE: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a local folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="wardline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/wardline-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    """A new folder name below ``spark.checkpoint.dir``, removed when the driver ends.
+
+    Only where all runs on one machine and that is unset, a local folder.
+    """
+    path = new_folder(spark, "llm")
+    for made in _MADE[-1:]:
+        made.append(path)
     return path
 
 
+def free(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove scratch folders that nothing will read again."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_tables() -> Iterator[list[str]]:
+    """The scratch folders made meanwhile, in order."""
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        _MADE.pop()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 

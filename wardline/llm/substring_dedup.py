@@ -11,13 +11,15 @@ anchors, and only about one phrase in seven is an anchor at all.
    as sequences of words, are compiled to an Aho-Corasick automaton, and the
    shard's documents are streamed through it to locate every occurrence. Windows
    whose anchor lies at an occurrence are candidates. An automaton holds only
-   phrases of its shard, so the work is in proportion to the documents.
+   phrases of its shard, so the work is in proportion to the documents. Words are spelled with
+   ``LETTERS`` characters, as many a word as the shard's different words need, so the
+   automaton's nodes have few children and any number of words fits.
 4. Candidate windows are sorted by content and place over range partitions; a
    window with an equal one before it starts earlier elsewhere.
 5. Words covered by such windows are removed.
 
 Sorting by content and then place splits a window that a third of all documents
-hold over tasks. Windows are compared by 96 bits of hash of their words.
+hold over tasks. Words and phrases are compared by 64 bits of hash, windows by 95.
 
 Defined cases: a null text has no words; texts with fewer words than a window
 keep all. Null ids come last; of different texts with one id the order is that of
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import numbered, ship, stored
-from wardline.llm.near_dedup import _HASHES, _keyed, mixed_bits
+from wardline.llm.near_dedup import _HASHES, _keyed, forget_words, mixed_bits
 
 WINDOW, PHRASE = 20, 8
 #: bytes of text whose phrases share an automaton
@@ -47,21 +49,42 @@ DOCUMENTS = "doc_id bigint, h bigint, n_words bigint, seq binary, sha string, an
 WINDOWS = "w bigint, c int, no bigint, start int"
 LATER = "part int, kind int, no bigint, start int, w bigint, c int"
 
-_RANDOM = np.random.default_rng(10)
-_STEPS = _RANDOM.integers(1, 2**63, (3, WINDOW), dtype=np.uint64) | np.uint64(1)
+#: the factors of three kinds of hashes, odd, and their inverses modulo 2^64
+_FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+_INVERSES = [pow(factor, -1, 2**64) for factor in _FACTORS]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+#: characters that words are spelled with for an automaton: few, so that no node has many children
+LETTERS, LETTER_BITS, FIRST_LETTER = 64, 6, 0x30
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def rolling(hashes: np.ndarray, width: int, steps: np.ndarray) -> np.ndarray:
-    """A hash of each ``width`` consecutive words."""
-    n = len(hashes) - width + 1
-    sums = np.zeros(n, np.uint64)
-    for k in range(width):
-        sums += hashes[k : n + k] * steps[k]
-    return mixed_bits(sums)
+def _powers(kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a factor and of its inverse."""
+    if kind not in _POWERS or len(_POWERS[kind][0]) < n:
+        size = 1 << max(12, n.bit_length())
+        made = []
+        for factor in (_FACTORS[kind], _INVERSES[kind]):
+            powers = np.full(size, factor, np.uint64)
+            powers[0] = 1
+            made.append(np.multiply.accumulate(powers))
+        if size > 1 << 20:
+            # not kept: a worker goes on to other texts
+            return made[0][:n], made[1][:n]
+        _POWERS[kind] = made[0], made[1]
+    return _POWERS[kind][0][:n], _POWERS[kind][1][:n]
+
+
+def rolling(hashes: np.ndarray, width: int, kind: int) -> np.ndarray:
+    """A hash of each ``width`` consecutive words: a polynomial of their hashes, from sums of its terms."""
+    n = len(hashes)
+    powers, inverses = _powers(kind, n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * powers, out=sums[1:])
+    return mixed_bits((sums[width:] - sums[:-width]) * inverses[: n - width + 1])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,7 +117,7 @@ def word_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 shas.append(hashlib.sha256(joined).hexdigest())
                 found = np.zeros(0, np.uint64)
                 if len(words) >= WINDOW:
-                    found = anchors_of(rolling(word_hashes(words), PHRASE, _STEPS[2]))
+                    found = anchors_of(rolling(word_hashes(words), PHRASE, 2))
                 anchors.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -107,6 +130,7 @@ def word_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ],
                 names=[c.split()[0] for c in DOCUMENTS.split(", ")],
             )
+        forget_words()
 
     return _keyed(docs, id_col, text_col).mapInArrow(measure, DOCUMENTS)
 
@@ -139,46 +163,69 @@ def recurring(anchors: DataFrame) -> DataFrame:
     return ordered.mapInArrow(neighbours, "no bigint, anchor bigint")
 
 
-def _automaton(shard: list[tuple]) -> tuple[dict[bytes, str], object | None]:
-    """Words of the shard's recurring phrases as characters, and the phrases' automaton."""
+def spelled(numbers: np.ndarray, letters: int) -> str:
+    """Each number as so many characters of a small alphabet, one after another."""
+    shifts = np.arange(letters, dtype=np.int64) * LETTER_BITS
+    codes = (numbers[:, None] >> shifts & LETTERS - 1) + FIRST_LETTER
+    return codes.astype(np.uint8).tobytes().decode("latin-1")
+
+
+def _automaton(shard: list[tuple]) -> tuple[list[str], int, object | None]:
+    """The shard's documents spelled out, the letters of a word, and the automaton of their recurring phrases.
+
+    Words of recurring phrases are numbered from 1, all others are 0. A word has as
+    many letters as the numbers need, so any number of different words fits.
+    """
     import ahocorasick
 
-    codes: dict[bytes, str] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for _, words, phrases, wanted in shard:
+    places = []
+    for _, hashes, phrases, wanted in shard:
         at = np.minimum(np.searchsorted(wanted, phrases), len(wanted) - 1)
-        for start in np.flatnonzero(wanted[at] == phrases).tolist():
-            phrase = words[start : start + PHRASE]
-            for word in phrase:
-                if word not in codes:
-                    code = 0x100 + len(codes)
-                    codes[word] = chr(code + 0x800 * (code >= 0xD800))  # past the surrogates
-            automaton.add_word("".join(map(codes.__getitem__, phrase)))
+        places.append(np.flatnonzero(wanted[at] == phrases))
+    held = [hashes[np.add.outer(at, np.arange(PHRASE))].ravel() for (_, hashes, _, _), at in zip(shard, places, strict=True)]
+    known = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]))
+    letters = max(1, -(-len(known).bit_length() // LETTER_BITS))
+    automaton, texts = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), []
+    for (_, hashes, _, _), starts in zip(shard, places, strict=True):
+        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        numbers = np.where(known[at] == hashes, at + 1, 0) if len(known) else np.zeros(len(hashes), np.int64)
+        text = spelled(numbers, letters)
+        texts.append(text)
+        width = PHRASE * letters
+        for start in (letters * starts).tolist():
+            automaton.add_word(text[start : start + width])
     if not len(automaton):
-        return codes, None
+        return texts, letters, None
     automaton.make_automaton()
-    return codes, automaton
+    return texts, letters, automaton
+
+
+def occurrences(automaton, text: str, letters: int) -> np.ndarray:
+    """First words of all phrases that an automaton finds in a spelled text."""
+    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) + 1
+    # a phrase that is found between the letters of words is none
+    return ends[ends % letters == 0] // letters - PHRASE
 
 
 def _candidates(shard: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Candidate windows of the shard's documents, each streamed through the shard's automaton."""
-    codes, automaton = _automaton(shard)
+    texts, letters, automaton = _automaton(shard)
     if automaton is None:
         return
     top = np.uint64(2**64 - 1)
-    for no, words, phrases, _ in shard:
+    width = WINDOW - PHRASE + 1
+    for (no, hashes, phrases, _), text in zip(shard, texts, strict=True):
+        found = occurrences(automaton, text, letters)
+        if not len(found):
+            continue
         known = np.zeros(len(phrases), bool)
-        text = "".join(map(codes.get, words, repeat("\0")))
-        ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-        known[ends - PHRASE + 1] = True
-        width = WINDOW - PHRASE + 1
+        known[found] = True
         least = sliding_min(phrases, width)
         starts = np.flatnonzero(sliding_min(np.where(known, phrases, top), width) == least)
         if not len(starts):
             continue
-        hashes = word_hashes(words)
-        w = rolling(hashes, WINDOW, _STEPS[0])[starts].view(np.int64)
-        c = (rolling(hashes, WINDOW, _STEPS[1])[starts] >> np.uint64(33)).astype(np.int32)
+        w = rolling(hashes, WINDOW, 0)[starts].view(np.int64)
+        c = (rolling(hashes, WINDOW, 1)[starts] >> np.uint64(33)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(w), pa.array(c), pa.array(np.full(len(starts), no)), pa.array(starts.astype(np.int32))],
             names=[x.split()[0] for x in WINDOWS.split(", ")],
@@ -192,15 +239,15 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
         shard, size = [], 0
         for batch in batches:
             for no, text, anchors in zip(*batch.columns, strict=True):
-                words = text.as_py().encode().split()
-                phrases = rolling(word_hashes(words), PHRASE, _STEPS[2])
-                wanted = np.unique(np.array(anchors.as_py(), np.int64).view(np.uint64))
-                shard.append((no.as_py(), words, phrases, wanted))
+                hashes = word_hashes(text.as_py().encode().split())
+                wanted = np.unique(anchors.values.to_numpy().view(np.uint64))
+                shard.append((no.as_py(), hashes, rolling(hashes, PHRASE, 2), wanted))
                 size += len(text.as_py())
                 if size >= SHARD_BYTES:
                     yield from _candidates(shard)
                     shard, size = [], 0
         yield from _candidates(shard)
+        forget_words()
 
     return texts.mapInArrow(locate, WINDOWS)
 

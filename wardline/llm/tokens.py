@@ -32,6 +32,15 @@ CHUNK = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 TAIL = ".,;:!?%$#&*)(+-/<=>@]["
 MAX_WORDS = 200_000
 
+class _IdBytes(dict):
+    """Id -> its four bytes."""
+
+    def __missing__(self, number: int) -> bytes:
+        value = self[number] = struct.pack("<I", number)
+        return value
+
+
+ID_BYTES = _IdBytes()
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -58,6 +67,7 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.prefix, self.fold = tokenizer, prefix, fold
         self.model, self.letters, self.older = tokenizer.model, _Letters(), {}
+        self.start = prefix.translate(self.letters)
         self.bare = self if bare is None else bare
 
     def __missing__(self, word: str) -> bytes:
@@ -71,13 +81,19 @@ class _Words(dict):
         return value
 
     def encoded(self, word: str) -> bytes:
-        if word.isalpha() and max(word) < "ɐ":
-            low = word.lower() if self.fold else word
-            if low != word and len(low) == len(word):
-                return self[low]
-            if low == word:
-                tokens = self.model.tokenize((self.prefix + word).translate(self.letters))
-                return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+        if word.isalpha():
+            if word.isascii():
+                # such letters stand for themselves in a byte-level vocabulary
+                if self.fold and not word.islower():
+                    return self[word.lower()]
+                return b"".join([ID_BYTES[token.id] for token in self.model.tokenize(self.start + word)])
+            if max(word) < "ɐ":
+                low = word.lower() if self.fold else word
+                if low != word and len(low) == len(word):
+                    return self[low]
+                if low == word:
+                    tokens = self.model.tokenize((self.prefix + word).translate(self.letters))
+                    return b"".join([ID_BYTES[token.id] for token in tokens])
         stem = word.rstrip(TAIL)
         # a letter that stays one when folded ends a piece before a mark
         if stem and len(stem) < len(word) and stem[-1].isalpha() and len(stem[-1].lower()) == 1:
@@ -116,7 +132,9 @@ class Encoder:
         if self.kind == "whole":
             return self.whole(text)
         words = text.split()
-        if words and words == text.replace("\n", " ").split(" "):
+        gaps = len(words) - 1
+        # one space or newline between words and nothing else
+        if words and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps:
             if self.kind == "words":
                 return b"".join(map(self.first.__getitem__, words))
             first, later, lines = self.first, self.later.__getitem__, []
