@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import exact_dedup, mixing, near_dedup, packing, quality
-from wardline.llm.common import stored
+from wardline.llm.common import free, scratch_tables, stored
 from wardline.llm.queries import documents, tokenizer_path
 
 
@@ -72,8 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the whole documents table."""
-    docs = documents(spark, sf_dir)
+    """The packed pieces of the whole documents table.
+
+    A stage's own tables, and the table that it read, are removed once its result is stored.
+    """
+    docs, before = documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch_tables() as made:
+            docs = stored(stage(spark, docs, sf_dir))
+        free(spark, [*made[:-1], *before])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
