@@ -242,7 +242,8 @@ def read_documents(spark: SparkSession, manifest: DataFrame, wanted: DataFrame)
     """(doc_id, ids) of the wanted ids (a one-column table); other frames stay compressed.
 
     The wanted ids are grouped by the file whose range of ids may hold them, so a
-    task opens one file and reads only those frames.
+    task opens one file and reads only those frames. Ids and files meet by an equi join on
+    buckets of ids, of which each file covers few.
     """
     ship(spark)
 
@@ -280,6 +281,11 @@ def read_documents(spark: SparkSession, manifest: DataFrame, wanted: DataFrame)
 
     spans = stored(manifest.select("path").mapInArrow(ranges, "path string, low bigint, high bigint"))
     ids = wanted.toDF("doc_id").where("doc_id IS NOT NULL").distinct()
-    found = ids.join(spans, F.col("doc_id").between(F.col("low"), F.col("high")))
+    n, low, high = spans.agg(F.count("*"), F.min("low"), F.max("high")).first()
+    # the files ascend, so together they cover about as many buckets as there are, and one more each
+    width = max(1, -(-(high - low + 1) // (4 * n))) if n else 1
+    covered = spans.withColumn("bucket", F.expr(f"explode(sequence(low div {width}, high div {width}))"))
+    placed = ids.withColumn("bucket", F.expr(f"doc_id div {width}"))
+    found = placed.join(covered, "bucket").where("doc_id BETWEEN low AND high")
     placed = found.select("path", "doc_id").repartition("path").sortWithinPartitions("path", "doc_id")
     return placed.mapInArrow(read, "doc_id bigint, ids array<bigint>")
