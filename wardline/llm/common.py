@@ -106,8 +106,13 @@ def numbered(df: DataFrame, *keys: str | Column, name: str = "_row") -> DataFram
     )
 
 
+#: bytes of an Arrow batch: texts are held several times over, on both sides of a worker's pipe
+BATCH_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for each context."""
+    """Give the Python workers this package, once for each context, and batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_wardline_shipped", False):
         return

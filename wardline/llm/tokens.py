@@ -30,7 +30,7 @@ ODD_SPACE = re.compile(
 CHUNK = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: marks that can follow a word; an apostrophe may open a contraction and is left out
 TAIL = ".,;:!?%$#&*)(+-/<=>@]["
-MAX_WORDS = 200_000
+MAX_WORDS = 50_000
 
 class _IdBytes(dict):
     """Id -> its four bytes."""
