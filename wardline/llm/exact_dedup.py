@@ -12,7 +12,8 @@ fills a third of the table reaches its shard as few rows.
 
 Defined cases: a null text counts as empty. Of equal texts the smallest id stays;
 null ids stay only if the group has no other. Rows that repeat an id and its text
-are one document and all marked kept. Empty tables give empty results. Only the
+are one document and all marked kept. A text of any length is hashed whole where it
+lies; only digests are shuffled. Empty tables give empty results. Only the
 id and text columns are read, so further columns cannot clash.
 """
 

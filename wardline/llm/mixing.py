@@ -14,8 +14,8 @@ joined, broadcast only if Spark finds it below its size limit.
 
 Defined cases: a null text has no words; a null source is a source of its own; a
 source without words has target 0 and its documents are taken at rate 0. Rows
-with a null id draw by their text. Repeated rows draw alike. Empty tables give
-empty results. ``repeated`` keeps all columns and uses names with ``_mix_`` inside.
+with a null id draw by their text. Texts of any length are counted whole, where they lie.
+Repeated rows draw alike. Empty tables give empty results. ``repeated`` keeps all columns and uses names with ``_mix_`` inside.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Label, language, source and id are no inputs of a score. All labelled training
 rows are used; there is no sample.
 
 Defined cases: a null text counts as empty; an empty text has all statistics 0
-and is scored like any other. Rows with a null id are scored, never learnt from;
+and is scored like any other. A text of any length is measured whole, by itself; further columns are
+neither read nor changed. Rows with a null id are scored, never learnt from;
 labels that are null are not learnt from. Labels of an id that repeats all count.
 Without labels of both kinds every score is the share of label 1, or 0.5 if there
 is none. Repeated rows get equal scores. An empty table gives an empty result.
