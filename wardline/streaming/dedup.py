@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -31,7 +31,7 @@ HORIZON_SECONDS = 3600
 QUIET_SECONDS = 86_400
 
 
-def _window(ts: str, seconds: int) -> F.Column:
+def _window(ts: str, seconds: int) -> Column:
     return F.expr(f"unix_seconds({ts}) div {seconds} * {seconds}")
 
 
