@@ -9,7 +9,7 @@ are not shuffled.
 A larger table, or one of more lengths, is met by the distinct addresses only. Each address is put out
 once per prefix length under (width, length, prefix, slice); the slice is a hash of the
 address, and the table stands under all slices, so a short prefix that covers
-most addresses is no hot key. Rows then take their address's answer; rows without
+most addresses is no hot key. Prefixes of at most 4,096 addresses have one slice. Rows then take their address's answer; rows without
 an address spread over all tasks, and Spark splits those of a frequent one.
 
 A range of the same bits listed by several owners belongs to the smallest one. Texts that
@@ -30,6 +30,8 @@ from wardline.registry import Registry, local_frame
 JOINED_LENGTHS = 24
 #: slices of a prefix where the table is not broadcast
 SLICES = 16
+#: bits after a prefix up to which it covers too few addresses to be a hot key
+FEW_BITS = 12
 #: bytes of a table row besides its texts
 ROW_BYTES = 64
 
@@ -125,17 +127,15 @@ def _by_addresses(
 ) -> DataFrame:
     seen = df.select(F.col(address).alias("_address")).filter("_address IS NOT NULL").distinct()
     keys = ", ".join(
-        f"CASE WHEN length(_hex) = {width} THEN named_struct('bits', {bits}, 'prefix', {prefix_sql('_hex', bits)}) END"
+        f"CASE WHEN length(_hex) = {width} THEN named_struct('bits', {bits}, 'prefix', {prefix_sql('_hex', bits)},"
+        f" 'slice', {'0' if 4 * width - bits <= FEW_BITS else '_slice'}) END"
         for width, bits in lengths
     )
     cut = with_address(seen, "_address", "_hex").filter("_hex IS NOT NULL")
-    cut = cut.selectExpr(
-        "_address",
-        "length(_hex) AS width",
-        f"CAST(pmod(xxhash64(_address), {slices}) AS INT) AS slice",
-        f"inline(array_compact(array({keys})))",
-    )
-    spread = table.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    cut = cut.withColumn("_slice", F.expr(f"CAST(pmod(xxhash64(_address), {slices}) AS INT)"))
+    cut = cut.selectExpr("_address", "length(_hex) AS width", f"inline(array_compact(array({keys})))")
+    last = f"IF(4 * width - bits <= {FEW_BITS}, 0, {slices - 1})"
+    spread = table.withColumn("slice", F.expr(f"explode(sequence(0, {last}))"))
     owned = cut.join(spread, ["width", "bits", "prefix", "slice"])
     owned = owned.groupBy("_address").agg(F.max_by("owner", "bits")).toDF("_found_address", "_found_owner")
     nowhere: Column = F.concat(F.lit("\x01"), (F.monotonically_increasing_id() % 1024).cast("string"))
