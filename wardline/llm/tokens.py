@@ -59,13 +59,14 @@ class _Words(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes.
 
     A word of letters is one piece, so the library's model can take it directly.
-    Of more than ``MAX_WORDS`` chunks, those not seen since the last change of
+    Of more than ``most`` chunks, those not seen since the last change of
     generation are forgotten.
     """
 
     def __init__(self, tokenizer, prefix: str, fold: bool, bare: _Words | None = None):
         super().__init__()
         self.tokenizer, self.prefix, self.fold = tokenizer, prefix, fold
+        self.most = MAX_WORDS if fold else MAX_PLACED
         self.model, self.letters, self.older = tokenizer.model, _Letters(), {}
         self.start = prefix.translate(self.letters)
         self.bare = self if bare is None else bare
@@ -84,7 +85,7 @@ class _Words(dict):
             value = self.older.get(word)
             if value is None:
                 value = self.whole(word)
-        if len(self) > MAX_WORDS:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         self[word] = value
@@ -137,19 +138,20 @@ class _Words(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes.
 
     A word of letters is one piece, so the library's model can take it directly.
-    Of more than ``MAX_WORDS`` chunks, those not seen since the last change of
+    Of more than ``most`` chunks, those not seen since the last change of
     generation are forgotten.
     """
 
     def __init__(self, tokenizer, prefix: str, fold: bool, bare: _Words | None = None):
         super().__init__()
         self.tokenizer, self.prefix, self.fold = tokenizer, prefix, fold
+        self.most = MAX_WORDS if fold else MAX_PLACED
         self.model, self.letters, self.older = tokenizer.model, _Letters(), {}
         self.start = prefix.translate(self.letters)
         self.bare = self if bare is None else bare
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > MAX_WORDS:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         value = self.older.pop(word, None)
