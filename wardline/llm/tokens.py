@@ -30,86 +30,8 @@ ODD_SPACE = re.compile(
 CHUNK = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: marks that can follow a word; an apostrophe may open a contraction and is left out
 TAIL = ".,;:!?%$#&*)(+-/<=>@]["
-MAX_WORDS = 100000
-
-class _IdBytes(dict):
-    """Id -> its four bytes."""
-
-    def __missing__(self, number: int) -> bytes:
-        value = self[number] = struct.pack("<I", number)
-        return value
-
-
-ID_BYTES = _IdBytes()
-_ENCODERS: dict[str, Encoder] = {}
-
-
-class _Letters(dict):
-    """Character -> the characters that stand for its bytes in a byte-level vocabulary."""
-
-    def __missing__(self, code: int) -> str:
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        value = self[code] = level.pre_tokenize_str(chr(code))[0][0]
-        return value
-
-
-class _Words(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit bytes.
-
-    A word of letters is one piece, so the library's model can take it directly.
-    Of more than ``most`` chunks, those not seen since the last change of
-    generation are forgotten.
-    """
-
-    def __init__(self, tokenizer, prefix: str, fold: bool, bare: _Words | None = None):
-        super().__init__()
-        self.tokenizer, self.prefix, self.fold = tokenizer, prefix, fold
-        self.most = MAX_WORDS if fold else MAX_PLACED
-        self.model, self.letters, self.older = tokenizer.model, _Letters(), {}
-        self.start = prefix.translate(self.letters)
-        self.bare = self if bare is None else bare
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            value = self.older.get(word)
-            if value is None:
-                value = self.letters_only(word)
-        else:
-            stem = word.rstrip(TAIL)
-            # a letter that stays one when folded ends a piece before a mark
-            if stem and len(stem) < len(word) and stem[-1].isalpha() and len(stem[-1].lower()) == 1:
-                # words with marks are put together anew: they would crowd out others
-                return self[stem] + self.bare[word[len(stem) :]]
-            value = self.older.get(word)
-            if value is None:
-                value = self.whole(word)
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        self[word] = value
-        return value
-
-    def letters_only(self, word: str) -> bytes:
-        if word.isascii():
-            # such letters stand for themselves in a byte-level vocabulary
-            if self.fold and not word.islower():
-                return self[word.lower()]
-            return b"".join([ID_BYTES[token.id] for token in self.model.tokenize(self.start + word)])
-        if max(word) < "ɐ":
-            low = word.lower() if self.fold else word
-            if low != word and len(low) == len(word):
-                return self[low]
-            if low == word:
-                tokens = self.model.tokenize((self.prefix + word).translate(self.letters))
-                return b"".join([ID_BYTES[token.id] for token in tokens])
-        return self.whole(word)
-
-    def whole(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(self.prefix + word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
+#: words kept in a generation: of vocabularies with one table of words, and with one for each of two places
+MAX_WORDS, MAX_PLACED = 400_000, 100_000
 
 class _IdBytes(dict):
     """Id -> its four bytes."""
