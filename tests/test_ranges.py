@@ -98,6 +98,19 @@ def test_many_ranges_are_no_literals_and_small_ones_need_no_shuffle(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
 
 
+def test_many_ranges_from_few_rows_are_not_broadcast(spark, tmp_path):
+    # a small file whose rows are exploded looks small to Spark on either side of the join
+    spark.range(100).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    addresses = few.selectExpr("concat('10.0.', id, '.7') AS address")
+    many = few.selectExpr("id", "explode(sequence(0, 49)) AS k").selectExpr(
+        "concat('10.', k, '.', id, '.0/', 20 + k % 5) AS cidr", "concat('owner-', id) AS owner"
+    )
+    out = R.join_range_owner(addresses, "address", many, "owner", broadcast_bytes=0)
+    assert "SortMergeJoin [width" in out._jdf.queryExecution().sparkPlan().toString()
+    assert {r.address: r.owner for r in out.collect()}["10.0.9.7"] == "owner-0"
+
+
 def test_no_ranges(spark):
     df = spark.createDataFrame([("1.2.3.4",)], "address string")
     none = spark.createDataFrame([], "cidr string, owner string")

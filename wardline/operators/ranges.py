@@ -136,7 +136,8 @@ def _by_addresses(
     cut = cut.selectExpr("_address", "length(_hex) AS width", f"inline(array_compact(array({keys})))")
     last = f"IF(4 * width - bits <= {FEW_BITS}, 0, {slices - 1})"
     spread = table.withColumn("slice", F.expr(f"explode(sequence(0, {last}))"))
-    owned = cut.join(spread, ["width", "bits", "prefix", "slice"])
+    # Spark counts what a generator puts out as one row each and would broadcast either side
+    owned = cut.join(spread.hint("merge"), ["width", "bits", "prefix", "slice"])
     owned = owned.groupBy("_address").agg(F.max_by("owner", "bits")).toDF("_found_address", "_found_owner")
     nowhere: Column = F.concat(F.lit("\x01"), (F.monotonically_increasing_id() % 1024).cast("string"))
     return (
