@@ -118,6 +118,21 @@ def test_groups_end_where_both_end(x, y):
     assert groups == len(set(x) & set(y)) == len(spelled.split(";"))
 
 
+@given(ends, ends, st.integers(0, 2_000_000))
+@settings(max_examples=100, deadline=None)
+def test_groups_are_spelled_from_names_in_one_array(x, y, first):
+    last = max(x[-1], y[-1]) + 1
+    x, y = [*x, last], [*y, last]
+    names = [[str(first + 3 * k) for k in range(len(e))] for e in (x, y)]
+    spelled = T.linked(x, y, *(T.np.array(n, T.NAME) for n in names))[3]
+    want, at = [], [0, 0]
+    for end in sorted(set(x) & set(y)):
+        to = [e.index(end) + 1 for e in (x, y)]
+        want.append("|".join(",".join(n[i:j]) for n, i, j in zip(names, at, to, strict=True)))
+        at = to
+    assert spelled == ";".join(want)
+
+
 @given(st.lists(st.tuples(st.sampled_from("a \n"), st.sampled_from([1, 499, 999, 1000, 1700])), max_size=6))
 def test_long_runs_are_seen(parts):
     text = "".join(c * n for c, n in parts)

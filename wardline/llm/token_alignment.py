@@ -26,7 +26,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,8 @@ from wardline.llm.common import ship, stored
 BLOCK_LINKS = 3_000_000
 #: runs without white space, or of it, that one word encoder handles in more than linear time
 LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+#: an id's decimal digits, at most seven, so that a mark fits behind them
+NAME = "S8"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 ROWS = (
@@ -140,17 +141,18 @@ class Pair:
     def __init__(self, a: ByteLevelTokens, b: PieceTokens):
         self.a, self.b = a, b
         for made in (a, b):
-            made.lengths = [len(token) for token in made.bytes]
-            made.names = [str(k) for k in range(len(made.bytes))]
+            made.lengths = np.array([len(token) for token in made.bytes], np.int64)
+            made.names = np.array([str(k) for k in range(len(made.bytes))], NAME)
 
     def tokens(self, text: str):
         """(ids, ends, names) of both kinds; null where either does not spell the text."""
         whole, found = (" " + text).encode(), []
         for t, ids in ((self.a, self.a.encode(" " + text)), (self.b, self.b.encode(text))):
-            ends = list(accumulate(map(t.lengths.__getitem__, ids)))
+            at = np.array(ids, np.int64)
+            ends = t.lengths[at].cumsum()
             if not ids or ends[-1] != len(whole) or not t.spells(ids, whole):
                 return None
-            found += [ids, ends, list(map(t.names.__getitem__, ids))]
+            found += [at, ends.tolist(), t.names[at]]
         return found
 
 
@@ -185,21 +187,20 @@ def stretch(ends_a: list[int], ends_b: list[int], i: int, j: int) -> int:
     return known
 
 
-def linked(ends_a: list[int], ends_b: list[int], names_a: list[str], names_b: list[str]):
+def linked(ends_a: list[int], ends_b: list[int], names_a, names_b):
     """Stretches, links of irregular groups, the number of groups, and the groups as text.
 
     Stretches are (place in a, place in b, length) one after another, the links of
     irregular groups (place in a, place in b). Both arrays ascend and end alike, in the
     length of the text.
     """
-    runs, links, texts, groups = [], [], [], 0
+    runs, links, cuts, groups = [], [], [], 0
     i = j = 0
     n = len(ends_a)
     while i < n:
         run = stretch(ends_a, ends_b, i, j)
         if run:
             runs += (i, j, run)
-            texts += [f"{x}|{y}" for x, y in zip(names_a[i : i + run], names_b[j : j + run], strict=True)]
             groups += run
             i += run
             j += run
@@ -218,12 +219,30 @@ def linked(ends_a: list[int], ends_b: list[int], names_a: list[str], names_b: li
                 y += 1
                 end_b = ends_b[y]
             links += (x, y)
-        x += 1
-        y += 1
-        texts.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
         groups += 1
-        i, j = x, y
-    return runs, links, groups, ";".join(texts)
+        i, j = x + 1, y + 1
+        cuts += (i, j)
+    return runs, links, groups, groups_text(runs, cuts, names_a, names_b)
+
+
+def groups_text(runs: list[int], cuts: list[int], names_a, names_b) -> str:
+    """``a1,a2|b1;a3|b2,b3`` from stretches and the ends of irregular groups."""
+    names = [np.asarray(x, NAME).view(np.uint64) for x in (names_a, names_b)]
+    # groups ascend in both kinds, so either's ends in order are the groups' ends
+    ends = [
+        np.sort(np.concatenate([at + 1, np.array(cuts[k::2], np.int64)]))
+        for k, at in enumerate(places(runs, []))
+    ]
+    # a group's tokens of a stand behind the tokens of b of all groups before it, those of b behind its own of a
+    before = [np.append(0, ends[1])[:-1], ends[0]]
+    spelled = np.zeros(len(names[0]) + len(names[1]), np.uint64)
+    for k, last in enumerate("|;"):
+        marks = np.full(len(names[k]), ord(",") << 56, np.uint64)
+        marks[ends[k] - 1] = ord(last) << 56
+        at = np.arange(len(marks)) + np.repeat(before[k], np.diff(ends[k], prepend=0))
+        spelled[at] = names[k] | marks
+    # a name's eight bytes are its digits, zeros, and the mark after it
+    return spelled.tobytes().translate(None, b"\0")[:-1].decode()
 
 
 def places(runs: list[int], links: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,8 +266,7 @@ class Block:
             ids_a, ends_a, names_a, ids_b, ends_b, names_b = found
             runs, links, groups, spelled = linked(ends_a, ends_b, names_a, names_b)
             at_a, at_b = places(runs, links)
-            codes_a, codes_b = np.array(ids_a, np.int64) << 32, np.array(ids_b, np.int64)
-            codes, times = np.unique(codes_a[at_a] | codes_b[at_b], return_counts=True)
+            codes, times = np.unique(ids_a[at_a] << 32 | ids_b[at_b], return_counts=True)
             self.codes.append(codes)
             self.times.append(times)
             self.links += len(at_a)
